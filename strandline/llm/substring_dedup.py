@@ -299,7 +299,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lost.mapInArrow(_spans, "doc_id long, t long, start_word long, end_word long, kept_in array<long>")
 
 
-def _without(at: int):
+def _without(at: int, drop_emptied: bool):
     def run(batches):
         import re
 
@@ -307,7 +307,7 @@ def _without(at: int):
 
         word = re.compile(r"[^\x20\x09-\x0D]+")
         for b in batches:
-            texts = []
+            texts, stay = [], []
             for text, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 if spans:
                     places = [m.span() for m in word.finditer(text)]
@@ -315,16 +315,20 @@ def _without(at: int):
                         a, e = max(0, s["start_word"]), min(len(places), s["end_word"])
                         text = text[: places[a][0]] + text[places[e - 1][1] :].lstrip(" ")
                 texts.append(text)
+                stay.append(not (spans and drop_emptied) or bool(word.search(text)))
             cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1]).filter(pa.array(stay, pa.bool_()))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated spans cut out of the texts; all rows and columns stay."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the repeated spans cut out of the texts; all columns stay, and all rows.
+
+    With ``drop_emptied``, rows that lose all their words go.
+    """
     spans = stored(find_repeats(docs, id_col, text_col), "dedup-spans")
     lost = spans.groupBy(F.col("doc_id").alias("__i"), F.col("t").alias("__t")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
     on = (F.col(id_col) == F.col("__i")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__t"))
     joined = docs.join(lost, on, "left").select(*docs.columns, "__spans")
-    return joined.mapInArrow(_without(docs.columns.index(text_col)), docs.schema)
+    return joined.mapInArrow(_without(docs.columns.index(text_col), drop_emptied), docs.schema)
