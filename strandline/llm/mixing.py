@@ -131,7 +131,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     ``shards`` is a power of two.  A node is a row with an array of the sources'
     quotas; a level turns each row into two.
     """
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("__source"), F.lit("￿￿null")).alias("s"), F.col("__quota").alias("q")))).alias("all")).select(
+    node = quotas.agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("__source"), F.lit("\U0010ffffnull")).alias("s"), F.col("__quota").alias("q")))).alias("all")).select(
         F.lit(0).alias("at"), F.col("all.s").alias("names"), F.col("all.q").alias("q")
     )
     level, width = 0, shards
@@ -150,7 +150,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     each = node.select("at", F.explode(F.arrays_zip(F.col("names").alias("s"), F.col("q").alias("q"))).alias("x")).select("at", F.col("x.s").alias("s"), F.col("x.q").alias("q"))
     run = Window.partitionBy("s").orderBy("at")
     cut = each.select("s", "at", F.sum("q").over(run).alias("end")).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("at", "end"))).alias("c"))
-    return cut.select(F.when(F.col("s") != "￿￿null", F.col("s")).alias("__source"), F.col("c.end").alias("__cut"))
+    return cut.select(F.when(F.col("s") != "\U0010ffffnull", F.col("s")).alias("__source"), F.col("c.end").alias("__cut"))
 
 
 def mix(docs: DataFrame, shards: int = 16, weights=(1, 2, 3), share: float = 1.0, most: int = MOST, block_rows: int = BLOCK_ROWS, seed: int = 7, **columns) -> DataFrame:

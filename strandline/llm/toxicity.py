@@ -39,10 +39,10 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: A small general list, used where there are no labels.
 DEFAULT_LEXICON = {w: 3.0 for w in ("idiot", "moron", "stupid", "scum", "pathetic", "worthless", "loser", "imbecile", "disgusting", "bastard")}
 SEPARATORS = ".,;:?\"'()[]{}<>«»“”„‘’¡¿-_*#%&/|~=+\\"
-INVISIBLE = "​‌‍⁠﻿­"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
 _TABLE = {ord(k): v for k, v in {**HOMOGLYPHS, **SUBSTITUTES}.items()} | {ord(c): " " for c in SEPARATORS} | {ord(c): None for c in INVISIBLE}
-_MARKS = re.compile("[̀-ͯ]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 SHORTEST, LONGEST = 4, 9
 
 
