@@ -34,7 +34,7 @@ MIN_PLAIN = 3
 NUMBER, NAME, UNIT = "\x01number", "\x01name", "\x01unit"
 NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 UNITS = frozenset("m km cm mm kg g mg lb lbs oz s sec min h hr hrs day days week weeks month months year years hour hours minute minutes second seconds mile miles foot feet inch inches dollar dollars euro euros cent cents percent litre litres liter liters ml kmh mph".split())
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
+_TOKEN = re.compile(r"[^\W\d_][^\W_]*|\d+(?:[.,]\d+)*|[.!?\n]")
 _STOPS = frozenset(".!?\n")
 
 
