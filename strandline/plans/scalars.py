@@ -138,7 +138,7 @@ def location_labels(s, d):
 SELECT doc_id, i // 2 AS pair, string_agg(t, ' ' ORDER BY i) AS segment, i % 2 = 1 AS matched FROM p WHERE t <> '' GROUP BY doc_id, i, i // 2""")
 def highlight_segments(s, d):
     parts = F.split(F.left("text", F.lit(40)), " ")
-    marked = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(""), p, F.lit(""))).otherwise(p)), "")
+    marked = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("\ue000"), p, F.lit("\ue001"))).otherwise(p)), "")
     # the pieces alternate between plain and matched, so positions of the split tell them apart
     rows = docs(s, d).select("doc_id", parts.alias("parts"), T.highlight_segments(marked).alias("segments"))
     seen = rows.select("doc_id", F.posexplode(F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("i"), p.alias("t"))), lambda p: F.length(p["t"]) > 0)).alias("k", "p"), "segments")
