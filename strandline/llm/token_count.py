@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import shared_dir
+from strandline.llm.common import shared_dir, stored
 
 CACHE_SCHEMA = "content string, n_tokens long, tokenizer string"
 
@@ -79,16 +79,20 @@ def count_tokens(docs: DataFrame, path_of, cache_dir: str | None = None, id_col:
     version = tokenizer_digest(path_of())
     cache_dir = cache_dir or f"{shared_dir(spark)}/strandline/token-cache-{uuid.uuid4().hex}"
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    digested = texts.select("__id", F.octet_length("__text").cast("long").alias("n_bytes"), F.sha2("__text", 256).alias("content"), "__text")
+    digest = F.sha2("__text", 256).alias("content")
+    rows = stored(texts.select("__id", F.octet_length("__text").cast("long").alias("n_bytes"), digest), "token-digests")
+    wanted = rows.select("content").distinct()
 
     if not _exists(spark, cache_dir):
         spark.createDataFrame([], CACHE_SCHEMA).write.partitionBy("tokenizer").mode("append").parquet(cache_dir)
-    read = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache_dir).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    wanted = digested.groupBy("content").agg(F.first("__text").alias("__text"))
-    misses = wanted.join(read().select("content"), "content", "left_anti").select("content", "__text")
+    cached = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache_dir).where(F.col("tokenizer") == version).select("content", "n_tokens")
+    distinct = texts.select(digest, "__text").groupBy("content").agg(F.first("__text").alias("__text"))
+    misses = distinct.join(cached().select("content"), "content", "left_anti").select("content", "__text")
     counted = misses.mapInArrow(_encode(path_of, batch_rows), "content string, n_tokens long").select("content", "n_tokens", F.lit(version).alias("tokenizer"))
     counted.write.partitionBy("tokenizer").mode("append").parquet(cache_dir)
-    joined = digested.select("__id", "n_bytes", "content").join(read(), "content", "left")
+    # a table of its own, so that the last join has a plain scan on either side and a text that fills a third of the rows can be split
+    known = stored(cached().join(wanted, "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    joined = rows.join(known, "content", "left")
     return joined.select(F.col("__id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
