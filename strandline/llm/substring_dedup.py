@@ -282,7 +282,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     segs = units.select("doc_id", "t", F.explode("segs").alias("s")).select("doc_id", "t", "s.*")
     again = segs.groupBy("h").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where(F.col("keep") < F.col("last"))
-    twice = segs.join(again.select("h", "keep"), "h").where(F.col("doc_id") != F.col("keep"))
+    # stored, here and below: a join of plain scans can be split where a unit fills much of the input
+    twice = segs.join(stored(again.select("h", "keep"), "dedup-again"), "h").where(F.col("doc_id") != F.col("keep"))
     lost_segs = twice.select("doc_id", "t", F.struct("at", "n", "keep").alias("s"), F.lit(None).cast("struct<at:int,n:int,keep:bigint>").alias("p"))
 
     pars = units.select("doc_id", "t", F.explode("pars").alias("p")).select("doc_id", "t", "p.*")
@@ -291,7 +292,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = components(_paragraph_links(distinct, named))
     grouped = distinct.join(roots, distinct["d"] == roots["node"], "left").select("d", F.col("place.doc_id").alias("first"), "last", F.coalesce("root", "d").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("most")).where(F.col("keep") < F.col("most"))
-    kept = grouped.join(least, "root").select("d", "keep")
+    kept = stored(grouped.join(least, "root").select("d", "keep"), "dedup-kept")
     lost_pars = pars.join(kept, "d").where(F.col("doc_id") != F.col("keep"))
     lost_pars = lost_pars.select("doc_id", "t", F.lit(None).cast("struct<at:int,n:int,keep:bigint>").alias("s"), F.struct("at", "n", "keep").alias("p"))
 
