@@ -31,6 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: neighbours above a node move to the smallest one known to it
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        # stored, so that the join has a plain scan on either side and Spark can split a hub
+        least = stored(least, "least")
         large = both.join(least, both["u"] == least["n"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its lower neighbours move to the lowest of them
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
