@@ -7,18 +7,19 @@ Words are compared in lower case.  Units of a document:
   in ``BANDS`` bands of ``ROWS``; at similarity 0.8 two collide with probability
   1 - (1 - 0.8^2)^5 = 0.994.  Colliding paragraphs are verified by exact Jaccard
   similarity of their shingles, and linked at 0.8 or more.
-* segments: stretches between words whose hash is smallest within ``RADIUS`` words
-  on either side, which depend on these words alone and so fall alike wherever a
-  passage is inserted.  A segment's digest covers its words and ``RADIUS`` words of
-  context on each side.  Segments in a row that repeat earlier ones are a passage, if
-  together they span at least ``MIN_PASSAGE`` words; since neighbours share their
-  context, two repeats that merely stand side by side are not taken for one.
+* windows: any ``MIN_PASSAGE`` words in a row.  A word is a passage's if one of the
+  windows over it is also in a document with a smaller id; nothing shorter counts and
+  nothing longer is missed.  So that not every window has to be compared, the one of
+  its ``ANCHOR``-word digests that is smallest stands for it (equal windows have equal
+  ones), and windows in a row with the same anchor are one stretch.  Stretches whose
+  anchor is in one document alone are done with.  Equal stretches are decided as one;
+  where an anchor has several stretches, one of each is decided window by window.
 
 Linked paragraphs are clustered by connected components.  Of each component, and of
 each passage, the occurrence in the document with the smallest id stays; what the
 others lose is merged into spans.
 
-Skew: equal paragraphs and segments are aggregated with map-side partials before
+Skew: equal paragraphs, stretches and windows are aggregated with map-side partials before
 anything is joined.  A bucket of a band with more than ``CHUNK`` distinct paragraphs
 is compared in pieces of that size, one task for each two pieces, and every task
 returns no more links than it has paragraphs (a spanning forest of what it verified).
@@ -40,14 +41,13 @@ from strandline.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 5, 2
 MIN_PARAGRAPH = 20
-RADIUS = 4
-STRETCH = 48
+ANCHOR = 16
 MIN_PASSAGE = 32
 CHUNK = 256
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
-UNITS = "doc_id long, t long, segs array<struct<at:int,n:int,h:long>>, pars array<struct<at:int,n:int,d:long,b:array<long>>>"
+UNITS = "doc_id long, t long, segs array<struct<at:int,n:int,h:long,s:long>>, pars array<struct<at:int,n:int,d:long,b:array<long>>>"
 
 
 class _Memo(dict):
@@ -92,33 +92,42 @@ def _powers(n: int):
     return up, down
 
 
-def segments(h, powers):
-    """(start, length, digest) arrays of the segments of a document's word hashes."""
+def _sums(h, powers):
     import numpy as np
 
-    n = len(h)
-    r = RADIUS
-    if n < 2 * r + 2:
-        return np.array([], int), np.array([], int), np.array([], np.uint64)
-    mid = h[r : n - r]
-    least = np.ones(len(mid), bool)
-    for k in range(1, r + 1):
-        least &= (mid < h[r - k : n - r - k]) & (mid < h[r + k : n - r + k])
-    cut = np.nonzero(least)[0] + r
-    # a stretch without cuts (the same few words over and over) is cut at even distances
-    edges = np.concatenate([[r], cut, [n - r - 1]])
-    wide = np.nonzero(np.diff(edges) > STRETCH)[0]
-    if len(wide):
-        cut = np.unique(np.concatenate([cut, *[np.arange(edges[i], edges[i + 1], STRETCH // 3) for i in wide]]))
-    if len(cut) < 2:
-        return np.array([], int), np.array([], int), np.array([], np.uint64)
-    start, end = cut[:-1], cut[1:]
-    up, down = powers
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * up[:n])])
-        a, b = start - r, np.minimum(end + r, n)
-        digest = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    return start, end - start, digest
+        return np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * powers[0][: len(h)])])
+
+
+def _digests(sums, a, b, powers):
+    """Digests of the words from ``a`` to before ``b``."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = (sums[b] - sums[a]) * powers[1][a] + (b - a).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
+
+def stretches(h, powers):
+    """(start, number of windows, anchor, digest) arrays of the stretches of a document's word hashes."""
+    import numpy as np
+
+    if len(h) < MIN_PASSAGE:
+        return np.array([], int), np.array([], int), np.array([], np.uint64), np.array([], np.uint64)
+    sums = _sums(h, powers)
+    at = np.arange(len(h) - ANCHOR + 1)
+    least = _digests(sums, at, at + ANCHOR, powers)
+    # the smallest digest that begins in a window: each step takes in as many more as it can
+    width, whole = 1, MIN_PASSAGE - ANCHOR + 1
+    while width < whole:
+        step = min(width, whole - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    edges = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1, [len(least)]])
+    start, end = edges[:-1], edges[1:]
+    return start, end - start, least[start], _digests(sums, start, end + MIN_PASSAGE - 1, powers)
 
 
 def _lists(offsets, columns: dict):
@@ -146,7 +155,7 @@ def _units(batches):
                 h = np.array([memo[w] for line in lines for w in line], np.uint64)
                 if len(h) >= len(powers[0]):
                     powers = _powers(2 * len(h))
-                segs.append(segments(h, powers))
+                segs.append(stretches(h, powers))
                 seg_at.append(seg_at[-1] + len(segs[-1][0]))
                 at = 0
                 for line in lines:
@@ -167,7 +176,7 @@ def _units(batches):
                         least = np.minimum.reduceat(x, edges[:-1])
                         bands[:, i // ROWS] = (bands[:, i // ROWS].view(np.uint64) * np.uint64(_P) + least).view(np.int64)
             cat = lambda i, kind: np.concatenate([s[i] for s in segs]).astype(kind) if segs else np.array([], kind)  # noqa: B023, E731
-            seg = _lists(seg_at, {"at": pa.array(cat(0, np.int32)), "n": pa.array(cat(1, np.int32)), "h": pa.array(cat(2, np.uint64).view(np.int64))})
+            seg = _lists(seg_at, {"at": pa.array(cat(0, np.int32)), "n": pa.array(cat(1, np.int32)), "h": pa.array(cat(2, np.uint64).view(np.int64)), "s": pa.array(cat(3, np.uint64).view(np.int64))})
             of = lambda i, kind: np.array([p[i] for p in pars], kind)  # noqa: B023, E731
             b = pa.ListArray.from_arrays(pa.array(np.arange(len(pars) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1)))
             par = _lists(par_at, {"at": pa.array(of(0, np.int32)), "n": pa.array(of(1, np.int32)), "d": pa.array(of(2, np.uint64).view(np.int64)), "b": b})
@@ -238,6 +247,48 @@ def _paragraph_links(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     return grouped.select("rows").mapInArrow(_linked, "u long, v long")
 
 
+def _windows(batches):
+    """(document, text, places of stretches) → digest, stretch, offset and document of each window."""
+    import numpy as np
+    import pyarrow as pa
+
+    memo = _Memo()
+    powers = _powers(1024)
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            batch = b.slice(k, 256)
+            ws, ss, offs, docs = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([], np.int32)], [np.array([], np.int64)]
+            for doc, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                h = np.array([memo[w] for line in words_by_line(text) for w in line], np.uint64)
+                if len(h) >= len(powers[0]):
+                    powers = _powers(2 * len(h))
+                sums = _sums(h, powers)
+                n = np.array([p["n"] for p in places])
+                i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(np.array([p["at"] for p in places]), n) + i
+                ws.append(_digests(sums, at, at + MIN_PASSAGE, powers).view(np.int64))
+                ss.append(np.repeat(np.array([p["s"] for p in places], np.int64), n))
+                offs.append(i.astype(np.int32))
+                docs.append(np.full(len(i), doc, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ws, ss, offs, docs)], names=["w", "s", "i", "doc"])
+
+
+def _lost_stretches(segs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, t, at, n, keep, windows``: stretches that ``keep`` has whole, and their windows that a still earlier document has."""
+    again = segs.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where(F.col("least") < F.col("last"))
+    # stored, here and below: a join of plain scans can be split where a unit fills much of the input
+    shared = stored(segs.join(stored(again.select("h"), "dedup-again"), "h"), "dedup-shared")
+    distinct = stored(shared.groupBy("s").agg(F.min("h").alias("h"), F.min(F.struct("doc_id", "t", "at", "n")).alias("place")), "dedup-stretches")
+    several = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"), "dedup-several")
+    places = distinct.join(several, "h").groupBy("place.doc_id", "place.t").agg(F.collect_list(F.struct(F.col("place.at").alias("at"), F.col("place.n").alias("n"), "s")).alias("places"))
+    windows = stored(docs.join(places, ["doc_id", "t"]).select("doc_id", "text", "places").mapInArrow(_windows, "w long, s long, i int, doc long"), "dedup-windows")
+    first = stored(windows.groupBy("w").agg(F.min("doc").alias("keep"), F.max("doc").alias("last")).where("keep < last").select("w", "keep"), "dedup-first")
+    decided = windows.join(first, "w").where(F.col("keep") < F.col("doc")).groupBy("s").agg(F.collect_list(F.struct("i", "keep")).alias("windows"))
+    known = stored(distinct.select("s", F.col("place.doc_id").alias("keep")).join(decided, "s", "left"), "dedup-decided")
+    lost = shared.join(known, "s").where((F.col("keep") < F.col("doc_id")) | F.col("windows").isNotNull())
+    return lost.select("doc_id", "t", "at", "n", "keep", "windows")
+
+
 def _spans(batches):
     """Repeated units of a document → merged spans of words."""
     import pyarrow as pa
@@ -246,14 +297,13 @@ def _spans(batches):
         out = []
         for doc, t, segs, pars in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
             found = [(p["at"], p["at"] + p["n"], {p["keep"]}) for p in pars]
-            runs = []
-            for s in sorted(segs, key=lambda s: s["at"]):
-                if runs and runs[-1][1] == s["at"]:
-                    runs[-1][1] += s["n"]
-                    runs[-1][2].add(s["keep"])
+            for s in segs:
+                # windows that are listed have an earlier document than the stretch as a whole
+                other = {w["i"]: w["keep"] for w in s["windows"] or ()}
+                if s["keep"] < doc:
+                    found.append((s["at"], s["at"] + s["n"] - 1 + MIN_PASSAGE, {*other.values(), *([s["keep"]] if len(other) < s["n"] else [])}))
                 else:
-                    runs.append([s["at"], s["at"] + s["n"], {s["keep"]}])
-            found += [(a - RADIUS, e + RADIUS, keep) for a, e, keep in runs if e - a + 2 * RADIUS >= MIN_PASSAGE]
+                    found += [(s["at"] + i, s["at"] + i + MIN_PASSAGE, {keep}) for i, keep in other.items()]
             merged = []
             for a, e, keep in sorted(found, key=lambda x: x[:2]):
                 if merged and a <= merged[-1][1]:
@@ -280,11 +330,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = _named(docs, id_col, text_col)
     units = stored(named.mapInArrow(_units, UNITS), "dedup-units")
 
+    seg, par = "struct<at:int,n:int,keep:bigint,windows:array<struct<i:int,keep:bigint>>>", "struct<at:int,n:int,keep:bigint>"
     segs = units.select("doc_id", "t", F.explode("segs").alias("s")).select("doc_id", "t", "s.*")
-    again = segs.groupBy("h").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last")).where(F.col("keep") < F.col("last"))
-    # stored, here and below: a join of plain scans can be split where a unit fills much of the input
-    twice = segs.join(stored(again.select("h", "keep"), "dedup-again"), "h").where(F.col("doc_id") != F.col("keep"))
-    lost_segs = twice.select("doc_id", "t", F.struct("at", "n", "keep").alias("s"), F.lit(None).cast("struct<at:int,n:int,keep:bigint>").alias("p"))
+    lost_segs = _lost_stretches(segs, named).select("doc_id", "t", F.struct("at", "n", "keep", "windows").alias("s"), F.lit(None).cast(par).alias("p"))
 
     pars = units.select("doc_id", "t", F.explode("pars").alias("p")).select("doc_id", "t", "p.*")
     distinct = pars.groupBy("d").agg(F.min(F.struct("doc_id", "t", "at", "n")).alias("place"), F.min("b").alias("b"), F.max("doc_id").alias("last"))
@@ -294,7 +342,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.max("last").alias("most")).where(F.col("keep") < F.col("most"))
     kept = stored(grouped.join(least, "root").select("d", "keep"), "dedup-kept")
     lost_pars = pars.join(kept, "d").where(F.col("doc_id") != F.col("keep"))
-    lost_pars = lost_pars.select("doc_id", "t", F.lit(None).cast("struct<at:int,n:int,keep:bigint>").alias("s"), F.struct("at", "n", "keep").alias("p"))
+    lost_pars = lost_pars.select("doc_id", "t", F.lit(None).cast(seg).alias("s"), F.struct("at", "n", "keep").alias("p"))
 
     lost = lost_segs.union(lost_pars).groupBy("doc_id", "t").agg(F.collect_set("s").alias("segs"), F.collect_set("p").alias("pars"))
     return lost.mapInArrow(_spans, "doc_id long, t long, start_word long, end_word long, kept_in array<long>")

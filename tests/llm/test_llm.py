@@ -169,6 +169,36 @@ def test_passages_and_paragraphs(spark):
     assert D.find_repeats(d.limit(0)).count() == 0
 
 
+def test_passages_match_brute_force(spark):
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 19, 10**6) + "\n" + "\n".join(prose(rng, 19, 10**6) for _ in range(8))) for i in range(150)]
+    for n in (31, 32, 33, 36, 40, 51) * 12:
+        # repeats of repeats too, so that what an anchor's first document holds is not what another needs
+        source = rng.choice(rows)[1].split()
+        a = rng.randrange(len(source) - n)
+        i, old = rng.choice(rows)
+        words = old.split()
+        at = rng.randrange(len(words))
+        words[at:at] = source[a : a + n]
+        rows[i] = (i, "\n".join(" ".join(words[k : k + 19]) for k in range(0, len(words), 19)))
+    rows += [(150, "same few " * 70), (151, "same few " * 50), (152, rows[3][1].replace(" ", "\n"))]
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 31):
+            first.setdefault(tuple(w[k : k + 32]), i)
+    want, keeps = set(), {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 31):
+            if (keep := first[tuple(w[k : k + 32])]) < i:
+                want |= {(i, k + j) for j in range(32)}
+                keeps.setdefault(i, set()).add(keep)
+    got = D.find_repeats(docs(spark, rows)).collect()
+    assert {(r["doc_id"], k) for r in got for k in range(r["start_word"], r["end_word"])} == want and len(keeps) > 30
+    assert {i: set().union(*(r["kept_in"] for r in got if r["doc_id"] == i)) for i in keeps} == keeps
+
+
 def test_jaccard_links_match_brute_force(spark):
     rng = random.Random(4)
     base = [prose(rng, 40, 9000).split() for _ in range(6)]
