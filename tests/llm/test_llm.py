@@ -379,6 +379,16 @@ def test_licenses(spark):
     assert L.scan(docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("around", [12, 60, 600])
+def test_license_inside_prose(around):
+    scanner = L.Scanner()
+    for k, (name, _, notice) in enumerate(L.TEMPLATES):
+        rng = random.Random(k)
+        text = prose(rng, around) + " " + notice + " " + prose(rng, around)
+        got = list(scanner.scan(text))
+        assert [x[0] for x in got] == [name] and text[got[0][1] : got[0][2]].rstrip(".") == notice.rstrip(".") and got[0][4:] == (1.0, [])
+
+
 def test_digests_are_hex(spark):
     from strandline.llm.catalog import queries
 
