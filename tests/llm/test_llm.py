@@ -389,6 +389,16 @@ def test_license_inside_prose(around):
         assert [x[0] for x in got] == [name] and text[got[0][1] : got[0][2]].rstrip(".") == notice.rstrip(".") and got[0][4:] == (1.0, [])
 
 
+def test_licenses_wrapped_and_without_usual_words():
+    import textwrap
+
+    scanner = L.Scanner()
+    for name, _, notice in L.TEMPLATES:
+        for width in (30, 80):
+            text = "\n".join(" * " + line for line in textwrap.wrap(notice, width))
+            assert [x[0] for x in scanner.scan("code here\n" + text + "\nmore code")] == [name]
+
+
 def test_digests_are_hex(spark):
     from strandline.llm.catalog import queries
 
