@@ -15,7 +15,9 @@ for each slice.  Documents are read in Arrow batches, whole, and are never shuff
 
 Defined results: null or empty texts hit nothing; null or token-free items match
 nothing; an item shorter than a window is one window; windows without enough plain
-words (``MIN_PLAIN``) are only used for such short items; repeated rows give repeated
+words (``MIN_PLAIN``) are only used for such short items; items that usable windows do not
+cover also have windows of their exact words and, with enough plain words, one of the
+whole template, so that verbatim copies and whole ones with other values are found; repeated rows give repeated
 results; empty tables give none; extra columns pass through ``drop_leaks`` and are
 ignored otherwise.
 """
@@ -73,8 +75,8 @@ class _Hashes(dict):
         return h
 
 
-def _windows(kinds: list[str], size: int, memo: _Hashes):
-    """Hash and number of plain words of each window of ``size`` tokens."""
+def _windows(kinds: list[str], size: int, memo: _Hashes, exact: bool = False):
+    """Hash and number of plain words of each window of ``size`` tokens (canonical or, with ``exact``, as they stand)."""
     import numpy as np
 
     n = len(kinds) - size + 1
@@ -82,7 +84,7 @@ def _windows(kinds: list[str], size: int, memo: _Hashes):
         return np.array([], np.uint64), np.array([], np.int64)
     h = np.fromiter(map(memo.__getitem__, kinds), np.uint64, len(kinds))
     plain = np.concatenate([[0], np.cumsum(np.fromiter((k[0] != "\x01" for k in kinds), np.int64, len(kinds)))])
-    out = np.full(n, size, np.uint64)
+    out = np.full(n, size + (1 << 32 if exact else 0), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(size):
             out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
@@ -97,25 +99,37 @@ class Index:
         import numpy as np
 
         memo = _Hashes()
-        self.items, hashes, owner, at = [], [], [], []
-        self.sizes = set()
+        self.items, hashes, owner, at, sizes = [], [], [], [], []
+        self.kinds_of_window = set()
+
+        def add(h, places, size, exact):
+            self.kinds_of_window.add((size, exact))
+            owner.append(np.full(len(places), len(self.items)))
+            at.append(places)
+            hashes.append(h[places])
+            sizes.append(np.full(len(places), size))
+
         for item_id, text in items:
             kinds, values = canonical(text)
             if not kinds:
                 continue
-            size = min(WINDOW, len(kinds))
+            n, size = len(kinds), min(WINDOW, len(kinds))
             h, plain = _windows(kinds, size, memo)
-            usable = np.nonzero((plain >= MIN_PLAIN) | (len(kinds) <= WINDOW))[0]
-            self.sizes.add(size)
-            owner.append(np.full(len(usable), len(self.items)))
-            at.append(usable)
-            hashes.append(h[usable])
-            self.items.append((item_id, kinds, values, size))
+            usable = np.nonzero((plain >= MIN_PLAIN) | (n <= WINDOW))[0]
+            add(h, usable, size, False)
+            # the first token's kind depends on what stands before it, so its window is not relied on
+            if len({a + j for a in usable.tolist() if a for j in range(size)}) < n - 1:
+                h, _ = _windows(values, size, memo, True)
+                add(h, np.arange(len(h)), size, True)
+                if n > WINDOW and sum(k[0] != "\x01" for k in kinds) >= MIN_PLAIN:
+                    add(_windows(kinds, n, memo)[0], np.array([0]), n, False)
+            self.items.append((item_id, kinds, values))
         self.hash = np.concatenate(hashes) if hashes else np.array([], np.uint64)
         order = np.argsort(self.hash, kind="stable")
         self.hash = self.hash[order]
         self.owner = np.concatenate(owner)[order] if owner else np.array([], int)
         self.at = np.concatenate(at)[order] if at else np.array([], int)
+        self.size = np.concatenate(sizes)[order] if sizes else np.array([], int)
 
     def find(self, text: str | None, memo: _Hashes, coverage: float, drift: int) -> list[tuple]:
         """(item id, coverage, slots, changed slots) of the items found in a text."""
@@ -125,8 +139,8 @@ class Index:
             return []
         kinds, values = canonical(text)
         hits = defaultdict(list)
-        for size in sorted(self.sizes):
-            h, _ = _windows(kinds, size, memo)
+        for size, exact in sorted(self.kinds_of_window):
+            h, _ = _windows(values if exact else kinds, size, memo, exact)
             if not len(h):
                 continue
             low = np.searchsorted(self.hash, h, "left")
@@ -134,14 +148,14 @@ class Index:
             for p in there.tolist():
                 k = int(low[p])
                 while k < len(self.hash) and self.hash[k] == h[p]:
-                    if self.items[self.owner[k]][3] == size:
-                        hits[int(self.owner[k])].append((p - int(self.at[k]), int(self.at[k])))
+                    if self.size[k] == size:
+                        hits[int(self.owner[k])].append((p - int(self.at[k]), int(self.at[k]), size))
                     k += 1
         return [x for item, found in hits.items() if (x := self._judge(item, found, values, coverage, drift))]
 
     def _judge(self, item: int, found: list[tuple], values: list[str], coverage: float, drift: int):
-        """Hits of one item, as (shift, place in the item): the best run of shifts that differ by ``drift`` at most."""
-        item_id, kinds, own, size = self.items[item]
+        """Hits of one item, as (shift, place in the item, size): the best run of shifts that differ by ``drift`` at most."""
+        item_id, kinds, own = self.items[item]
         found.sort()
         best = None
         first = 0
@@ -149,7 +163,7 @@ class Index:
             last = first
             while last + 1 < len(found) and found[last + 1][0] - found[first][0] <= drift:
                 last += 1
-            covered = {a + j for _, a in found[first : last + 1] for j in range(size)}
+            covered = {a + j for _, a, size in found[first : last + 1] for j in range(size)}
             if best is None or len(covered) > len(best[0]):
                 best = (covered, found[first : last + 1])
             shift = found[first][0]
@@ -160,7 +174,7 @@ class Index:
             return None
         slots, changed, seen = 0, 0, {}
         clashes = 0
-        for shift, a in best[1]:
+        for shift, a, size in best[1]:
             for j in range(a, a + size):
                 if kinds[j][0] == "\x01" and (key := (kinds[j], own[j])):
                     there = values[j + shift]

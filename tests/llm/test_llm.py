@@ -119,6 +119,21 @@ def test_leaks(spark):
     assert B.find_leaks(d, bench.limit(0)).count() == 0 and B.find_leaks(d.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("lead", ["Intro. ", "so it says ", ""])
+def test_verbatim_items_of_numbers_and_names(spark, lead):
+    items = [
+        "In 1998 John Smith and Mary Jones ran 5 km in 20 minutes; Bob Brown ran 10 km in 45 minutes.", "Compute 3, 7, 11, 15, 19, 23. What comes next?", "What is 12 + 15 x 4 - 7?",
+        "Tiny item", "Sort 9 8 7 6 5 4 3", "1 22 333 4444 55555 666666 7777777",
+    ]
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30) + ". " + lead + t + " " + prose(rng, 30)) for i, t in enumerate(items)]
+    rows += [(10, "x. In 2001 Anna Weber and Paul Meyer ran 7 km in 31 minutes; Tom Brandt ran 12 km in 52 minutes."), (11, "x 2 4 6 8 10 12 14 16 18 20 22 24 y"), (12, prose(rng, 300))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in B.find_leaks(docs(spark, rows), bench).collect()}
+    assert set(got) == {(i, i) for i in range(len(items))} | {(10, 0)}
+    assert all(got[i, i]["coverage"] == 1 and got[i, i]["changed_slots"] == 0 for i in range(len(items))) and got[10, 0]["changed_slots"] > 0
+
+
 # URL filter
 def test_rules_and_model(spark):
     urls = ["http://A.Example.com/en/7?x", "https://example.com/en/8", "http://x.net/de/1", "http://example.net/de/81", "ftp://a.org/es/", "http://a.org/fr/", "no scheme", None, "http://notexample.com/en/7", "http://com"]
