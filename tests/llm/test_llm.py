@@ -414,6 +414,14 @@ def test_licenses_wrapped_and_without_usual_words():
             assert [x[0] for x in scanner.scan("code here\n" + text + "\nmore code")] == [name]
 
 
+def test_licenses_of_one_line():
+    scanner = L.Scanner()
+    text = "Licensed under the Apache License, Version 2.0. Released under the MIT License. Licensed under CC BY-SA 4.0. All rights reserved."
+    got = list(scanner.scan(text))
+    assert [x[0] for x in got] == ["Apache-2.0", "MIT", "CC-BY-SA-4.0", "All-Rights-Reserved"]
+    assert all(x[2] <= y[1] for x, y in itertools.pairwise(got))
+
+
 def test_digests_are_hex(spark):
     from strandline.llm.catalog import queries
 
