@@ -198,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
         for b in batches:
             found = [match(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3][:50] for x in found], pa.list_(pa.string()))],
+                [b.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([x[3] for x in found], pa.list_(pa.string()))],
                 names=["toxic", "weight", "hits", "words", "forms"],
             )
 

@@ -99,6 +99,17 @@ def test_learns_held_out(spark):
     assert T.learn(d.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).lexicon == T.DEFAULT_LEXICON
 
 
+def test_forms_of_long_toxic_texts_all_count(spark):
+    rng = random.Random(13)
+    forms = ["zorg" + a + b for a in "abcdefghijklmnopqrstuvwxy" for b in "abc"]
+    rows = [(i, prose(rng, 40) + " " + " ".join(rng.sample(forms, 2))) for i in range(60)] + [(100 + i, prose(rng, 40) + " " + " ".join([*forms, "zorgzzz"])) for i in range(6)]
+    labels = [(i, 1) for i, _ in rows] + [(1000 + i, 0) for i in range(500)]
+    rows += [(1000 + i, prose(rng, 40) + (" zorgzzz" if i < 12 else "")) for i in range(500)]
+    model = T.learn(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "zorg" in model.lexicon and "zorgzzz" not in model.exceptions
+    assert T.matcher(model)("a zorgzzz here")[1] == 1
+
+
 # decontamination
 def test_leaks(spark):
     rng = random.Random(2)
