@@ -1,26 +1,30 @@
 """Mixing sources to target weights by a splitting tree (native DataFrame operators only).
 
-Every document gets a permutation key from a digest of its id and text.  The key's
-leading digits put a source's documents into ``B`` blocks in random order, ``B``
-from the source's number of documents, so a block holds about ``block_rows`` of
-them however large the source is and no step brings a source together: sizes are
-summed by block, and only the one block in which a target ends is ordered row by row.
-
-A source's target is a whole number of passes over all its blocks and one last,
-partial pass that ends where its words come nearest.  The resulting quota of block
-draws is split among the output shards by a binary tree: at each node the left half's
-quotas are drawn from the multivariate hypergeometric distribution, source after
-source, each from the exact conditional distribution by inverting its cumulative
-weights around the mode.  The draws that a shard gets of a source are a run of
-that source's permuted blocks, so shards are disjoint within a pass, and the
-position within a shard is a digest of key and pass.
-
-Only a table with a row for each source (and an array with an entry for each shard)
-is joined to the documents; Spark sends it to the tasks while it is under its own
-broadcast limit and otherwise joins by shuffle.
+Every document gets a permutation key from a digest of its id and text.  The order of
+the keys is the source's random permutation, and a document's place in it is the number
+of words before it: a prefix sum in three steps (the source's keys by their first
+``DIGITS`` hex digits, those by the next ones, the keys themselves), so no step brings a
+source together and equal keys are summed before anything is ordered.
+
+A source's target is a stretch of its permuted words, laid end to end in passes: a
+document is drawn in a pass if its middle lies before the target's end.  The stretch
+is cut into blocks of ``__block`` words, the same for all sources, and each shard gets
+``shard_blocks`` blocks, so shards are equal in words whatever the documents' lengths.
+
+The block quotas are split among the output shards by a binary tree: at each node the
+left half's quotas are drawn from the multivariate hypergeometric distribution, source
+after source, each from the exact conditional distribution by inverting its cumulative
+weights around the mode.  The draws that a shard gets of a source are a run of that
+source's permuted blocks, so shards are disjoint within a pass, and the position
+within a shard is a digest of key and pass.
+
+Bounds: a node of the tree is a row with one quota for each source, made for up to some
+thousands of sources.  Only a table with a row for each source (and an array with an
+entry for each shard) is joined to the documents; Spark sends it to the tasks while it
+is under its own broadcast limit and otherwise joins by shuffle.
 
 Defined results: null texts have size 0; null sources are one source, the last;
-documents of equal id and text are taken alike; a table without a word takes
+documents of equal id and text are taken alike; a source without a word takes
 nothing; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from strandline.llm.common import let, stored, word_count
 
 MOST = 3
-BLOCK_ROWS = 1024
+SHARD_BLOCKS = 256
+DIGITS = 3
 
 
 def permutation_key(doc_id: Column, text: Column) -> Column:
@@ -45,13 +50,13 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), permutation_key(F.col(id_col), F.col(text_col)).alias("__key"))
 
 
-def targets(rows: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = MOST, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``__source, __words, __docs, __blocks, __target``: weighted shares, no more than ``most`` times a source's words.
+def targets(rows: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int = MOST) -> DataFrame:
+    """``__source, __words, __target``: weighted shares, no more than ``most`` times a source's words.
 
     Sources in order of the ratio of limit to weight: those at their limit come
     first, and one level holds for all others.
     """
-    per = rows.groupBy("__source").agg(F.sum("__size").alias("__words"), F.count(F.lit(1)).alias("__docs"))
+    per = rows.groupBy("__source").agg(F.sum("__size").alias("__words"))
     order = Window.orderBy(F.col("__source").asc_nulls_last())
     cycle = F.array(*[F.lit(w) for w in weights])
     weighted = per.select("*", F.element_at(cycle, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long").alias("__w"))
@@ -66,16 +71,24 @@ def targets(rows: DataFrame, weights=(1, 2, 3), share: float = 1.0, most: int =
     level = (F.lit(share) * F.col("__all") - F.col("__before")) / F.col("__rest")
     limited = filled.select("*", (level * F.col("__w") >= F.col("__words") * most).alias("__full"), level.alias("__level"))
     common = F.max(F.when(~F.col("__full"), F.col("__level"))).over(total)
-    return limited.select(
-        "__source", "__words", "__docs",
-        F.greatest(F.lit(1), F.ceil(F.col("__docs") / block_rows)).cast("long").alias("__blocks"),
-        F.when(F.col("__full"), (F.col("__words") * most).cast("double")).otherwise(common * F.col("__w")).alias("__target"),
-    )
-
-
-def _block(key: Column, blocks: Column) -> Column:
-    """Block of a key: the leading 8 digits as a fraction of the blocks."""
-    return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * blocks, 32)
+    return limited.select("__source", "__words", F.when(F.col("__full"), (F.col("__words") * most).cast("double")).otherwise(common * F.col("__w")).alias("__target"))
+
+
+def offsets(rows: DataFrame) -> DataFrame:
+    """``__source, __key, __n, __first``: words of each key, and words of the source's smaller keys."""
+    keys = stored(rows.groupBy("__source", "__key").agg(F.sum("__size").alias("__n")), "mix-keys")
+    cut = lambda n: F.substring("__key", 1, n * DIGITS)
+    before = lambda w: F.sum("__n").over(w) - F.col("__n")
+    fine = keys.groupBy("__source", cut(2).alias("__b")).agg(F.sum("__n").alias("__n"))
+    fine = fine.select("*", F.substring("__b", 1, DIGITS).alias("__a"))
+    coarse = fine.groupBy(F.col("__source").alias("__s"), F.col("__a").alias("__sa")).agg(F.sum("__n").alias("__n"))
+    coarse = coarse.select("__s", "__sa", before(Window.partitionBy("__s").orderBy("__sa")).alias("__start"))
+    fine = fine.select("__source", "__a", "__b", before(Window.partitionBy("__source", "__a").orderBy("__b")).alias("__within"))
+    fine = fine.join(coarse, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__a") == F.col("__sa"))).select(F.col("__source").alias("__s"), F.col("__b").alias("__sb"), (F.col("__start") + F.col("__within")).alias("__start"))
+    keys = keys.select("*", cut(2).alias("__b"))
+    keys = keys.select("*", before(Window.partitionBy("__source", "__b").orderBy("__key")).alias("__within"))
+    placed = keys.join(fine, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__sb")))
+    return placed.select("__source", "__key", "__n", (F.col("__start") + F.col("__within")).alias("__first"))
 
 
 def _hypergeometric(u: Column, good: Column, bad: Column, draws: Column) -> Column:
@@ -131,9 +144,9 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     ``shards`` is a power of two.  A node is a row with an array of the sources'
     quotas; a level turns each row into two.
     """
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("__source"), F.lit("\U0010ffffnull")).alias("s"), F.col("__quota").alias("q")))).alias("all")).select(
-        F.lit(0).alias("at"), F.col("all.s").alias("names"), F.col("all.q").alias("q")
-    )
+    null = F.col("__source").isNull()
+    named = F.struct(null.alias("null"), F.col("__source").alias("s"), F.col("__quota").cast("long").alias("q"))
+    node = quotas.agg(F.array_sort(F.collect_list(named)).alias("all")).select(F.lit(0).alias("at"), F.transform("all", lambda x: F.struct(x["null"].alias("null"), x["s"].alias("s"))).alias("names"), F.col("all.q").alias("q"))
     level, width = 0, shards
     while width > 1:
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, b: a + b)
@@ -150,53 +163,30 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     each = node.select("at", F.explode(F.arrays_zip(F.col("names").alias("s"), F.col("q").alias("q"))).alias("x")).select("at", F.col("x.s").alias("s"), F.col("x.q").alias("q"))
     run = Window.partitionBy("s").orderBy("at")
     cut = each.select("s", "at", F.sum("q").over(run).alias("end")).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("at", "end"))).alias("c"))
-    return cut.select(F.when(F.col("s") != "\U0010ffffnull", F.col("s")).alias("__source"), F.col("c.end").alias("__cut"))
+    return cut.select(F.col("s.s").alias("__source"), F.col("c.end").alias("__cut"))
 
 
-def mix(docs: DataFrame, shards: int = 16, weights=(1, 2, 3), share: float = 1.0, most: int = MOST, block_rows: int = BLOCK_ROWS, seed: int = 7, **columns) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 16, weights=(1, 2, 3), share: float = 1.0, most: int = MOST, shard_blocks: int = SHARD_BLOCKS, seed: int = 7, **columns) -> DataFrame:
     """``doc_id, source, size, source_size, target, key, draws``.
 
     ``draws``: an array of (pass, shard, position), one for each time that the mix
     takes the whole document; ordering a shard's draws by position shuffles it.
     """
     rows = stored(sized(docs, **columns), "mix-sizes")
-    per = stored(targets(rows, weights, share, most, block_rows), "mix-targets")
-    same = lambda a, b: a["__source"].eqNullSafe(b["__source"])
-
-    # the last pass: how many words it is to take, in which block that ends, and after which key
-    whole = F.least(F.lit(most), F.when(F.col("__words") > 0, F.floor(F.col("__target") / F.col("__words"))).otherwise(0)).cast("long")
-    plan = per.select("*", whole.alias("__passes"), F.greatest(F.lit(0.0), F.col("__target") - whole * F.col("__words")).alias("__part"))
-    left, right = rows.alias("a"), plan.select("__source", "__blocks").alias("b")
-    blocked = left.join(right, F.col("a.__source").eqNullSafe(F.col("b.__source"))).select("a.*", _block(F.col("a.__key"), F.col("b.__blocks")).alias("__b"))
-    sums = blocked.groupBy("__source", "__b").agg(F.sum("__size").alias("__n"))
-    upto = Window.partitionBy("__source").orderBy("__b")
-    ends = sums.select("__source", "__b", (F.sum("__n").over(upto) - F.col("__n")).alias("__first"), F.sum("__n").over(upto).alias("__last"))
-    p = plan.select("__source", "__part").alias("p")
-    crossing = ends.alias("e").join(p, F.col("e.__source").eqNullSafe(F.col("p.__source"))).where((F.col("__first") <= F.col("__part")) & (F.col("__part") < F.col("__last"))).groupBy("e.__source").agg(F.min(F.struct("__b", "__first", "__part")).alias("x"))
-    edge = crossing.select(F.col("__source").alias("__s"), "x.*")
-    near = blocked.alias("d").join(edge.alias("x"), F.col("d.__source").eqNullSafe(F.col("x.__s")) & (F.col("d.__b") == F.col("x.__b"))).select("d.__source", "d.__key", "d.__size", "x.__first", "x.__part")
-    grouped = near.groupBy("__source", "__key", "__first", "__part").agg(F.sum("__size").alias("__n"))
-    within = Window.partitionBy("__source").orderBy("__key")
-    running = grouped.select("__source", "__key", "__part", "__n", (F.col("__first") + F.sum("__n").over(within)).alias("__sum"))
-    # a key belongs to the pass while half of it lies before the end, so the words come nearest
-    last = running.where(2 * F.col("__sum") - F.col("__n") <= 2 * F.col("__part")).groupBy("__source").agg(F.max("__key").alias("__upto"))
-
-    e = edge.select(F.col("__s").alias("__es"), F.col("__b").alias("__edge"))
-    done = plan.alias("p").join(e, F.col("p.__source").eqNullSafe(F.col("__es")), "left").select("p.*", "__edge").alias("p")
-    done = done.join(last.select(F.col("__source").alias("__ls"), "__upto"), F.col("p.__source").eqNullSafe(F.col("__ls")), "left").select("p.*", "__upto")
-    quota = (F.col("__passes") * F.col("__blocks") + F.when(F.col("__edge").isNotNull(), F.col("__edge") + 1).otherwise(0)).alias("__quota")
-    done = stored(done.select("__source", "__words", "__target", "__blocks", "__passes", "__edge", "__upto", quota), "mix-plan")
-    cuts = split_tree(done.select("__source", "__quota"), shards, seed).select(F.col("__source").alias("__cs"), "__cut")
-    table = stored(done.alias("p").join(cuts, F.col("p.__source").eqNullSafe(F.col("__cs")), "left").select("p.*", "__cut"), "mix-table")
-
-    d = rows.alias("d").join(table.alias("t"), F.col("d.__source").eqNullSafe(F.col("t.__source"))).select("d.*", *[F.col(f"t.{c}") for c in table.columns if c != "__source"])
-    b = _block(F.col("__key"), F.col("__blocks"))
-    extra = F.col("__edge").isNotNull() & ((b < F.col("__edge")) | ((b == F.col("__edge")) & (F.col("__key") <= F.coalesce(F.col("__upto"), F.lit("")))))
-    passes = F.col("__passes") + F.when(extra, 1).otherwise(0)
+    per = targets(rows, weights, share, most)
+    block = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("__target").over(Window.partitionBy()) / (shards * shard_blocks)))
+    plan = stored(per.select("*", block.alias("__block")).select("*", F.ceil(F.col("__target") / F.col("__block")).alias("__quota")), "mix-plan")
+    cuts = split_tree(plan.select("__source", "__quota"), shards, seed).select(F.col("__source").alias("__cs"), "__cut")
+    table = stored(plan.join(cuts, F.col("__source").eqNullSafe(F.col("__cs"))).drop("__cs"), "mix-table").select(F.col("__source").alias("__ts"), "__words", "__target", "__block", "__cut")
+
+    keyed = offsets(rows).join(table, F.col("__source").eqNullSafe(F.col("__ts")))
+    start = lambda k: k * F.col("__words") + F.col("__first")
     draw = lambda k: F.struct(
         k.cast("int").alias("pass"),
-        F.size(F.filter("__cut", lambda c: c <= k * F.col("__blocks") + b)).alias("shard"),
+        F.size(F.filter("__cut", lambda c: c * F.col("__block") <= start(k))).alias("shard"),
         F.md5(F.concat_ws("/", F.lit(str(seed)), k.cast("string"), "__key").cast("binary")).alias("position"),
     )
-    draws = F.when(passes > 0, F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), draw)).otherwise(F.array().cast("array<struct<pass:int,shard:int,position:string>>"))
-    return d.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__words").alias("source_size"), F.col("__target").alias("target"), F.col("__key").alias("key"), draws.alias("draws"))
+    passes = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long")), lambda k: 2 * start(k) + F.col("__n") < 2 * F.col("__target"))
+    drawn = stored(keyed.select(F.col("__source").alias("__ks"), F.col("__key").alias("__kk"), F.col("__words"), F.col("__target"), F.transform(passes, draw).alias("__draws")), "mix-draws")
+    d = rows.join(drawn, F.col("__source").eqNullSafe(F.col("__ks")) & (F.col("__key") == F.col("__kk")))
+    return d.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__words").alias("source_size"), F.col("__target").alias("target"), F.col("__key").alias("key"), F.col("__draws").alias("draws"))

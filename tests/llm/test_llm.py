@@ -268,26 +268,58 @@ def test_frequent_lines_deplete(spark):
 # mixing
 def test_mix(spark):
     rng = random.Random(7)
-    rows = [(i, prose(rng, rng.randrange(5, 60)), rng.choice(["a", "a", "a", "b", None])) for i in range(600)] + [(i, t, "b") for i, t in ODD if i != 5]
-    out = M.mix(docs(spark, rows), shards=4, block_rows=16).collect()
-    again = M.mix(docs(spark, rows).repartition(7), shards=4, block_rows=16).collect()
+    rows = [(i, prose(rng, rng.randrange(5, 60)), rng.choice(["a", "a", "a", "b", None])) for i in range(600)] + [(i, t, "b") for i, t in ODD if i != 5] + [(9000, " ", "no words"), (9001, "x", "\U0010ffffnull")]
+    out = M.mix(docs(spark, rows), shards=4, shard_blocks=16).collect()
+    again = M.mix(docs(spark, rows).repartition(7), shards=4, shard_blocks=16).collect()
     key = lambda r: (str(r["doc_id"]), r["key"], [tuple(x) for x in r["draws"]])
     assert sorted(map(key, out)) == sorted(map(key, again)) and len(out) == len(rows)
     total = sum(r["size"] for r in out)
     by = {}
     for r in out:
-        assert len(r["draws"]) <= 3 and len({x["pass"] for x in r["draws"]}) == len(r["draws"]) and all(0 <= x["shard"] < 4 for x in r["draws"])
+        assert len(r["draws"]) <= 3 and [x["pass"] for x in r["draws"]] == list(range(len(r["draws"]))) and all(0 <= x["shard"] < 4 for x in r["draws"])
         s = by.setdefault(r["source"], [0, 0, r["target"], r["source_size"]])
         s[0] += r["size"] * len(r["draws"])
         s[1] += r["size"]
     assert abs(sum(s[2] for s in by.values()) - total) < 1e-6 * total
     for taken, size, target, stated in by.values():
-        assert size == stated and abs(taken - target) <= 60 and target <= 3 * size + 1e-9
-    shards = [sum(len(WORD.findall("")) + 1 for r in out for x in r["draws"] if x["shard"] == k) for k in range(4)]
-    assert max(shards) < 3 * max(1, min(shards))
+        assert size == stated and abs(taken - target) <= 30 and target <= 3 * size + 1e-9
+    assert not next(r for r in out if r["doc_id"] == 9000)["draws"] and len(next(r for r in out if r["doc_id"] == 9001)["draws"]) == 3
+    words = [sum(r["size"] for r in out for x in r["draws"] if x["shard"] == k) for k in range(4)]
+    assert sum(words) == sum(s[0] for s in by.values()) and max(words) - min(words) < 0.05 * sum(words)
     assert M.mix(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_offsets_match_plain(spark):
+    rng = random.Random(17)
+    rows = [(i, prose(rng, rng.randrange(0, 9)), rng.choice(["a", "b", None])) for i in range(400)]
+    rows += rows[:40]
+    sized = M.sized(docs(spark, rows))
+    want = {}
+    for r in sorted(sized.collect(), key=lambda r: r["__key"]):
+        want.setdefault(r["__source"], {}).setdefault(r["__key"], 0)
+        want[r["__source"]][r["__key"]] += r["__size"]
+    plain = {(s, k): (sum(list(of.values())[:i]), of[k]) for s, of in want.items() for i, k in enumerate(of)}
+    assert {(r["__source"], r["__key"]): (r["__first"], r["__n"]) for r in M.offsets(sized).collect()} == plain
+
+
+def test_shards_mix_every_source(spark):
+    rng = random.Random(18)
+    rows = [(i, prose(rng, 20), f"s{min(9, i % 30)}") for i in range(6000)]
+    d = [(r["source"], x["pass"], x["shard"], x["position"], r["key"]) for r in M.mix(docs(spark, rows), shards=8).select("source", "key", "draws").collect() for x in r["draws"]]
+    # a document is once in a pass, so shards are disjoint within it; the order within a shard is another one in each pass
+    assert len({(p, k) for _, p, _, _, k in d}) == len(d) and len({x[3] for x in d}) == len(d)
+    for name in {x[0] for x in d}:
+        n = [sum(x[0] == name and x[2] == k for x in d) for k in range(8)]
+        share = sum(n) / len(d)
+        # a shard holds 256 blocks; the spread of a source's blocks among them is hypergeometric
+        sd = (256 * share * (1 - share) * (7 / 8)) ** 0.5
+        assert max(abs(v - sum(n) / 8) for v in n) <= 4.5 * sd * len(d) / 2048 + 3
+    per = [sum(x[2] == k for x in d) for k in range(8)]
+    assert max(per) - min(per) <= 0.03 * len(d) / 8 + 12
+    first = [x[4] for x in sorted((x for x in d if x[2] == 0), key=lambda x: x[3])]
+    assert first != sorted(first)
+
+
 def test_split_tree_keeps_quotas(spark):
     q = [("a", 1000), ("b", 7), (None, 0), ("c", 333)]
     cuts = {r["__source"]: r["__cut"] for r in M.split_tree(spark.createDataFrame(q, "__source string, __quota long"), 8).collect()}
