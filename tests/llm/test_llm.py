@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import random
 import re
 
@@ -54,12 +55,52 @@ def test_layouts_become_turns(spark):
     }
 
 
+def test_every_message_selects_its_mapping(spark):
+    records = [
+        (1, '{"messages":[{"role":"user"},{"role":"assistant","content":"yo"}]}'), (2, '{"messages":[{"role":"user","content":"hi"},{"from":"gpt","value":"kept"}]}'), (3, '{"data":{"messages":[{"speaker":"human","text":"deep"}],"id":1}}'),
+        (4, '{"messages":[{"role":"user","content":"hi"},{"sender":"x","body":"lost?"}]}'), (5, '{"messages":[{"role":"user","content":"a","value":"b"}]}'), (6, '{"messages":[],"prompt":"p"}'), (7, '{"messages":"text"}'), (8, '{"messages":["bare"]}'),
+        (9, '{"messages":[{"role":"user","content":[{"type":"text","text":"part"}],"weight":1}]}'), (10, "[1]"), (11, '{"conversations":[]}'), (12, '{"instruction":"i","context":"c","response":"r","id":3}'),
+    ]
+    table = spark.createDataFrame(records, "id long, rec string")
+    out = C.canonical_turns(table, "id", "rec").orderBy("__conv", "__turn").collect()
+    got = {k: [(r["__role"], r["__text"]) for r in g] for k, g in itertools.groupby(out, lambda r: r["__conv"])}
+    assert got == {1: [("user", ""), ("assistant", "yo")], 2: [("user", "hi"), ("assistant", "kept")], 3: [("user", "deep")], 9: [("user", '[{"type":"text","text":"part"}]')], 12: [("user", "i\n\nc"), ("assistant", "r")]}
+    why = {r["__conv"]: r["__reason"] for r in C.refused_records(table, "id", "rec").collect()}
+    assert why == {4: "no mapping for message 2", 5: "no mapping for message 1", 6: "no layout has the fields: messages, prompt", 7: "no list of messages", 8: "no mapping for message 1", 10: "no JSON object"}
+
+
+def test_record_fingerprints_match_plain(spark):
+    rng = random.Random(21)
+    known = C._vocabulary(C.LAYOUTS)
+    records = [{k: "x" for k in rng.sample([p for p in known if "." not in p] + ["id", "extra"], rng.randrange(5))} for _ in range(300)]
+    want = [next((x.name for x in C.LAYOUTS if set(x.paths) <= (p := set(r) & set(known)) <= {*x.paths, *x.optional}), None) for r in records]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, rec string")
+    got = {r["id"]: r["l"] for r in df.select("id", C.layout_of(F.col("rec")).alias("l")).collect()}
+    assert [got[i] for i in range(300)] == want and len(set(want)) > 5
+    assert df.limit(1).select(C.fingerprint(F.array(F.lit("b"), F.lit("a"))).alias("f")).first()["f"] == C._digest(["a", "b"])
+
+
+def test_schema_fingerprints_select_columns(spark):
+    rows = spark.createDataFrame([(7, 0, "user", "hi", "other")], "conv_id long, turn int, role string, text string, content string")
+    assert [(r["__conv"], r["__text"]) for r in C.canonical_rows(rows).collect()] == [(7, "hi")]
+    other = spark.createDataFrame([(7, 0, "user", "there")], "conversation_id long, turn int, role string, content string")
+    assert C.canonical_rows(other).first()["__text"] == "there"
+    with pytest.raises(ValueError):
+        C.canonical_rows(rows.drop("role"))
+    nested = spark.createDataFrame([(1, [("human", "hi"), ("gpt", None)], "z"), (2, None, "z"), (3, [], "z")], "id long, conversations array<struct<`from`:string,value:string>>, extra string")
+    assert [(r["__conv"], r["__role"], r["__text"]) for r in C.canonical_nested(nested, "id").orderBy("__turn").collect()] == [(1, "user", "hi"), (1, "assistant", "")]
+    flat = spark.createDataFrame([(1, "p", "r", "s"), (2, None, "r", None)], "id long, prompt string, response string, system string")
+    assert [(r["__conv"], r["__role"], r["__text"]) for r in C.canonical_nested(flat, "id").orderBy("__conv", "__turn").collect()] == [(1, "system", "s"), (1, "user", "p"), (1, "assistant", "r"), (2, "user", ""), (2, "assistant", "r")]
+    with pytest.raises(ValueError):
+        C.canonical_nested(nested.withColumnRenamed("conversations", "unknown"), "id")
+
+
 def test_format_reads_back(spark):
     texts = ["</s>[INST] ok [/INST]", "\\<|turn|>\\\\<", "<|end|><<SYS>>", "", None, "\U0001f600\n<s>", "[\\INST]"]
     rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)] + [(2, 0, None, "x"), (None, 1, "assistant", "y"), (1, 0, "user", texts[0])]
     turns = C.canonical_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     done = C.format_turns(turns).select("*", C.read_back(F.col("formatted")).alias("back")).collect()
-    assert {r["conv_id"] for r in done} == {1, 2, None}
+    assert sorted(str(r["conv_id"]) for r in done) == ["1", "2", "None"]
     one = next(r for r in done if r["conv_id"] == 1)
     want = sorted([(i, r or "", t or "") for _, i, r, t in rows if _ == 1])
     assert [(b["role"], b["text"]) for b in one["back"]] == [x[1:] for x in want]
