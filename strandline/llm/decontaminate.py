@@ -1,37 +1,46 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of tokens in which numbers, units after numbers and names
-(capitalised words inside a sentence) are typed placeholders.  Windows of
-``WINDOW`` tokens are hashed and looked up among the windows of the benchmark items
-(a hash join whose small side is the benchmark).  For an item that a document hits,
-the hits that line up are gathered; the item is found if they cover at least
-``coverage`` of its tokens and its slots are consistent: where the item repeats a
-number, name or unit, the document must repeat what stands in its place.  A found
-item with other values in its slots is a re-parameterised one.
-
-The benchmark's windows go to every task in slices of at most ``slice_windows``
-(a bound on memory whatever the benchmark's size); a larger benchmark takes a pass
-for each slice.  Documents are read in Arrow batches, whole, and are never shuffled.
+(capitalised words inside a sentence) are typed placeholders.  Items with the same
+tokens, and the same slots that repeat one another, are one *template*, however many
+there are.  Windows of ``WINDOW`` tokens of the templates are a table of hashes, and so
+are those of the texts; they meet in a hash join.  For a template that a text hits, the
+hits that line up are gathered; it is found if they cover at least ``coverage`` of its
+tokens and its slots are consistent: where the item repeats a number, name or unit,
+the text must repeat what stands in its place (but for a fifth, or in a copy that has
+at most a fifth of its values changed).  The item named is the one with the
+text's values in its slots; without such a one it is the template's first, and the
+text a re-parameterised version of it.
+
+Windows without ``MIN_PLAIN`` plain words would meet everywhere.  So an item that the
+others do not cover, or that is no longer than a window, is also a template of its own
+exact words, and has longer windows with plain words enough: one from its start and
+one to its end, of the next lower size of a fixed ladder, so that few sizes occur.
+
+Only texts' windows that pass a filter enter the join: a bit map of ``FILTER_BITS`` bits
+(8 MB, whatever the benchmark's size) in which every window of the benchmark has set its bit.
+Texts are read whole in Arrow batches; equal texts are joined and judged once.  A text is
+named by a 64-bit hash.
 
 Defined results: null or empty texts hit nothing; null or token-free items match
-nothing; an item shorter than a window is one window; windows without enough plain
-words (``MIN_PLAIN``) are only used for such short items; items that usable windows do not
-cover also have windows of their exact words and, with enough plain words, one of the
-whole template, so that verbatim copies and whole ones with other values are found; repeated rows give repeated
+nothing; a null id stays null; ids must be integers; repeated rows give repeated
 results; empty tables give none; extra columns pass through ``drop_leaks`` and are
-ignored otherwise.
+ignored otherwise.  ``drop_leaks`` judges by the text alone, so rows with null or
+repeated ids are treated like any other.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import stored
+
 WINDOW = 5
 MIN_PLAIN = 3
+FILTER_BITS = 1 << 26
 #: Placeholders, and words that are numbers or units.
 NUMBER, NAME, UNIT = "\x01number", "\x01name", "\x01unit"
 NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
@@ -75,168 +84,241 @@ class _Hashes(dict):
         return h
 
 
-def _windows(kinds: list[str], size: int, memo: _Hashes, exact: bool = False):
-    """Hash and number of plain words of each window of ``size`` tokens (canonical or, with ``exact``, as they stand)."""
-    import numpy as np
+class Windows:
+    """Digests of the windows of a token sequence, of any size, from prefix sums."""
+
+    _UP = 0x9E3779B97F4A7C15
 
-    n = len(kinds) - size + 1
-    if n < 1:
-        return np.array([], np.uint64), np.array([], np.int64)
-    h = np.fromiter(map(memo.__getitem__, kinds), np.uint64, len(kinds))
-    plain = np.concatenate([[0], np.cumsum(np.fromiter((k[0] != "\x01" for k in kinds), np.int64, len(kinds)))])
-    out = np.full(n, size + (1 << 32 if exact else 0), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(size):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
-        out ^= out >> np.uint64(29)
-    return out, plain[size:] - plain[:-size]
+    def __init__(self):
+        self.memo, self.up, self.down = _Hashes(), None, None
 
+    def _powers(self, n: int):
+        import numpy as np
 
-class Index:
-    """Windows of some benchmark items, sorted by hash."""
+        if self.up is None or len(self.up) < n + 1:
+            size = max(4096, 2 * n)
+            with np.errstate(over="ignore"):
+                self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (self._UP, pow(self._UP, -1, 1 << 64)))
 
-    def __init__(self, items: list[tuple]):
+    def sums(self, tokens: list[str]):
         import numpy as np
 
-        memo = _Hashes()
-        self.items, hashes, owner, at, sizes = [], [], [], [], []
-        self.kinds_of_window = set()
+        self._powers(len(tokens))
+        h = np.fromiter(map(self.memo.__getitem__, tokens), np.uint64, len(tokens))
+        with np.errstate(over="ignore"):
+            return np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * self.up[: len(h)])])
 
-        def add(h, places, size, exact):
-            self.kinds_of_window.add((size, exact))
-            owner.append(np.full(len(places), len(self.items)))
-            at.append(places)
-            hashes.append(h[places])
-            sizes.append(np.full(len(places), size))
+    def digests(self, sums, size: int, exact: bool):
+        """One for each window of ``size`` tokens."""
+        import numpy as np
 
-        for item_id, text in items:
+        n = max(0, len(sums) - size)
+        with np.errstate(over="ignore"):
+            x = (sums[size : size + n] - sums[:n]) * self.down[:n] + np.uint64(2 * size + exact)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            return x ^ (x >> np.uint64(29))
+
+
+def ladder(n: int) -> int:
+    """The largest size of a window for ``n`` tokens: every size up to 6, then in steps of a half or a third."""
+    if n <= 6:
+        return n
+    size = 6
+    while (step := size * 4 // 3 if size & (size - 1) else size * 3 // 2) <= n:
+        size = step
+    return size
+
+
+def templates_of(kinds: list[str], values: list[str]):
+    """(exact, tokens, slots, windows) of an item's templates.
+
+    ``slots``: for each token -1, or the number of the slot; a slot that repeats an
+    earlier one has its number.  ``windows``: (start, size) pairs.
+    """
+    n = len(kinds)
+    plain = [0]
+    for k in kinds:
+        plain.append(plain[-1] + (k[0] != "\x01"))
+    enough = lambda a, size: plain[a + size] - plain[a] >= min(MIN_PLAIN, size)
+    size = min(WINDOW, n)
+    usable = [(a, size) for a in range(n - size + 1) if enough(a, size)]
+    # the first token's kind depends on what stands before it, so its window is not relied on
+    covered = {a + j for a, _ in usable if a for j in range(size)}
+    whole = n <= WINDOW or len(covered) < n - 1
+    if whole and n > WINDOW:
+        long = ladder(n - 1)
+        usable += [(a, long) for a in {1, n - long} if enough(a, long)]
+    numbers: dict = {}
+    slots = [numbers.setdefault((k, v), len(numbers)) if k[0] == "\x01" else -1 for k, v in zip(kinds, values, strict=True)]
+    if usable:
+        yield False, kinds, slots, usable
+    if whole:
+        long = ladder(n)
+        yield True, values, [-1] * n, [(a, long) for a in sorted({0, n - long})]
+
+
+ITEMS = "item_id long, template long, exact boolean, slots array<int>, own array<string>, key string, windows array<struct<h:long,at:int,size:int>>"
+
+
+def _items(batches):
+    """(item id, text) → a row for each template of an item."""
+    import pyarrow as pa
+    import xxhash
+
+    make = Windows()
+    for b in batches:
+        rows = []
+        for item_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             kinds, values = canonical(text)
-            if not kinds:
-                continue
-            n, size = len(kinds), min(WINDOW, len(kinds))
-            h, plain = _windows(kinds, size, memo)
-            usable = np.nonzero((plain >= MIN_PLAIN) | (n <= WINDOW))[0]
-            add(h, usable, size, False)
-            # the first token's kind depends on what stands before it, so its window is not relied on
-            if len({a + j for a in usable.tolist() if a for j in range(size)}) < n - 1:
-                h, _ = _windows(values, size, memo, True)
-                add(h, np.arange(len(h)), size, True)
-                if n > WINDOW and sum(k[0] != "\x01" for k in kinds) >= MIN_PLAIN:
-                    add(_windows(kinds, n, memo)[0], np.array([0]), n, False)
-            self.items.append((item_id, kinds, values))
-        self.hash = np.concatenate(hashes) if hashes else np.array([], np.uint64)
-        order = np.argsort(self.hash, kind="stable")
-        self.hash = self.hash[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.array([], int)
-        self.at = np.concatenate(at)[order] if at else np.array([], int)
-        self.size = np.concatenate(sizes)[order] if sizes else np.array([], int)
-
-    def find(self, text: str | None, memo: _Hashes, coverage: float, drift: int) -> list[tuple]:
-        """(item id, coverage, slots, changed slots) of the items found in a text."""
-        import numpy as np
+            for exact, tokens, slots, windows in templates_of(kinds, values) if kinds else ():
+                name = xxhash.xxh64_intdigest("\n".join([str(exact), *map(str, slots), *tokens]).encode("utf-8", "surrogatepass"))
+                sums = make.sums(tokens)
+                found = [{"h": int(make.digests(sums, size, exact)[a]) - (1 << 63), "at": a, "size": size} for a, size in windows]
+                own = [v if s >= 0 else None for s, v in zip(slots, values, strict=True)]
+                rows.append((item_id, name - (1 << 63), exact, slots, own, _key(own), found))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        kinds_ = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.string(), pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds_, strict=True)], names=["item_id", "template", "exact", "slots", "own", "key", "windows"])
+
+
+def _key(values) -> str:
+    """The values of the slots, in order, as one string."""
+    return "\x02".join(v for v in values if v is not None)
+
+
+def _hits(sizes: list[tuple], places: list[int], bits: list[int]):
+    """(document, text hash, text) → its windows that pass the filter; texts without any are left out."""
 
-        if not len(self.hash) or not text:
-            return []
-        kinds, values = canonical(text)
-        hits = defaultdict(list)
-        for size, exact in sorted(self.kinds_of_window):
-            h, _ = _windows(values if exact else kinds, size, memo, exact)
-            if not len(h):
-                continue
-            low = np.searchsorted(self.hash, h, "left")
-            there = np.nonzero((low < len(self.hash)) & (self.hash[np.minimum(low, len(self.hash) - 1)] == h))[0]
-            for p in there.tolist():
-                k = int(low[p])
-                while k < len(self.hash) and self.hash[k] == h[p]:
-                    if self.size[k] == size:
-                        hits[int(self.owner[k])].append((p - int(self.at[k]), int(self.at[k]), size))
-                    k += 1
-        return [x for item, found in hits.items() if (x := self._judge(item, found, values, coverage, drift))]
-
-    def _judge(self, item: int, found: list[tuple], values: list[str], coverage: float, drift: int):
-        """Hits of one item, as (shift, place in the item, size): the best run of shifts that differ by ``drift`` at most."""
-        item_id, kinds, own = self.items[item]
-        found.sort()
-        best = None
-        first = 0
-        while first < len(found):
-            last = first
-            while last + 1 < len(found) and found[last + 1][0] - found[first][0] <= drift:
-                last += 1
-            covered = {a + j for _, a, size in found[first : last + 1] for j in range(size)}
-            if best is None or len(covered) > len(best[0]):
-                best = (covered, found[first : last + 1])
-            shift = found[first][0]
-            while first < len(found) and found[first][0] == shift:
-                first += 1
-        share = len(best[0]) / len(kinds)
-        if share < coverage:
-            return None
-        slots, changed, seen = 0, 0, {}
-        clashes = 0
-        for shift, a, size in best[1]:
-            for j in range(a, a + size):
-                if kinds[j][0] == "\x01" and (key := (kinds[j], own[j])):
-                    there = values[j + shift]
-                    slots += 1
-                    changed += there != own[j]
-                    clashes += seen.setdefault(key, there) != there
-        if clashes * 5 > slots:
-            return None
-        return item_id, share, slots, changed
-
-
-def _slices(benchmark: DataFrame, slice_windows: int, id_col: str, text_col: str):
-    """Lists of (item id, text) with at most about ``slice_windows`` words each."""
-    part, n = [], 0
-    for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col(text_col).isNotNull()).toLocalIterator():
-        part.append((r["i"], r["t"]))
-        n += len(r["t"]) // 4 + 1
-        if n >= slice_windows:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, drift: int = 12, slice_windows: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, coverage, slots, changed_slots``: a row for each item found in a document."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for part in [*_slices(benchmark, slice_windows, item_col, item_text_col)] or [[]]:
-        found = texts.mapInArrow(_finder(part, coverage, drift), "doc_id long, item_id long, coverage double, slots long, changed_slots long")
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _finder(items, coverage, drift):
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        index, memo = Index(items), _Hashes()
+        filter_ = np.zeros(FILTER_BITS // 64, np.uint64)
+        filter_[np.array(places, np.int64)] = np.array(bits, np.int64).view(np.uint64)
+        make = Windows()
+        kinds_ = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32()), ("v", pa.list_(pa.string()))]))
         for b in batches:
-            rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in index.find(t, memo, coverage, drift)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "coverage", "slots", "changed_slots"])
+            docs, names, found = [], [], []
+            for doc, name, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                kinds, values = canonical(text)
+                out = []
+                sums = {e: make.sums(values if e else kinds) for e in {e for _, e in sizes}} if kinds else {}
+                for size, exact in sizes if kinds else ():
+                    h = make.digests(sums[exact], size, exact)
+                    at = h & np.uint64(FILTER_BITS - 1)
+                    there = np.nonzero(filter_[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))[0]
+                    for p in there.tolist():
+                        v = [] if exact else [values[j] for j in range(p, p + size) if kinds[j][0] == "\x01"]
+                        out.append({"h": int(h[p]) - (1 << 63), "p": p, "v": v})
+                if out:
+                    docs.append(doc)
+                    names.append(name)
+                    found.append(out)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.int64()), pa.array(found, kinds_)], names=["doc_id", "t", "hits"])
 
     return run
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, drift: int = 12, slice_windows: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows in which an item is found; all columns stay."""
-    at = docs.columns.index(text_col)
+def judge(hits: list[tuple], slots: list[int], own: list, coverage: float, drift: int):
+    """(coverage, slots, changed slots, values) if a text has the template, else None.
+
+    ``hits``: (shift, start in the template, size, values in the slots); the best
+    run of shifts that differ by ``drift`` at most counts.
+    """
+    hits = sorted(hits, key=lambda x: x[:3])
+    best, first = None, 0
+    while first < len(hits):
+        last = first
+        while last + 1 < len(hits) and hits[last + 1][0] - hits[first][0] <= drift:
+            last += 1
+        covered = {a + j for _, a, size, _ in hits[first : last + 1] for j in range(size)}
+        if best is None or len(covered) > len(best[0]):
+            best = (covered, hits[first : last + 1])
+        shift = hits[first][0]
+        while first < len(hits) and hits[first][0] == shift:
+            first += 1
+    share = len(best[0]) / len(slots)
+    if share < coverage:
+        return None
+    values, seen = {}, {}
+    for shift, a, size, there in best[1]:
+        values |= dict(zip([(j, shift) for j in range(a, a + size) if slots[j] >= 0], there, strict=True))
+    clashes = sum(seen.setdefault(slots[j], v) != v for (j, _), v in sorted(values.items()))
+    changed = sum(v != own[j] for (j, _), v in values.items())
+    # of the slots that repeat one another a fifth may clash, or of all a fifth be changed
+    if clashes * 5 > len(values) - len(seen) and changed * 5 > len(values):
+        return None
+    line = {j: v for (j, _), v in sorted(values.items(), reverse=True)}
+    return share, len(values), changed, [line.get(j) for j in range(len(slots))]
+
+
+def _judged(coverage: float, drift: int):
+    def run(batches):
+        import pyarrow as pa
 
-    def keep(items):
-        def run(batches):
-            import pyarrow as pa
+        for b in batches:
+            rows = []
+            for t, template, hits, slots, own in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                found = judge([(h["shift"], h["at"], h["size"], h["v"]) for h in hits], slots, own, coverage, drift)
+                if found:
+                    share, n, changed, values = found
+                    whole = all(v is not None for v, s in zip(values, slots, strict=True) if s >= 0)
+                    rows.append((t, template, share, n, changed, _key(values) if whole else None))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["t", "template", "coverage", "slots", "changed", "key"])
 
-            index, memo = Index(items), _Hashes()
-            for b in batches:
-                yield b.filter(pa.array([not index.find(t, memo, coverage, drift) for t in b.column(at).to_pylist()], pa.bool_()))
+    return run
 
-        return run
 
-    for part in _slices(benchmark, slice_windows, item_col, item_text_col):
-        docs = docs.mapInArrow(keep(part), docs.schema)
-    return docs
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, coverage: float, drift: int, id_col: str, text_col: str, item_col: str, item_text_col: str):
+    """(documents with hits: ``doc_id, t``; ``t, item_id, coverage, slots, changed_slots, template_items``)."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
+    items = stored(items.mapInArrow(_items, ITEMS), "leak-items")
+    windows = items.select("template", "exact", F.explode("windows").alias("w")).select("template", "exact", "w.*").distinct()
+    windows = stored(windows, "leak-windows")
+    first = F.min(F.struct("item_id", "own")).alias("first")
+    templates = items.groupBy("template").agg(F.min("slots").alias("slots"), first, F.count(F.lit(1)).alias("template_items"))
+    templates = stored(templates.select("template", "slots", "first.own", "first.item_id", "template_items"), "leak-templates")
+
+    # hashes are kept with the sign bit flipped, which leaves the low bits as they are
+    place = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = windows.select(F.shiftright(place, 6).alias("i"), F.expr(f"shiftleft(1L, cast(h & {63} as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()
+    sizes = sorted((r["size"], r["exact"]) for r in windows.select("size", "exact").distinct().collect())
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("t"), F.col(text_col).alias("text"))
+    hits = texts.mapInArrow(_hits(sizes, [r["i"] for r in bits], [r["b"] for r in bits]), "doc_id long, t long, hits array<struct<h:long,p:int,v:array<string>>>")
+    hits = stored(hits, "leak-hits")
+    distinct = stored(hits.groupBy("t").agg(F.first("hits").alias("hits")), "leak-texts")
+
+    each = distinct.select("t", F.explode("hits").alias("x")).select("t", "x.*")
+    met = each.join(windows, "h").groupBy("t", "template").agg(F.collect_list(F.struct((F.col("p") - F.col("at")).alias("shift"), "at", "size", "v")).alias("hits"))
+    judged = met.join(templates, "template").select("t", "template", "hits", "slots", "own").mapInArrow(_judged(coverage, drift), "t long, template long, coverage double, slots long, changed long, key string")
+    judged = stored(judged, "leak-judged")
+    same = items.groupBy("template", "key").agg(F.min("item_id").alias("same"))
+    named = judged.join(same, ["template", "key"], "left").join(templates.select("template", "item_id", "template_items"), "template")
+    found = named.groupBy("t", F.coalesce("same", "item_id").alias("item_id")).agg(
+        F.max("coverage").alias("coverage"), F.max("slots").alias("slots"), F.min(F.when(F.col("same").isNotNull(), 0).otherwise(F.col("changed"))).cast("long").alias("changed_slots"), F.max("template_items").alias("template_items")
+    )
+    return hits.select("doc_id", "t"), stored(found, "leak-found")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, drift: int = 12, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id, coverage, slots, changed_slots, template_items``: a row for each template found in a document.
+
+    ``template_items``: how many items of the benchmark the template stands for.
+    """
+    ids, found = _found(docs, benchmark, coverage, drift, id_col, text_col, item_col, item_text_col)
+    return ids.join(found, "t").select("doc_id", "item_id", "coverage", "slots", "changed_slots", "template_items")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, drift: int = 12, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in whose text an item is found; all columns stay."""
+    texts = docs.select(F.lit(None).cast("long").alias("__none"), F.col(text_col).alias("__text"))
+    _, found = _found(texts, benchmark, coverage, drift, "__none", "__text", item_col, item_text_col)
+    gone = stored(found.select(F.col("t").alias("__t")).distinct(), "leak-gone")
+    return docs.join(gone, _text_hash(text_col) == F.col("__t"), "left_anti")

@@ -164,8 +164,8 @@ def test_leaks(spark):
     got = {(r["doc_id"], r["item_id"]): r for r in B.find_leaks(d, bench).collect()}
     assert {(10, 2), (11, 1), (14, 2)} <= set(got) and (13, 2) not in got and (13, 1) not in got
     assert got[11, 1]["changed_slots"] > 0 and got[10, 2]["changed_slots"] == 0
-    few = B.find_leaks(d, bench, slice_windows=1).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in few} == set(got)
+    # the clash: two equal numbers of the item are two different ones there
+    assert 12 not in {d for d, _ in got}
     left = B.drop_leaks(d, bench)
     assert left.columns == d.columns and 10 not in {r["doc_id"] for r in left.collect()} and left.where("doc_id = 13").count() == 1
     assert B.find_leaks(d, bench.limit(0)).count() == 0 and B.find_leaks(d.limit(0), bench).count() == 0
@@ -182,10 +182,59 @@ def test_verbatim_items_of_numbers_and_names(spark, lead):
     rows += [(10, "x. In 2001 Anna Weber and Paul Meyer ran 7 km in 31 minutes; Tom Brandt ran 12 km in 52 minutes."), (11, "x 2 4 6 8 10 12 14 16 18 20 22 24 y"), (12, prose(rng, 300))]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in B.find_leaks(docs(spark, rows), bench).collect()}
-    assert set(got) == {(i, i) for i in range(len(items))} | {(10, 0)}
+    assert set(got) == {(i, i) for i in range(len(items))} | {(10, 0)}, got
     assert all(got[i, i]["coverage"] == 1 and got[i, i]["changed_slots"] == 0 for i in range(len(items))) and got[10, 0]["changed_slots"] > 0
 
 
+def test_one_template_stands_for_many_items(spark):
+    names = [a + b for a in ("An", "Ber", "Cor", "Do") for b in ("na", "ta", "sa", "lly", "ri")]
+    ask = lambda i, n: f"A shop where {n} works sells {i} red lamps and {i} blue lamps for {2 * i + 1} dollars each, so what does it earn?"
+    items = [(i, ask(i, names[i % 20])) for i in range(3000)]
+    d = docs(spark, [(1, "so " + ask(77, names[17]) + " yes"), (2, ask(5000, "Zoe")), (2, ask(5000, "Zoe")), (None, ask(9, names[9])), (3, ask(7, "Zoe").replace("7 blue", "8 blue"))])
+    got = B.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"], r["changed_slots"] > 0) for r in got) == [("1", 77, False), ("2", 0, True), ("2", 0, True), ("None", 9, False)]
+    assert all(r["template_items"] == 3000 for r in got)
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(22)
+    name = lambda: rng.choice(["Ann", "Bob", "Cleo", "Dan"])
+    word = lambda: rng.choice([f"w{rng.randrange(60)}", f"w{rng.randrange(60)}", str(rng.randrange(30)), name()])
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 5, 6, 9, 20, 40])))) for i in range(40)] + [(40, None), (41, "..."), (42, "12")]
+    rows = []
+    for i in range(120):
+        words = [word() for _ in range(rng.randrange(60))]
+        if i % 3:
+            copy = rng.choice(items[:40])[1].split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                copy[rng.randrange(len(copy))] = word()
+            words[rng.randrange(len(words) + 1) : 0] = copy
+        rows.append((i, " ".join(words)))
+    want = {}
+    for item, text in items:
+        kinds, values = B.canonical(text)
+        for exact, tokens, slots, windows in B.templates_of(kinds, values) if kinds else ():
+            for doc, there in rows:
+                k, v = B.canonical(there)
+                seq = v if exact else k
+                hits = [(p - a, a, n, [] if exact else [v[j] for j in range(p, p + n) if k[j][0] == "\x01"]) for a, n in windows for p in range(len(seq) - n + 1) if seq[p : p + n] == tokens[a : a + n]]
+                if hits and (found := B.judge(hits, slots, values, 0.8, 12)):
+                    want.setdefault(doc, {})[item] = (tuple(tokens), tuple(slots))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for r in B.find_leaks(docs(spark, rows), bench).collect():
+        got.setdefault(r["doc_id"], set()).add(r["item_id"])
+    assert set(got) == set(want) and all(got[d] <= set(want[d]) for d in got) and len(want) > 50
+    # each template is there once, whichever of its items names it
+    assert all({x for i in got[d] for x in [want[d][i]]} == set(want[d].values()) for d in got)
+    left = B.drop_leaks(docs(spark, rows), bench)
+    assert {r["doc_id"] for r in left.collect()} == {i for i, _ in rows} - set(want)
+
+
+def test_ladder_covers():
+    assert all(n / 2 <= B.ladder(n) <= n for n in range(1, 3000)) and len({B.ladder(n) for n in range(1, 3000)}) < 30
+
+
 # URL filter
 def test_rules_and_model(spark):
     urls = ["http://A.Example.com/en/7?x", "https://example.com/en/8", "http://x.net/de/1", "http://example.net/de/81", "ftp://a.org/es/", "http://a.org/fr/", "no scheme", None, "http://notexample.com/en/7", "http://com"]
