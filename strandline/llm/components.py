@@ -20,30 +20,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``u, v`` (of one type; direction and repeats do not matter) → ``node, root``.
 
     ``root`` is the component's smallest node; only nodes with a link to another one
-    occur.  Null ends are left out.
+    occur.  Null ends are left out; a chain too long for ``rounds`` is an error.
     """
     links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(edges["u"].isNotNull() & edges["v"].isNotNull() & (edges["u"] != edges["v"])).distinct()
     links = stored(links, "links")
     state = _state(links)
     for _ in range(rounds):
         if not state[0]:
-            break
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # large star: neighbours above a node move to the smallest one known to it
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
         # stored, so that the join has a plain scan on either side and Spark can split a hub
         least = stored(least, "least")
         large = both.join(least, both["u"] == least["n"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large, "large")
         # small star: a node and its lower neighbours move to the lowest of them
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        low = lowest.select(F.col("u").alias("n"), "m")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m"), "lowest")
         small = large.join(low, large["u"] == low["n"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stored(small.union(lowest.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct(), "links")
+        links = stored(small.union(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct(), "links")
         now = _state(links)
         if now == state:
-            break
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError(f"components are not done after {rounds} rounds")
 
 
 def _state(links: DataFrame) -> tuple:

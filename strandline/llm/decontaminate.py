@@ -36,7 +36,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored
+from strandline.llm.common import fresh, stored
 
 WINDOW = 5
 MIN_PLAIN = 3
@@ -320,5 +320,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, dri
     """``docs`` without the rows in whose text an item is found; all columns stay."""
     texts = docs.select(F.lit(None).cast("long").alias("__none"), F.col(text_col).alias("__text"))
     _, found = _found(texts, benchmark, coverage, drift, "__none", "__text", item_col, item_text_col)
-    gone = stored(found.select(F.col("t").alias("__t")).distinct(), "leak-gone")
-    return docs.join(gone, _text_hash(text_col) == F.col("__t"), "left_anti")
+    (t,) = fresh(docs, "__t")
+    gone = stored(found.select(F.col("t").alias(t)).distinct(), "leak-gone")
+    return docs.join(gone, _text_hash(text_col) == gone[t], "left_anti")

@@ -166,13 +166,7 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     return cut.select(F.col("s.s").alias("__source"), F.col("c.end").alias("__cut"))
 
 
-def mix(docs: DataFrame, shards: int = 16, weights=(1, 2, 3), share: float = 1.0, most: int = MOST, shard_blocks: int = SHARD_BLOCKS, seed: int = 7, **columns) -> DataFrame:
-    """``doc_id, source, size, source_size, target, key, draws``.
-
-    ``draws``: an array of (pass, shard, position), one for each time that the mix
-    takes the whole document; ordering a shard's draws by position shuffles it.
-    """
-    rows = stored(sized(docs, **columns), "mix-sizes")
+def _placed(rows: DataFrame, shards: int, weights, share: float, most: int, shard_blocks: int, seed: int) -> DataFrame:
     per = targets(rows, weights, share, most)
     block = F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("__target").over(Window.partitionBy()) / (shards * shard_blocks)))
     plan = stored(per.select("*", block.alias("__block")).select("*", F.ceil(F.col("__target") / F.col("__block")).alias("__quota")), "mix-plan")
@@ -187,6 +181,21 @@ def mix(docs: DataFrame, shards: int = 16, weights=(1, 2, 3), share: float = 1.0
         F.md5(F.concat_ws("/", F.lit(str(seed)), k.cast("string"), "__key").cast("binary")).alias("position"),
     )
     passes = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long")), lambda k: 2 * start(k) + F.col("__n") < 2 * F.col("__target"))
-    drawn = stored(keyed.select(F.col("__source").alias("__ks"), F.col("__key").alias("__kk"), F.col("__words"), F.col("__target"), F.transform(passes, draw).alias("__draws")), "mix-draws")
+    return stored(keyed.select(F.col("__source").alias("__ks"), F.col("__key").alias("__kk"), "__words", "__target", F.transform(passes, draw).alias("__draws")), "mix-draws")
+
+
+def draws(docs: DataFrame, shards: int = 16, weights=(1, 2, 3), share: float = 1.0, most: int = MOST, shard_blocks: int = SHARD_BLOCKS, seed: int = 7, **columns) -> DataFrame:
+    """``__ks, __kk, __words, __target, __draws``: source, key, the source's words and target, and the draws of the key's documents."""
+    return _placed(stored(sized(docs, **columns), "mix-sizes"), shards, weights, share, most, shard_blocks, seed)
+
+
+def mix(docs: DataFrame, shards: int = 16, weights=(1, 2, 3), share: float = 1.0, most: int = MOST, shard_blocks: int = SHARD_BLOCKS, seed: int = 7, **columns) -> DataFrame:
+    """``doc_id, source, size, source_size, target, key, draws``.
+
+    ``draws``: an array of (pass, shard, position), one for each time that the mix
+    takes the whole document; ordering a shard's draws by position shuffles it.
+    """
+    rows = stored(sized(docs, **columns), "mix-sizes")
+    drawn = _placed(rows, shards, weights, share, most, shard_blocks, seed)
     d = rows.join(drawn, F.col("__source").eqNullSafe(F.col("__ks")) & (F.col("__key") == F.col("__kk")))
     return d.select(F.col("__id").alias("doc_id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__words").alias("source_size"), F.col("__target").alias("target"), F.col("__key").alias("key"), F.col("__draws").alias("draws"))

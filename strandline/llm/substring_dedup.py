@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored
+from strandline.llm.common import fresh, stored
 from strandline.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -376,8 +376,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     With ``drop_emptied``, rows that lose all their words go.
     """
-    spans = stored(find_repeats(docs, id_col, text_col), "dedup-spans")
-    lost = spans.groupBy(F.col("doc_id").alias("__i"), F.col("t").alias("__t")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
-    on = (F.col(id_col) == F.col("__i")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__t"))
-    joined = docs.join(lost, on, "left").select(*docs.columns, "__spans")
+    i, t, lost = fresh(docs, "__i", "__t", "__spans")
+    spans = stored(find_repeats(docs.select(id_col, text_col), id_col, text_col), "dedup-spans")
+    by_text = spans.groupBy(F.col("doc_id").alias(i), F.col("t").alias(t)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(lost))
+    by_text = stored(by_text, "dedup-lost")
+    on = (docs[id_col] == by_text[i]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == by_text[t])
+    joined = docs.join(by_text, on, "left").select(*[docs[f"`{c}`"] for c in docs.columns], lost)
     return joined.mapInArrow(_without(docs.columns.index(text_col), drop_emptied), docs.schema)
