@@ -39,9 +39,18 @@ def utf16_len(x: Column) -> Column:
     return (F.length(x) + F.length(F.regexp_replace(x, "[^\\x{10000}-\\x{10FFFF}]", ""))).cast("long")
 
 
+#: Code points outside the basic plane, and a noncharacter that stands for the second unit of one.
+WIDE, SECOND = "[\\x{10000}-\\x{10FFFF}]", "\uffff"
+
+
 def prefix(x: Column, n) -> Column:
-    """First ``n`` code points; never splits a surrogate pair."""
-    return F.left(x, F.lit(n) if isinstance(n, int) else n)
+    """The longest prefix of at most ``n`` UTF-16 units that splits no surrogate pair.
+
+    Texts with code points outside the basic plane must not hold U+FFFF.
+    """
+    n = F.lit(n) if isinstance(n, int) else n
+    units = F.left(F.regexp_replace(x, f"({WIDE})", f"$1{SECOND}"), n)
+    return F.when(F.rlike(F.left(x, n), F.lit(WIDE)), F.replace(F.regexp_replace(units, f"{WIDE}$", ""), F.lit(SECOND), F.lit(""))).otherwise(F.left(x, n))
 
 
 def bounded(x: Column, n: int) -> Column:
@@ -74,8 +83,8 @@ def normalize_header(x: Column) -> Column:
 
 
 def sanitize_answer(x: Column) -> Column:
-    """Without ``[E1, E2]`` groups, spaces before punctuation and at line ends; stripped."""
-    x = F.regexp_replace(x, r"\[\s*E[1-9][0-9]*(?:\s*[,，]\s*E[1-9][0-9]*)*\s*\]", "")
+    """Without ``[E1, E2]`` groups (in any case), spaces before punctuation and at line ends; stripped."""
+    x = F.regexp_replace(x, r"(?i)\[\s*E[1-9][0-9]*(?:\s*[,，]\s*E[1-9][0-9]*)*\s*\]", "")
     x = F.regexp_replace(x, r"[ \t]+([,.;:!?，。；：！？])", "$1")
     return strip(F.regexp_replace(x, r"(?m)[ \t]+$", ""))
 
@@ -96,20 +105,49 @@ def numbers(x: Column) -> Column:
 
 
 def title_key(x: Column) -> Column:
-    """Lower case, numbers as ``#``, letters and digits only."""
-    return F.regexp_replace(F.regexp_replace(F.lower(x), r"\d+", "#"), r"[^\p{L}\p{N}#]", "")
+    """Narrow forms in lower case, numbers with their decimal parts as ``#``, letters and digits only."""
+    return F.regexp_replace(F.regexp_replace(F.lower(narrow(x)), r"\d+(?:\.\d+)*", "#"), r"[^\p{L}\p{N}#]", "")
+
+
+#: Compatibility forms that titles use, and what they stand for.
+ROMAN_NUMERALS = dict(zip("ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ", "I II III IV V VI VII VIII IX X XI XII".split(), strict=True))
+
+
+def narrow(x: Column) -> Column:
+    """Full-width ASCII, the ideographic space and roman numeral characters in their plain forms.
+
+    These are the compatibility forms of titles; ``nfkc_fold`` knows all, in Python.
+    """
+    full = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\u00a0"
+    plain = "".join(chr(c) for c in range(0x21, 0x7F)) + "  "
+    out = F.translate(x, full, plain)
+    for sign, letters in ROMAN_NUMERALS.items():
+        out = F.replace(out, F.lit(sign), F.lit(letters))
+    return out
+
+
+#: Titles whose numbering makes them a heading of level 1, and the number whose depth is the level.
+NUMBERED_TITLE = r"^(\d+(?:\.\d+){0,5})[.、)）:](?:\s*\S.*)?$"
+TOP_TITLES = (
+    r"(?i)^[IVXLCDM]+[.、)）:](?:\s*\S.*)?$",
+    r"^[一二三四五六七八九十百]+[、.．]\s*\S+",
+    r"(?i)^(chapter|part|section|unit|appendix)\s*(\d+|[ivxlcdm]+|[a-z])\s*[:：.、\-—]\s*\S+",
+    r"(?i)^semester\s*\d+\s*[:：]\s*quarter\s*\d+",
+)
 
 
 def heading_level(x: Column) -> Column:
-    """Level that a title's numbering tells: chapter words and roman numerals 1, ``1.2.`` its depth (6 at most), else null."""
-    number = F.regexp_extract(x, r"^\s*(\d+(?:\.\d+)*)\.?\s+\S", 1)
-    return (
-        F.when(F.rlike(x, F.lit(r"(?i)^\s*(chapter|part|appendix)\s+[0-9ivxlc]+\b")), F.lit(1))
-        .when(F.rlike(x, F.lit(r"^\s*[一二三四五六七八九十]+、")), F.lit(1))
-        .when(F.rlike(x, F.lit(r"^\s*[IVXLC]+\.\s+\S")), F.lit(1))
-        .when(F.length(number) > 0, F.least(F.lit(6), F.size(F.split(number, r"\."))))
-        .cast("long")
-    )
+    """Level that a title's numbering tells, else null.
+
+    A number counts only with a delimiter after it: ``1. Title`` has level 1, in
+    ``1.2 Title`` the point delimits the 1, and ``1 Title`` has none.
+    """
+    title = strip(narrow(x))
+    number = F.regexp_extract(title, NUMBERED_TITLE, 1)
+    top = F.lit(False)
+    for pattern in TOP_TITLES:
+        top = top | F.rlike(title, F.lit(pattern))
+    return F.when(F.length(number) > 0, F.least(F.lit(6), F.size(F.split(number, r"\.")))).when(top, F.lit(1)).cast("long")
 
 
 def mostly_upper(x: Column) -> Column:
@@ -153,11 +191,23 @@ def embedding_text(document: Column, section: Column, summary: Column, topics: C
     return F.concat_ws("\n", part("Document", document), part("Section", section), part("Summary", summary), part("Topics", joined(topics)), part("Aliases", joined(aliases)), part("Questions", joined(questions)))
 
 
-def highlight_segments(x: Column, mark: str = "\ue000", unmark: str = "\ue001") -> Column:
-    """Marked text → array of (text, matched); null if marks are unbalanced."""
-    balanced = F.length(F.regexp_replace(x, f"[^{mark}]", "")) == F.length(F.regexp_replace(x, f"[^{unmark}]", ""))
-    parts = F.transform(F.split(x, f"[{mark}{unmark}]"), lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("matched")))
-    return F.when(balanced, F.filter(parts, lambda p: F.length(p["text"]) > 0))
+def highlight_segments(x: Column, mark: str = "\ue000", unmark: str = "\ue001", strict: bool = True) -> Column:
+    """Marked text → array of (text, matched), without empty ones.
+
+    Outside a match only ``mark`` counts, inside one only ``unmark``.  A match without
+    an end is an error, or null unless ``strict``.
+    """
+    tokens = F.regexp_extract_all(x, F.lit(f"[^{mark}]+|{mark}[^{unmark}]*{unmark}"), 0)
+    closed = F.length(F.array_join(tokens, "")) == F.length(x)
+    inside = lambda t: F.startswith(t, F.lit(mark))
+    parts = F.transform(tokens, lambda t: F.struct(F.when(inside(t), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t).alias("text"), inside(t).alias("matched")))
+    found = F.when(closed, F.filter(parts, lambda p: F.length(p["text"]) > 0))
+    return found.when(closed.isNotNull(), F.raise_error(F.lit("a match has no end")).cast("array<struct<text:string,matched:boolean>>")) if strict else found
+
+
+def highlight_fragments(xs: Column, **marks) -> Column:
+    """Marked fragments → their segments, each fragment once and in order; fragments without text are left out."""
+    return F.filter(F.transform(F.array_distinct(xs), lambda x: highlight_segments(x, **marks)), lambda f: F.size(f) > 0)
 
 
 def match_answer(answer: Column, gold: Column) -> Column:
@@ -173,6 +223,28 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+#: Words that the bigram analyzer leaves out.
+STOP_WORDS = "a and are as at be but by for if in into is it no not of on or s such t that the their then there these they this to was will with www".split()
+
+_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+#: Words of other scripts; between letters ``.``, ``'`` and ``’`` join, between digits ``.`` and ``,`` do.
+_PLAIN = r"(?:(?:[^\P{L}" + _CJK + r"]|[\p{M}_])+|\p{N}+|(?<=[\p{L}])[.'’](?=[^\P{L}" + _CJK + r"])|(?<=\p{N})[.,](?=\p{N}))+"
+
+
+def standard_tokens(x: Column) -> Column:
+    """Lower-case words; Han and Hiragana letters are words of their own."""
+    joined = r"[\p{IsHan}\p{IsHiragana}]|\p{IsKatakana}+|\p{IsHangul}+|" + _PLAIN
+    return F.regexp_extract_all(F.lower(x), F.lit(joined), 0)
+
+
+def bigram_tokens(x: Column) -> Column:
+    """Words without stop words; of each run of Han, kana or Hangul its overlapping pairs, or its one letter."""
+    runs = F.regexp_extract_all(F.lower(narrow(x)), F.lit(f"[{_CJK}]+|{_PLAIN}"), 0)
+    wide = lambda t: F.rlike(t, F.lit(f"^[{_CJK}]"))
+    pairs = lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2))))
+    return F.filter(F.flatten(F.transform(runs, lambda t: F.when(wide(t), pairs(t)).otherwise(F.array(t)))), lambda t: ~t.isin(*STOP_WORDS))
+
+
 def safe_split(limit: int):
     """Arrow function: text → pieces of at most ``limit`` UTF-16 units, at a sentence end in the last quarter if there is one."""
     @F.pandas_udf("array<string>")

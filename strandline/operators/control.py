@@ -164,22 +164,55 @@ def idempotency(events: DataFrame, running_ttl: int = 600, result_ttl: int = 300
     return folded.select("key", F.explode("out").alias("o")).select("key", "o.seq", "o.outcome")
 
 
-#: Error → (outcome, http status, category).
+#: Fixed values: (kind of error, reason) → (outcome, http status, category, code).
 FAILURES = [
-    ("timeout", "TIMEOUT", 504, "UPSTREAM"),
-    ("model", "FAILED", 502, "UPSTREAM"),
-    ("conflict", "REJECTED", 409, "CLIENT"),
-    ("forbidden", "REJECTED", 403, "CLIENT"),
-    ("invalid", "REJECTED", 400, "CLIENT"),
+    ("ACCESS", "APPLICATION_CREDENTIAL_INVALID", "REJECTED", 401, "AUTHENTICATION", "APPLICATION_CREDENTIAL_INVALID"),
+    ("ACCESS", "KNOWLEDGE_BASE_NOT_AVAILABLE", "REJECTED", 404, "AUTHORIZATION", "KNOWLEDGE_BASE_NOT_AVAILABLE"),
+    ("IDEMPOTENCY", "INVALID_REQUEST", "REJECTED", 400, "VALIDATION", "INVALID_QUERY_REQUEST"),
+    ("IDEMPOTENCY", "IDEMPOTENCY_CONFLICT", "REJECTED", 409, "IDEMPOTENCY", "IDEMPOTENCY_CONFLICT"),
+    ("IDEMPOTENCY", "CONTEXT_CHANGED", "REJECTED", 409, "IDEMPOTENCY", "IDEMPOTENCY_CONTEXT_CHANGED"),
+    ("IDEMPOTENCY", "UNAVAILABLE", "FAILED", 503, "IDEMPOTENCY", "QUERY_IDEMPOTENCY_UNAVAILABLE"),
+    ("IDEMPOTENCY", "OWNERSHIP_LOST", "FAILED", 503, "IDEMPOTENCY", "QUERY_IDEMPOTENCY_UNAVAILABLE"),
+    ("IDEMPOTENCY", "RESULT_TOO_LARGE", "FAILED", 503, "IDEMPOTENCY", "QUERY_IDEMPOTENCY_UNAVAILABLE"),
+    ("IDEMPOTENCY", "CORRUPTED_STATE", "FAILED", 503, "IDEMPOTENCY", "QUERY_IDEMPOTENCY_UNAVAILABLE"),
+    ("RETRIEVE", "INVALID_REQUEST", "REJECTED", 400, "VALIDATION", "INVALID_RETRIEVE_REQUEST"),
+    ("RETRIEVE", "REQUEST_IN_PROGRESS", "REJECTED", 409, "IDEMPOTENCY", "REQUEST_IN_PROGRESS"),
+    ("RETRIEVE", "QUERY_EMBEDDING_UNAVAILABLE", "FAILED", 503, "QUERY_EMBEDDING", "QUERY_EMBEDDING_UNAVAILABLE"),
+    ("RETRIEVE", "SEARCH_UNAVAILABLE", "FAILED", 503, "SEARCH", "SEARCH_UNAVAILABLE"),
+    ("RETRIEVE", "EVIDENCE_UNAVAILABLE", "FAILED", 503, "EVIDENCE", "EVIDENCE_UNAVAILABLE"),
+    ("ANSWER", "INVALID_REQUEST", "REJECTED", 400, "VALIDATION", "INVALID_ANSWER_REQUEST"),
+    ("ANSWER", "REQUEST_IN_PROGRESS", "REJECTED", 409, "IDEMPOTENCY", "REQUEST_IN_PROGRESS"),
+    ("ANSWER", "MODEL_REQUEST_INVALID", "FAILED", 503, "ANSWER_MODEL", "ANSWER_MODEL_REQUEST_INVALID"),
+    ("ANSWER", "MODEL_UNAVAILABLE", "FAILED", 503, "ANSWER_MODEL", "ANSWER_MODEL_UNAVAILABLE"),
+    ("ANSWER", "OUTPUT_INVALID", "FAILED", 503, "ANSWER_POLICY", "ANSWER_OUTPUT_INVALID"),
+    ("ANSWER", "EXECUTION_LIMIT_EXCEEDED", "FAILED", 503, "ANSWER_POLICY", "ANSWER_EXECUTION_LIMIT_EXCEEDED"),
+    ("ANSWER", "EXECUTION_TIMEOUT", "FAILED", 503, "TIMEOUT", "ANSWER_EXECUTION_TIMEOUT"),
 ]
+#: Http status of a business error, whose own code is the code.
+BUSINESS_STATUS = {"VALIDATION": 400, "NOT_FOUND": 404, "CONFLICT": 409, "FORBIDDEN": 403, "TOO_LARGE": 413, "UNSUPPORTED_MEDIA_TYPE": 415, "UNAVAILABLE": 503}
 
 
-def classify_failures(df: DataFrame, error: Column) -> DataFrame:
-    """First matching row of ``FAILURES``, else an internal error."""
-    out = F.struct(F.lit("FAILED").alias("outcome"), F.lit(500).alias("http_status"), F.lit("INTERNAL").alias("category"))
-    for word, outcome, http, category in reversed(FAILURES):
-        out = F.when(error == word, F.struct(F.lit(outcome).alias("outcome"), F.lit(http).alias("http_status"), F.lit(category).alias("category"))).otherwise(out)
-    return df.withColumn("__f", out).select(*df.columns, F.col("__f.outcome").alias("outcome"), F.col("__f.http_status").alias("http_status"), F.col("__f.category").alias("category"))
+def classify_failures(df: DataFrame, kind: str = "kind", reason: str = "reason", code: str = "code") -> DataFrame:
+    """``df`` with ``outcome, http_status, category, audit_code``; what no row of the tables knows is an internal error."""
+    of = lambda outcome, status, category, name: F.struct(outcome.alias("outcome"), status.alias("http_status"), category.alias("category"), name.alias("audit_code"))
+    known = F.create_map(*[v for k, r, o, h, c, n in FAILURES for v in (F.lit(f"{k}/{r}"), of(F.lit(o), F.lit(h), F.lit(c), F.lit(n)))])
+    status = F.try_element_at(F.create_map(*[F.lit(v) for pair in BUSINESS_STATUS.items() for v in pair]), F.col(reason))
+    low = status < 500
+    business = of(F.when(low, "REJECTED").otherwise("FAILED"), status, F.when(F.col(code) == "QUERY_AUDIT_UNAVAILABLE", "AUDIT_STORAGE").when(low, "VALIDATION").otherwise("DEPENDENCY"), F.col(code))
+    internal = of(F.lit("FAILED"), F.lit(500), F.lit("INTERNAL"), F.lit("INTERNAL_ERROR"))
+    found = F.when((F.col(kind) == "BUSINESS") & status.isNotNull(), business).otherwise(F.coalesce(F.try_element_at(known, F.concat_ws("/", kind, reason)), internal))
+    return df.select("*", found.alias("__f")).select(*df.columns, "__f.*")
+
+
+#: Codes of a failed answer that cannot be repeated, whose preview must go, and that need a new start.
+NOT_RETRYABLE = ("ANSWER_MODEL_REQUEST_INVALID",)
+CLEAR_PREVIEW = ("ANSWER_OUTPUT_INVALID", "ANSWER_MODEL_REQUEST_INVALID")
+RESTART = ("IDEMPOTENCY_CONFLICT", "IDEMPOTENCY_CONTEXT_CHANGED")
+
+
+def failure_policy(code: Column) -> Column:
+    """What a client does about a failed answer: struct (retryable, clear_preview, restart)."""
+    return F.struct((~code.isin(*NOT_RETRYABLE)).alias("retryable"), code.isin(*CLEAR_PREVIEW).alias("clear_preview"), code.isin(*RESTART).alias("restart"))
 
 
 def window_rank(partition: str, *order) -> Column:

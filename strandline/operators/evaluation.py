@@ -74,3 +74,15 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str, *metrics: str) -> DataFra
 def same_content_gold(gold: DataFrame, items: DataFrame) -> DataFrame:
     """Gold widened to all items of equal content (``item, sha``)."""
     return gold.join(items, "item").select("query_id", "sha").distinct().join(items, "sha").select("query_id", "item")
+
+
+def page_mapping(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``document, physical, label`` and ``document, printed`` → ``document, printed, physical, error``.
+
+    A printed page maps to the one physical page that bears it as its label; a label
+    that no page or several pages bear is refused, with the pages in the error.
+    """
+    bearing = pages.groupBy("document", F.col("label").alias("printed")).agg(F.count(F.lit(1)).alias("n"), F.min("physical").alias("first"))
+    found = wanted.select("document", "printed").distinct().join(bearing, ["document", "printed"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return found.select("document", "printed", F.when(n == 1, F.col("first")).alias("physical"), F.when(n != 1, F.concat(F.lit("label on "), n.cast("string"), F.lit(" pages"))).alias("error"))

@@ -1,34 +1,79 @@
-"""Retrieval: BM25 over an inverted index, exact vector search, rank fusion, evidence."""
+"""Retrieval: BM25 over an inverted index, highlighting, exact vector search, rank fusion, evidence."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import tokens
+from strandline.adapters import stored
+from strandline.functions.text import bigram_tokens, standard_tokens, tokens
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Fields of the keyword search, each with its analyzer and boost.
+FIELDS = (
+    ("text", bigram_tokens, 4.0),
+    ("text", standard_tokens, 3.0),
+    ("heading", bigram_tokens, 2.0),
+    ("heading", standard_tokens, 1.5),
+    ("title", bigram_tokens, 1.2),
+    ("title", standard_tokens, 1.0),
+)
+#: Scores are rounded to six decimals; bounds leave room for that.
+SLACK = 1e-4
+
+
+def postings(docs: DataFrame, terms: DataFrame, analyzer=tokens, text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """``term, doc_id, w``: the weight of each of the queries' terms in each document.
+
+    Texts are analyzed once and never leave the scan: only the terms of queries do,
+    and one row for each document (its term is empty) that holds its length.
+    """
+    split = docs.select("doc_id", analyzer(F.col(text_col)).alias("t"))
+    wanted = terms.select("term").distinct().union(terms.sparkSession.sql("SELECT '' AS term"))
+    rows = split.select("doc_id", F.size("t").alias("len"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
+    post = stored(rows.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = post.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    n, mean = stats["n"], stats["mean"] or 1.0
+    df = post.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    return post.join(df, "term").select("term", "doc_id", weight.alias("w"))
+
+
+def query_terms(queries: DataFrame, analyzer=tokens) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(analyzer(F.col("text")))).alias("term"))
+
 
+def bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", analyzer=tokens) -> DataFrame:
+    """``doc_id, text`` and ``query_id, text`` → ``query_id, doc_id, score`` of every match, scores rounded to 6 decimals."""
+    terms = query_terms(queries, analyzer)
+    scored = postings(docs, terms, analyzer, text_col).join(terms, "term")
+    return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
-def bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """``doc_id, text`` and ``query_id, text`` → ``query_id, doc_id, score`` of every match, scores rounded to 6 decimals.
 
-    Postings keep only the queries' terms, before any shuffle; the text itself never
-    leaves the scan.  Document frequencies and the mean length are one small
-    aggregate each.
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, text_col: str = "text", analyzer=tokens) -> DataFrame:
+    """The ``k`` best matches of each query (``query_id, doc_id, score, rank``), without scoring every match.
+
+    A query's terms in order of their rarity: the rare ones alone give each document a
+    score that its full score cannot fall below, so the k-th of these is a bound.
+    Terms whose greatest weights together stay under the bound cannot bring a document
+    in by themselves; only documents with another term are scored in full.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    split = docs.select("doc_id", tokens(F.col(text_col)).alias("t"))
-    stats = split.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("t")).alias("mean"))
-    post = split.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    s = stats.first()
-    n, mean = s["n_docs"], s["mean"] or 1.0
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scored = post.join(df, "term").select("term", "doc_id", weight.alias("w"))
-    return scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    terms = stored(query_terms(queries, analyzer), "query-terms")
+    post = stored(postings(docs, terms, analyzer, text_col), "weights")
+    facts = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"))
+    rare = Window.partitionBy("query_id").orderBy("df", "term")
+    known = stored(terms.join(facts, "term").select("query_id", "term", "df", "most", F.sum("df").over(rare).alias("rows"), F.row_number().over(rare).alias("at")), "term-facts")
+    first = post.join(known.where((F.col("at") == 1) | (F.col("rows") <= 50 * k)).select("query_id", "term"), "term")
+    partial = top_k(first.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score")), k)
+    bound = partial.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    weak = Window.partitionBy("query_id").orderBy("most", "term")
+    strong = known.join(bound, "query_id", "left").select("query_id", "term", F.sum("most").over(weak).alias("together"), "bound").where(F.col("bound").isNull() | (F.col("together") >= F.col("bound") - SLACK)).select("query_id", "term")
+    candidates = stored(post.join(strong, "term").select("query_id", "doc_id").distinct(), "candidates")
+    # a candidate's other terms: by document, so a term that is in every document costs no more than the candidates have
+    needed = post.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    full = candidates.join(terms, "query_id").join(needed, ["doc_id", "term"])
+    return top_k(full.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")), k)
 
 
 def top_k(scored: DataFrame, k: int, item: str = "doc_id") -> DataFrame:
@@ -37,57 +82,125 @@ def top_k(scored: DataFrame, k: int, item: str = "doc_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def best_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float]) -> DataFrame:
-    """Best of the fields' boosted scores."""
+def best_fields(docs: DataFrame, queries: DataFrame, k: int, fields=FIELDS) -> DataFrame:
+    """The ``k`` best by the greatest of the fields' boosted scores.
+
+    Whoever is among them is among the ``k`` best of the field that gives its score.
+    """
     out = None
-    for field, boost in boosts.items():
-        s = bm25(docs.select("doc_id", F.col(field).alias("text")), queries).select("query_id", "doc_id", F.round(F.col("score") * boost, 6).alias("score"))
+    for field, analyzer, boost in fields:
+        s = bm25_top(docs.select("doc_id", F.col(field).alias("text")), queries, k, analyzer=analyzer)
+        s = s.select("query_id", "doc_id", F.round(F.col("score") * boost, 6).alias("score"))
         out = s if out is None else out.unionByName(s)
-    return out.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    return top_k(out.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def highlight(hits: DataFrame, queries: DataFrame, size: int = 160, most: int = 3, mark: str = "\ue000", unmark: str = "\ue001") -> DataFrame:
+    """``query_id, doc_id, text`` of hits → ``query_id, doc_id, fragments``: at most ``most`` pieces of about ``size`` characters with the query's words marked.
+
+    A text is cut into fragments at the spaces after ``size`` characters; those with the most
+    different words of the query come first, then those with more of them, then the
+    earlier ones.  The analyzer is that of the text's main field.
+    """
+    words = queries.select("query_id", bigram_tokens(F.col("text")).alias("terms"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = [fragments(t, set(w or ()), size, most, mark, unmark) for t, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["query_id", "doc_id", "fragments"])
+
+    return hits.select("query_id", "doc_id", "text").join(words, "query_id").mapInArrow(run, "query_id long, doc_id long, fragments array<string>")
+
+
+def fragments(text: str | None, terms: set[str], size: int, most: int, mark: str, unmark: str) -> list[str]:
+    """The best marked fragments of one text, in text order."""
+    import re
+
+    wide = r"\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3038-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
+    text = text or ""
+    spans = []
+    for m in re.finditer(rf"[{wide}]+|(?:[^\W{wide}]|(?<=[^\W\d_])[.'’](?=[^\W\d_])|(?<=\d)[.,](?=\d))+", text):
+        if re.match(f"[{wide}]", m[0]):
+            hit = [m[0][i : i + 2] in terms for i in range(max(1, len(m[0]) - 1))]
+            for i, found in enumerate(hit):
+                if found:
+                    spans.append((m.start() + i, m.start() + min(i + 2, len(m[0])), m[0][i : i + 2]))
+        elif m[0].lower() in terms:
+            spans.append((*m.span(), m[0].lower()))
+    cuts = [0]
+    while cuts[-1] < len(text):
+        end = min(len(text), cuts[-1] + size)
+        space = text.find(" ", end)
+        # at a space soon after, else (in scripts without spaces, say) right there
+        end = space if 0 <= space <= end + size // 4 else end
+        # never inside a match
+        end = next((b for a, b, _ in spans if a < end < b), end)
+        cuts.append(end)
+    found = []
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        own = [s for s in spans if a <= s[0] and s[1] <= b]
+        if own:
+            found.append((-len({s[2] for s in own}), -len(own), k, a, b, own))
+    out = []
+    for _, _, _, a, b, own in sorted(sorted(found)[:most], key=lambda x: x[2]):
+        merged: list[list[int]] = []
+        for s, e, _ in own:
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        piece, at = "", a
+        for s, e in merged:
+            piece += text[at:s] + mark + text[s:e] + unmark
+            at = e
+        out.append((piece + text[at:b]).strip())
+    return out
+
+
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``vec_id, scope, embedding`` and ``query_id, scope, embedding`` → the ``k`` nearest by cosine within the query's scope.
 
-    Exact. Queries go to the tasks in blocks of bounded size; a task returns ``k``
-    rows for each query and Arrow batch.
+    Exact: blocks of vectors meet blocks of queries of the same scope, one matrix product
+    a meeting, which returns ``k`` rows for each query.  A scope of any size is many
+    blocks, each with a key of its own.  Vectors without a length come last.
     """
-    parts = []
-    rows = queries.select("query_id", "scope", "embedding").toLocalIterator()
-    while part := [r for _, r in zip(range(block), rows, strict=False)]:
-        parts.append(vectors.select("vec_id", "scope", "embedding").mapInArrow(_nearest([tuple(r) for r in part], k), "query_id long, vec_id long, score double"))
-    if not parts:
-        return top_k(vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double"), k, "vec_id")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return top_k(out, k, "vec_id")
-
-
-def _nearest(queries: list[tuple], k: int):
+    sized = vectors.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / vector_block).cast("int").alias("blocks"))
+    asked = queries.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("parts"))
+    facts = stored(sized.join(asked, "scope"), "knn-scopes")
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = vectors.join(facts, "scope").groupBy("scope", of("vec_id", "blocks").alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("v"), F.first("parts").alias("parts"))
+    left = left.select("scope", "block", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = queries.join(facts, "scope").groupBy("scope", of("query_id", "parts").alias("part")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
+    return top_k(left.join(right, ["scope", "part"]).select("v", "q").mapInArrow(_nearest(k), "query_id long, vec_id long, score double"), k, "vec_id")
+
+
+def _nearest(k: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        q = unit(np.array([x[2] for x in queries], np.float64))
-        scope = np.array([x[1] for x in queries])
+        def side(column, i, name):
+            one = column.slice(i, 1).flatten()
+            ids, vectors = one.field(name), one.field("embedding")
+            m = np.array(vectors.to_pylist(), np.float64)
+            return ids.to_numpy(zero_copy_only=False), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.array(b.column(0).to_pylist())
-            own = np.array(b.column(1).to_pylist())
-            m = unit(np.array(b.column(2).to_pylist(), np.float64))
-            out = []
-            for i in range(len(queries)):
-                at = np.nonzero(own == scope[i])[0]
-                if not len(at):
-                    continue
-                s = np.round(m[at] @ q[i], 6)
-                for j in np.lexsort((ids[at], -s))[:k]:
-                    out.append((queries[i][0], int(ids[at[j]]), float(s[j])))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+            for i in range(b.num_rows):
+                ids, m = side(b.column(0), i, "vec_id")
+                asked, q = side(b.column(1), i, "query_id")
+                order = np.argsort(ids, kind="stable")
+                ids, m = ids[order], m[order]
+                s = np.round(q @ m.T, 6)
+                # ids ascend, so a stable sort leaves ties in their order
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                n = best.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "vec_id", "score"])
 
     return run
 

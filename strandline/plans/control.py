@@ -183,12 +183,36 @@ def outbox_backoff(s, d):
     return A.table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("attempt"), C.backoff_seconds(F.col("l_linenumber")).alias("seconds"))
 
 
-@query("""SELECT event_id, e.outcome, e.http_status, e.category FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'timeout' WHEN 'click' THEN 'model' WHEN 'purchase' THEN 'conflict' WHEN 'signup' THEN 'forbidden' ELSE 'x' END AS error FROM events) v
-JOIN (VALUES ('timeout', 'TIMEOUT', 504, 'UPSTREAM'), ('model', 'FAILED', 502, 'UPSTREAM'), ('conflict', 'REJECTED', 409, 'CLIENT'), ('forbidden', 'REJECTED', 403, 'CLIENT'), ('x', 'FAILED', 500, 'INTERNAL')) e(error, outcome, http_status, category) USING (error)""")
+_KINDS = ["ACCESS", "IDEMPOTENCY", "RETRIEVE", "ANSWER", "BUSINESS", "OTHER"]
+_REASONS = [
+    "APPLICATION_CREDENTIAL_INVALID", "KNOWLEDGE_BASE_NOT_AVAILABLE", "INVALID_REQUEST", "IDEMPOTENCY_CONFLICT", "CONTEXT_CHANGED", "UNAVAILABLE", "OWNERSHIP_LOST", "RESULT_TOO_LARGE",
+    "CORRUPTED_STATE", "REQUEST_IN_PROGRESS", "QUERY_EMBEDDING_UNAVAILABLE", "SEARCH_UNAVAILABLE", "EVIDENCE_UNAVAILABLE", "MODEL_REQUEST_INVALID", "MODEL_UNAVAILABLE", "OUTPUT_INVALID",
+    "EXECUTION_LIMIT_EXCEEDED", "EXECUTION_TIMEOUT", "VALIDATION", "NOT_FOUND", "CONFLICT", "FORBIDDEN", "TOO_LARGE", "UNSUPPORTED_MEDIA_TYPE",
+]
+
+
+@query(f"""WITH v AS (SELECT event_id, {_KINDS}[event_id % 6 + 1] AS kind, {_REASONS}[event_id // 6 % 24 + 1] AS reason, CASE WHEN event_id % 5 = 0 THEN 'QUERY_AUDIT_UNAVAILABLE' ELSE 'SOME_CODE' END AS code FROM events),
+c AS (SELECT *, CASE
+  WHEN kind = 'ACCESS' AND reason = 'APPLICATION_CREDENTIAL_INVALID' THEN '401 AUTHENTICATION ' || reason WHEN kind = 'ACCESS' AND reason = 'KNOWLEDGE_BASE_NOT_AVAILABLE' THEN '404 AUTHORIZATION ' || reason
+  WHEN kind IN ('IDEMPOTENCY', 'RETRIEVE', 'ANSWER') AND reason = 'INVALID_REQUEST' THEN '400 VALIDATION INVALID_' || CASE kind WHEN 'IDEMPOTENCY' THEN 'QUERY' ELSE kind END || '_REQUEST'
+  WHEN kind = 'IDEMPOTENCY' AND reason = 'IDEMPOTENCY_CONFLICT' THEN '409 IDEMPOTENCY ' || reason WHEN kind = 'IDEMPOTENCY' AND reason = 'CONTEXT_CHANGED' THEN '409 IDEMPOTENCY IDEMPOTENCY_CONTEXT_CHANGED'
+  WHEN kind = 'IDEMPOTENCY' AND reason IN ('UNAVAILABLE', 'OWNERSHIP_LOST', 'RESULT_TOO_LARGE', 'CORRUPTED_STATE') THEN '503 IDEMPOTENCY QUERY_IDEMPOTENCY_UNAVAILABLE'
+  WHEN kind IN ('RETRIEVE', 'ANSWER') AND reason = 'REQUEST_IN_PROGRESS' THEN '409 IDEMPOTENCY ' || reason
+  WHEN kind = 'RETRIEVE' AND reason IN ('QUERY_EMBEDDING_UNAVAILABLE', 'SEARCH_UNAVAILABLE', 'EVIDENCE_UNAVAILABLE') THEN '503 ' || replace(reason, '_UNAVAILABLE', '') || ' ' || reason
+  WHEN kind = 'ANSWER' AND reason IN ('MODEL_REQUEST_INVALID', 'MODEL_UNAVAILABLE') THEN '503 ANSWER_MODEL ANSWER_' || reason
+  WHEN kind = 'ANSWER' AND reason IN ('OUTPUT_INVALID', 'EXECUTION_LIMIT_EXCEEDED') THEN '503 ANSWER_POLICY ANSWER_' || reason
+  WHEN kind = 'ANSWER' AND reason = 'EXECUTION_TIMEOUT' THEN '503 TIMEOUT ANSWER_' || reason
+  WHEN kind = 'BUSINESS' AND reason = 'UNAVAILABLE' THEN '503 ' || CASE code WHEN 'QUERY_AUDIT_UNAVAILABLE' THEN 'AUDIT_STORAGE' ELSE 'DEPENDENCY' END || ' ' || code
+  WHEN kind = 'BUSINESS' AND reason IN ('VALIDATION', 'NOT_FOUND', 'CONFLICT', 'FORBIDDEN', 'TOO_LARGE', 'UNSUPPORTED_MEDIA_TYPE') THEN
+    CASE reason WHEN 'VALIDATION' THEN '400' WHEN 'NOT_FOUND' THEN '404' WHEN 'CONFLICT' THEN '409' WHEN 'FORBIDDEN' THEN '403' WHEN 'TOO_LARGE' THEN '413' ELSE '415' END || CASE code WHEN 'QUERY_AUDIT_UNAVAILABLE' THEN ' AUDIT_STORAGE ' ELSE ' VALIDATION ' END || code
+  ELSE '500 INTERNAL INTERNAL_ERROR' END AS f FROM v)
+SELECT event_id, kind, reason, code, CASE WHEN f < '500' THEN 'REJECTED' ELSE 'FAILED' END AS outcome, CAST(split_part(f, ' ', 1) AS INTEGER) AS http_status, split_part(f, ' ', 2) AS category, split_part(f, ' ', 3) AS audit_code FROM c""")
 def failure_classify(s, d):
-    t = F.col("event_type")
-    error = F.when(t == "view", "timeout").when(t == "click", "model").when(t == "purchase", "conflict").when(t == "signup", "forbidden").otherwise("x")
-    return C.classify_failures(A.table(s, d, "events").select("event_id", error.alias("error")), F.col("error")).drop("error")
+    """Every kind with every reason."""
+    k = F.col("event_id")
+    kind = F.get(F.array(*[F.lit(x) for x in _KINDS]), (k % 6).cast("int"))
+    reason = F.get(F.array(*[F.lit(x) for x in _REASONS]), (F.floor(k / 6) % 24).cast("int"))
+    return C.classify_failures(A.table(s, d, "events").select("event_id", kind.alias("kind"), reason.alias("reason"), F.when(k % 5 == 0, "QUERY_AUDIT_UNAVAILABLE").otherwise("SOME_CODE").alias("code")))
 
 
 @query(oracle("""SELECT a.id, coalesce(f.outcome, a.outcome) AS outcome, f.id IS NOT NULL AS changed FROM audits a
@@ -290,12 +314,15 @@ def scope_overwrite(s, d):
     return kept.join(written, "version_id", "left").select("version_id", "kept", "written")
 
 
-@query("""SELECT outcome, policy, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 'TEMPORARY' WHEN 'click' THEN 'GONE' ELSE 'OK' END AS outcome, CASE event_type WHEN 'error' THEN 'RETRY' WHEN 'click' THEN 'HIDE' ELSE 'SHOW' END AS policy FROM events) GROUP BY outcome, policy""")
-def citation_policy(s, d):
-    t = F.col("event_type")
-    outcome = F.when(t == "error", "TEMPORARY").when(t == "click", "GONE").otherwise("OK")
-    policy = F.element_at(F.create_map(F.lit("TEMPORARY"), F.lit("RETRY"), F.lit("GONE"), F.lit("HIDE"), F.lit("OK"), F.lit("SHOW")), outcome)
-    return A.table(s, d, "events").groupBy(outcome.alias("outcome"), policy.alias("policy")).agg(F.count(F.lit(1)).alias("n"))
+_CODES = ["ANSWER_MODEL_REQUEST_INVALID", "ANSWER_OUTPUT_INVALID", "IDEMPOTENCY_CONFLICT", "IDEMPOTENCY_CONTEXT_CHANGED", "ANSWER_MODEL_UNAVAILABLE", "ANSWER_EXECUTION_TIMEOUT"]
+
+
+@query(f"""SELECT code, code <> 'ANSWER_MODEL_REQUEST_INVALID' AS retryable, code LIKE 'ANSWER_%_INVALID' AS clear_preview, code LIKE 'IDEMPOTENCY_CON%' AS restart, count(*) AS n
+FROM (SELECT {_CODES}[event_id % 6 + 1] AS code FROM events) GROUP BY code""")
+def answer_failure_policy(s, d):
+    code = F.get(F.array(*[F.lit(x) for x in _CODES]), (F.col("event_id") % 6).cast("int"))
+    counted = A.table(s, d, "events").groupBy(code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("code", C.failure_policy(F.col("code")).alias("p"), "n").select("code", "p.*", "n")
 
 
 @query("""SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, max(CAST(json_extract_string(props, '$.k') AS VARCHAR)) AS max_k FROM events GROUP BY event_type""")

@@ -125,10 +125,14 @@ def dataset_counters(s, d):
     return table(s, d, "part").groupBy("p_brand", (F.col("p_size") % 4).alias("split")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_type").alias("types"))
 
 
-@query("""SELECT p_partkey % 100 AS printed, min(p_size) AS physical FROM part GROUP BY 1 HAVING count(DISTINCT p_size) = 1 OR min(p_size) <= 2""")
+@query("""WITH p AS (SELECT l_orderkey AS document, l_linenumber AS physical, CAST(CASE WHEN l_quantity > 40 THEN l_linenumber - 1 ELSE l_linenumber + 2 END AS VARCHAR) AS label FROM lineitem),
+w AS (SELECT DISTINCT l_orderkey AS document, CAST(l_linenumber AS VARCHAR) AS printed FROM lineitem)
+SELECT w.document, w.printed, CASE WHEN count(p.label) = 1 THEN min(p.physical) END AS physical, CASE WHEN count(p.label) <> 1 THEN 'label on ' || count(p.label) || ' pages' END AS error
+FROM w LEFT JOIN p ON p.document = w.document AND p.label = w.printed GROUP BY ALL""")
 def page_mapping(s, d):
-    m = table(s, d, "part").groupBy((F.col("p_partkey") % 100).alias("printed")).agg(F.min("p_size").alias("physical"), F.countDistinct("p_size").alias("n"))
-    return m.where("n = 1 OR physical <= 2").select("printed", "physical")
+    n = F.col("l_linenumber")
+    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("document"), n.alias("physical"), F.when(F.col("l_quantity") > 40, n - 1).otherwise(n + 2).cast("string").alias("label"))
+    return E.page_mapping(rows, rows.select("document", F.col("physical").cast("string").alias("printed")))
 
 
 @query("""SELECT count(*) AS n, count(DISTINCT k) AS distinct_cases, count(*) > count(DISTINCT k) AS duplicated FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")

@@ -35,11 +35,11 @@ def source_text(s, d):
     return docs(s, d).select("doc_id", F.length(clean).cast("long").alias("n"), F.md5(clean).alias("digest"), T.source_error(F.col("text")).alias("error"))
 
 
-@query(rf"""SELECT doc_id, md5(regexp_replace(replace('  ' || left(text, 120) || chr(10), chr(13) || chr(10), chr(10)), '^{SP}+|{SP}+$', '', 'g')) AS block, md5(regexp_replace(chr(10) || '  ' || left(text, 120) || ' ' || chr(10), '^\n+|\n+$', '', 'g')) AS code FROM documents""")
+@query(rf"""SELECT doc_id, md5(regexp_replace('  ' || x || chr(10), '^{SP}+|{SP}+$', '', 'g')) AS block, md5(regexp_replace(chr(10) || '  ' || x || ' ' || chr(10), '^\n+|\n+$', '', 'g')) AS code
+FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\x{{FEFF}}', '', 'g') AS x FROM documents)""")
 def normalize_blocks(s, d):
-    cut = F.left("text", F.lit(120))
-    a = T.normalize_block(F.concat(F.lit("  "), cut, F.lit("\n")), F.lit("PARAGRAPH"))
-    b = T.normalize_block(F.concat(F.lit("\n  "), cut, F.lit(" \n")), F.lit("CODE_BLOCK"))
+    a = T.normalize_block(F.concat(F.lit("  "), "text", F.lit("\n")), F.lit("PARAGRAPH"))
+    b = T.normalize_block(F.concat(F.lit("\n  "), "text", F.lit(" \n")), F.lit("CODE_BLOCK"))
     return docs(s, d).select("doc_id", F.md5(a).alias("block"), F.md5(b).alias("code"))
 
 
@@ -48,16 +48,23 @@ def estimate_tokens(s, d):
     return docs(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), T.utf16_len(F.col("text")).alias("units"))
 
 
-@query(rf"""SELECT doc_id, left(text, 50) AS prefix, regexp_replace(left(regexp_replace(text, '^{SP}+|{SP}+$', '', 'g'), 40), '{SP}+$', '') AS bounded FROM documents""")
+def _units(x: str, n: int) -> str:
+    """SQL: the longest prefix of at most ``n`` UTF-16 units, found by trying every length."""
+    return rf"left({x}, list_max(list_filter(range(0, {n + 1}), lambda k: k <= length({x}) AND k + length(regexp_replace(left({x}, k), '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) <= {n})))"
+
+
+@query(rf"""SELECT doc_id, {_units("wide", 50)} AS prefix, regexp_replace({_units("bare", 40)}, '{SP}+$', '') AS bounded
+FROM (SELECT doc_id, wide, regexp_replace(wide, '^{SP}+|{SP}+$', '', 'g') AS bare FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '😀' || left(text, 25) || '😀😀' || text ELSE text END AS wide FROM documents))""")
 def bounded_text(s, d):
-    return docs(s, d).select("doc_id", T.prefix(F.col("text"), 50).alias("prefix"), T.bounded(F.col("text"), 40).alias("bounded"))
+    wide = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\U0001f600"), F.left("text", F.lit(25)), F.lit("\U0001f600\U0001f600"), "text")).otherwise(F.col("text"))
+    return docs(s, d).select("doc_id", T.prefix(wide, 50).alias("prefix"), T.bounded(wide, 40).alias("bounded"))
 
 
-@query(rf"""WITH x AS (SELECT doc_id, i, regexp_replace(left(regexp_replace(w, '^{SP}+|{SP}+$', '', 'g'), 6), '{SP}+$', '') AS item FROM (SELECT doc_id, unnest(string_split(left(text, 200), ' ')) AS w, unnest(range(1, len(string_split(left(text, 200), ' ')) + 1)) AS i FROM documents)),
+@query(rf"""WITH x AS (SELECT doc_id, i, regexp_replace(left(regexp_replace(w, '^{SP}+|{SP}+$', '', 'g'), 6), '{SP}+$', '') AS item FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM documents)),
 y AS (SELECT doc_id, item, min(i) AS i FROM x WHERE item <> '' GROUP BY doc_id, item), z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM y)
 SELECT d.doc_id, coalesce(string_agg(item, '|' ORDER BY i) FILTER (WHERE r <= 12), '') AS items, count(item) FILTER (WHERE r <= 12) BETWEEN 1 AND 12 AS valid FROM documents d LEFT JOIN z USING (doc_id) GROUP BY d.doc_id""")
 def bounded_lists(s, d):
-    items = T.bounded_list(F.split(F.left("text", F.lit(200)), " "), 12, 6)
+    items = T.bounded_list(F.split("text", " "), 12, 6)
     return docs(s, d).select("doc_id", F.array_join(items, "|").alias("items"), F.size(items).between(1, 12).alias("valid"))
 
 
@@ -75,10 +82,10 @@ def embedding_templates(s, d):
     return table(s, d, "customer").select("c_custkey", T.embedding_text(F.col("c_name"), F.col("c_mktsegment"), F.lit(""), topics, none, none).alias("text"), F.sha2(F.concat(F.lit("x"), "c_name"), 256).alias("digest"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\[\s*E[1-9][0-9]*(?:\s*[,，]\s*E[1-9][0-9]*)*\s*\]', '', 'g'), '[ \t]+([,.;:!?，。；：！？])', '\1', 'g'), '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS answer
-FROM (SELECT doc_id, left(text, 80) || ' [E1, E22] .  ' || chr(10) || ' b [E3] c' AS x FROM documents)""")
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)\[\s*E[1-9][0-9]*(?:\s*[,，]\s*E[1-9][0-9]*)*\s*\]', '', 'g'), '[ \t]+([,.;:!?，。；：！？])', '\1', 'g'), '(?m)[ \t]+$', '', 'g'), '^{SP}+|{SP}+$', '', 'g') AS answer
+FROM (SELECT doc_id, text || ' [E1, e22] .  ' || chr(10) || ' b [ e3 ] c' AS x FROM documents)""")
 def sanitize_answers(s, d):
-    return docs(s, d).select("doc_id", T.sanitize_answer(F.concat(F.left("text", F.lit(80)), F.lit(" [E1, E22] .  \n b [E3] c"))).alias("answer"))
+    return docs(s, d).select("doc_id", T.sanitize_answer(F.concat("text", F.lit(" [E1, e22] .  \n b [ e3 ] c"))).alias("answer"))
 
 
 @query(r"""WITH x AS (SELECT c_custkey, unnest(['e' || c_nationkey, ' E' || (c_nationkey + 1) || ' ', 'E0', 'e' || c_nationkey, 'F1']) AS e, unnest([1, 2, 3, 4, 5]) AS i FROM customer),
@@ -89,9 +96,9 @@ def evidence_id_lists(s, d):
     return table(s, d, "customer").select("c_custkey", F.array_join(T.evidence_ids(raw), ",").alias("ids"))
 
 
-@query(r"""SELECT p_partkey, lower(trim(regexp_replace('  ' || p_type || '   x ', '\s+', ' ', 'g'))) AS header, regexp_replace(regexp_replace(lower(p_name || ' 12.5'), '\d+', '#', 'g'), '[^\p{L}\p{N}#]', '', 'g') AS key, lower(regexp_replace(p_name, '\s+', '', 'g')) AS compact FROM part""")
+@query(r"""SELECT p_partkey, lower(trim(regexp_replace('  ' || p_type || '   x ', '\s+', ' ', 'g'))) AS header, regexp_replace(regexp_replace(lower(p_name || ' 12.5'), '\d+(\.\d+)*', '#', 'g'), '[^\p{L}\p{N}#]', '', 'g') AS key, lower(regexp_replace(p_name, '\s+', '', 'g')) AS compact FROM part""")
 def header_and_title_keys(s, d):
-    return table(s, d, "part").select("p_partkey", T.normalize_header(F.concat(F.lit("  "), "p_type", F.lit("   x "))).alias("header"), T.title_key(F.concat("p_name", F.lit(" 12.5"))).alias("key"), T.compact(F.col("p_name")).alias("compact"))
+    return table(s, d, "part").select("p_partkey", T.normalize_header(F.concat(F.lit("  "), "p_type", F.lit("   x "))).alias("header"), T.title_key(F.concat("p_name", F.lit(" １２.5"))).alias("key"), T.compact(F.col("p_name")).alias("compact"))
 
 
 @query(r"""SELECT l_orderkey, l_linenumber, array_to_string(regexp_extract_all(' ' || x, '(?:^|[^\w.])(-?\d+(?:\.\d+)?)', 1), ';') AS numbers FROM (SELECT l_orderkey, l_linenumber, 'q ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' and -' || CAST(l_linenumber AS VARCHAR) || '.5 v1.2' AS x FROM lineitem)""")
@@ -100,15 +107,17 @@ def number_tokens(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(T.numbers(x), ";").alias("numbers"))
 
 
-@query(r"""WITH x AS (SELECT p_partkey, CAST(p_size % 3 AS VARCHAR) || '.' || CAST(p_size AS VARCHAR) || ' ' || p_name AS t, CASE p_size % 4 WHEN 0 THEN 'Chapter ' || CAST(p_size AS VARCHAR) WHEN 1 THEN 'IV. ' || p_name ELSE p_name END AS u FROM part)
-SELECT p_partkey, CAST(least(6, len(string_split(regexp_extract(t, '^\s*(\d+(?:\.\d+)*)\.?\s+\S', 1), '.'))) AS BIGINT) AS level_t,
-  CAST(CASE WHEN u LIKE 'Chapter %' OR u LIKE 'IV. %' THEN 1 END AS BIGINT) AS level_u, regexp_extract(t, '^\s*((?:\d+(?:\.\d+)*\.?)?)\s*(.*?)\s*$', 1) AS number, regexp_extract(t, '^\s*((?:\d+(?:\.\d+)*\.?)?)\s*(.*?)\s*$', 2) AS title,
+@query(r"""WITH x AS (SELECT p_partkey, p_name, p_size, ['', '1 ', '2. ', '3.4 ', '3.4.5 ', '1.2.3.4.5.6.7. ', '(7) ', '8)'][p_size % 8 + 1] || p_name AS t,
+  CASE p_size % 7 WHEN 0 THEN 'Chapter ' || p_size || ': ' || p_name WHEN 1 THEN 'iv. ' || p_name WHEN 2 THEN 'IV ' || p_name WHEN 3 THEN 'unit b - ' || p_name WHEN 4 THEN 'Semester 2: Quarter 1' WHEN 5 THEN '十二、' || p_name ELSE 'Part ' || p_name END AS u FROM part)
+SELECT p_partkey, CAST([NULL, NULL, 1, 1, 2, 6, NULL, 1][p_size % 8 + 1] AS BIGINT) AS level_t, CAST([1, 1, NULL, 1, 1, 1, NULL][p_size % 7 + 1] AS BIGINT) AS level_u,
+  regexp_extract(t, '^\s*((?:\d+(?:\.\d+)*\.?)?)\s*(.*?)\s*$', 1) AS number, regexp_extract(t, '^\s*((?:\d+(?:\.\d+)*\.?)?)\s*(.*?)\s*$', 2) AS title,
   length(regexp_replace(t, '[^\p{L}]', '', 'g')) > 0 AND length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) * 10 >= length(regexp_replace(t, '[^\p{L}]', '', 'g')) * 9 AS upper FROM x""")
 def heading_texts(s, d):
-    n = F.col("p_size")
-    t = F.concat((n % 3).cast("string"), F.lit("."), n.cast("string"), F.lit(" "), "p_name")
-    u = F.when(n % 4 == 0, F.concat(F.lit("Chapter "), n.cast("string"))).when(n % 4 == 1, F.concat(F.lit("IV. "), "p_name")).otherwise(F.col("p_name"))
-    rows = table(s, d, "part").select("p_partkey", t.alias("t"), u.alias("u"))
+    """Numbered titles of every form; the SQL states the level of each form as a value."""
+    n = F.col("p_size").cast("int")
+    t = F.concat(F.get(F.array(*[F.lit(x) for x in ("", "1 ", "2. ", "3.4 ", "3.4.5 ", "1.2.3.4.5.6.7. ", "(7) ", "8)")]), n % 8), "p_name")
+    forms = [F.concat(F.lit("Chapter "), n.cast("string"), F.lit(": "), "p_name"), F.concat(F.lit("iv. "), "p_name"), F.concat(F.lit("IV "), "p_name"), F.concat(F.lit("unit b - "), "p_name"), F.lit("Semester 2: Quarter 1"), F.concat(F.lit("十二、"), "p_name"), F.concat(F.lit("Part "), "p_name")]
+    rows = table(s, d, "part").select("p_partkey", t.alias("t"), F.get(F.array(*forms), n % 7).alias("u"))
     return rows.select("p_partkey", T.heading_level(F.col("t")).alias("level_t"), T.heading_level(F.col("u")).alias("level_u"), T.split_number(F.col("t"))["number"].alias("number"), T.split_number(F.col("t"))["title"].alias("title"), T.mostly_upper(F.col("t")).alias("upper"))
 
 
@@ -134,15 +143,14 @@ def location_labels(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.location_label(path, F.when(n % 2 == 0, n), F.when(n % 3 == 0, F.col("l_orderkey"))).alias("label"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, string_split(left(text, 40), ' ') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM m)
-SELECT doc_id, i // 2 AS pair, string_agg(t, ' ' ORDER BY i) AS segment, i % 2 = 1 AS matched FROM p WHERE t <> '' GROUP BY doc_id, i, i // 2""")
+@query(r"""WITH m AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda w, i: {'text': w, 'matched': i % 2 = 0}), lambda x: x.text <> '') AS segs FROM documents)
+SELECT doc_id, CAST(len(segs) AS BIGINT) AS segments, CAST(len(list_filter(segs, lambda x: x.matched)) AS BIGINT) AS matched, md5(array_to_string(list_transform(segs, lambda x: x.text || CASE WHEN x.matched THEN '+' ELSE '-' END), chr(10))) AS digest FROM m""")
 def highlight_segments(s, d):
-    parts = F.split(F.left("text", F.lit(40)), " ")
-    marked = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("\ue000"), p, F.lit("\ue001"))).otherwise(p)), "")
-    # the pieces alternate between plain and matched, so positions of the split tell them apart
-    rows = docs(s, d).select("doc_id", parts.alias("parts"), T.highlight_segments(marked).alias("segments"))
-    seen = rows.select("doc_id", F.posexplode(F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("i"), p.alias("t"))), lambda p: F.length(p["t"]) > 0)).alias("k", "p"), "segments")
-    return seen.select("doc_id", F.floor(F.col("p.i") / 2).cast("long").alias("pair"), F.get("segments", F.col("k"))["text"].alias("segment"), F.get("segments", F.col("k"))["matched"].alias("matched"))
+    """Whole texts, every second word marked as a match."""
+    parts = F.transform(F.split("text", " "), lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("\ue000"), p, F.lit("\ue001"))).otherwise(p))
+    rows = docs(s, d).select("doc_id", T.highlight_segments(F.array_join(parts, "")).alias("s"))
+    line = F.array_join(F.transform("s", lambda x: F.concat(x["text"], F.when(x["matched"], "+").otherwise("-"))), "\n")
+    return rows.select("doc_id", F.size("s").cast("long").alias("segments"), F.size(F.filter("s", lambda x: x["matched"])).cast("long").alias("matched"), F.md5(line).alias("digest"))
 
 
 @query(r"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 7 = 0 OR o_orderkey % 7 = 3 ELSE contains(lower(regexp_replace(o_orderpriority, '\s+', '', 'g')), 'high') OR contains('high', lower(regexp_replace(o_orderpriority, '\s+', '', 'g'))) END AS matched FROM orders""")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.adapters import table
+from strandline.functions import text as T
 from strandline.operators import search as R
 
 Q, S = {}, {}
@@ -21,34 +22,95 @@ def query(sql: str | None = None):
     return add
 
 
-def _bm25_sql(name: str, docs: str, weight: str = "1") -> str:
+_CJK = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}"
+_LETTER = rf"[^\P{{L}}{_CJK}]"
+#: A joining sign between letters or digits is marked, twice since matches do not overlap.
+_MARK = chr(0xE005)
+_PLAIN = rf"(?:{_LETTER}|[\p{{M}}\p{{N}}_])+(?:{_MARK}[.,''’](?:{_LETTER}|[\p{{M}}\p{{N}}_])+)*"
+
+
+def _marked(x: str) -> str:
+    for _ in range(2):
+        x = rf"regexp_replace({x}, '(\p{{L}})([.''’])({_LETTER})', '\1{_MARK}\2\3', 'g')"
+        x = rf"regexp_replace({x}, '(\p{{N}})([.,])(\p{{N}})', '\1{_MARK}\2\3', 'g')"
+    return x
+
+
+_UNMARKED = f"lambda t: replace(t, '{_MARK}', '')"
+_STOPS = "['" + "', '".join(T.STOP_WORDS) + "']"
+#: SQL of each analyzer, over a column ``text``.
+ANALYZERS = {
+    "plain": r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')",
+    "standard": rf"list_transform(regexp_extract_all({_marked('lower(text)')}, '[\p{{Han}}\p{{Hiragana}}]|\p{{Katakana}}+|\p{{Hangul}}+|{_PLAIN}'), {_UNMARKED})",
+    "bigram": rf"""list_filter(flatten(list_transform(regexp_extract_all({_marked('lower(text)')}, '[{_CJK}]+|{_PLAIN}'),
+      lambda r: CASE WHEN length(r) > 1 AND regexp_matches(r, '^[{_CJK}]') THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [replace(r, '{_MARK}', '')] END)), lambda t: NOT list_contains({_STOPS}, t))""",
+}
+
+
+def _bm25_sql(name: str, docs: str, weight: str = "1", analyzer: str = "plain", queries: str = "SELECT item_id AS query_id, text FROM benchmark") -> str:
     return f"""
-{name}_t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM ({docs})),
+{name}_q AS (SELECT DISTINCT query_id, unnest({ANALYZERS[analyzer]}) AS term FROM ({queries})),
+{name}_t AS (SELECT doc_id, {ANALYZERS[analyzer]} AS t FROM ({docs})),
 {name}_s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM {name}_t),
-{name}_p AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM {name}_t) WHERE term IN (SELECT term FROM terms) GROUP BY term, doc_id, len),
+{name}_p AS (SELECT term, doc_id, len, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM {name}_t) WHERE term IN (SELECT term FROM {name}_q) GROUP BY term, doc_id, len),
 {name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
 {name} AS (SELECT query_id, doc_id, round(round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) * {weight}, 6) AS score
-  FROM {name}_p JOIN {name}_d USING (term) JOIN terms USING (term), {name}_s GROUP BY query_id, doc_id)"""
-
-
-TERMS = r"terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark)"
+  FROM {name}_p JOIN {name}_d USING (term) JOIN {name}_q USING (term), {name}_s GROUP BY query_id, doc_id)"""
 
 
 def _queries(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query(f"WITH {TERMS}, {_bm25_sql('m', 'SELECT doc_id, text FROM documents')} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m QUALIFY rank <= 5")
+@query(f"WITH {_bm25_sql('m', 'SELECT doc_id, text FROM documents')} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m QUALIFY rank <= 5")
 def bm25_topk(s, d):
-    return R.top_k(R.bm25(table(s, d, "documents"), _queries(s, d)), 5)
+    return R.bm25_top(table(s, d, "documents"), _queries(s, d), 5)
+
+
+#: Chinese and Japanese sentences behind the texts and queries, so that the analyzers meet runs without spaces.
+_WIDE = ["检索服务支持中文段落", "文档的段落检索", "かな交じりの文書サービス", "it's 3.5 or a.b", "段"]
+_WIDE_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _WIDE) + "]"
+_WIDE_DOCS = f"SELECT doc_id, text || ' ' || {_WIDE_SQL}[doc_id % 5 + 1] AS text, split_part(text, chr(10), 1) || ' ' || {_WIDE_SQL}[doc_id % 3 + 1] AS heading, lang || ' ' || source AS title FROM documents"
+_WIDE_QUERIES = f"SELECT item_id AS query_id, text || ' ' || {_WIDE_SQL}[(item_id + 1) % 5 + 1] AS text FROM benchmark"
+
+
+def _wide(k):
+    return F.get(F.array(*[F.lit(x) for x in _WIDE]), k.cast("int"))
 
 
-@query(f"""WITH {TERMS}, {_bm25_sql('m', 'SELECT doc_id, text FROM documents', '4')}, {_bm25_sql('h', "SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents", '2')}, {_bm25_sql('k', "SELECT doc_id, lang || ' ' || source AS text FROM documents", '1.2')},
-u AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM m UNION ALL SELECT * FROM h UNION ALL SELECT * FROM k) GROUP BY query_id, doc_id)
+def _wide_docs(s, d):
+    k = F.col("doc_id")
+    return table(s, d, "documents").select("doc_id", F.concat_ws(" ", "text", _wide(k % 5)).alias("text"), F.concat_ws(" ", F.substring_index("text", "\n", 1), _wide(k % 3)).alias("heading"), F.concat_ws(" ", "lang", "source").alias("title"))
+
+
+def _wide_queries(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", "text", _wide((F.col("item_id") + 1) % 5)).alias("text"))
+
+
+_FIELD_SQL = [("text", "bigram", 4.0), ("text", "standard", 3.0), ("heading", "bigram", 2.0), ("heading", "standard", 1.5), ("title", "bigram", 1.2), ("title", "standard", 1.0)]
+
+
+@query(f"""WITH wd AS MATERIALIZED ({_WIDE_DOCS}), {", ".join(_bm25_sql(f"f{i}", f"SELECT doc_id, {c} AS text FROM wd", str(boost), a, _WIDE_QUERIES) for i, (c, a, boost) in enumerate(_FIELD_SQL))},
+u AS (SELECT query_id, doc_id, max(score) AS score FROM ({" UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(6))}) GROUP BY query_id, doc_id)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u QUALIFY rank <= 50""")
 def bm25_best_fields(s, d):
-    docs = table(s, d, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("heading"), F.concat_ws(" ", "lang", "source").alias("title"))
-    return R.top_k(R.best_fields(docs, _queries(s, d), {"text": 4.0, "heading": 2.0, "title": 1.2}), 50)
+    return R.best_fields(_wide_docs(s, d), _wide_queries(s, d), 50)
+
+
+@query(f"""WITH x AS (SELECT doc_id, text || ' ' || {_WIDE_SQL}[doc_id % 5 + 1] AS text FROM documents), y AS (SELECT doc_id, {ANALYZERS["standard"]} AS a, {ANALYZERS["bigram"]} AS b FROM x)
+SELECT doc_id, CAST(len(a) AS BIGINT) AS n_standard, md5(array_to_string(a, ' ')) AS standard, CAST(len(b) AS BIGINT) AS n_bigram, md5(array_to_string(b, ' ')) AS bigram FROM y""")
+def analyzers(s, d):
+    rows = _wide_docs(s, d).select("doc_id", T.standard_tokens(F.col("text")).alias("a"), T.bigram_tokens(F.col("text")).alias("b"))
+    line = lambda x: F.md5(F.array_join(x, " "))
+    return rows.select("doc_id", F.size("a").cast("long").alias("n_standard"), line("a").alias("standard"), F.size("b").cast("long").alias("n_bigram"), line("b").alias("bigram"))
+
+
+@query()
+def highlights(s, d):
+    """Fragments of the best five hits of each query (tested against a plain version)."""
+    hits = R.bm25_top(_wide_docs(s, d), _wide_queries(s, d), 5, analyzer=T.bigram_tokens)
+    found = R.highlight(hits.join(_wide_docs(s, d).select("doc_id", "text"), "doc_id"), _wide_queries(s, d))
+    return found.select("query_id", "doc_id", F.posexplode(T.highlight_fragments(F.col("fragments"))).alias("n", "segments")).select("query_id", "doc_id", "n", F.size(F.filter("segments", lambda x: x["matched"])).alias("matches"), F.array_join("segments.text", "").alias("fragment"))
 
 
 @query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0)

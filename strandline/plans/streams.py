@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.adapters import table
+from strandline.adapters import shared_dir, table
 from strandline.streaming import pipelines as P
 
 Q, S = {}, {}
@@ -38,8 +38,7 @@ def _is_dir(s, path):
 def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Write all that is there to a Parquet folder beside the checkpoint, and read that."""
     s = df.sparkSession
-    base = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandline-streams"
-    path = f"{base.rstrip('/')}/strandline/stream-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/strandline/stream-{name}-{uuid.uuid4().hex}"
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     else:
@@ -75,7 +74,7 @@ def stream_retries(s, d):
     return run_to_end(P.retry_step(failures), "retries").withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
 
 
-@query("""SELECT user_id AS request_id, arg_min(event, (ts, event)) AS terminal FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'click' THEN 'cancelled' ELSE 'delta' END AS event, date_trunc('day', ts) AS w FROM events) WHERE event <> 'delta' GROUP BY user_id, w""")
+@query("""SELECT user_id AS request_id, arg_min(event, (ts, event)) AS terminal FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'click' THEN 'cancelled' ELSE 'delta' END AS event FROM events) WHERE event <> 'delta' GROUP BY user_id""")
 def stream_terminal_events(s, d):
     t = F.col("event_type")
     event = F.when(t == "purchase", "done").when(t == "error", "error").when(t == "click", "cancelled").otherwise("delta")
@@ -90,4 +89,27 @@ def stream_idempotency(s, d):
     return run_to_end(P.idempotency(rows, 86_400, 432_000, expire=False), "claims")
 
 
+_MARKED = "regexp_replace(x, '([A-Za-z0-9]+)', chr(1) || '\\1' || chr(2), 'g')"
+
+
+@query(f"""SELECT doc_id, CAST(length(v) AS BIGINT) AS n, md5(v) AS digest FROM (
+SELECT doc_id, replace(replace(regexp_replace({_MARKED}, '\\x01[ERSers][1-9][0-9]*\\x02', '', 'g'), chr(1), ''), chr(2), '') AS v FROM (
+SELECT doc_id, regexp_replace('See e1  [E2, e33] s4: ' || text || ' R5', '\\[\\s*[Ee][1-9][0-9]*(\\s*[,，]\\s*[Ee][1-9][0-9]*)*\\s*\\]', '', 'g') AS x FROM documents))""")
+def answer_deltas(s, d):
+    """Every document's text as a streamed JSON answer in fragments of 64 characters; what of it shows."""
+    answer = F.concat(F.lit("See e1  [E2, e33] s4: "), "text", F.lit(" R5"))
+    rows = table(s, d, "documents").select("doc_id", F.to_json(F.struct(F.lit("ANSWERED").alias("status"), answer.alias("answer"))).alias("json"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        from strandline.streaming.deltas import visible_text
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([visible_text(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "v"])
+
+    shown = rows.mapInArrow(run, "doc_id long, v string")
+    return shown.select("doc_id", F.length("v").cast("long").alias("n"), F.md5("v").alias("digest"))
+
+
 QUERIES, SQL = Q, S

@@ -42,10 +42,13 @@ def retry_step(failures: DataFrame) -> DataFrame:
     return failures.select("job_id", "attempt", F.when(dead, "DEAD_LETTER").otherwise("RETRY").alias("route"), due.alias("due_at"))
 
 
-def first_terminal(events: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
-    """Exactly one terminal event a request: the first of done, error, cancelled."""
-    ended = events.where(F.col("event").isin("done", "error", "cancelled")).withWatermark(ts, delay)
-    return ended.groupBy(F.window(ts, "1 day").alias("w"), "request_id").agg(F.min_by("event", F.struct(F.col(ts), "event")).alias("terminal")).select("request_id", "terminal")
+def first_terminal(events: DataFrame, ts: str) -> DataFrame:
+    """Exactly one terminal event a request, whenever it comes: the first of done, error, cancelled.
+
+    The state is one event for each request that has ended; run it in complete or update mode.
+    """
+    ended = events.where(F.col("event").isin("done", "error", "cancelled"))
+    return ended.groupBy("request_id").agg(F.min_by("event", F.struct(F.col(ts), "event")).alias("terminal"))
 
 
 STATE = "at long, done long, fingerprint string, context string"
