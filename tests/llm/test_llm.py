@@ -446,6 +446,14 @@ def test_counts_and_cache(spark, tmp_path):
     assert N.count_tokens(d, lambda: path, cache).count() == len(ODD) + 1
     assert spark.read.parquet(cache).count() == n == len({t or "" for _, t in ODD}) + 1
     assert N.count_tokens(d.limit(0), lambda: path).count() == 0
+    # a filled cache is used: what it says is what comes out; and only the rest is encoded, on either way to it
+    for sent in (0, 1000):
+        other = f"file://{tmp_path}/other{sent}"
+        first = N.count_tokens(d.where("doc_id < 5"), lambda: path, other, sent_rows=sent).count()
+        planted = spark.read.parquet(other).where("n_tokens = 1").select("content", F.lit(77).cast("long").alias("n_tokens"), "tokenizer")
+        planted.write.partitionBy("tokenizer").mode("append").parquet(other)
+        whole = {(r["doc_id"], r["n_bytes"]): r["n_tokens"] for r in N.count_tokens(d, lambda: path, other, sent_rows=sent).collect()}
+        assert first == 5 and whole[4, 1] == 77 and {k: v for k, v in whole.items() if k[0] != 4} == {k: r["n_tokens"] for k, r in got.items() if k[0] != 4}
 
 
 # SimHash
