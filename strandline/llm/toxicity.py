@@ -4,7 +4,7 @@ Folding undoes what is done to hide a word: compatibility forms (NFKC), case,
 zero-width characters, look-alike letters of other scripts, and digits or signs
 that stand for letters.  Accented Latin letters stay, they are letters of their own.
 
-Lexicon entries are beginnings of words.  ``learn`` finds them in labelled rows:
+Lexicon entries are beginnings of words (``SHORTEST`` to ``LONGEST`` letters) and whole shorter words.  ``learn`` finds them in labelled rows:
 beginnings that many toxic texts share (after removing near copies, which would
 make any of their words look telling) and that clean texts lack, weighted by
 log-odds.  The built-in list joins what is learned where clean texts lack it.  Forms of a word that begin like an entry but occur in clean texts alone
@@ -12,9 +12,10 @@ become exception phrases, which take their place in the automaton and cancel wha
 they cover.  A score is a logistic function of the matched weight per word and of
 the number of matches; its coefficients are fitted on the same labelled rows.
 
-Bounds: the labelled rows are a sample, chosen by a hash of the id, of about
-``max_rows`` rows, and the lexicon has at most ``max_terms`` entries, so the model
-has a fixed size.  Scoring is one pass over whole texts in Arrow batches.
+Bound: the labelled rows are a sample, chosen by a hash of the id, of about
+``max_rows`` rows; of near copies among them the one with the smallest id counts.  All
+that they show enters the model, so its size has the same bound.  Scoring is one pass over whole texts in Arrow
+batches, linear in a text's length.
 
 Defined results: null or empty texts have no matches and get the score of a text
 without any; rows with a null id are scored and never learned from; several labels
@@ -88,7 +89,14 @@ def matcher(model: Model):
                 covered.append((start, end))
             if start not in best or best[start][0] < size:
                 best[start] = (size, weight)
-        hits = [(s, w) for s, (_, w) in best.items() if w is not None and not any(a <= s < b for a, b in covered)]
+        hits, end, k = [], 0, 0
+        covered.sort()
+        for s in sorted(best):
+            while k < len(covered) and covered[k][0] <= s:
+                end = max(end, covered[k][1])
+                k += 1
+            if s >= end and best[s][1] is not None:
+                hits.append((s, best[s][1]))
         return sum(w for _, w in hits), len(hits), len(words), sorted({line[s + 1 : line.index(" ", s + 1)] for s, _ in hits})
 
     return run
@@ -138,7 +146,7 @@ def _signature(words: list[str]) -> int:
 
 
 def _beginnings(words: list[str]) -> set[str]:
-    return {w[:k] for w in set(words) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    return {w[:k] for w in set(words) for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + " " for w in words if 1 < len(w) < SHORTEST}
 
 
 def _count_beginnings(among: frozenset | None):
@@ -159,7 +167,7 @@ def _count_beginnings(among: frozenset | None):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 20_000, exceptions: tuple = (), **columns) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, exceptions: tuple = (), **columns) -> Model:
     """Fit lexicon, exception phrases and coefficients on the labelled sample."""
     from strandline.llm.common import stored
 
@@ -167,11 +175,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_signature(fold(t)) for t in b.column(1).to_pylist()], pa.int64())], names=["toxic", "text", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([_signature(fold(t)) for t in b.column(2).to_pylist()], pa.int64())], names=["id", "toxic", "text", "sig"])
 
     sample = training_rows(docs, labels, max_rows, **columns)
-    signed = sample.select("toxic", "text").mapInArrow(sign, "toxic int, text string, sig long")
-    rows = stored(signed.groupBy("toxic", "sig").agg(F.first("text").alias("text")), "toxicity-sample")
+    signed = sample.select(F.col("id").cast("string").alias("id"), "toxic", "text").mapInArrow(sign, "id string, toxic int, text string, sig long")
+    rows = stored(signed.groupBy("toxic", "sig").agg(F.min(F.struct("id", "text")).alias("x")).select("toxic", "x.text"), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -183,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
 
     support = max(2, math.ceil(0.003 * n1), min(4, math.ceil(0.1 * n1)))
     known = {w[:LONGEST]: v for w, v in DEFAULT_LEXICON.items()}
-    usual = {r["stem"]: r["n"] for r in counts(1, None).where(F.col("n") >= support).orderBy(F.desc("n"), "stem").limit(max_terms).collect()}
+    usual = {r["stem"]: r["n"] for r in counts(1, None).where(F.col("n") >= support).orderBy("stem").collect()}
     clean = {r["stem"]: r["n"] for r in counts(0, frozenset(usual) | frozenset(known)).collect()}
     weight = {s: math.log((n + 0.5) / (n1 + 1)) - math.log((clean.get(s, 0) + 0.5) / (n0 + 1)) for s, n in usual.items()}
     telling = {s: w for s, w in weight.items() if w >= math.log(8)}
