@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import normalize_block, utf16_len
+from strandline.functions.text import normalize_block, safe_split, utf16_len
 
 LEVELS = 6
 SEPARATOR = 2
@@ -36,28 +36,71 @@ def paragraphs(text: Column) -> Column:
     return F.element_at(F.transform(F.array(lines), with_lines), 1)
 
 
-def assemble(parsed: DataFrame) -> DataFrame:
+def assemble(parsed: DataFrame, most_chars: int | None = None) -> DataFrame:
     """``doc_id, src, kind, level, text`` → blocks with ids, ordinals, character ranges and owning heading.
 
     Blocks that are blank after normalising drop out but keep their place in the
     source sequence.  A heading owns its own block; the root (position -1) owns what
-    comes before any heading.
+    comes before any heading.  With ``most_chars``, a longer element becomes several
+    blocks of one ``continuation`` group, numbered by elements; a heading's first
+    piece is its heading block.
     """
     text = normalize_block(F.col("text"), F.col("kind"))
     kept = parsed.select("doc_id", "src", "kind", F.when(F.col("kind") == "HEADING", F.least(F.greatest("level", F.lit(1)), F.lit(LEVELS))).alias("level"), text.alias("text")).where(F.length("text") > 0)
-    order = Window.partitionBy("doc_id").orderBy("src")
+    keys = ["src"]
+    if most_chars is not None:
+        by_source = Window.partitionBy("doc_id").orderBy("src")
+        kept = kept.withColumn("element", F.row_number().over(by_source) - 1)
+        long = utf16_len(F.col("text")) > most_chars
+        # only long texts go through Python
+        pieces = kept.where(long).withColumn("pieces", safe_split(most_chars)("text")).select("doc_id", "src", "kind", "level", "element", F.posexplode("pieces").alias("piece", "text"), (F.size("pieces") > 1).alias("several"))
+        whole = kept.where(~long).select("doc_id", "src", "kind", "level", "element", F.lit(0).alias("piece"), "text", F.lit(False).alias("several"))
+        kept = whole.unionByName(pieces).withColumn("level", F.when(F.col("piece") == 0, F.col("level")))
+        kept = kept.withColumn("continuation", F.when(F.col("several"), F.format_string("%d:c:%06d", F.col("doc_id"), F.col("element"))))
+        keys = ["src", "piece"]
+    order = Window.partitionBy("doc_id").orderBy(*keys)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     size = utf16_len(F.col("text"))
     placed = kept.select("*", (F.row_number().over(order) - 1).alias("ordinal"), F.coalesce(F.sum(size + SEPARATOR).over(before), F.lit(0)).alias("start"), size.alias("__size"))
     own = F.last(F.when(F.col("level").isNotNull(), F.col("ordinal")), ignorenulls=True).over(order)
+    extra = ["continuation"] if most_chars is not None else []
     return placed.select(
         "doc_id", "src", F.format_string("%d:b:%06d", F.col("doc_id"), F.col("ordinal")).alias("block_id"), "ordinal", "kind", "level", "text",
-        "start", (F.col("start") + F.col("__size")).alias("end"), F.coalesce(own, F.lit(-1)).alias("heading"),
+        "start", (F.col("start") + F.col("__size")).alias("end"), F.coalesce(own, F.lit(-1)).alias("heading"), *extra,
     )
 
 
+def document_errors(documents: DataFrame, blocks: DataFrame, most_blocks: int = 200_000) -> DataFrame:
+    """``doc_id, format`` → ``doc_id, n_blocks, error``: no text at all, or more blocks than a document may have."""
+    n = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = documents.join(n, "doc_id", "left").select("doc_id", "format", F.coalesce("n", F.lit(0)).alias("n_blocks"))
+    empty = F.when(F.col("format") == "PDF", "PDF_NO_EXTRACTABLE_TEXT").otherwise("DOCUMENT_CORRUPT")
+    return rows.select("doc_id", "n_blocks", F.when(F.col("n_blocks") == 0, empty).when(F.col("n_blocks") > most_blocks, "DOCUMENT_PARSE_LIMIT_EXCEEDED").alias("error"))
+
+
+def text_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``doc_id, position, text`` before and after restructuring → ``doc_id, same_text, same_letters``.
+
+    The first compares the texts in order without white space, the second how often each character occurs.
+    """
+    bare = F.regexp_replace("text", r"\s+", "")
+
+    def facts(df, name):
+        line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", bare.alias("t")))), lambda x: x["t"]), "")
+        per = df.groupBy("doc_id").agg(line.alias("line"))
+        return per.select("doc_id", F.sha2("line", 256).alias(f"{name}_sha"), F.sha2(F.array_join(F.array_sort(F.split("line", "")), ""), 256).alias(f"{name}_letters"))
+
+    both = facts(before, "a").join(facts(after, "b"), "doc_id", "full_outer")
+    return both.select("doc_id", F.col("a_sha").eqNullSafe(F.col("b_sha")).alias("same_text"), F.col("a_letters").eqNullSafe(F.col("b_letters")).alias("same_letters"))
+
+
 def heading_tree(blocks: DataFrame) -> DataFrame:
-    """Headings with parent, depth, section end, sibling number and title path.
+    """Headings with parent, depth, section end, sibling number and title path."""
+    return _tree(blocks).drop("ancestors")
+
+
+def _tree(blocks: DataFrame) -> DataFrame:
+    """The tree with each heading's ancestors, as structs (pos, depth).
 
     ``last_k``: the position of the last heading of level k before this one.  It is
     an ancestor if k is smaller and no heading of a still smaller level came after.
@@ -78,7 +121,7 @@ def heading_tree(blocks: DataFrame) -> DataFrame:
     end = F.least(*[F.when(F.col("level") >= k, F.col(f"n{k}")) for k in range(1, LEVELS + 1)], F.lit(1 << 30))
     tree = rows.select("doc_id", "pos", "level", "title", ancestors.alias("a"), end.alias("e")).join(n, "doc_id")
     parent = F.coalesce(F.element_at("a", -1)["pos"], F.lit(-1))
-    out = tree.select("doc_id", "pos", "level", "title", F.when(F.size("a") > 0, parent).otherwise(-1).alias("parent"), (F.size("a") + 1).alias("depth"), F.least("e", "n_blocks").alias("section_end"), F.array_join(F.concat(F.col("a.title"), F.array("title")), " > ").alias("path"))
+    out = tree.select("doc_id", "pos", "level", "title", F.when(F.size("a") > 0, parent).otherwise(-1).alias("parent"), (F.size("a") + 1).alias("depth"), F.least("e", "n_blocks").alias("section_end"), F.array_join(F.concat(F.col("a.title"), F.array("title")), " > ").alias("path"), F.transform("a", lambda x, i: F.struct(x["pos"].alias("pos"), (i + 1).alias("depth"))).alias("ancestors"))
     return out.withColumn("sibling", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("pos")) - 1)
 
 
@@ -115,9 +158,43 @@ def neighbours(blocks: DataFrame, anchors: DataFrame, radius: int = 3) -> DataFr
     return blocks.join(near, ["doc_id", "heading", "ordinal"]).select("doc_id", "anchor", "ordinal", "block_id")
 
 
-def in_sections(blocks: DataFrame, tree: DataFrame) -> DataFrame:
-    """Every block with each section that holds it: an equi-join by document and a range within it."""
-    return blocks.alias("b").join(tree.alias("t"), (F.col("b.doc_id") == F.col("t.doc_id")) & (F.col("b.ordinal") >= F.col("t.pos")) & (F.col("b.ordinal") < F.col("t.section_end"))).select("b.doc_id", "b.ordinal", "t.pos", "t.depth")
+def in_sections(blocks: DataFrame) -> DataFrame:
+    """Every block with each section that holds it: its own heading and that one's ancestors, so an equi-join."""
+    tree = _tree(blocks)
+    chain = F.concat("ancestors", F.array(F.struct(F.col("pos"), F.col("depth"))))
+    held = tree.select("doc_id", F.col("pos").alias("heading"), F.explode(chain).alias("s"))
+    return blocks.join(held, ["doc_id", "heading"]).select("doc_id", "ordinal", "s.pos", "s.depth")
+
+
+def structure_violations(blocks: DataFrame, headings: DataFrame, manifests: DataFrame) -> DataFrame:
+    """``doc_id, rule, n``: what is wrong with stored blocks, headings and manifests of documents.
+
+    ``headings``: ``doc_id, n`` (their order), ``node, parent, level, depth, section_start, section_end,
+    source`` (the block's ordinal); ``blocks``: ``doc_id, ordinal, kind, text, end, node``;
+    ``manifests``: ``doc_id, text_length, text_sha256``.
+    """
+    facts = manifest(blocks.withColumn("level", F.when(F.col("kind") == "HEADING", 1))).select("doc_id", F.col("n_blocks").alias("blocks"), F.col("text_length").alias("length"), F.col("text_sha256").alias("sha"))
+    text = manifests.join(facts, "doc_id", "left")
+    named = lambda df, rule: df.select("doc_id", F.lit(rule).alias("rule"))
+    parts = [named(text.where(F.col("blocks").isNull()), "NO_BLOCKS"), named(text.where((F.col("length") != F.col("text_length")) | (F.col("sha") != F.col("text_sha256"))), "TEXT_MISMATCH")]
+    root = F.col("parent").isNull()
+    per = manifests.select("doc_id").join(headings, "doc_id", "left").groupBy("doc_id").agg(F.count_if(root & F.col("node").isNotNull()).alias("roots"))
+    parts.append(named(per.where("roots <> 1"), "NOT_ONE_ROOT"))
+    seen = headings.join(facts.select("doc_id", "blocks"), "doc_id", "left").join(headings.groupBy("doc_id", F.col("node").alias("parent")).agg(F.min("n").alias("parent_at")), ["doc_id", "parent"], "left")
+    source = blocks.select("doc_id", F.col("ordinal").alias("source"), F.col("kind").alias("source_kind"), F.col("node").alias("source_node"))
+    seen = seen.join(source, ["doc_id", "source"], "left").withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "node")))
+    rules = F.array(
+        F.when(F.col("same") > 1, "HEADING_REPEATED"), F.when(root & ((F.col("depth") != 0) | (F.col("level") != 0)), "BAD_ROOT"),
+        F.when(~root & ~F.coalesce(F.col("parent_at") < F.col("n"), F.lit(False)), "PARENT_AFTER_CHILD"),
+        F.when((F.col("section_start") < 0) | (F.col("section_end") > F.coalesce("blocks", F.lit(0))) | (F.col("section_start") > F.col("section_end")), "BAD_SECTION"),
+        F.when(~root & ~F.coalesce((F.col("source_kind") == "HEADING") & (F.col("source_node") == F.col("node")), F.lit(False)), "NO_SOURCE_BLOCK"),
+    )
+    parts.append(seen.select("doc_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule")))
+    parts.append(named(blocks.join(headings.select("doc_id", "node").distinct(), ["doc_id", "node"], "left_anti"), "UNKNOWN_HEADING"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 def evidence_groups(blocks: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +87,134 @@ def page_mapping(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     found = wanted.select("document", "printed").distinct().join(bearing, ["document", "printed"], "left")
     n = F.coalesce("n", F.lit(0))
     return found.select("document", "printed", F.when(n == 1, F.col("first")).alias("physical"), F.when(n != 1, F.concat(F.lit("label on "), n.cast("string"), F.lit(" pages"))).alias("error"))
+
+
+def normalized_answers():
+    """Arrow function: without ``[E1]`` marks, NFKC, case folded, only word characters, ``.`` and ``%``."""
+    @F.pandas_udf("string")
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(normalized_answer)
+
+    return run
+
+
+def normalized_answer(x: str | None) -> str:
+    import re
+    import unicodedata
+
+    bare = re.sub(r"(?i)\[E\d+\]", " ", x or "")
+    return re.sub(r"[^\w.%]+", "", unicodedata.normalize("NFKC", bare).casefold())
+
+
+def assess_answers(cases: DataFrame) -> DataFrame:
+    """``case_id, format, reference, items, answer`` → ``case_id, matched, item_recall, in_order``.
+
+    Numbers match if the reference's first number is among the answer's; texts if one
+    holds the other; a list (its ``items``) if the answer holds every item, in order if the items'
+    first places do not fall.  Without an answer nothing matches.
+    """
+    from strandline.functions.text import numbers
+
+    norm = normalized_answers()
+    flat = cases.select("case_id", "format", "reference", "answer", norm("reference").alias("r"), norm("answer").alias("a"))
+    items = cases.where(F.col("format") == "List").select("case_id", F.posexplode("items").alias("n", "item"), "answer")
+    places = items.select("case_id", "n", norm("item").alias("i"), norm("answer").alias("a")).select("case_id", "n", F.when(F.col("i") == "", 0).otherwise(F.instr("a", F.col("i")) - 1).alias("at"))
+    order = Window.partitionBy("case_id").orderBy("n")
+    lists = places.withColumn("falls", F.col("at") < F.lag("at").over(order)).groupBy("case_id").agg(F.avg((F.col("at") >= 0).cast("double")).alias("recall"), F.max(F.coalesce("falls", F.lit(False))).alias("falls"))
+    rows = flat.join(lists, "case_id", "left")
+    given = F.length(F.coalesce("answer", F.lit(""))) > 0
+    decimal = lambda xs: F.transform(xs, lambda n: n.cast("decimal(38,18)"))
+    number = F.get(decimal(numbers(F.col("reference"))), 0)
+    of_number = F.coalesce(F.array_contains(decimal(numbers(F.col("answer"))), number), F.lit(False))
+    of_text = (F.length("r") > 0) & (F.contains("a", "r") | F.contains("r", "a"))
+    listed = F.col("format") == "List"
+    whole = F.coalesce(F.col("recall") == 1, F.lit(False))
+    return rows.select(
+        "case_id", (given & F.when(F.col("format").isin("Int", "Float"), of_number).when(listed, whole).otherwise(of_text)).alias("matched"),
+        F.when(listed, F.when(given, F.round("recall", 6)).otherwise(0.0)).alias("item_recall"), F.when(listed, given & whole & ~F.col("falls")).alias("in_order"),
+    )
+
+
+def citation_metrics(cases: DataFrame, citations: DataFrame) -> DataFrame:
+    """``case_id, document, pages`` (the gold) and ``case_id, document, page`` → what each case's citations hit."""
+    hits = citations.join(cases.select("case_id", F.col("document").alias("gold"), "pages"), "case_id")
+    own = F.col("document") == F.col("gold")
+    per = hits.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.max(own).alias("own"), F.collect_set(F.when(own & F.array_contains("pages", F.col("page")), F.col("page"))).alias("hit"))
+    rows = cases.select("case_id", F.array_distinct("pages").alias("pages")).join(per, "case_id", "left")
+    hit = F.size(F.coalesce("hit", F.array().cast("array<int>")))
+    return rows.select(
+        "case_id", F.coalesce("n", F.lit(0)).alias("citations"), F.coalesce("own", F.lit(False)).alias("relevant_document"), (hit > 0).alias("any_gold_page"),
+        F.round(hit / F.size("pages"), 6).alias("page_coverage"), (hit == F.size("pages")).alias("all_gold_pages"),
+    )
+
+
+def normal_mode(responses: DataFrame, mode: str = "HYBRID") -> DataFrame:
+    """Responses whose metrics count: the request succeeded, undegraded, in the wanted mode, and was measured."""
+    return responses.where(F.col("ok") & ~F.coalesce("degraded", F.lit(False)) & (F.col("executed_mode") == mode) & F.col("measured"))
+
+
+def answer_summary(responses: DataFrame, metrics: DataFrame, by: str = "run") -> DataFrame:
+    """Rates over all requests of a run: what failed or was degraded scores zero.
+
+    ``responses``: ``run, case_id, ok, degraded, executed_mode, measured, status, attempts``.
+    """
+    normal = normal_mode(responses).join(metrics, "case_id", "left")
+    yes = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    good = normal.groupBy(by).agg(yes(F.col("status") == "ANSWERED", "answered"), yes(F.col("status") == "INSUFFICIENT_EVIDENCE", "refused"), yes(F.col("relevant_document"), "relevant"), yes(F.col("any_gold_page"), "any_page"), yes(F.col("all_gold_pages"), "all_pages"), F.sum("page_coverage").alias("coverage"), F.count(F.lit(1)).alias("normal"))
+    per = responses.groupBy(by).agg(F.count(F.lit(1)).alias("requests"), F.count_if("ok").alias("successes"), F.count_if(F.col("ok") & F.col("degraded")).alias("degraded"), F.sum(F.greatest(F.lit(0), F.col("attempts") - 1)).alias("retries"))
+    share = lambda c: F.round(F.coalesce(c, F.lit(0)) / F.col("requests"), 6).alias(f"{c}_rate")
+    return per.join(good, by, "left").select(by, "requests", "successes", F.coalesce("normal", F.lit(0)).alias("normal"), "degraded", "retries", *[share(c) for c in ("answered", "refused", "relevant", "any_page", "all_pages", "coverage")])
+
+
+#: Fixed values of the source data set.
+NOT_ANSWERABLE, ANSWER_FORMATS, PURE_TEXT = "Not answerable", ("Str", "Int", "Float", "List"), "Pure-text (Plain-text)"
+
+
+def candidate_kind(cases: DataFrame) -> DataFrame:
+    """Cases (``answer, format, pages, sources``) with ``kind``: usable as answerable, as unanswerable, or null.
+
+    Answerable ones have an answer of a known format whose evidence has pages and is
+    plain text alone; unanswerable ones say so and have no evidence and no format.
+    """
+    none = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0
+    pages = F.col("pages").cast("array<string>")
+    yes = (F.col("answer") != NOT_ANSWERABLE) & F.coalesce(F.col("format").isin(*ANSWER_FORMATS), F.lit(False)) & ~none(pages) & F.col("sources").eqNullSafe(F.array(F.lit(PURE_TEXT)))
+    no = (F.col("answer") == NOT_ANSWERABLE) & none(pages) & none(F.col("sources")) & F.col("format").isNull()
+    return cases.select("*", F.when(yes, "ANSWERABLE").when(no, "UNANSWERABLE").alias("kind"))
+
+
+def answer_checks(cases: DataFrame, citations: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``case_id, answerable, status`` → whether the status is right, how many citations hold an anchor of their document, and made-up citations of a refusal.
+
+    ``citations``: ``case_id, n, document, text``; ``anchors``: ``case_id, document, anchor``.  Texts are compared folded.
+    """
+    from strandline.functions.text import nfkc_fold
+
+    fold = nfkc_fold()
+    cited = citations.select("case_id", "n", "document", fold("text").alias("text"))
+    wanted = anchors.select("case_id", "document", fold("anchor").alias("anchor"))
+    valid = cited.join(wanted, ["case_id", "document"], "left").groupBy("case_id", "n").agg(F.max(F.coalesce(F.contains("text", "anchor"), F.lit(False))).alias("valid"), F.max(F.col("anchor").isNotNull()).alias("own"))
+    per = valid.groupBy("case_id").agg(F.count(F.lit(1)).alias("citations"), F.count_if("valid").alias("valid"), F.max("own").alias("own"))
+    rows = cases.join(per, "case_id", "left")
+    n = F.coalesce("citations", F.lit(0))
+    expected = F.when(F.col("answerable"), "ANSWERED").otherwise("INSUFFICIENT_EVIDENCE")
+    return rows.select("case_id", F.coalesce(F.col("status") == expected, F.lit(False)).alias("status_correct"), n.alias("citations"), F.coalesce("valid", F.lit(0)).alias("valid_citations"), F.coalesce("own", F.lit(False)).alias("relevant_document"), F.coalesce((F.col("status") == "INSUFFICIENT_EVIDENCE") & (n > 0), F.lit(False)).alias("fabricated"))
+
+
+def hits_at(ranked: DataFrame, gold: DataFrame, cuts=(1, 3, 5, 10)) -> DataFrame:
+    """Whether a gold document of a query is among the first 1, 3, 5 and 10; null without gold."""
+    first = ranked.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
+    best = gold.distinct().join(first, ["query_id", "item"], "left").groupBy("query_id").agg(F.min("rank").alias("best"))
+    every = ranked.select("query_id").union(gold.select("query_id")).distinct()
+    found = gold.select("query_id", F.lit(True).alias("has")).distinct()
+    rows = every.join(found, "query_id", "left").join(best, "query_id", "left")
+    return rows.select("query_id", *[F.when(F.col("has"), F.coalesce(F.col("best") <= n, F.lit(False))).alias(f"hit_{n}") for n in cuts])
+
+
+def corrected_metrics(ranked: DataFrame, gold: DataFrame, items: DataFrame) -> DataFrame:
+    """Ranking metrics where a document of the same content (``item, sha``) counts as the gold one.
+
+    A content is one document: its first copy in a ranking is the hit, so copies of the gold add nothing to what is to be found.
+    """
+    named = lambda df: df.join(items, "item", "left").withColumn("item", F.coalesce(F.col("sha"), F.col("item").cast("string")))
+    return ranking_metrics(named(ranked).select("query_id", "item", "rank"), named(gold).select("query_id", "item"))

@@ -286,3 +286,63 @@ def rerank(ranked: DataFrame, scores: DataFrame) -> DataFrame:
     rows = ranked.join(per, ["query_id", "item"], "left").withColumn("usable", (F.count(F.lit(1)).over(q) >= 2) & (F.sum(F.when(ok & (F.col("c") == 1), 0).otherwise(1)).over(q) == 0))
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("usable"), -F.col("s")), "rank")
     return rows.select("query_id", "item", F.row_number().over(order).alias("rank"), F.col("usable").alias("reranked"))
+
+
+def resolve_hits(hits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Keyword hits with their canonical block, and ``error`` where there is none or the hit's address is another one.
+
+    Both have ``version, block_id, heading, ordinal, start, end``; a hit that does not
+    match makes its evidence unavailable, it is never used in part.
+    """
+    address = ["heading", "ordinal", "start", "end"]
+    there = blocks.select("version", "block_id", *[F.col(c).alias(f"b_{c}") for c in address])
+    same = F.lit(True)
+    for c in address:
+        same = same & (F.col(c) == F.col(f"b_{c}"))
+    rows = hits.join(there, ["version", "block_id"], "left")
+    return rows.select(*hits.columns, F.when(~F.coalesce(same, F.lit(False)), "EVIDENCE_UNAVAILABLE").alias("error"))
+
+
+def semantic_addresses(hits: DataFrame, headings: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``query_id, version, heading, card_type, start, end, error``: the address by which a section is read.
+
+    The best part card of the section if there is one, else its best card.  A full
+    card must have the heading's range, a part must lie in it and hold something, and
+    the characters it states must be those of its first and last block.
+    """
+    order = Window.partitionBy("query_id", "version", "heading").orderBy(F.col("card_type") != "HEADING_SUBPARTITION", "rank")
+    best = hits.where("card_type <> 'DOCUMENT_PROFILE'").withColumn("n", F.row_number().over(order)).where("n = 1")
+    rows = best.join(headings.select("version", "heading", F.col("start").alias("h_start"), F.col("end").alias("h_end")), ["version", "heading"], "left")
+    at = lambda name, c: blocks.select("version", F.col("ordinal").alias(f"{name}_o"), F.col(c).alias(name))
+    rows = rows.join(at("first", "char_start").withColumnRenamed("first_o", "start"), ["version", "start"], "left")
+    rows = rows.withColumn("last_o", F.col("end") - 1).join(at("last", "char_end"), ["version", "last_o"], "left")
+    full, part = F.col("card_type") == "HEADING_NODE", F.col("card_type") == "HEADING_SUBPARTITION"
+    ranged = F.when(full, (F.col("start") == F.col("h_start")) & (F.col("end") == F.col("h_end"))).when(part, (F.col("start") >= F.col("h_start")) & (F.col("end") <= F.col("h_end")) & (F.col("start") < F.col("end")))
+    chars = F.coalesce(F.col("canonical_start") == F.col("first"), F.lit(True)) & F.coalesce(F.col("canonical_end") == F.col("last"), F.lit(True))
+    return rows.select("query_id", "version", "heading", "card_type", "start", "end", F.when(~F.coalesce(ranged & chars, F.lit(False)), "EVIDENCE_UNAVAILABLE").alias("error"))
+
+
+#: What a loaded document must have in common with its manifest.
+LOADED = ("tenant_id", "bucket", "size_bytes", "object_sha256", "block_count", "heading_count", "warning_count", "text_length", "text_sha256")
+
+
+def load_errors(wanted: DataFrame, manifests: DataFrame, loaded: DataFrame) -> DataFrame:
+    """``version, error, mismatches``: closed on any doubt. A version without a manifest or an object, or with one fact that differs, is unavailable."""
+    m = manifests.select("version", F.lit(True).alias("m"), *[F.col(c).alias(f"m_{c}") for c in LOADED])
+    rows = wanted.select("version").join(m, "version", "left").join(loaded.select("version", F.lit(True).alias("l"), *LOADED), "version", "left")
+    differs = F.array(*[F.when(~F.coalesce(F.col(c) == F.col(f"m_{c}"), F.lit(False)), c) for c in LOADED])
+    bad = F.when(F.col("m").isNull(), F.array(F.lit("manifest"))).when(F.col("l").isNull(), F.array(F.lit("object"))).otherwise(F.filter(differs, lambda x: x.isNotNull()))
+    return rows.select("version", F.when(F.size(bad) > 0, "EVIDENCE_UNAVAILABLE").alias("error"), F.array_join(bad, ",").alias("mismatches"))
+
+
+def search_page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One page of a search tool's frozen ranking (``query_id, version, heading, rank``) with its coverage and where it goes on.
+
+    ``documents, families, largest``: what the page covers; ``next_offset`` is null on the last page.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    page = ranked.withColumn("n", n).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    per = page.groupBy("query_id").agg(F.countDistinct("version").alias("documents"), F.countDistinct("heading").alias("families"))
+    most = page.groupBy("query_id", "version").agg(F.count(F.lit(1)).alias("c")).groupBy("query_id").agg(F.max("c").alias("largest"))
+    rows = page.join(per, "query_id").join(most, "query_id")
+    return rows.select("query_id", "version", "heading", "rank", "documents", "families", "largest", F.when(F.col("n") > offset + limit, F.lit(offset + limit)).alias("next_offset"))

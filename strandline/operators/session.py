@@ -98,3 +98,120 @@ def cursor_page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     rows = ranked.withColumn("n", n).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
     return rows.select("query_id", "item", "rank", F.when(F.col("n") > offset + limit, F.lit(offset + limit)).alias("next_offset"))
+
+
+#: Limits of one answer.
+MOST_ROUNDS, MOST_TOOL_CALLS, MOST_MODEL_CALLS, SECONDS = 12, 200, 120, 300
+FINAL_TOKENS, RADIUS = 32_000, 3
+
+
+def loop_limits(calls: DataFrame, rounds: int = MOST_ROUNDS, tools: int = MOST_TOOL_CALLS, models: int = MOST_MODEL_CALLS, seconds: int = SECONDS) -> DataFrame:
+    """``session, seq, round, kind, at`` of the calls that a scripted agent wants to make → which run, and why a session stops.
+
+    ``kind``: MODEL or TOOL; ``at``: seconds from the session's start.  A call over a
+    limit and all after it do not run; the first limit in the order below is the reason.
+    """
+    before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    n = lambda kind: F.count_if(F.col("kind") == kind).over(before)
+    rows = calls.select("*", n("TOOL").alias("t"), n("MODEL").alias("m"))
+    why = F.when(F.col("at") >= seconds, "EXECUTION_TIMEOUT").when((F.col("round") > rounds) | (F.col("t") > tools) | (F.col("m") > models), "EXECUTION_LIMIT_EXCEEDED")
+    marked = rows.withColumn("why", why)
+    stopped = F.first("why", ignorenulls=True).over(before)
+    return marked.select("session", "seq", stopped.isNull().alias("runs"), stopped.alias("stop"))
+
+
+def cached_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Every call with the result of the session's first call of its signature; only that one runs (``ran``)."""
+    order = Window.partitionBy("session", "signature").orderBy("seq")
+    first = calls.withColumn("n", F.row_number().over(order)).withColumn("source", F.first("seq").over(order))
+    return first.join(results.select("session", F.col("seq").alias("source"), "result"), ["session", "source"], "left").select("session", "seq", "result", (F.col("n") == 1).alias("ran"))
+
+
+def opened_evidence(blocks: DataFrame, anchors: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``session, evidence, doc_id, ordinal, view`` → the blocks that opening it shows: ``scope, shown``.
+
+    ``blocks``: ``doc_id, ordinal, heading, page, table_id, row, header``.  ``view`` COLUMN: cells of the
+    anchor's table under its header; TABLE: all of the table; else the anchor's page, and
+    without pages its neighbours within ``radius`` under its heading.
+    """
+    own = anchors.join(blocks, ["doc_id", "ordinal"])
+    scope = (
+        F.when((F.col("view") == "COLUMN") & F.col("table_id").isNotNull() & F.col("header").isNotNull(), "EVIDENCE_COLUMN").when(F.col("view").isin("TABLE", "COLUMN") & F.col("table_id").isNotNull(), "EVIDENCE_TABLE")
+        .when(F.col("page").isNotNull(), "EVIDENCE_PAGE").otherwise("EVIDENCE_NEIGHBORHOOD")
+    )
+    a = own.select("session", "evidence", "doc_id", scope.alias("scope"), F.col("ordinal").alias("at"), "heading", "page", "table_id", "header")
+    take = lambda name, *keys: blocks.select("doc_id", "ordinal", *keys).join(a.where(F.col("scope") == name), ["doc_id", *keys]).select("session", "evidence", "scope", F.col("ordinal").alias("shown"))
+    near = a.where("scope = 'EVIDENCE_NEIGHBORHOOD'").withColumn("ordinal", F.explode(F.sequence(F.col("at") - radius, F.col("at") + radius)))
+    around = blocks.select("doc_id", "heading", "ordinal").join(near, ["doc_id", "heading", "ordinal"]).select("session", "evidence", "scope", F.col("ordinal").alias("shown"))
+    return take("EVIDENCE_COLUMN", "table_id", "header").unionByName(take("EVIDENCE_TABLE", "table_id")).unionByName(take("EVIDENCE_PAGE", "page")).unionByName(around)
+
+
+def final_packages(evidence: DataFrame, blocks: DataFrame, budget: int = FINAL_TOKENS, radius: int = RADIUS) -> DataFrame:
+    """``session, n, evidence, doc_id, ordinal`` → ``session, package, scope, doc_id, anchors, blocks, tokens``: what goes to the last model call.
+
+    Evidence in order: the page it stands on, or without pages the blocks within
+    ``radius`` of it, is a package; evidence that an earlier package of its document
+    holds joins that one.  Packages are taken in order while the budget lasts; one that does not fit shrinks to the
+    neighbourhoods of its anchors, and if that does not fit either it is left out.
+    A fold over each session's packages, of which there are as many as it has evidence.
+    """
+    own = evidence.join(blocks.select("doc_id", "ordinal", "heading", "page"), ["doc_id", "ordinal"])
+    paged = blocks.where(F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens"))).alias("whole"))
+    wanted = own.select("session", "n", "doc_id", "heading", F.explode(F.sequence(F.col("ordinal") - radius, F.col("ordinal") + radius)).alias("ordinal"))
+    near = blocks.select("doc_id", "heading", "ordinal", "tokens").join(wanted, ["doc_id", "heading", "ordinal"]).groupBy("session", "n").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens"))).alias("near"))
+    rows = own.join(paged, ["doc_id", "page"], "left").join(near, ["session", "n"])
+    grouped = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", "evidence", "doc_id", "ordinal", "page", "whole", "near"))).alias("rows"))
+    kind, doc = evidence.schema["session"].dataType.simpleString(), evidence.schema["doc_id"].dataType.simpleString()
+    name = evidence.schema["evidence"].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for session, rows in zip(b["session"], b["rows"], strict=True):
+                out += [(session, *p) for p in pack([r if isinstance(r, dict) else r.asDict(recursive=True) for r in rows], budget)]
+            yield pd.DataFrame(out, columns=["session", "package", "scope", "doc_id", "anchors", "blocks", "tokens"])
+
+    return grouped.mapInPandas(run, f"session {kind}, package int, scope string, doc_id {doc}, anchors array<{name}>, blocks array<int>, tokens long")
+
+
+def pack(rows: list[dict], budget: int):
+    """Packages of one session: (number, scope, document, evidence, blocks, tokens)."""
+    packages: list[dict] = []
+    for r in rows:
+        whole = r["whole"] if r["whole"] is not None and len(r["whole"]) else None
+        blocks = {int(x["ordinal"]): int(x["tokens"]) for x in (whole if whole is not None else r["near"])}
+        near = {int(x["ordinal"]): int(x["tokens"]) for x in r["near"]}
+        page = r["page"] if whole is not None else None
+
+        def holds(p, r=r, page=page):
+            if p["doc"] != r["doc_id"]:
+                return False
+            if p["page"] is not None and page is not None:
+                return p["page"] == page
+            return min(p["blocks"]) <= r["ordinal"] <= max(p["blocks"])
+
+        found = next((p for p in packages if holds(p)), None)
+        if found is None:
+            found = {"doc": r["doc_id"], "page": page, "blocks": blocks, "scope": "CANONICAL_WINDOW" if page is None else "PAGE", "anchors": [], "near": {}}
+            packages.append(found)
+        found["anchors"].append(r["evidence"])
+        found["near"] |= near
+    used = n = 0
+    for p in packages:
+        blocks, scope = p["blocks"], p["scope"]
+        if sum(blocks.values()) > budget - used and p["near"] != blocks:
+            blocks, scope = p["near"], "ANCHOR_NEIGHBORHOOD"
+        tokens = sum(blocks.values())
+        if tokens > budget - used:
+            continue
+        used += tokens
+        n += 1
+        yield n, scope, p["doc"], p["anchors"], sorted(blocks), tokens
+
+
+def cited_answer(answer: Column, cited: Column) -> Column:
+    """The answer with the list of its references after it; without any it stays as it is."""
+    marks = F.array_join(F.transform(F.sequence(F.lit(1), F.size(cited)), lambda k: F.concat(F.lit("["), k.cast("string"), F.lit("]"))), "")
+    return F.when(F.size(cited) > 0, F.concat(answer, F.lit("\n\n参考依据："), marks)).otherwise(answer)

@@ -143,9 +143,90 @@ def combined_population(s, d):
     return both.agg(F.count(F.lit(1)).alias("n"), c.alias("distinct_cases"), (F.count(F.lit(1)) > c).alias("duplicated"))
 
 
-@query("""SELECT event_id FROM events WHERE event_type <> 'error' AND user_id % 3 <> 0 AND value IS NOT NULL""")
+_RESPONSES = """rs AS (SELECT event_id AS case_id, user_id % 7 AS run, event_type <> 'error' AS ok, event_id % 11 = 0 AS degraded, CASE WHEN event_id % 4 = 0 THEN 'KEYWORD' ELSE 'HYBRID' END AS executed_mode, event_id % 13 <> 0 AS measured, CASE WHEN event_id % 3 = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'ANSWERED' END AS status, event_id % 3 AS attempts FROM events)"""
+
+
+def _responses(s, d):
+    k = F.col("event_id")
+    return table(s, d, "events").select(
+        k.alias("case_id"), (F.col("user_id") % 7).alias("run"), (F.col("event_type") != "error").alias("ok"), (k % 11 == 0).alias("degraded"), F.when(k % 4 == 0, "KEYWORD").otherwise("HYBRID").alias("executed_mode"),
+        (k % 13 != 0).alias("measured"), F.when(k % 3 == 0, "INSUFFICIENT_EVIDENCE").otherwise("ANSWERED").alias("status"), (k % 3).alias("attempts"),
+    )
+
+
+@query(f"""WITH {_RESPONSES} SELECT case_id FROM rs WHERE ok AND NOT degraded AND executed_mode = 'HYBRID' AND measured""")
 def normal_population(s, d):
-    return table(s, d, "events").where((F.col("event_type") != "error") & (F.col("user_id") % 3 != 0) & F.col("value").isNotNull()).select("event_id")
+    return E.normal_mode(_responses(s, d)).select("case_id")
+
+
+_CITED = """cs AS (SELECT o_orderkey AS case_id, o_custkey % 5 AS document, [o_orderkey % 4, o_orderkey % 3 + 4, o_orderkey % 4] AS pages FROM orders),
+ct AS (SELECT l_orderkey AS case_id, l_suppkey % 5 AS document, CAST(l_linenumber AS INTEGER) AS page FROM lineitem)"""
+
+
+def _cited(s, d):
+    k = F.col("o_orderkey")
+    cases = table(s, d, "orders").select(k.alias("case_id"), (F.col("o_custkey") % 5).alias("document"), F.array(k % 4, k % 3 + 4, k % 4).cast("array<int>").alias("pages"))
+    return cases, table(s, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), (F.col("l_suppkey") % 5).alias("document"), F.col("l_linenumber").cast("int").alias("page"))
+
+
+_CITATION_SQL = """cm AS (SELECT c.case_id, count(t.case_id) AS citations, coalesce(bool_or(t.document = c.document), false) AS relevant_document, count(DISTINCT t.page) FILTER (WHERE t.document = c.document AND list_contains(c.pages, t.page)) AS hit, any_value(len(list_distinct(c.pages))) AS n
+FROM cs c LEFT JOIN ct t ON t.case_id = c.case_id GROUP BY c.case_id)"""
+
+
+@query(f"""WITH {_CITED}, {_CITATION_SQL} SELECT case_id, citations, relevant_document, hit > 0 AS any_gold_page, round(hit / n, 6) AS page_coverage, hit = n AS all_gold_pages FROM cm""")
+def citation_metrics(s, d):
+    return E.citation_metrics(*_cited(s, d))
+
+
+@query(f"""WITH {_RESPONSES}, {_CITED}, {_CITATION_SQL}, m AS (SELECT rs.*, relevant_document, hit > 0 AS any_page, hit = n AS all_pages, round(hit / n, 6) AS coverage, ok AND NOT degraded AND executed_mode = 'HYBRID' AND measured AS normal_ok FROM rs LEFT JOIN cm USING (case_id))
+SELECT run, count(*) AS requests, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE normal_ok) AS normal, count(*) FILTER (WHERE ok AND degraded) AS degraded, CAST(sum(greatest(0, attempts - 1)) AS BIGINT) AS retries,
+  round(count(*) FILTER (WHERE normal_ok AND status = 'ANSWERED') / count(*), 6) AS answered_rate, round(count(*) FILTER (WHERE normal_ok AND status <> 'ANSWERED') / count(*), 6) AS refused_rate, round(count(*) FILTER (WHERE normal_ok AND relevant_document) / count(*), 6) AS relevant_rate,
+  round(count(*) FILTER (WHERE normal_ok AND any_page) / count(*), 6) AS any_page_rate, round(count(*) FILTER (WHERE normal_ok AND all_pages) / count(*), 6) AS all_pages_rate, round(coalesce(sum(coverage) FILTER (WHERE normal_ok), 0) / count(*), 6) AS coverage_rate FROM m GROUP BY run""")
+def answer_summary(s, d):
+    return E.answer_summary(_responses(s, d), E.citation_metrics(*_cited(s, d)))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 <> 0 AND p_size % 3 <> 0 AND p_size % 5 <> 0 AND p_size % 7 <> 0 THEN 'ANSWERABLE' WHEN p_size % 4 = 0 AND p_size % 3 = 0 AND p_size % 5 = 0 AND p_size % 7 = 0 OR (p_size % 4 = 0 AND p_size % 3 = 0 AND p_size % 5 = 0 AND p_size % 7 = 1) THEN 'UNANSWERABLE' END AS kind FROM part""")
+def candidate_cases(s, d):
+    k = F.col("p_size")
+    sources = F.when(k % 7 == 0, F.array().cast("array<string>")).when((k % 7 == 1) & (k % 4 == 0), F.lit(None).cast("array<string>")).otherwise(F.array(F.lit(E.PURE_TEXT)))
+    cases = table(s, d, "part").select("p_partkey", F.when(k % 4 == 0, E.NOT_ANSWERABLE).otherwise("42").alias("answer"), F.when(k % 3 != 0, F.get(F.array(*[F.lit(x) for x in E.ANSWER_FORMATS]), (k % 4).cast("int"))).alias("format"), F.when(k % 5 != 0, F.array(k)).alias("pages"), sources.alias("sources"))
+    return E.candidate_kind(cases).select("p_partkey", "kind")
+
+
+@query("""WITH c AS (SELECT p_partkey AS case_id, CASE p_size % 3 WHEN 0 THEN 'Int' WHEN 1 THEN 'Str' ELSE 'List' END AS format, p_size, split_part(p_name, ' ', 1) AS x, split_part(p_name, ' ', 2) AS y, p_partkey % 4 AS k FROM part)
+SELECT case_id, CASE WHEN k = 3 THEN false WHEN format = 'Int' THEN k <> 2 WHEN format = 'Str' THEN k <> 2 ELSE k <> 2 END AS matched, CASE WHEN format = 'List' THEN CASE k WHEN 3 THEN 0.0 WHEN 2 THEN 0.5 ELSE 1.0 END END AS item_recall, CASE WHEN format = 'List' THEN k = 0 END AS in_order FROM c
+WHERE x <> y AND NOT contains(x, y) AND NOT contains(y, x)""")
+def answer_assessment(s, d):
+    """Answers that give a part's size, name or words: rightly, in the other order, half, or not at all."""
+    n = F.col("p_name")
+    x, y, k = F.split_part(n, F.lit(" "), F.lit(1)), F.split_part(n, F.lit(" "), F.lit(2)), F.col("p_partkey") % 4
+    size = F.col("p_size").cast("string")
+    form = F.when(F.col("p_size") % 3 == 0, "Int").when(F.col("p_size") % 3 == 1, "Str").otherwise("List")
+    right = F.when(form == "Int", F.concat(F.lit("It is "), size, F.lit(".0 [E1] in all"))).when(form == "Str", F.concat(F.lit("the "), F.upper(n), F.lit("!"))).otherwise(F.concat(x, F.lit(" and "), y))
+    turned = F.when(form == "Int", F.concat(F.lit("7777 or "), size)).when(form == "Str", x).otherwise(F.concat(y, F.lit(" and "), x))
+    wrong = F.when(form == "Int", F.concat(F.lit("v"), size)).when(form == "Str", F.lit("Ω")).otherwise(x)
+    rows = table(s, d, "part").where((x != y) & ~F.contains(x, y) & ~F.contains(y, x))
+    cases = rows.select(F.col("p_partkey").alias("case_id"), form.alias("format"), F.when(form == "Int", size).otherwise(n).alias("reference"), F.array(x, y).alias("items"), F.when(k == 0, right).when(k == 1, turned).when(k == 2, wrong).otherwise("").alias("answer"))
+    return E.assess_answers(cases)
+
+
+@query(f"""WITH {RANKED}, b AS (SELECT g.query_id, min(r.rank) AS best FROM (SELECT DISTINCT * FROM gold) g LEFT JOIN (SELECT query_id, item, min(rank) AS rank FROM ranked GROUP BY ALL) r ON r.query_id = g.query_id AND r.item = g.item GROUP BY g.query_id), q AS (SELECT query_id FROM ranked UNION SELECT query_id FROM gold)
+SELECT q.query_id, {", ".join(f"CASE WHEN b.query_id IS NOT NULL THEN coalesce(best <= {n}, false) END AS hit_{n}" for n in (1, 3, 5, 10))} FROM q LEFT JOIN b USING (query_id)""")
+def hits_at(s, d):
+    return E.hits_at(_ranked(s, d), _gold(s, d))
+
+
+@query("""SELECT o_orderkey AS case_id, (o_orderkey % 3 = 0) = (o_orderkey % 2 = 0) AS status_correct, CAST(o_orderkey % 3 AS BIGINT) AS citations, CAST(CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE 0 END AS BIGINT) AS valid_citations, o_orderkey % 3 > 0 AS relevant_document, o_orderkey % 2 = 1 AND o_orderkey % 3 > 0 AS fabricated FROM orders""")
+def answer_checks(s, d):
+    """Answers with none, one wrong, or a wrong and a right citation."""
+    k = F.col("o_orderkey")
+    orders = table(s, d, "orders")
+    cases = orders.select(k.alias("case_id"), (k % 3 == 0).alias("answerable"), F.when(k % 2 == 0, "ANSWERED").otherwise("INSUFFICIENT_EVIDENCE").alias("status"))
+    anchors = orders.select(k.alias("case_id"), F.lit("a").alias("document"), F.concat(F.lit("Order "), k.cast("string"), F.lit(" is &lt;due&gt;")).alias("anchor"))
+    said = F.when(F.col("n") == 1, F.lit("nothing")).otherwise(F.concat(F.lit("It says ORDER\n"), k.cast("string"), F.lit("  is <due> now")))
+    citations = orders.where(k % 3 > 0).select(k, F.explode(F.sequence(F.lit(1).cast("long"), k % 3)).alias("n")).select(k.alias("case_id"), "n", F.lit("a").alias("document"), said.alias("text"))
+    return E.answer_checks(cases, citations, anchors)
 
 
 QUERIES, SQL = Q, S

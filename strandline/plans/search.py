@@ -243,4 +243,57 @@ def containment_checks(s, d):
     return outside.union(missing)
 
 
+_ADDRESS = """bl AS (SELECT l_orderkey AS version, l_orderkey || ':' || l_linenumber AS block_id, l_linenumber // 3 AS heading, l_linenumber AS ordinal, l_linenumber * 100 AS start, l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity) = 1)"""
+
+
+def _addressed(s, d):
+    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity")
+    rows = table(s, d, "lineitem").withColumn("r", F.row_number().over(one)).where("r = 1")
+    n = F.col("l_linenumber").cast("long")
+    return rows.select(F.col("l_orderkey").alias("version"), F.concat_ws(":", F.col("l_orderkey").cast("string"), n.cast("string")).alias("block_id"), F.floor(n / 3).alias("heading"), n.alias("ordinal"), (n * 100).alias("start"), (n * 100 + F.col("l_quantity").cast("long")).alias("end"))
+
+
+@query(f"""WITH {_ADDRESS} SELECT version, CASE WHEN version % 11 = 0 THEN block_id || 'x' ELSE block_id END AS block_id, CASE WHEN version % 7 = 0 THEN heading + 1 ELSE heading END AS heading, ordinal, start, CASE WHEN version % 5 = 0 THEN "end" + 1 ELSE "end" END AS "end",
+CASE WHEN version % 11 = 0 OR version % 7 = 0 OR version % 5 = 0 THEN 'EVIDENCE_UNAVAILABLE' END AS error FROM bl""")
+def hit_addresses(s, d):
+    v = F.col("version")
+    blocks = _addressed(s, d)
+    hits = blocks.select("version", F.when(v % 11 == 0, F.concat("block_id", F.lit("x"))).otherwise(F.col("block_id")).alias("block_id"), F.when(v % 7 == 0, F.col("heading") + 1).otherwise(F.col("heading")).alias("heading"), "ordinal", "start", F.when(v % 5 == 0, F.col("end") + 1).otherwise(F.col("end")).alias("end"))
+    return R.resolve_hits(hits, blocks)
+
+
+@query(f"""WITH {_ADDRESS}, hd AS (SELECT version, heading, min(ordinal) AS start, max(ordinal) + 1 AS "end" FROM bl GROUP BY version, heading),
+h AS (SELECT 1 AS query_id, version, heading, 'HEADING_NODE' AS card_type, 1 AS rank, start, "end", NULL AS cs FROM hd
+  UNION ALL SELECT 1, version, heading, 'HEADING_SUBPARTITION', 2, start + CASE WHEN version % 6 = 0 THEN 9 ELSE 0 END, "end", CASE WHEN version % 4 = 1 THEN 0 END FROM hd WHERE version % 3 <> 2),
+b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY version, heading ORDER BY card_type = 'HEADING_NODE', rank) = 1)
+SELECT query_id, version, heading, card_type, start, "end", CASE WHEN card_type = 'HEADING_SUBPARTITION' AND (version % 6 = 0 OR (cs IS NOT NULL AND cs <> start * 100)) THEN 'EVIDENCE_UNAVAILABLE' END AS error FROM b""")
+def semantic_addresses(s, d):
+    blocks = _addressed(s, d)
+    headings = blocks.groupBy("version", "heading").agg(F.min("ordinal").alias("start"), (F.max("ordinal") + 1).alias("end"))
+    v, null = F.col("version"), F.lit(None).cast("long")
+    full = headings.select(F.lit(1).alias("query_id"), "version", "heading", F.lit("HEADING_NODE").alias("card_type"), F.lit(1).alias("rank"), "start", "end", null.alias("canonical_start"), null.alias("canonical_end"))
+    part = headings.where(v % 3 != 2).select(F.lit(1).alias("query_id"), "version", "heading", F.lit("HEADING_SUBPARTITION").alias("card_type"), F.lit(2).alias("rank"), (F.col("start") + F.when(v % 6 == 0, 9).otherwise(0)).alias("start"), "end", F.when(v % 4 == 1, F.lit(0).cast("long")).alias("canonical_start"), null.alias("canonical_end"))
+    return R.semantic_addresses(full.unionByName(part), headings, blocks.select("version", "ordinal", F.col("start").alias("char_start"), F.col("end").alias("char_end")))
+
+
+@query("""SELECT o_orderkey AS version, CASE WHEN mismatches <> '' THEN 'EVIDENCE_UNAVAILABLE' END AS error, mismatches FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'manifest' WHEN o_orderkey % 11 = 0 THEN 'object'
+  ELSE concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'tenant_id' END, CASE WHEN o_orderkey % 5 = 0 THEN 'size_bytes' END, CASE WHEN o_orderkey % 3 = 0 THEN 'text_sha256' END) END AS mismatches FROM orders)""")
+def load_checks(s, d):
+    k = F.col("o_orderkey")
+    facts = {"tenant_id": F.col("o_custkey") % 5, "bucket": F.col("o_orderstatus"), "size_bytes": k * 7, "object_sha256": F.sha2("o_orderpriority", 256), "block_count": k % 9, "heading_count": k % 4, "warning_count": k % 2, "text_length": k * 3, "text_sha256": F.sha2("o_orderstatus", 256)}
+    orders = table(s, d, "orders")
+    spoilt = {"tenant_id": F.when(k % 7 == 0, F.lit(-1)).otherwise(facts["tenant_id"]), "size_bytes": F.when(k % 5 == 0, F.lit(0)).otherwise(facts["size_bytes"]), "text_sha256": F.when(k % 3 == 0, F.lit("x")).otherwise(facts["text_sha256"])}
+    manifests = orders.where(k % 13 != 0).select(k.alias("version"), *[v.alias(c) for c, v in facts.items()])
+    loaded = orders.where(k % 11 != 0).select(k.alias("version"), *[v.alias(c) for c, v in (facts | spoilt).items()])
+    return R.load_errors(orders.select(k.alias("version")), manifests, loaded)
+
+
+@query(f"""WITH {HITS}, {FUSED}, nn AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM ranked), pp AS (SELECT * FROM nn WHERE rank > 5 AND rank <= 10), cc AS (SELECT query_id, version, count(*) AS c FROM pp GROUP BY ALL)
+SELECT query_id, version, heading, rank, count(DISTINCT version) OVER (PARTITION BY query_id) AS documents, count(DISTINCT heading) OVER (PARTITION BY query_id) AS families, max(c) OVER (PARTITION BY query_id) AS largest, CASE WHEN n > 10 THEN 10 END AS next_offset FROM pp JOIN cc USING (query_id, version)""")
+def search_tool_page(s, d):
+    """The second page of five of every query's fused ranking."""
+    return R.search_page(R.fuse(_keyword(s, d), _semantic(s, d)).select("query_id", "version", "heading", "rank"), 5, 5)
+
+
 QUERIES, SQL = Q, S

@@ -83,8 +83,60 @@ def canonical_violations(s, d):
 
 @query(f"""WITH RECURSIVE {BLOCKS}, {TREE} SELECT b.doc_id, b.ordinal, e.pos, w.depth FROM blocks b JOIN ends e ON e.doc_id = b.doc_id AND b.ordinal >= e.pos AND b.ordinal < e.section_end JOIN walk w ON w.doc_id = e.doc_id AND w.pos = e.pos""")
 def blocks_in_sections(s, d):
-    blocks = C.assemble(_parsed(s, d))
-    return C.in_sections(blocks, C.heading_tree(blocks))
+    return C.in_sections(C.assemble(_parsed(s, d)))
+
+
+_PIECES = """el AS (SELECT doc_id, src, row_number() OVER (PARTITION BY doc_id ORDER BY src) - 1 AS element, text, level FROM blocks),
+pc AS (SELECT doc_id, element, level, text, length(text) > 120 AS long FROM el)"""
+
+
+@query(f"""WITH {BLOCKS}, {_PIECES} SELECT doc_id, CASE WHEN long THEN CAST(doc_id AS VARCHAR) || ':c:' || lpad(CAST(element AS VARCHAR), 6, '0') END AS continuation, long, md5(regexp_replace(text, '\\s', '', 'g')) AS digest FROM pc""")
+def continuation_groups(s, d):
+    """Elements of more than 120 characters cut into blocks, put together again by their groups."""
+    blocks = C.assemble(_parsed(s, d), 120)
+    key = F.coalesce("continuation", F.col("block_id"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "")
+    grouped = blocks.groupBy("doc_id", key.alias("key")).agg(F.max("continuation").alias("continuation"), (F.count(F.lit(1)) > 1).alias("long"), text.alias("t"))
+    return grouped.select("doc_id", "continuation", "long", F.md5(F.regexp_replace("t", r"\s", "")).alias("digest"))
+
+
+@query(f"""WITH {BLOCKS}, n AS (SELECT doc_id, count(*) AS n FROM blocks WHERE doc_id % 10 <> 3 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_blocks, CASE WHEN n IS NULL THEN CASE WHEN d.doc_id % 20 = 3 THEN 'PDF_NO_EXTRACTABLE_TEXT' ELSE 'DOCUMENT_CORRUPT' END WHEN n > 8 THEN 'DOCUMENT_PARSE_LIMIT_EXCEEDED' END AS error FROM documents d LEFT JOIN n USING (doc_id)""")
+def document_errors(s, d):
+    k = F.col("doc_id")
+    documents = table(s, d, "documents").select("doc_id", F.when(k % 20 == 3, "PDF").otherwise("TXT").alias("format"))
+    return C.document_errors(documents, C.assemble(_parsed(s, d)).where(k % 10 != 3), 8)
+
+
+@query("""SELECT doc_id, doc_id % 4 <> 1 AND doc_id % 4 <> 2 AS same_text, doc_id % 4 <> 2 AS same_letters FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0""")
+def text_preservation(s, d):
+    """Texts whose lines are re-wrapped, or also moved, or also changed."""
+    docs = table(s, d, "documents").where(F.length(F.regexp_replace("text", r"\s", "")) > 0)
+    k, t = F.col("doc_id"), F.col("text")
+    before = docs.select("doc_id", F.lit(0).alias("position"), F.concat(F.lit("~"), t).alias("text"))
+    after = F.when(k % 4 == 0, F.array(F.concat(F.lit("~ "), t))).when(k % 4 == 1, F.array(t, F.lit("~"))).when(k % 4 == 2, F.array(F.lit("~"), F.concat(t, F.lit("x")))).otherwise(F.array(F.lit("~"), F.replace(t, F.lit(" "), F.lit("\n"))))
+    return C.text_preserved(before, docs.select("doc_id", F.posexplode(after).alias("position", "text")))
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, {TREE}, n AS (SELECT doc_id, count(*) AS blocks, count(level) AS heads FROM blocks GROUP BY doc_id)
+SELECT doc_id, rule, n FROM (
+  SELECT doc_id, 'TEXT_MISMATCH' AS rule, 1 AS n FROM n WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 'NOT_ONE_ROOT', 1 FROM n WHERE doc_id % 6 = 0
+  UNION ALL SELECT doc_id, 'NO_SOURCE_BLOCK', heads FROM n WHERE doc_id % 7 = 0 AND heads > 0
+  UNION ALL SELECT doc_id, 'BAD_SECTION', heads FROM n WHERE doc_id % 8 = 0 AND heads > 0
+  UNION ALL SELECT p.doc_id, 'PARENT_AFTER_CHILD', count(*) FROM par p WHERE (p.doc_id % 6 = 0 AND p.parent = -1) OR (p.doc_id % 9 = 0 AND p.parent <> -1) GROUP BY p.doc_id
+  UNION ALL SELECT b.doc_id, 'UNKNOWN_HEADING', count(*) FROM blocks b WHERE b.doc_id % 6 = 0 AND NOT EXISTS (SELECT 1 FROM blocks h WHERE h.doc_id = b.doc_id AND h.ordinal <= b.ordinal AND h.level IS NOT NULL) GROUP BY b.doc_id)""")
+def structure_violations(s, d):
+    """Documents whose manifest, root, source blocks, sections or heading order are spoilt."""
+    k = F.col("doc_id")
+    blocks = C.assemble(_parsed(s, d)).withColumnRenamed("heading", "node")
+    tree = C.heading_tree(blocks.withColumnRenamed("node", "heading"))
+    real = tree.select("doc_id", F.when(k % 9 == 0, -F.col("pos")).otherwise(F.col("pos") + 1).alias("n"), F.col("pos").alias("node"), "parent", "level", "depth", F.col("pos").alias("section_start"), F.when(k % 8 == 0, F.lit(1 << 29)).otherwise(F.col("section_end")).alias("section_end"), F.when(k % 7 != 0, F.col("pos")).alias("source"))
+    null = F.lit(None).cast("int")
+    ends = blocks.groupBy("doc_id").agg((F.max("ordinal") + 1).alias("e"))
+    roots = ends.where(k % 6 != 0).select("doc_id", F.lit(-(1 << 29)).alias("n"), F.lit(-1).alias("node"), null.alias("parent"), F.lit(0).alias("level"), F.lit(0).alias("depth"), F.lit(0).alias("section_start"), F.col("e").alias("section_end"), null.alias("source"))
+    stated = C.manifest(blocks).select("doc_id", "text_length", F.when(k % 5 == 0, "other").otherwise(F.col("text_sha256")).alias("text_sha256"))
+    return C.structure_violations(blocks, real.unionByName(roots), stated)
 
 
 @query(f"""WITH {BLOCKS}, b AS (SELECT *, coalesce((SELECT max(h.ordinal) FROM blocks h WHERE h.doc_id = x.doc_id AND h.ordinal <= x.ordinal AND h.level IS NOT NULL), -1) AS heading FROM blocks x)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline import catalog
 from strandline.functions import hashing, text, vectors
-from strandline.operators import canonical, cards, control, evaluation, search, session
+from strandline.operators import artifacts, canonical, cards, control, evaluation, geometry, search, session
 from strandline.sources import docx, html_table, markdown
 from strandline.streaming.deltas import AnswerDeltas, DeltaError, chunks, visible_text
 
@@ -216,6 +216,72 @@ def test_page_mapping_golden(spark):
     assert got == {"1": (2, None), "2": (None, "label on 2 pages"), "9": (None, "label on 0 pages")}
 
 
+def test_glyph_lines_golden(spark):
+    glyph = lambda y, x, t, w=5.0, size=10.0, font="Serif": (1, y, x, w, 8.0, size, font, t, 100.0)
+    rows = [glyph(10.0, 5.0, "b"), glyph(11.0, 0.0, "a"), glyph(13.0, 12.5, "c", font="Serif-Bold"), glyph(14.0, 0.0, "d"), glyph(14.0, 40.0, "e"), glyph(30.0, 0.0, " "), glyph(31.0, 5.2, "f", size=20.0), glyph(50.0, 0.0, " ")]
+    out = geometry.glyph_lines(spark.createDataFrame(rows, "page int, y double, x double, width double, height double, font_size double, font string, text string, page_width double"), "page").orderBy("line").collect()
+    assert [(r["text"], r["bold"], r["large_gap"], r["font_size"]) for r in out] == [("ab c", True, False, 10.0), ("d e", False, True, 10.0), ("f", False, False, 20.0)]
+
+
+def test_word_lines_golden(spark):
+    rows = [("c", 10.0, 20.0, 25.0, "two", False), ("c", 11.9, 0.0, 5.0, "one", True), ("c", 12.1, 0.0, 5.0, "next", False), ("c", 14.0, 9.0, 12.0, " ", True), ("c", 14.0, 9.0, 12.0, "word", True)]
+    out = geometry.word_lines(spark.createDataFrame(rows, "cell string, top double, x0 double, x1 double, text string, bold boolean"), "cell").orderBy("line").collect()
+    assert [(r["text"], r["bold"], r["mixed"]) for r in out] == [("one two", True, True), ("next word", False, False)]
+
+
+def test_two_columns_golden(spark):
+    lines = [(t, n) for t in "abcd" for n in range(5)]
+    words = [(t, n, x, x + 10.0, f"{t}{n}{side}") for t, n in lines for side, x in (("l", 0.0), ("r", 60.0)) if not (t == "b" and n > 1 and side == "r")] + [("c", 2, 45.0, 55.0, "over")]
+    separators = [("a", 50.0, 2, 3), ("b", 50.0, 2, 3), ("c", 50.0, 2, 3), ("d", 50.0, 3, 3)]
+    out = geometry.two_columns(spark.createDataFrame(lines, "table_id string, line int"), spark.createDataFrame(words, "table_id string, line int, x0 double, x1 double, text string"), spark.createDataFrame(separators, "table_id string, x double, columns int, rows int")).collect()
+    assert {r["table_id"] for r in out} == {"a"} and sorted((r["row"], r["column"], r["text"]) for r in out) == [(n, c, f"a{n}{'lr'[c]}") for n in range(5) for c in (0, 1)]
+
+
+def test_cell_segments_golden(spark):
+    rows = [(0, "Title", True, False), (1, "more title", True, False), (2, "body", False, False), (3, "Next", True, True), (4, "tail", False, False), (5, " ", False, False), (6, "Last", True, False)]
+    out = geometry.cell_segments(spark.createDataFrame([(1, *r) for r in rows], "cell int, line int, text string, bold boolean, mixed boolean"), "cell").orderBy("segment").collect()
+    assert [(r["text"], r["heading"]) for r in out] == [("Title\nmore title\nbody", "Title\nmore title"), ("Next\ntail", "Next"), ("Last", "Last")]
+
+
+def test_section_cards_match_recursion(spark):
+    rows = [(1, i, "HEADING" if lv else "PARAGRAPH", lv, t) for i, (lv, t) in enumerate([(None, "before"), (1, "A"), (None, "some words here"), (2, "B"), (3, "C"), (None, "deep text"), (None, "again"), (2, "D"), (1, "E")])]
+    blocks = canonical.assemble(spark.createDataFrame(rows, "doc_id long, src int, kind string, level int, text string"))
+    got = {r["title"]: r for r in artifacts.section_cards(blocks, canonical.heading_tree(blocks)).collect()}
+    assert got["C"]["source"] == "deep text\n\nagain" and got["D"]["source"] == "Section title: D" and got["E"]["source"] == "Section title: E"
+    render = lambda t: f"Section: {t}\nSummary: {got[t]['card']['summary']}\nTopics: {' | '.join(got[t]['card']['topics'])}\nQuestions: What does {t} say?"
+    assert got["B"]["source"] == render("C") and got["A"]["source"] == "some words here\n\n" + render("B") + "\n\n" + render("D")
+    assert got["C"]["card"]["summary"] == "deep text\n\nagain"
+
+
+def test_reduced_sources():
+    halve = lambda s: s[: len(s) // 2]
+    assert artifacts.reduced("a" * 100, 30, text.split_text, halve, len).count("a") <= 30
+    assert artifacts.reduced("short", 30, text.split_text, halve, len) == "short"
+    with pytest.raises(ValueError):
+        artifacts.reduced("a" * 100, 30, text.split_text, lambda s: s, len)
+    with pytest.raises(ValueError):
+        artifacts.reduced("a" * 10**5, 1, lambda s, n: [s], lambda s: s[:-1], len)
+
+
+def test_final_packages_plain():
+    block = lambda *os: [{"ordinal": o, "tokens": 10} for o in os]
+    row = lambda n, doc, o, page, whole, near: {"n": n, "evidence": f"E{n}", "doc_id": doc, "ordinal": o, "page": page, "whole": whole, "near": near}
+    rows = [row(1, 1, 3, 1, block(1, 2, 3, 4), block(2, 3, 4)), row(2, 1, 4, 1, block(1, 2, 3, 4), block(3, 4, 5)), row(3, 2, 9, None, None, block(6, 7, 8, 9)), row(4, 2, 7, None, None, block(4, 5, 6, 7)), row(5, 3, 5, 2, block(*range(9)), block(4, 5, 6))]
+    assert list(session.pack(rows, 115)) == [(1, "PAGE", 1, ["E1", "E2"], [1, 2, 3, 4], 40), (2, "CANONICAL_WINDOW", 2, ["E3", "E4"], [6, 7, 8, 9], 40), (3, "ANCHOR_NEIGHBORHOOD", 3, ["E5"], [4, 5, 6], 30)]
+    assert [p[0] for p in session.pack(rows, 75)] == [1, 2] and list(session.pack(rows[4:], 20)) == []
+
+
+def test_normalized_answer():
+    assert evaluation.normalized_answer("The  ＡBC [e12], 3.5 % ß_x!") == "theabc3.5%ss_x" and evaluation.normalized_answer(None) == ""
+
+
+def test_corrected_metrics(spark):
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "query_id long, item long, rank int")
+    gold = spark.createDataFrame([(1, 12)], "query_id long, item long")
+    items = spark.createDataFrame([(10, "x"), (11, "same"), (12, "same")], "item long, sha string")
+    assert evaluation.corrected_metrics(ranked, gold, items).first()["rr_10"] == 0.5
+
+
 def test_authorize_and_lease(spark):
     assert one(spark, control.allows(F.lit("READ_WRITE"), F.lit("READ"))) and not one(spark, control.allows(F.lit("X"), F.lit("READ"))) and not one(spark, control.allows(F.lit(None).cast("string"), F.lit("READ")))
     assert [one(spark, control.backoff_seconds(F.lit(n))) for n in (0, 1, 5, 9)] == [1, 1, 600, 600]
