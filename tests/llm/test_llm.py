@@ -542,7 +542,7 @@ def test_license_inside_prose(around):
         rng = random.Random(k)
         text = prose(rng, around) + " " + notice + " " + prose(rng, around)
         got = list(scanner.scan(text))
-        assert [x[0] for x in got] == [name] and text[got[0][1] : got[0][2]].rstrip(".") == notice.rstrip(".") and got[0][4:] == (1.0, [])
+        assert [x[0] for x in got] == [name] and text[got[0][1] : got[0][2]].rstrip("./") == notice.rstrip("./") and got[0][4:] == (1.0, [])
 
 
 def test_licenses_wrapped_and_without_usual_words():
@@ -555,6 +555,60 @@ def test_licenses_wrapped_and_without_usual_words():
             assert [x[0] for x in scanner.scan("code here\n" + text + "\nmore code")] == [name]
 
 
+def test_scan_matches_brute_force():
+    import math
+
+    rng = random.Random(23)
+    scanner = L.Scanner()
+
+    def plain(text):
+        """Every template at every word, and what does not overlap a better one."""
+        spans = [(m[0].lower(), *m.span()) for m in L._WORD.finditer(text)]
+        words = [s[0] for s in spans]
+        found = set()
+        for k, (_, keys, _) in enumerate(L.TEMPLATES):
+            size = len(scanner.words[k])
+            most = max(1, 0.4 * size)
+            slack = math.ceil(most)
+            for begin in range(-slack, len(words)):
+                there = words[max(0, begin - slack) : max(0, begin + size + slack)]
+                if not set(keys.split()) <= set(there) or not (fit := scanner.align(there, k)):
+                    continue
+                first, last, n, diff = fit
+                if n >= 0.8 * size and len(diff) <= most and not {d[1:] for d in diff if d[0] == "-"} & set(keys.split()):
+                    a = max(0, begin - slack)
+                    gain = scanner.gain(text[spans[a + first][1] : L._CLOSING.match(text, spans[a + last - 1][2]).end()], k)
+                    if gain >= 0.15:
+                        found.add((len(diff) - n, -n, -gain, k, a + first, a + last))
+        stay = []
+        for x in sorted(found):
+            if all(x[5] <= y[4] or y[5] <= x[4] for y in stay):
+                stay.append(x)
+        return [(L.TEMPLATES[x[3]][0], spans[x[4]][1]) for x in sorted(stay, key=lambda x: x[4])]
+
+    short = [t for t in L.TEMPLATES if len(t[2]) < 300]
+    for _ in range(25):
+        parts = []
+        for _ in range(3):
+            notice = rng.choice(short)[2].split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.choice([0, 1])] = [rng.choice(["edited", "license", "the", "2.0"])]
+            parts += [prose(rng, rng.randrange(0, 12)), " ".join(notice)]
+        text = " ".join(parts)
+        assert [(x[0], x[1]) for x in scanner.scan(text)] == plain(text), text
+
+
+def test_texts_that_share_wording_are_told_apart():
+    scanner = L.Scanner()
+    whole = {(n, k): t for n, k, t in L.TEMPLATES}
+    two, three = (next(t for (n, _), t in whole.items() if n == x) for x in ("BSD-2-Clause", "BSD-3-Clause"))
+    assert [x[0] for x in scanner.scan("a\n" + two + "\nb")] == ["BSD-2-Clause"] and [x[0] for x in scanner.scan(three)] == ["BSD-3-Clause"]
+    assert [x[0] for x in scanner.scan(three.replace("the copyright holder nor", "Some Company nor"))] == ["BSD-3-Clause"]
+    later = next(t for (n, _), t in whole.items() if n == "GPL-3.0-or-later")
+    assert [x[0] for x in scanner.scan(later)] == ["GPL-3.0-or-later"] and [x[0] for x in scanner.scan(later.replace("3", "4"))] == []
+
+
 def test_licenses_of_one_line():
     scanner = L.Scanner()
     text = "Licensed under the Apache License, Version 2.0. Released under the MIT License. Licensed under CC BY-SA 4.0. All rights reserved."
