@@ -315,24 +315,42 @@ def test_passages_match_brute_force(spark):
     assert {i: set().union(*(r["kept_in"] for r in got if r["doc_id"] == i)) for i in keeps} == keeps
 
 
-def test_jaccard_links_match_brute_force(spark):
+def test_removals_match_brute_force(spark):
     rng = random.Random(4)
-    base = [prose(rng, 40, 9000).split() for _ in range(6)]
+    base = [prose(rng, 80, 10**6).split() for _ in range(12)]
     rows = []
-    for i in range(60):
-        w = list(rng.choice(base))
-        for _ in range(rng.choice([0, 1, 1, 2, 4])):
-            w[rng.randrange(40)] = f"e{rng.randrange(10**6)}"
-        rows.append((i, " ".join(w)))
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(36)} for i, t in rows}
-    root = {i: i for i in sets}
-    for i, j in itertools.combinations(sets, 2):
-        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-            a, b = root[i], root[j]
-            root = {k: (min(a, b) if r in (a, b) else r) for k, r in root.items()}
-    want = {i for i in sets if root[i] != i}
-    got = {r["doc_id"] for r in D.find_repeats(docs(spark, rows)).where("end_word - start_word = 40").collect()}
-    assert want <= got
+    for i in range(90):
+        lines = []
+        for _ in range(rng.choice([1, 2])):
+            w = list(rng.choice(base)) if rng.random() < 0.7 else prose(rng, 80, 10**6).split()
+            for _ in range(rng.choice([0, 1, 1, 2, 9])):
+                w[rng.randrange(80)] = f"e{rng.randrange(10**6)}"
+            lines.append(w)
+        rows.append((i, lines))
+    # paragraphs: similar ones are one group; all but those of the document with the smallest id go
+    units = [(i, k, tuple(w)) for i, lines in rows for k, w in enumerate(lines)]
+    sets = [{w[k : k + 5] for k in range(76)} for _, _, w in units]
+    root = list(range(len(units)))
+    for i, j in itertools.combinations(range(len(units)), 2):
+        if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if r == b else r for r in root]
+    keep = {}
+    for (i, _, _), r in zip(units, root, strict=True):
+        keep[r] = min(keep.get(r, i), i)
+    want = {(i, 80 * k + n) for (i, k, _), r in zip(units, root, strict=True) if keep[r] != i for n in range(80)}
+    # passages: words of a window of 32 that a smaller id has
+    first = {}
+    for i, lines in rows:
+        w = [x for line in lines for x in line]
+        for k in range(len(w) - 31):
+            first.setdefault(tuple(w[k : k + 32]), i)
+    for i, lines in rows:
+        w = [x for line in lines for x in line]
+        want |= {(i, k + n) for k in range(len(w) - 31) if first[tuple(w[k : k + 32])] < i for n in range(32)}
+    d = docs(spark, [(i, "\n".join(" ".join(w) for w in lines)) for i, lines in rows])
+    got = {(r["doc_id"], k) for r in D.find_repeats(d).collect() for k in range(r["start_word"], r["end_word"])}
+    assert got == want and len(want) > 2000 and len(set(root)) < len(root) - 20
 
 
 # quality
