@@ -156,6 +156,49 @@ def mostly_upper(x: Column) -> Column:
     return (letters > 0) & (F.length(F.regexp_replace(x, r"[^\p{Lu}]", "")) * 10 >= letters * 9)
 
 
+#: Titles that are chapters whatever else they look like.
+SECTIONS = (
+    "abstract introduction background overview method methods methodology result results discussion conclusion conclusions reference references appendix "
+    "摘要 引言 背景 概述 方法 结果 讨论 结论 参考文献 附录"
+).split()
+
+
+def chapter_title(x: Column, upper: bool = True) -> Column:
+    """Whether a title of at most 100 characters is a known section's or, with ``upper``, has 4 ASCII letters or more, 90 % of them capitals."""
+    title = strip(narrow(x))
+    bare = F.lower(F.regexp_replace(title, r"[\s:：.。!！?？\-_—]+", ""))
+    ascii_ = F.length(F.regexp_replace(title, "[^A-Za-z]", ""))
+    capitals = F.length(F.regexp_replace(title, "[^A-Z]", ""))
+    loud = (ascii_ >= 4) & (capitals * 10 >= ascii_ * 9) if upper else F.lit(False)
+    return F.length(title).between(1, 100) & (bare.isin(*SECTIONS) | loud)
+
+
+def ordered_number(x: Column) -> Column:
+    """A numbered title with its number in front: after it goes ``1.2.`` that stands at its end or touches it, if the rest reads like a heading."""
+    title = strip(narrow(x))
+    lead, trail = r"^(\d+(?:\.\d+){1,5}\.)(\S.{0,118})$", r"^(.{2,120}?)(\d+(?:\.\d+){1,5}\.)$"
+    part = lambda pattern, n: F.regexp_extract(title, pattern, n)
+    after, before = F.trim(part(lead, 2)), F.trim(part(trail, 1))
+    return F.when(F.rlike(title, F.lit(lead)) & plausible_heading(after), F.concat_ws(" ", part(lead, 1), after)).when(F.rlike(title, F.lit(trail)) & plausible_heading(before), F.concat_ws(" ", part(trail, 2), before)).otherwise(x)
+
+
+def split_numbered(x: Column) -> Column:
+    """Struct (heading, body) of a text that begins with a numbered sentence which reads like a heading; the heading is null otherwise."""
+    pattern = r"(?s)^(\d+(?:\.\d+){1,5}\.)\s*(.{1,120}?[.!?])\s+(.+)$"
+    text = strip(x)
+    ok = F.rlike(text, F.lit(pattern)) & plausible_heading(F.regexp_extract(text, pattern, 2))
+    head = F.concat_ws(" ", F.regexp_extract(text, pattern, 1), strip(F.regexp_extract(text, pattern, 2)))
+    return F.struct(F.when(ok, head).alias("heading"), F.when(ok, strip(F.regexp_extract(text, pattern, 3))).otherwise(x).alias("body"))
+
+
+def like_escaped(x: Column, escape: str = "!") -> Column:
+    """A text to be found as it is by LIKE with this escape sign."""
+    out = x
+    for sign in (escape, "%", "_"):
+        out = F.replace(out, F.lit(sign), F.lit(escape + sign))
+    return out
+
+
 #: Words that need no capital in a heading.
 SMALL_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
 
@@ -180,8 +223,10 @@ def extension_format(name: Column) -> Column:
 
 
 def location_label(path: Column, page: Column, line: Column) -> Column:
-    """Where a citation points: heading path, page, line; parts that are null are left out."""
-    return F.concat_ws(" · ", F.when(F.length(path) > 0, path), F.concat(F.lit("p. "), page.cast("string")), F.concat(F.lit("l. "), line.cast("string")))
+    """Where a citation points: the heading path, then the page or else the line; the body if there is nothing."""
+    place = F.when(page > 0, F.concat(F.lit("第 "), page.cast("string"), F.lit(" 页"))).when(line > 0, F.concat(F.lit("第 "), line.cast("string"), F.lit(" 行")))
+    label = F.concat_ws(" / ", path, place)
+    return F.when(F.length(label) > 0, label).otherwise("文档正文")
 
 
 def embedding_text(document: Column, section: Column, summary: Column, topics: Column, aliases: Column, questions: Column) -> Column:

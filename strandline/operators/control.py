@@ -99,8 +99,13 @@ def expired(audits: DataFrame, now: str, days: int = 90, batch: int = 200) -> Da
 BACKOFF = [1, 5, 30, 120, 600]
 
 
+def jittered_seconds(attempt: Column, key: Column, share: float = 0.2) -> Column:
+    """The same with up to ``share`` more, by a hash of the row's key, so that rows that failed together come back apart."""
+    return (backoff_seconds(attempt) * (1 + F.lit(share) * F.pmod(F.xxhash64(key), F.lit(1000)) / 1000)).cast("double")
+
+
 def backoff_seconds(attempt: Column) -> Column:
-    """Seconds before the next try; from the fifth failure on the last step holds. No jitter."""
+    """Seconds before the next try; from the fifth failure on the last step holds."""
     return F.element_at(F.array(*[F.lit(s) for s in BACKOFF]), F.least(F.greatest(attempt, F.lit(1)), F.lit(len(BACKOFF))).cast("int")).cast("long")
 
 
@@ -125,6 +130,79 @@ def lease(jobs: DataFrame, owner: str, now: str, minutes: int = 15) -> DataFrame
     return jobs.select("job_id", action.alias("action"), F.when(got, F.lit(owner)).otherwise(F.col("lease_owner")).alias("owner"), F.when(got, at + F.expr(f"INTERVAL {minutes} MINUTES")).otherwise(F.col("lease_until")).alias("until"))
 
 
+def job_after(jobs: DataFrame, requests: DataFrame, now: str) -> DataFrame:
+    """``job_id, owner, action, code, retryable`` → the jobs as they are after it: ``job_id, changed, status, lease_owner, code, retryable, finished_at``.
+
+    RELEASE and SUCCEED need a running job of that owner, FAIL one that is pending or
+    running and held by that owner or by nobody; anything else changes nothing.
+    """
+    r = requests.select("job_id", F.col("owner").alias("r_owner"), "action", F.col("code").alias("r_code"), F.col("retryable").alias("r_retryable"))
+    rows = jobs.join(r, "job_id")
+    mine = F.coalesce(F.col("lease_owner") == F.col("r_owner"), F.lit(False))
+    held = (F.col("job_status") == "RUNNING") & mine
+    may_fail = F.col("job_status").isin("PENDING", "RUNNING") & (mine | F.col("lease_owner").isNull())
+    ok = F.when(F.col("action").isin("RELEASE", "SUCCEED"), held).when(F.col("action") == "FAIL", may_fail).otherwise(False)
+    to = F.when(F.col("action") == "RELEASE", "PENDING").when(F.col("action") == "SUCCEED", "SUCCEEDED").otherwise("FAILED")
+    failed, ended = ok & (F.col("action") == "FAIL"), ok & F.col("action").isin("FAIL", "SUCCEED")
+    return rows.select(
+        "job_id", ok.alias("changed"), F.when(ok, to).otherwise(F.col("job_status")).alias("status"), F.when(~ok, F.col("lease_owner")).alias("lease_owner"),
+        F.when(failed, F.col("r_code")).alias("code"), F.when(failed, F.col("r_retryable")).alias("retryable"), F.when(ended, F.lit(now).cast("timestamp_ntz")).alias("finished_at"),
+    )
+
+
+def outbox_after(queue: DataFrame, results: DataFrame, now: str) -> DataFrame:
+    """The queue after a round of publishing: ``id, state, owner, available_at, error``.
+
+    ``results``: ``id, owner, sent, error``.  A row that is locked by the owner is sent, or pending again
+    after its backoff with the error; other locks that ran out are pending at once; results of another owner count for nothing.
+    """
+    at = F.lit(now).cast("timestamp_ntz")
+    r = results.select("id", F.col("owner").alias("r_owner"), "sent", F.col("error").alias("r_error"))
+    rows = queue.join(r, "id", "left")
+    mine = (F.col("state") == "LOCKED") & F.coalesce(F.col("owner") == F.col("r_owner"), F.lit(False))
+    stale = (F.col("state") == "LOCKED") & (F.col("locked_until") < at) & ~mine
+    sent, failed = mine & F.col("sent"), mine & ~F.col("sent")
+    later = F.timestamp_seconds(F.unix_seconds(at.cast("timestamp")) + backoff_seconds(F.col("attempts"))).cast("timestamp_ntz")
+    return rows.select(
+        "id", F.when(sent, "SENT").when(failed | stale, "PENDING").otherwise(F.col("state")).alias("state"), F.when(~(mine | stale), F.col("owner")).alias("owner"),
+        F.when(failed, later).when(stale, at).otherwise(F.col("available_at")).alias("available_at"), F.when(failed, F.col("r_error")).alias("error"),
+    )
+
+
+def complete_deletion(documents: DataFrame, versions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Deleting documents of whose versions nothing is stored any more: ``document_id, action, left``.
+
+    ``artifacts``: ``version_id`` of what the stores and indices still hold.  The name is
+    free from the beginning of the deletion; only with the last artifact gone is the document deleted.
+    """
+    held = versions.join(artifacts.groupBy("version_id").agg(F.count(F.lit(1)).alias("n")), "version_id").groupBy("document_id").agg(F.sum("n").alias("left"))
+    rows = documents.join(held, "document_id", "left").select("document_id", "doc_status", F.coalesce("left", F.lit(0)).alias("left"))
+    action = ladder((F.col("doc_status") == "DELETED", "ALREADY_DELETED"), (F.col("doc_status") != "DELETING", "NOT_DELETING"), (F.col("left") > 0, "PURGE"), otherwise="DELETED")
+    return rows.select("document_id", action.alias("action"), "left")
+
+
+def accept_upload(requests: DataFrame, accepted: DataFrame, names: DataFrame) -> DataFrame:
+    """``request_id, key, fingerprint, kb_id, name`` → what becomes of an upload of a new document.
+
+    ``accepted``: ``key, fingerprint, document_id`` of requests done before: an equal one is
+    replayed with its document, another one under the key is a conflict.  ``names``: the
+    active ``kb_id, name``, which no second document may have; of new requests for one
+    name the first wins.  The comparison is exact, letter case included.
+    """
+    known = accepted.select("key", F.col("fingerprint").alias("a_fingerprint"), F.col("document_id").alias("replayed"))
+    rows = requests.join(known, "key", "left").join(names.select("kb_id", "name", F.lit(True).alias("taken")).distinct(), ["kb_id", "name"], "left")
+    fresh = F.col("a_fingerprint").isNull()
+    first = F.row_number().over(Window.partitionBy("kb_id", "name", fresh).orderBy("request_id"))
+    again = F.row_number().over(Window.partitionBy("key", fresh).orderBy("request_id"))
+    twin = F.first("fingerprint").over(Window.partitionBy("key").orderBy("request_id"))
+    rows = rows.withColumn("n", first).withColumn("k", again).withColumn("twin", twin)
+    action = ladder(
+        (~fresh & (F.col("a_fingerprint") == F.col("fingerprint")), "REPLAY"), (~fresh, "IDEMPOTENCY_CONFLICT"),
+        ((F.col("k") > 1) & (F.col("twin") != F.col("fingerprint")), "IDEMPOTENCY_CONFLICT"), (F.col("k") > 1, "IN_PROGRESS"), (F.col("taken"), "DOCUMENT_NAME_CONFLICT"), (F.col("n") > 1, "DOCUMENT_NAME_CONFLICT"), otherwise="ACCEPTED",
+    )
+    return rows.select("request_id", action.alias("action"), F.when(action == "REPLAY", F.col("replayed")).alias("document_id"))
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: tuple = ()) -> DataFrame:
     """Merge by key: incoming values win, but columns in ``keep`` stay as they were."""
     a, b = existing.alias("a"), incoming.alias("b")

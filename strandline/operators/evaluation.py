@@ -218,3 +218,30 @@ def corrected_metrics(ranked: DataFrame, gold: DataFrame, items: DataFrame) -> D
     """
     named = lambda df: df.join(items, "item", "left").withColumn("item", F.coalesce(F.col("sha"), F.col("item").cast("string")))
     return ranking_metrics(named(ranked).select("query_id", "item", "rank"), named(gold).select("query_id", "item"))
+
+
+def select_cases(candidates: DataFrame, quotas: dict[str, dict[str, int]], seed: str) -> DataFrame:
+    """``case, document, domain, label`` → the selected cases, with their ``step`` and place ``n`` in it.
+
+    Label after label, and domain after domain as ``quotas`` names them, cases are taken
+    in a random order that depends on the seed alone; first those of documents that no
+    case was taken of, one each, then any others until the quota is full.  A step that
+    cannot fill it is an error.  There is one step for each quota, with one window each.
+    """
+    from strandline.adapters import stored
+    from strandline.functions.hashing import hash_order
+
+    used, taken, done = None, None, []
+    for label, by_domain in quotas.items():
+        for domain, quota in by_domain.items():
+            own = candidates.where((F.col("label") == label) & (F.col("domain") == domain)).withColumn("score", hash_order(f"{seed}|{label}|{domain}", F.col("case"), F.col("document")))
+            own = own.withColumn("old", F.lit(False)) if used is None else own.join(used.withColumn("old", F.lit(True)), "document", "left").withColumn("old", F.coalesce("old", F.lit(False)))
+            nth = F.row_number().over(Window.partitionBy("document").orderBy("score", "case"))
+            ranked = own.withColumn("late", F.col("old") | (nth > 1)).orderBy("late", "score", "case").limit(quota)
+            step = stored(ranked.select("case", "document", "domain", "label", F.lit(len(done)).alias("step"), F.row_number().over(Window.orderBy("late", "score", "case")).alias("n")), "cases")
+            if step.count() < quota:
+                raise ValueError(f"too few {label}/{domain} cases")
+            done.append(step)
+            taken = step if taken is None else taken.unionByName(step)
+            used = taken.select("document").distinct()
+    return taken

@@ -21,6 +21,16 @@ def repeated_margins(lines: DataFrame, band: float = 0.12) -> DataFrame:
     return edge.join(pages, "doc").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2))).select("doc", "key", "n")
 
 
+def without_margins(lines: DataFrame, band: float = 0.12) -> DataFrame:
+    """Lines without those that repeat in the margins, and without page numbers in the bottom one."""
+    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    bottom = F.col("y") >= 1 - band
+    rows = lines.withColumn("__key", key).withColumn("__edge", (F.col("y") <= band) | bottom)
+    repeated = repeated_margins(lines, band).select("doc", F.col("key").alias("__key"), F.lit(True).alias("__edge"))
+    kept = rows.join(repeated, ["doc", "__key", "__edge"], "left_anti")
+    return kept.where(~(bottom & F.rlike("__key", F.lit(PAGE_NUMBER)))).select(*lines.columns)
+
+
 def dominant_font(lines: DataFrame) -> DataFrame:
     """The half-rounded font size that carries most characters; the smaller one on a tie."""
     size = (F.round(F.col("font") * 2) / 2).alias("size")
@@ -59,13 +69,27 @@ def assemble_paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def outline_hints(lines: DataFrame, outline: DataFrame, tags: DataFrame) -> DataFrame:
-    """Level of each line from tags, else from the outline, matched by normalised text."""
+    """Level of each line from tags, else from the outline, matched by normalised text and, where the hint states one, by page."""
     key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    best = lambda df, name: df.groupBy("doc", key.alias("key")).agg(F.min("level").alias(name))
-    rows = lines.withColumn("key", key).join(best(outline, "o"), ["doc", "key"], "left").join(best(tags, "t"), ["doc", "key"], "left")
+    rows = lines.withColumn("key", key)
+    for hints, name in ((outline, "o"), (tags, "t")):
+        hints = hints.withColumn("key", key)
+        on_page = hints.where("page IS NOT NULL").groupBy("doc", "key", "page").agg(F.min("level").alias(f"{name}_page"))
+        anywhere = hints.where("page IS NULL").groupBy("doc", "key").agg(F.min("level").alias(f"{name}_any"))
+        rows = rows.join(on_page, ["doc", "key", "page"], "left").join(anywhere, ["doc", "key"], "left").withColumn(name, F.coalesce(f"{name}_page", f"{name}_any"))
     return rows.select("doc", "page", "line", F.coalesce("t", "o").alias("level"), F.when(F.col("t").isNotNull(), "TAG").when(F.col("o").isNotNull(), "OUTLINE").alias("source")).where("level IS NOT NULL")
 
 
+def unresolved_hints(lines: DataFrame, outline: DataFrame) -> DataFrame:
+    """``doc, n``: outline entries that name no visible line; each is a warning."""
+    key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("key")
+    seen = lines.select("doc", "page", key).distinct()
+    entries = outline.select("doc", "page", key)
+    on_page = entries.where("page IS NOT NULL").join(seen, ["doc", "page", "key"], "left_anti")
+    anywhere = entries.where("page IS NULL").join(seen.drop("page").distinct(), ["doc", "key"], "left_anti")
+    return on_page.select("doc").unionAll(anywhere.select("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+
+
 def page_offsets(pages: DataFrame) -> DataFrame:
     """Character offset and ordinal of each page; pages are joined by two characters."""
     order = Window.partitionBy("doc").orderBy("page")
@@ -73,11 +97,33 @@ def page_offsets(pages: DataFrame) -> DataFrame:
 
 
 def table_mode(cells: DataFrame) -> DataFrame:
-    """ROW if at least (rows + 2) / 3 of a table's rows fill every column, else COLUMN_FLOW. Cells that span count in each place."""
-    place = cells.select("table_id", F.explode(F.sequence("row", F.col("row") + F.col("row_span") - 1)).alias("row"), "col", "col_span").select("table_id", "row", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)).alias("col"))
-    n = place.groupBy("table_id").agg(F.countDistinct("row").alias("rows"), F.countDistinct("col").alias("cols"))
-    full = place.groupBy("table_id", "row").agg(F.countDistinct("col").alias("c")).join(n.select("table_id", "cols"), "table_id").groupBy("table_id").agg(F.count_if(F.col("c") == F.col("cols")).alias("complete"))
-    return n.join(full, "table_id").select("table_id", "rows", "cols", "complete", F.when(F.col("complete") >= F.floor((F.col("rows") + 2) / 3), "ROW").otherwise("COLUMN_FLOW").alias("mode"))
+    """ROW if at least (rows + 2) / 3 of a table's rows fill every column, else COLUMN_FLOW, as is one of a single row or column.
+
+    A cell fills the columns it spans in the row where it begins.
+    """
+    cols = cells.groupBy("table_id").agg(F.max(F.col("col") + F.col("col_span")).alias("cols"))
+    place = cells.select("table_id", "row", F.explode(F.sequence("col", F.col("col") + F.col("col_span") - 1)).alias("c"))
+    full = place.groupBy("table_id", "row").agg(F.countDistinct("c").alias("n")).join(cols, "table_id")
+    per = full.groupBy("table_id", "cols").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n") == F.col("cols")).alias("complete"))
+    good = (F.col("rows") >= 2) & (F.col("cols") >= 2) & (F.col("complete") >= F.greatest(F.lit(1), F.floor((F.col("rows") + 2) / 3)))
+    return per.select("table_id", "rows", "cols", "complete", F.when(good, "ROW").otherwise("COLUMN_FLOW").alias("mode"))
+
+
+def column_headers(cells: DataFrame) -> DataFrame:
+    """``table_id, col, header``: the header cells of a table's first row, if with their spans they name every column; the first one of a column counts."""
+    facts = cells.groupBy("table_id").agg(F.min("row").alias("first"), F.max(F.col("col") + F.col("col_span")).alias("cols"))
+    rows = cells.join(facts, "table_id").where(F.col("header") & (F.col("row") == F.col("first")) & (F.length(F.trim("text")) > 0))
+    named = rows.select("table_id", "cols", F.col("col").alias("start"), F.trim("text").alias("text"), F.explode(F.sequence("col", F.least("cols", F.col("col") + F.col("col_span")) - 1)).alias("c"))
+    best = named.groupBy("table_id", "cols", F.col("c").alias("col")).agg(F.min_by("text", F.struct("start", "text")).alias("header"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("table_id"))
+    return best.withColumn("n", n).where(F.col("n") == F.col("cols")).select("table_id", "col", "header")
+
+
+def row_headers(cells: DataFrame, modes: DataFrame) -> DataFrame:
+    """``table_id, row, header``: in tables read by rows, the first text of a row's first column that is no header cell."""
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    rows = cells.where((F.col("col") == 0) & ~F.col("header")).join(modes.where("mode = 'ROW'").select("table_id"), "table_id", "left_semi")
+    return rows.select("table_id", "row", text.alias("text"), "n").where(F.length("text") > 0).groupBy("table_id", "row").agg(F.min_by("text", "n").alias("header"))
 
 
 def table_continuation(tables: DataFrame) -> DataFrame:

@@ -183,6 +183,53 @@ def outbox_backoff(s, d):
     return A.table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("attempt"), C.backoff_seconds(F.col("l_linenumber")).alias("seconds"))
 
 
+@query(oracle("""x AS (SELECT job_id, job_status, lease_owner, CASE job_id % 4 WHEN 3 THEN 'w2' ELSE 'w1' END AS r_owner, ['RELEASE', 'SUCCEED', 'FAIL'][job_id % 3 + 1] AS action FROM jobs),
+y AS (SELECT *, CASE WHEN action = 'FAIL' THEN job_status IN ('PENDING', 'RUNNING') AND (lease_owner IS NULL OR lease_owner = r_owner) ELSE job_status = 'RUNNING' AND coalesce(lease_owner = r_owner, false) END AS ok FROM x)
+SELECT job_id, ok AS changed, CASE WHEN ok THEN CASE action WHEN 'RELEASE' THEN 'PENDING' WHEN 'SUCCEED' THEN 'SUCCEEDED' ELSE 'FAILED' END ELSE job_status END AS status, CASE WHEN NOT ok THEN lease_owner END AS lease_owner,
+  CASE WHEN ok AND action = 'FAIL' THEN 'PARSE' END AS code, CASE WHEN ok AND action = 'FAIL' THEN job_id % 2 = 0 END AS retryable, CASE WHEN ok AND action <> 'RELEASE' THEN TIMESTAMP '1996-01-01' END AS finished_at FROM y"""))
+def job_outcomes(s, d):
+    k = F.col("job_id")
+    jobs = A.jobs(s, d).select("job_id", "job_status", "lease_owner")
+    requests = jobs.select("job_id", F.when(k % 4 == 3, "w2").otherwise("w1").alias("owner"), F.get(F.array(F.lit("RELEASE"), F.lit("SUCCEED"), F.lit("FAIL")), (k % 3).cast("int")).alias("action"), F.lit("PARSE").alias("code"), (k % 2 == 0).alias("retryable")).distinct()
+    return C.job_after(jobs, requests, "1996-01-01 00:00:00")
+
+
+_QUEUE = """q AS (SELECT o_orderkey AS id, ['PENDING', 'LOCKED', 'SENT'][o_orderkey % 3 + 1] AS state, CASE WHEN o_orderkey % 3 = 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END END AS owner, o_orderdate AS locked_until, o_orderdate AS available_at, o_orderkey % 7 AS attempts FROM orders)"""
+
+
+@query(f"""WITH {_QUEUE}, x AS (SELECT *, state = 'LOCKED' AND owner = 'a' AND id % 5 < 4 AS mine, state = 'LOCKED' AND locked_until < TIMESTAMP '1996-06-01' AS old, id % 5 < 2 AS sent FROM q), y AS (SELECT *, old AND NOT coalesce(mine, false) AS stale FROM x)
+SELECT id, CASE WHEN mine AND sent THEN 'SENT' WHEN mine OR stale THEN 'PENDING' ELSE state END AS state, CASE WHEN NOT (coalesce(mine, false) OR stale) THEN owner END AS owner,
+  CASE WHEN mine AND NOT sent THEN TIMESTAMP '1996-06-01' + to_seconds([1, 1, 5, 30, 120, 600, 600][attempts + 1]) WHEN stale THEN TIMESTAMP '1996-06-01' ELSE CAST(available_at AS TIMESTAMP) END AS available_at, CASE WHEN mine AND NOT sent THEN 'BROKER' END AS error FROM y""")
+def outbox_results(s, d):
+    k = F.col("o_orderkey")
+    queue = A.table(s, d, "orders").select(k.alias("id"), F.get(F.array(F.lit("PENDING"), F.lit("LOCKED"), F.lit("SENT")), (k % 3).cast("int")).alias("state"), F.when(k % 3 == 1, F.when(k % 2 == 0, "a").otherwise("b")).alias("owner"), F.col("o_orderdate").cast("timestamp_ntz").alias("locked_until"), F.col("o_orderdate").cast("timestamp_ntz").alias("available_at"), (k % 7).alias("attempts"))
+    results = queue.where("id % 5 < 4").select("id", F.lit("a").alias("owner"), (F.col("id") % 5 < 2).alias("sent"), F.lit("BROKER").alias("error"))
+    return C.outbox_after(queue, results, "1996-06-01 00:00:00")
+
+
+@query(oracle("""a AS (SELECT version_id, version_id % 4 AS n FROM versions WHERE version_id % 4 > 0), h AS (SELECT v.document_id, CAST(sum(a.n) AS BIGINT) AS held FROM versions v JOIN a USING (version_id) WHERE v.document_id % 3 > 0 GROUP BY v.document_id)
+SELECT d.document_id, CASE WHEN d.document_id % 5 = 0 THEN 'ALREADY_DELETED' WHEN d.document_id % 5 < 3 THEN 'NOT_DELETING' WHEN coalesce(held, 0) > 0 THEN 'PURGE' ELSE 'DELETED' END AS action, coalesce(held, 0) AS "left" FROM docs d LEFT JOIN h ON h.document_id = d.document_id"""))
+def deletion_complete(s, d):
+    k, v = F.col("document_id"), F.col("version_id")
+    documents = A.documents(s, d).select("document_id", F.when(k % 5 == 0, "DELETED").when(k % 5 < 3, "ACTIVE").otherwise("DELETING").alias("doc_status"))
+    versions = A.versions(s, d).select("version_id", "document_id")
+    artifacts = versions.where((k % 3 > 0) & (v % 4 > 0)).select("version_id", F.explode(F.sequence(F.lit(1), (v % 4).cast("int"))).alias("n"))
+    return C.complete_deletion(documents, versions, artifacts)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS request_id, 'k' || (o_orderkey % 700) AS key, o_orderstatus AS fp, o_custkey % 5 AS kb, 'n' || (o_orderkey % 350) AS name FROM orders), a AS (SELECT DISTINCT key, 'F' AS fp, -CAST(substr(key, 2) AS BIGINT) AS doc FROM r WHERE CAST(substr(key, 2) AS BIGINT) % 4 = 0),
+n AS (SELECT DISTINCT kb, name FROM r WHERE CAST(substr(name, 2) AS BIGINT) % 6 = 0), x AS (SELECT r.*, a.fp AS afp, a.doc, n.name IS NOT NULL AS taken FROM r LEFT JOIN a USING (key) LEFT JOIN n ON n.kb = r.kb AND n.name = r.name),
+y AS (SELECT *, row_number() OVER (PARTITION BY kb, name, afp IS NULL ORDER BY request_id) AS i, row_number() OVER (PARTITION BY key, afp IS NULL ORDER BY request_id) AS j, first(fp) OVER (PARTITION BY key ORDER BY request_id) AS twin FROM x),
+z AS (SELECT *, CASE WHEN afp = fp THEN 'REPLAY' WHEN afp IS NOT NULL OR (j > 1 AND twin <> fp) THEN 'IDEMPOTENCY_CONFLICT' WHEN j > 1 THEN 'IN_PROGRESS' WHEN taken OR i > 1 THEN 'DOCUMENT_NAME_CONFLICT' ELSE 'ACCEPTED' END AS action FROM y)
+SELECT request_id, action, CASE WHEN action = 'REPLAY' THEN doc END AS document_id FROM z""")
+def accept_upload(s, d):
+    k = F.col("o_orderkey")
+    r = A.table(s, d, "orders").select(k.alias("request_id"), F.concat(F.lit("k"), (k % 700).cast("string")).alias("key"), F.col("o_orderstatus").alias("fingerprint"), (F.col("o_custkey") % 5).alias("kb_id"), F.concat(F.lit("n"), (k % 350).cast("string")).alias("name"))
+    number = lambda c: F.substring(c, F.lit(2), F.length(c)).cast("long")
+    accepted = r.where(number(F.col("key")) % 4 == 0).select("key").distinct().select("key", F.lit("F").alias("fingerprint"), (-number(F.col("key"))).alias("document_id"))
+    return C.accept_upload(r, accepted, r.where(number(F.col("name")) % 6 == 0).select("kb_id", "name"))
+
+
 _KINDS = ["ACCESS", "IDEMPOTENCY", "RETRIEVE", "ANSWER", "BUSINESS", "OTHER"]
 _REASONS = [
     "APPLICATION_CREDENTIAL_INVALID", "KNOWLEDGE_BASE_NOT_AVAILABLE", "INVALID_REQUEST", "IDEMPOTENCY_CONFLICT", "CONTEXT_CHANGED", "UNAVAILABLE", "OWNERSHIP_LOST", "RESULT_TOO_LARGE",

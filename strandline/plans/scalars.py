@@ -136,11 +136,30 @@ def file_formats(s, d):
     return docs(s, d).groupBy("source", "lang", T.extension_format(F.get(names, (F.col("doc_id") % 5).cast("int"))).alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""SELECT l_orderkey, l_linenumber, concat_ws(' · ', CASE WHEN l_returnflag <> 'N' THEN l_returnflag || ' > ' || l_linestatus END, CASE WHEN l_linenumber % 2 = 0 THEN 'p. ' || CAST(l_linenumber AS VARCHAR) END, CASE WHEN l_linenumber % 3 = 0 THEN 'l. ' || CAST(l_orderkey AS VARCHAR) END) AS label FROM lineitem""")
+@query(r"""SELECT l_orderkey, l_linenumber, coalesce(nullif(concat_ws(' / ', CASE WHEN l_returnflag <> 'N' THEN l_returnflag || ' / ' || l_linestatus END, CASE WHEN l_linenumber % 2 = 0 THEN '第 ' || l_linenumber || ' 页' WHEN l_linenumber % 3 = 0 THEN '第 ' || (l_orderkey + 1) || ' 行' END), ''), '文档正文') AS label FROM lineitem""")
 def location_labels(s, d):
-    path = F.when(F.col("l_returnflag") != "N", F.concat_ws(" > ", "l_returnflag", "l_linestatus"))
+    path = F.when(F.col("l_returnflag") != "N", F.array("l_returnflag", "l_linestatus")).otherwise(F.array().cast("array<string>"))
     n = F.col("l_linenumber")
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.location_label(path, F.when(n % 2 == 0, n), F.when(n % 3 == 0, F.col("l_orderkey"))).alias("label"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.location_label(path, F.when(n % 2 == 0, n), F.when(n % 3 == 0, F.col("l_orderkey") + 1)).alias("label"))
+
+
+@query(r"""SELECT p_partkey, [true, true, true, false, true, false][p_size % 6 + 1] AS chapter, CASE p_size % 4 WHEN 0 THEN '1.2. New Plate' WHEN 1 THEN '3.4.5. New Plate' WHEN 2 THEN '1.2.no plate is new' ELSE p_name END AS ordered,
+  CASE p_size % 3 WHEN 0 THEN '2.1. The New Plate.' END AS heading, CASE p_size % 3 WHEN 0 THEN 'Body of ' || p_name WHEN 1 THEN '2.1. it is not one. Body' ELSE p_name END AS body FROM part""")
+def title_forms(s, d):
+    """Titles of every form; the SQL states what becomes of each."""
+    n = F.col("p_size").cast("int")
+    pick = lambda k, *xs: F.get(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), n % k)
+    chapter = pick(6, "Ｍethods:", "参考文献", "ALL CAPS TITLe", "All Caps", "ABCD 12", "ABC")
+    ordered = pick(4, "1.2.New Plate", "New Plate 3.4.5.", "1.2.no plate is new", F.col("p_name"))
+    split = T.split_numbered(pick(3, F.concat(F.lit("2.1. The New Plate. Body of "), "p_name"), "2.1. it is not one. Body", F.col("p_name")))
+    return table(s, d, "part").select("p_partkey", T.chapter_title(chapter).alias("chapter"), T.ordered_number(ordered).alias("ordered"), split["heading"].alias("heading"), split["body"].alias("body"))
+
+
+@query("""SELECT p_partkey, replace(replace(replace(x, '!', '!!'), '%', '!%'), '_', '!_') AS pattern, true AS found FROM (SELECT p_partkey, p_name || '_50%!' AS x FROM part)""")
+def escaped_patterns(s, d):
+    x = F.concat("p_name", F.lit("_50%!"))
+    rows = table(s, d, "part").select("p_partkey", x.alias("x"), T.like_escaped(x).alias("pattern"))
+    return rows.select("p_partkey", "pattern", F.like(F.concat(F.lit("a "), "x"), F.concat(F.lit("%"), F.col("pattern")), F.lit("!")).alias("found"))
 
 
 @query(r"""WITH m AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda w, i: {'text': w, 'matched': i % 2 = 0}), lambda x: x.text <> '') AS segs FROM documents)

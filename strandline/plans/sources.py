@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.adapters import table
@@ -12,7 +13,7 @@ def markdown_blocks(s, d):
     """Documents read as Markdown, with their first line as a heading."""
     md = F.concat(F.lit("# "), F.replace("text", F.lit(".\n"), F.lit(".\n\n")))
     rows = parse_column(table(s, d, "documents").select("doc_id", md.alias("md")), "doc_id", "md", "MARKDOWN")
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return rows.select(F.col("id").alias("doc_id"), "src", "kind", "level", F.md5("text").alias("digest"), "start_line", "end_line", "error")
 
 
 def html_tables(s, d):
@@ -20,12 +21,33 @@ def html_tables(s, d):
     return parse_column(table(s, d, "pages"), "page_id", "html", "HTML_TABLE").select("id", "table_no", "row", "col", "text")
 
 
-def html_blocks(s, d):
-    """Headings and paragraphs of pages, tags taken out."""
-    found = F.regexp_extract_all("html", F.lit(r"(?s)<(h[1-6]|p)[ >].*?</\1>"), 0)
-    rows = table(s, d, "pages").select("page_id", F.posexplode(found).alias("src", "tag"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("tag", r"(?s)<[^>]*>", " "), r"\s+", " "))
-    return rows.select("page_id", "src", F.when(F.startswith("tag", F.lit("<h")), "HEADING").otherwise("PARAGRAPH").alias("kind"), text.alias("text"))
+#: Tags that begin or end a block of text.
+BLOCK_TAGS = "address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul"
 
 
-QUERIES = {"markdown_blocks": markdown_blocks, "html_tables": html_tables, "html_blocks": html_blocks}
+def html_blocks(s, d):
+    """All visible text of pages in blocks; headings are told apart, scripts, styles and comments go."""
+    seen = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", " ")
+    marked = F.regexp_replace(F.regexp_replace(seen, r"[\ue010\ue011]", ""), r"(?i)<h([1-6])\b[^>]*>", "\ue010\ue011$1")
+    cut = F.regexp_replace(marked, rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\ue010")
+    rows = table(s, d, "pages").select("page_id", F.posexplode(F.split(cut, "\ue010")).alias("at", "piece"))
+    heading = F.startswith("piece", F.lit("\ue011"))
+    text = F.regexp_replace(F.when(heading, F.substring("piece", F.lit(3), F.length("piece"))).otherwise(F.col("piece")), r"<[^<>]*>", "")
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    blocks = rows.select("page_id", "at", F.when(heading, "HEADING").otherwise("PARAGRAPH").alias("kind"), text.alias("text")).where(F.length("text") > 0)
+    return blocks.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1).alias("src"), "kind", "text")
+
+
+def html_table_fixture(s, d):
+    """A table with spans and headers made for every customer (the pages of the test data hold none); the SQL states its grid."""
+    html = F.format_string("<table><tr><th rowspan=2>%s</th><th colspan=2>B &amp; %d</th></tr><tr><td>x<td>%d</tr></table>", F.col("c_name"), F.col("c_custkey"), F.col("c_nationkey"))
+    return parse_column(table(s, d, "customer").select("c_custkey", html.alias("html")), "c_custkey", "html", "HTML_TABLE").select("id", "table_no", "row", "col", "row_span", "col_span", "header", "text")
+
+
+SQL = {
+    "html_table_fixture": """SELECT c_custkey AS id, 0 AS table_no, r AS row, c AS col, rs AS row_span, cs AS col_span, h AS header, CASE k WHEN 0 THEN c_name WHEN 1 THEN 'B & ' || c_custkey WHEN 2 THEN 'x' ELSE CAST(c_nationkey AS VARCHAR) END AS text
+FROM customer, (VALUES (0, 0, 0, 2, 1, true), (1, 0, 1, 1, 2, true), (2, 1, 1, 1, 1, false), (3, 1, 2, 1, 1, false)) t(k, r, c, rs, cs, h)""",
+}
+QUERIES = {"markdown_blocks": markdown_blocks, "html_tables": html_tables, "html_blocks": html_blocks, "html_table_fixture": html_table_fixture}

@@ -200,27 +200,67 @@ def layout_paragraphs(s, d):
     return L.assemble_paragraphs(_lines(s, d))
 
 
-@query(f"""WITH {LINES}, o AS (SELECT doc, lower(text) AS key, min(page % 4 + 1) AS o FROM ln WHERE line % 11 = 0 GROUP BY ALL), t AS (SELECT doc, lower(text) AS key, min(page % 3 + 1) AS t FROM ln WHERE line % 13 = 0 GROUP BY ALL)
-SELECT doc, page, line, coalesce(t, o) AS level, CASE WHEN t IS NOT NULL THEN 'TAG' ELSE 'OUTLINE' END AS source FROM ln LEFT JOIN o ON o.doc = ln.doc AND o.key = lower(text) LEFT JOIN t ON t.doc = ln.doc AND t.key = lower(text) WHERE coalesce(t, o) IS NOT NULL""".replace("SELECT doc, page, line, coalesce(t, o)", "SELECT ln.doc, page, line, coalesce(t, o)"))
+_HINTS = """hint AS (SELECT doc, lower(text) AS key, CASE WHEN page % 2 = 0 THEN page END AS pg, page % 4 + 1 AS level, 'o' AS kind FROM ln WHERE line % 11 = 0 UNION ALL SELECT doc, lower(text), CASE WHEN page % 2 = 0 THEN page END, page % 3 + 1, 't' FROM ln WHERE line % 13 = 0),
+best AS (SELECT doc, key, pg, kind, min(level) AS level FROM hint GROUP BY ALL)"""
+_HINT = "(SELECT level FROM best b WHERE b.doc = ln.doc AND b.key = lower(ln.text) AND b.kind = '{0}' AND b.pg = ln.page), (SELECT level FROM best b WHERE b.doc = ln.doc AND b.key = lower(ln.text) AND b.kind = '{0}' AND b.pg IS NULL)"
+
+
+@query(f"""WITH {LINES}, {_HINTS}, x AS (SELECT doc, page, line, coalesce({_HINT.format("t")}) AS t, coalesce({_HINT.format("o")}) AS o FROM ln)
+SELECT doc, page, line, coalesce(t, o) AS level, CASE WHEN t IS NOT NULL THEN 'TAG' ELSE 'OUTLINE' END AS source FROM x WHERE coalesce(t, o) IS NOT NULL""")
 def outline_hints(s, d):
     ln = _lines(s, d)
-    pick = lambda m, k: ln.where(F.col("line") % m == 0).select("doc", "text", (F.col("page") % k + 1).alias("level"))
+    pick = lambda m, k: ln.where(F.col("line") % m == 0).select("doc", F.when(F.col("page") % 2 == 0, F.col("page")).alias("page"), "text", (F.col("page") % k + 1).alias("level"))
     return L.outline_hints(ln, pick(11, 4), pick(13, 3))
 
 
+@query(f"""WITH {LINES}, e AS (SELECT doc, CASE WHEN line % 2 = 0 THEN page + line % 3 END AS pg, lower(text) || CASE WHEN line % 5 = 0 THEN '?' ELSE '' END AS key FROM ln WHERE line % 7 = 0)
+SELECT doc, count(*) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM ln WHERE ln.doc = e.doc AND lower(ln.text) = e.key AND (e.pg IS NULL OR e.pg = ln.page)) GROUP BY doc""")
+def unresolved_hints(s, d):
+    ln, n = _lines(s, d), F.col("line")
+    outline = ln.where(n % 7 == 0).select("doc", F.when(n % 2 == 0, F.col("page") + (n % 3).cast("int")).alias("page"), F.concat("text", F.when(n % 5 == 0, "?").otherwise("")).alias("text"))
+    return L.unresolved_hints(ln, outline)
+
+
+@query(f"""WITH {LINES}, x AS (SELECT doc, page, line, y, CASE WHEN line % 9 = 0 THEN 'Page ' || page ELSE text END AS text FROM ln), n AS (SELECT doc, count(DISTINCT page) AS pages FROM x GROUP BY doc),
+r AS (SELECT x.doc, lower(text) AS key FROM x JOIN n ON n.doc = x.doc WHERE y <= 0.12 OR y >= 0.88 GROUP BY x.doc, lower(text), pages HAVING count(DISTINCT page) >= greatest(2, ceil(pages / 2)))
+SELECT doc, page, line FROM x WHERE NOT ((y <= 0.12 OR y >= 0.88) AND EXISTS (SELECT 1 FROM r WHERE r.doc = x.doc AND r.key = lower(x.text))) AND NOT (y >= 0.88 AND regexp_matches(lower(text), '^page [0-9]+$'))""")
+def lines_without_margins(s, d):
+    rows = _lines(s, d).withColumn("text", F.when(F.col("line") % 9 == 0, F.concat(F.lit("Page "), F.col("page").cast("string"))).otherwise(F.col("text")))
+    return L.without_margins(rows).select("doc", "page", "line")
+
+
 @query(f"""WITH {LINES}, p AS (SELECT doc, page, sum(length(text)) AS chars FROM ln GROUP BY ALL) SELECT doc, page, row_number() OVER w - 1 AS ordinal, coalesce(sum(chars + 2) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p WINDOW w AS (PARTITION BY doc ORDER BY page)""")
 def page_offsets(s, d):
     return L.page_offsets(_lines(s, d).groupBy("doc", "page").agg(F.sum(F.length("text")).alias("chars")))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS table_id, l_linenumber AS r, l_linenumber + CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS r2, l_suppkey % 3 AS c, l_suppkey % 3 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS c2 FROM lineitem),
-p AS (SELECT DISTINCT table_id, a AS row, b AS col FROM c, unnest(range(r, r2 + 1)) t(a), unnest(range(c, c2 + 1)) u(b)), n AS (SELECT table_id, count(DISTINCT row) AS rows, count(DISTINCT col) AS cols FROM p GROUP BY table_id),
-f AS (SELECT table_id, count(*) FILTER (WHERE k = cols) AS complete FROM (SELECT table_id, row, count(*) AS k FROM p GROUP BY ALL) JOIN n USING (table_id) GROUP BY table_id)
-SELECT table_id, rows, cols, complete, CASE WHEN complete >= (rows + 2) // 3 THEN 'ROW' ELSE 'COLUMN_FLOW' END AS mode FROM n JOIN f USING (table_id)""")
+_CELLS = """c AS (SELECT l_orderkey AS table_id, CAST(l_linenumber AS BIGINT) AS row, l_suppkey % 3 AS col, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS col_span, l_linenumber = 1 AS header, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE '  c' || l_partkey || '  x' END AS text, l_partkey * 100 + l_quantity AS n FROM lineitem),
+k AS (SELECT table_id, max(col + col_span) AS cols FROM c GROUP BY table_id), p AS (SELECT DISTINCT table_id, row, x FROM c, unnest(range(col, col + col_span)) t(x)),
+f AS (SELECT table_id, count(*) AS rows, any_value(cols) AS cols, count(*) FILTER (WHERE n = cols) AS complete FROM (SELECT table_id, row, count(*) AS n FROM p GROUP BY ALL) JOIN k USING (table_id) GROUP BY table_id),
+m AS (SELECT *, CASE WHEN rows >= 2 AND cols >= 2 AND complete >= greatest(1, (rows + 2) // 3) THEN 'ROW' ELSE 'COLUMN_FLOW' END AS mode FROM f)"""
+
+
+def _cells(s, d):
+    k = F.col("l_partkey")
+    text = F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("  c"), k.cast("string"), F.lit("  x")))
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").cast("long").alias("row"), (F.col("l_suppkey") % 3).alias("col"), F.when(F.col("l_returnflag") == "R", 2).otherwise(1).cast("long").alias("col_span"), (F.col("l_linenumber") == 1).alias("header"), text.alias("text"), (k * 100 + F.col("l_quantity")).alias("n"))
+
+
+@query(f"WITH {_CELLS} SELECT table_id, rows, cols, complete, mode FROM m")
 def table_layout_mode(s, d):
-    f = F.col("l_returnflag")
-    cells = table(s, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").cast("long").alias("row"), F.when(f == "A", 2).otherwise(1).cast("long").alias("row_span"), (F.col("l_suppkey") % 3).alias("col"), F.when(f == "R", 2).otherwise(1).cast("long").alias("col_span"))
-    return L.table_mode(cells)
+    return L.table_mode(_cells(s, d))
+
+
+@query(f"""WITH {_CELLS}, h AS (SELECT table_id, x AS col, arg_min(trim(text), (c.col, trim(text))) AS header FROM c, unnest(range(col, col + col_span)) t(x) WHERE header AND row = 1 AND trim(text) <> '' GROUP BY ALL)
+SELECT table_id, h.col, header FROM h JOIN k USING (table_id) WHERE cols = (SELECT count(*) FROM h h2 WHERE h2.table_id = h.table_id) AND (SELECT min(row) FROM c WHERE c.table_id = h.table_id) = 1""")
+def table_column_headers(s, d):
+    return L.column_headers(_cells(s, d))
+
+
+@query(f"""WITH {_CELLS} SELECT table_id, row, arg_min(regexp_replace(trim(text), '\\s+', ' ', 'g'), n) AS header FROM c JOIN m USING (table_id) WHERE mode = 'ROW' AND col = 0 AND NOT header AND trim(text) <> '' GROUP BY ALL""")
+def table_row_headers(s, d):
+    cells = _cells(s, d)
+    return L.row_headers(cells, L.table_mode(cells))
 
 
 @query("""WITH t AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderkey AS table_id, o_orderkey % 2 AS cols, (o_orderkey % 50) / 200.0 AS top, 0.7 + (o_orderkey % 30) / 100.0 AS bottom, o_orderstatus AS header FROM orders),

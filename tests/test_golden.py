@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandline import catalog
 from strandline.functions import hashing, text, vectors
 from strandline.operators import artifacts, canonical, cards, control, evaluation, geometry, search, session
-from strandline.sources import docx, html_table, markdown
+from strandline.sources import docx, html_table, markdown, readers
 from strandline.streaming.deltas import AnswerDeltas, DeltaError, chunks, visible_text
 
 SF = "/root/testdata/sf0.001"
@@ -126,6 +126,27 @@ def test_markdown_golden():
     assert out[0]["start_line"] == 1 and out[2]["start_line"] == 5 and out[2]["level"] == 2
 
 
+def test_markdown_containers():
+    kinds = lambda md: [(b["kind"], b["text"]) for b in markdown.parse(md)]
+    assert kinds("> - a list\n>   in a quote\n>\n> after") == [("LIST_ITEM", "a list in a quote"), ("QUOTE", "after")]
+    assert kinds("- one\n\n  second paragraph\n\n  ```\n  code\n  ```\n- two\n  > quoted\n\nout") == [("LIST_ITEM", "one"), ("LIST_ITEM", "second paragraph"), ("CODE_BLOCK", "code"), ("LIST_ITEM", "two"), ("LIST_ITEM", "quoted"), ("PARAGRAPH", "out")]
+    assert kinds("a\n***\nb\n- - -\n1. x\n   1) y\nlazy") == [("PARAGRAPH", "a"), ("PARAGRAPH", "b"), ("LIST_ITEM", "x"), ("LIST_ITEM", "y lazy")]
+    assert kinds("> lazy\nquote\n\ntext\n2. no list\n\n    code\n\n    more\n\n[x]: http://y\nlast") == [("QUOTE", "lazy quote"), ("PARAGRAPH", "text 2. no list"), ("CODE_BLOCK", "code\n\nmore"), ("PARAGRAPH", "last")]
+    raw = markdown.parse("<div>\n*x*\n</div>\n\n<!-- a\n\nb -->\np")
+    assert [(b["kind"], b["warning"], b["start_line"], b["end_line"]) for b in raw] == [("RAW_TEXT", "STRUCTURE_FLATTENED", 1, 3), ("RAW_TEXT", "STRUCTURE_FLATTENED", 5, 7), ("PARAGRAPH", None, 8, 8)]
+    assert markdown.parse("Title\ngoes on\n===\n\n~~~\n```\n~~~")[0] | {"text": ""} == {"kind": "HEADING", "level": 1, "text": "", "start_line": 1, "end_line": 3, "warning": None}
+    assert markdown.parse(None) == [] and kinds("```\nopen") == [("CODE_BLOCK", "open")]
+
+
+def test_markdown_inline():
+    cases = {
+        "a **bold _and_ it** `co*de` x": "a bold and it co*de x", "[text](http://x.y/(z) 't') ![alt](i.png)": "text alt", "\\*no\\* &amp; &lt; <b>t</b> <http://a.b>": "*no* & < <b>t</b> http://a.b",
+        "snake_case_name 2 * 3 * 4": "snake_case_name 2 * 3 * 4", "[ref][id] [id] [other]": "ref id [other]", "``a ` b``": "a ` b", "hard  \nbreak\\\nand soft\nline": "hard\nbreak\nand soft line",
+    }
+    for md, want in cases.items():
+        assert markdown.parse(md + "\n\n[id]: http://x")[0]["text"] == want, md
+
+
 def test_html_table_golden():
     cells = html_table.parse("<table><tr><th rowspan=2>A</th><th colspan=2>B &amp; C</th></tr><tr><td> x <td>y</tr></table>")
     assert [(c["row"], c["col"], c["row_span"], c["col_span"], c["header"], c["text"]) for c in cells] == [(0, 0, 2, 1, True, "A"), (0, 1, 1, 2, True, "B & C"), (1, 1, 1, 1, False, "x"), (1, 2, 1, 1, False, "y")]
@@ -282,6 +303,62 @@ def test_corrected_metrics(spark):
     assert evaluation.corrected_metrics(ranked, gold, items).first()["rr_10"] == 0.5
 
 
+def test_case_selection_prefers_new_documents(spark):
+    from strandline.functions.hashing import hash_order
+
+    rows = [(i, f"d{i % 4}", "ab"[i % 2], "yn"[i % 3 == 0]) for i in range(60)]
+    table_ = spark.createDataFrame(rows, "case long, document string, domain string, label string")
+    quotas = {"y": {"a": 3, "b": 1}, "n": {"b": 3, "a": 1}}
+    got = [r["case"] for r in evaluation.select_cases(table_, quotas, "s").orderBy("step", "n").collect()]
+    scored = {(r["case"], label, domain): r["h"] for label, d in quotas.items() for domain in d for r in table_.select("case", hash_order(f"s|{label}|{domain}", F.col("case"), F.col("document")).alias("h")).collect()}
+    want, used = [], set()
+    for label, by_domain in quotas.items():
+        for domain, quota in by_domain.items():
+            order = sorted((r for r in rows if r[2] == domain and r[3] == label), key=lambda r: (scored[r[0], label, domain], r[0]))
+            own = []
+            for fresh in (True, False):
+                for r in order:
+                    if len(own) < quota and r[0] not in own and not (fresh and r[1] in used):
+                        own.append(r[0])
+                        used.add(r[1])
+            want += own
+    assert got == want
+    with pytest.raises(ValueError):
+        evaluation.select_cases(table_, {"y": {"a": 99}}, "s")
+
+
+def test_object_store(spark, tmp_path):
+    store = readers.ObjectStore(spark, f"file://{tmp_path}/store")
+    digest = store.put("a/b.jsonl", b"one\n")
+    assert store.exists("a/b.jsonl") and store.open("a/b.jsonl") == b"one\n" and store.put("a/b.jsonl", b"one\n") == digest
+    with pytest.raises(FileExistsError):
+        store.put("a/b.jsonl", b"two")
+    for bad in ("", "../x", "a//b"):
+        with pytest.raises(ValueError):
+            store.put(bad, b"")
+    store.put("a/c.jsonl", b"three")
+    with pytest.raises(ValueError):
+        store.open("a/c.jsonl", most_bytes=2)
+    listed = readers.stored_objects(spark, f"file://{tmp_path}/store", "*.jsonl", most_bytes=4).orderBy("path").collect()
+    assert [(r["error"], r["content"] is None) for r in listed] == [(None, False), ("OBJECT_TOO_LARGE", True)] and listed[0]["sha256"] == digest
+    first = readers.object_page(spark, f"file://{tmp_path}/store", limit=1, glob="*.jsonl").collect()
+    second = readers.object_page(spark, f"file://{tmp_path}/store", after=first[0]["next"], limit=1, glob="*.jsonl").collect()
+    assert [r["path"][-7:] for r in first + second] == ["b.jsonl", "c.jsonl"] and second[0]["next"] is None
+    assert store.delete("a/b.jsonl") and not store.delete("a/b.jsonl") and not store.exists("a/b.jsonl")
+    with pytest.raises(FileNotFoundError):
+        store.open("a/b.jsonl")
+
+
+def test_gold_cases(spark, tmp_path):
+    path = tmp_path / "gold.jsonl"
+    path.write_text('{"case":"a","n":1}\n\n  \n{"case":"b","n":2}\n')
+    assert sorted((r["case"], r["n"]) for r in readers.gold_cases(spark, f"file://{path}", "case string, n int", "case").collect()) == [("a", 1), ("b", 2)]
+    for extra, line in (("nonsense\n", 5), ("[1]\n", 5), ('{"case":"c","n":"x"}\n', 5), ('{"case":"a","n":3}\n', 5), ('{"n":3}\n', 5)):
+        path.write_text('{"case":"a","n":1}\n\n  \n{"case":"b","n":2}\n' + extra)
+        with pytest.raises(readers.CaseError, match=f"line {line}"):
+            readers.gold_cases(spark, f"file://{path}", "case string, n int", "case")
+
+
 def test_authorize_and_lease(spark):
     assert one(spark, control.allows(F.lit("READ_WRITE"), F.lit("READ"))) and not one(spark, control.allows(F.lit("X"), F.lit("READ"))) and not one(spark, control.allows(F.lit(None).cast("string"), F.lit("READ")))
     assert [one(spark, control.backoff_seconds(F.lit(n))) for n in (0, 1, 5, 9)] == [1, 1, 600, 600]
