@@ -78,7 +78,8 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
         return F.lit(None).cast("struct<size:int,rule:string,verdict:string,path:string>")
     table = F.create_map(*[x for h, found in by_host.items() for x in (F.lit(h), F.array(*found))])
     labels = F.split(host, "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    longest = max(h.count(".") + 1 for h in by_host)
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - longest + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.lit(longest)), "."))
     fitting = F.flatten(F.filter(F.transform(suffixes, lambda s: F.try_element_at(table, s)), lambda x: x.isNotNull()))
     return F.array_max(F.filter(fitting, lambda r: F.startswith(path, r["path"])))
 

@@ -151,6 +151,36 @@ def test_forms_of_long_toxic_texts_all_count(spark):
     assert T.matcher(model)("a zorgzzz here")[1] == 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab c", max_size=40), st.lists(st.text(alphabet="abc", min_size=1, max_size=4), min_size=1, max_size=5), st.lists(st.text(alphabet="ab c", min_size=1, max_size=6), max_size=3))
+def test_matcher_matches_brute_force(text, stems, phrases):
+    model = T.Model({s: float(i + 1) for i, s in enumerate(stems)}, frozenset(p for p in phrases if p.strip()))
+    line = " " + " ".join(T.fold(text)) + " "
+    spans = [(i, i + len(p) - 1) for p in {" " + " ".join(T.fold(x)) + " " for x in model.exceptions} for i in range(len(line)) if line.startswith(p, i)]
+    hits = []
+    for i in range(len(line)):
+        found = [s for s in model.lexicon if line.startswith(" " + s, i)]
+        # an exception that begins here and is longer takes the entry's place
+        longer = max((len(" " + " ".join(T.fold(x)) + " ") for x in model.exceptions if line.startswith(" " + " ".join(T.fold(x)) + " ", i)), default=0)
+        if found and longer <= len(best := max(found, key=len)) + 1 and not any(a <= i < b for a, b in spans):
+            hits.append(model.lexicon[best])
+    got = T.matcher(model)(text)
+    assert (round(got[0], 9), got[1]) == (round(sum(hits), 9), len(hits))
+
+
+def test_matcher_is_linear():
+    import time
+
+    match = T.matcher(T.Model({"trash": 1.0}, frozenset(["trash can"])))
+    took = []
+    for n in (4000, 32000):
+        text = "trash can trash " * n
+        began = time.process_time()
+        assert match(text)[1] == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.2
+
+
 # decontamination
 def test_leaks(spark):
     rng = random.Random(2)
@@ -263,6 +293,43 @@ def test_model_score_is_plain(spark):
     assert abs(row["s"] - 1 / (1 + math.exp(-z))) < 1e-12
 
 
+def test_features_and_training_match_plain(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    def plain_features(host, path):
+        found = []
+        for tag, text in ((1, f"^{host}$"), (2, f"^{path}$")):
+            for n in (3, 4):
+                for i in range(max(1, len(text) - n + 1)):
+                    h = xxhash.xxh64_intdigest(text[i : i + n].encode(), xxhash.xxh64_intdigest(struct.pack("<i", tag), 42))
+                    found.append((h - (1 << 64) if h >> 63 else h) % U.DIMENSIONS)
+        return list(dict.fromkeys(found))
+
+    def split(url):
+        _, there, rest = (url or "").partition("://")
+        host = re.match(r"[^/?#]*", rest)[0] if there else ""
+        return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match(r"[^?#]*", rest[len(host) :])[0] if there else ""
+
+    urls = [u for u, _ in U.LABELLED_URLS] + ["http://X.Y/z?q#f", "a://b://c/d", "no", "", "é://ÀB.C/\U0001f600", "x://h#f/p", "s:///only/path"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i long, u string").select("i", U.host_of(F.col("u")).alias("h"), U.path_of(F.col("u")).alias("p")).select("*", U.features(F.col("h"), F.col("p")).alias("f")).orderBy("i").collect()
+    for r, u in zip(rows, urls, strict=True):
+        assert (r["h"], r["p"]) == split(u) and r["f"] == plain_features(*split(u)), u
+    key = lambda u: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(u.encode(), 42))
+    data = [(plain_features(*split(u)), float(y)) for u, y in sorted(U.LABELLED_URLS, key=lambda x: (key(x[0]), x[0]))]
+    w = [0.0] * (U.DIMENSIONS + 1)
+    for _ in range(30):
+        for f, y in data:
+            x = {i: 1 / math.sqrt(len(f)) for i in f} | {U.DIMENSIONS: 1.0}
+            g = 0.5 * (y - 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items()))))
+            w = [a * (1 - 0.5 * 1e-4) for a in w]
+            for i, v in x.items():
+                w[i] += g * v
+    assert max(abs(a - b) for a, b in zip(w, U.train(U.labelled_table(spark)), strict=True)) < 1e-9
+
+
 # substring dedup
 def test_passages_and_paragraphs(spark):
     rng = random.Random(3)
@@ -641,3 +708,23 @@ def test_digests_are_hex(spark):
     out = queries()["op1_chat_format"](spark, "/root/testdata/sf0.001").where("conv_id = -1").first()
     t = "</s>[INST] ok [/INST]"
     assert out["turns_sha256"] == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest() and out["loss_chars"] == len(t)
+
+
+def test_queries_match_their_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from strandline.llm.catalog import oracle_sql, queries
+
+    con = duckdb.connect()
+    for p in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    assert {"op1_chat_format", "op6_quality", "op7_mixing"} <= set(oracle_sql())
+    for name, sql in oracle_sql().items():
+        want, got = con.execute(sql).fetchdf(), queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+        cols = sorted(want.columns)
+        value = lambda x: f"{x:.7g}" if isinstance(x, float) else str(x)
+        rows = lambda df: sorted(tuple(map(value, r)) for r in df[cols].itertuples(index=False))  # noqa: E731, B023
+        assert sorted(got.columns) == cols and rows(got) == rows(want), name
