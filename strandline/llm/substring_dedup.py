@@ -41,7 +41,7 @@ from strandline.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 5, 2
 MIN_PARAGRAPH = 20
-ANCHOR = 16
+ANCHOR = 8
 MIN_PASSAGE = 32
 CHUNK = 256
 _P = 0x9E3779B97F4A7C15
