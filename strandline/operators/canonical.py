@@ -131,6 +131,14 @@ def manifest(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count("level").alias("n_headings"), F.max("end").alias("text_length"), F.sha2(ordered, 256).alias("text_sha256"))
 
 
+def full_manifest(blocks: DataFrame, warned: DataFrame) -> DataFrame:
+    """The manifest with the number of warnings, and of pages where blocks have one."""
+    pages = F.countDistinct("page") if "page" in blocks.columns else F.lit(None).cast("long")
+    extra = blocks.groupBy("doc_id").agg(pages.alias("n_pages"))
+    n = warned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_warnings"))
+    return manifest(blocks).join(extra, "doc_id").join(n, "doc_id", "left").withColumn("n_warnings", F.coalesce("n_warnings", F.lit(0)))
+
+
 def warnings(tree: DataFrame, blocks: DataFrame) -> DataFrame:
     """HEADING_LEVEL_JUMP for a heading more than one level below its parent, NO_REAL_HEADINGS for a document without any."""
     p = tree.select("doc_id", F.col("pos").alias("parent"), F.col("level").alias("parent_level"))
@@ -198,9 +206,15 @@ def structure_violations(blocks: DataFrame, headings: DataFrame, manifests: Data
 
 
 def evidence_groups(blocks: DataFrame) -> DataFrame:
-    """Runs of blocks with one heading and consecutive ordinals: group number, first and last ordinal."""
+    """Runs of blocks with one heading and consecutive ordinals: group number, first and last ordinal.
+
+    With columns ``row`` and ``col``, a block that has both is a table cell and stays apart.
+    """
     order = Window.partitionBy("doc_id").orderBy("ordinal")
     new = (F.col("ordinal") != F.lag("ordinal").over(order) + 1) | (F.col("heading") != F.lag("heading").over(order))
+    if {"row", "col"} <= set(blocks.columns):
+        cell = F.col("row").isNotNull() & F.col("col").isNotNull()
+        new = new | cell | F.lag(cell).over(order)
     marked = blocks.select("doc_id", "ordinal", "heading", F.coalesce(new, F.lit(True)).cast("int").alias("new"))
     grouped = marked.withColumn("g", F.sum("new").over(order))
     return grouped.groupBy("doc_id", "g").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.count(F.lit(1)).alias("n"))

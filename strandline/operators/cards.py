@@ -109,20 +109,59 @@ def semantic_errors(cards: DataFrame) -> DataFrame:
     return cards.select("card_id", F.array_join(F.filter(bad, lambda x: x.isNotNull()), ",").alias("errors"))
 
 
-def json_lines(docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Header, one line for each block, footer: ``doc_id, section, ordinal, line``. A writer orders by these."""
-    header = docs.select("doc_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("ordinal"), F.to_json(F.struct(F.lit("header").alias("recordType"), F.lit(1).alias("schemaVersion"), "doc_id")).alias("line"))
-    body = blocks.select("doc_id", F.lit(1).alias("section"), F.col("ordinal").cast("long"), F.to_json(F.struct(F.lit("block").alias("recordType"), "ordinal", "text")).alias("line"))
-    counts = docs.select("doc_id").join(blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("blockCount"))
-    footer = counts.select("doc_id", F.lit(2).alias("section"), F.lit(0).cast("long").alias("ordinal"), F.to_json(F.struct(F.lit("footer").alias("recordType"), "blockCount")).alias("line"))
-    return header.unionByName(body).unionByName(footer)
+def json_lines(docs: DataFrame, blocks: DataFrame, headings: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """Header, a line for each block, heading and warning, footer with their counts: ``doc_id, section, ordinal, line``. A writer orders by these."""
+    none = docs.select("doc_id", F.lit(0).alias("pos"), F.lit("").alias("title")).limit(0)
+    headings = none if headings is None else headings
+    warnings = docs.select("doc_id", F.lit("").alias("code"), F.lit(0).alias("pos")).limit(0) if warnings is None else warnings
+    record = lambda kind, *fields: F.to_json(F.struct(F.lit(kind).alias("recordType"), *fields)).alias("line")
+    row = lambda df, section, order, line: df.select("doc_id", F.lit(section).alias("section"), order.cast("long").alias("ordinal"), line)
+    header = row(docs, 0, F.lit(0), record("header", F.lit(1).alias("schemaVersion"), "doc_id"))
+    body = row(blocks, 1, F.col("ordinal"), record("block", "ordinal", "text"))
+    heads = row(headings, 2, F.col("pos"), record("heading", F.col("pos").alias("ordinal"), F.col("title").alias("text")))
+    warned = row(warnings, 3, F.coalesce("pos", F.lit(-1)), record("warning", F.col("pos").alias("ordinal"), F.col("code").alias("text")))
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    counts = docs.select("doc_id").join(count(blocks, "b"), "doc_id", "left").join(count(headings, "h"), "doc_id", "left").join(count(warnings, "w"), "doc_id", "left")
+    footer = row(counts, 4, F.lit(0), record("footer", F.coalesce("b", F.lit(0)).alias("blockCount"), F.coalesce("h", F.lit(0)).alias("headingCount"), F.coalesce("w", F.lit(0)).alias("warningCount")))
+    return header.unionByName(body).unionByName(heads).unionByName(warned).unionByName(footer)
+
+
+def object_facts(lines: DataFrame, most_bytes: int) -> DataFrame:
+    """``doc_id, size_bytes, sha256, error`` of the object that a document's lines make, each ended by a newline; one over the limit is an error."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ordinal", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    rows = lines.groupBy("doc_id").agg(text.alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("size_bytes"), F.sha2("t", 256).alias("sha256"))
+    large = F.col("size_bytes") > most_bytes
+    return rows.select("doc_id", "size_bytes", F.when(~large, F.col("sha256")).alias("sha256"), F.when(large, "OBJECT_TOO_LARGE").alias("error"))
 
 
 def read_json_lines(lines: DataFrame) -> DataFrame:
-    """Back to blocks with a check for each document: one header, one footer, as many blocks as it says, no other record."""
-    kind = "recordType string, doc_id long, ordinal long, text string, blockCount long"
+    """Back to blocks with a check for each document: one header, one footer, as many blocks, headings and warnings as it says, no other record."""
+    kind = "recordType string, doc_id long, ordinal long, text string, blockCount long, headingCount long, warningCount long"
     rows = lines.select("doc_id", F.from_json("line", kind).alias("r")).select(F.col("doc_id").alias("doc"), "r.*")
     is_ = lambda x: F.col("recordType") == x
-    ok = (F.count_if(is_("header")) == 1) & (F.count_if(is_("footer")) == 1) & (F.count_if(is_("block")) == F.max("blockCount")) & (F.count_if(~F.coalesce(F.col("recordType").isin("header", "block", "footer"), F.lit(False))) == 0)
+    as_said = lambda name: F.count_if(is_(name)) == F.coalesce(F.max(f"{name}Count"), F.lit(0))
+    known = F.coalesce(F.col("recordType").isin("header", "block", "heading", "warning", "footer"), F.lit(False))
+    ok = (F.count_if(is_("header")) == 1) & (F.count_if(is_("footer")) == 1) & as_said("block") & as_said("heading") & as_said("warning") & (F.count_if(~known) == 0)
     digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_("block"), F.struct("ordinal", "text")))), lambda x: x["text"]), "\n\n"), 256)
     return rows.groupBy("doc").agg(F.coalesce(ok, F.lit(False)).alias("valid"), F.count_if(is_("block")).alias("n_blocks"), digest.alias("text_sha256")).withColumnRenamed("doc", "doc_id")
+
+
+def partition_trigger(sections: DataFrame, threshold: int = 64_000, enabled: bool = False) -> DataFrame:
+    """Sections (``tokens, children``) that are cut into parts: leaves over the threshold, and none while this is off."""
+    return sections.where(F.lit(enabled) & (F.col("children") == 0) & (F.col("tokens") > threshold))
+
+
+def provider_cards(answer: Column) -> Column:
+    """What a provider's JSON says of its cards: struct (items, error).
+
+    The object's ``items`` are read; fields that are not known are ignored, missing
+    lists are empty; an item that is no object (an array around it, say), or has no id, is an error.
+    """
+    raw = F.from_json(F.get_json_object(answer, "$.items"), "array<string>")
+    item = "request_id string, summary string, topics array<string>, aliases array<string>, questions array<string>"
+    empty = F.array().cast("array<string>")
+    read = lambda x: F.from_json(x, item)
+    full = lambda r: F.struct(r["request_id"].alias("request_id"), r["summary"].alias("summary"), *[F.coalesce(r[c], empty).alias(c) for c in ("topics", "aliases", "questions")])
+    bad = F.exists(raw, lambda x: F.json_object_keys(x).isNull() | (F.length(F.trim(F.coalesce(F.get_json_object(x, "$.request_id"), F.lit("")))) == 0))
+    error = F.when(F.json_object_keys(answer).isNull(), "NOT_AN_OBJECT").when(raw.isNull(), "NO_ITEMS").when(bad, "BAD_ITEM")
+    return F.struct(F.when(error.isNull(), F.transform(raw, lambda x: full(read(x)))).alias("items"), error.alias("error"))

@@ -26,7 +26,55 @@ def where_all(df: DataFrame, *conditions: Column | None) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, present)) if present else df
 
 
-def filter_audits(audits: DataFrame, started_from=None, started_to=None, application_id=None, kb_id=None, operation=None, outcome=None) -> DataFrame:
+def in_scope(df: DataFrame, tenant_id, kb_id, versions: list) -> DataFrame:
+    """Rows of a tenant's knowledge base and of the given versions; no versions is an error, never "all of them"."""
+    if not versions:
+        raise ValueError("a search needs at least one version")
+    return df.where((F.col("tenant_id") == tenant_id) & (F.col("kb_id") == kb_id) & F.col("version_id").isin(*versions))
+
+
+def filter_jobs(jobs: DataFrame, status=None, version_id=None, retryable=None, attempt_from=None, owner=None) -> DataFrame:
+    """Processing jobs by the predicates that are given."""
+    c = F.col
+    return where_all(
+        jobs,
+        None if status is None else c("job_status") == status,
+        None if version_id is None else c("version_id") == version_id,
+        None if retryable is None else c("retryable") == retryable,
+        None if attempt_from is None else c("attempt_no") >= attempt_from,
+        None if owner is None else c("lease_owner") == owner,
+    )
+
+
+def lineage_errors(versions: DataFrame, canonical: DataFrame, retrieval: DataFrame) -> DataFrame:
+    """``version_id, error``: whether the manifests of a version belong together.
+
+    ``versions``: ``version_id, source_sha``; ``canonical``: ``version_id, source_sha, canonical_sha``; ``retrieval``:
+    ``version_id, canonical_sha, fingerprint``.  The first thing that is amiss, or null.
+    """
+    c = canonical.select("version_id", F.col("source_sha").alias("c_source"), "canonical_sha")
+    r = retrieval.select("version_id", F.col("canonical_sha").alias("r_canonical"), "fingerprint")
+    rows = versions.join(c, "version_id", "left").join(r, "version_id", "left")
+    error = ladder(
+        (F.col("canonical_sha").isNull(), "NO_CANONICAL"), (F.col("fingerprint").isNull() | F.col("r_canonical").isNull(), "NO_RETRIEVAL"),
+        (F.col("c_source") != F.col("source_sha"), "SOURCE_DRIFT"), (F.col("r_canonical") != F.col("canonical_sha"), "CANONICAL_DRIFT"), otherwise=None,
+    )
+    return rows.select("version_id", error.alias("error"))
+
+
+def replace_scope(existing: DataFrame, incoming: DataFrame, *scope: str) -> DataFrame:
+    """A table after the scopes of the incoming rows were deleted and written anew."""
+    return existing.join(incoming.select(*scope).distinct(), list(scope), "left_anti").select(*existing.columns).unionByName(incoming)
+
+
+def count_errors(table: DataFrame, expected: DataFrame, *scope: str) -> DataFrame:
+    """Scopes that do not hold exactly as many rows as expected (``scope, n``): ``scope, expected, actual``."""
+    there = table.groupBy(*scope).agg(F.count(F.lit(1)).alias("actual"))
+    rows = expected.select(*scope, F.col("n").alias("expected")).join(there, list(scope), "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    return rows.where(F.col("expected") != F.col("actual"))
+
+
+def filter_audits(audits: DataFrame, started_from=None, started_to=None, application_id=None, kb_id=None, operation=None, outcome=None, request_id=None, execution_id=None, trace_id=None) -> DataFrame:
     """Optional predicates; the time range includes its start and excludes its end."""
     c = F.col
     return where_all(
@@ -37,6 +85,9 @@ def filter_audits(audits: DataFrame, started_from=None, started_to=None, applica
         None if kb_id is None else c("kb_id") == kb_id,
         None if operation is None else c("operation") == operation,
         None if outcome is None else c("outcome") == outcome,
+        None if request_id is None else c("request_id") == request_id,
+        None if execution_id is None else c("execution_id") == execution_id,
+        None if trace_id is None else c("trace_id") == trace_id,
     )
 
 

@@ -28,10 +28,11 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame) -> DataFrame:
 
 def anchor_recall(anchors: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
     """Share of a query's anchor texts that stand in evidence of the same item within the first ``k`` ranks."""
-    from strandline.functions.text import compact
+    from strandline.functions.text import nfkc_fold
 
-    near = evidence.where(F.col("rank") <= k).select("query_id", "item", compact(F.col("text")).alias("text"))
-    found = anchors.select("query_id", "item", compact(F.col("anchor")).alias("anchor")).join(near, ["query_id", "item"], "left")
+    fold = nfkc_fold()
+    near = evidence.where(F.col("rank") <= k).select("query_id", "item", fold("text").alias("text"))
+    found = anchors.select("query_id", "item", fold("anchor").alias("anchor")).join(near, ["query_id", "item"], "left")
     per = found.groupBy("query_id", "item", "anchor").agg(F.max(F.coalesce(F.contains("text", "anchor"), F.lit(False))).alias("hit"))
     return per.groupBy("query_id").agg(F.round(F.avg(F.col("hit").cast("int")), 6).alias(f"anchor_recall_{k}"))
 

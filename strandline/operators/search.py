@@ -235,9 +235,24 @@ def fuse(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     return scored.select("query_id", "version", "heading", "score", channels.alias("channels"), F.row_number().over(order).alias("rank"))
 
 
+class OutsideSnapshot(ValueError):
+    """A search returned something that its caller must not see."""
+
+
+def within_snapshot(hits: DataFrame, snapshot: DataFrame, key: str = "version") -> DataFrame:
+    """The hits, if all of them are in the snapshot; a single one that is not fails the whole search."""
+    if stray := hits.join(snapshot.select(key).distinct(), key, "left_anti").select(key).first():
+        raise OutsideSnapshot(f"{key} {stray[key]}")
+    return hits
+
+
 def execute_mode(queries: DataFrame) -> DataFrame:
-    """``mode, keyword_ok, semantic_ok`` → what runs, whether degraded, and the error."""
+    """``mode, keyword_ok, semantic_ok`` (and ``snapshot_size``) → what runs, whether degraded, and the error; over an empty snapshot nothing runs."""
     m, k, s = F.col("mode"), F.col("keyword_ok"), F.col("semantic_ok")
+    if "snapshot_size" in queries.columns:
+        some = queries.where("snapshot_size > 0").drop("snapshot_size")
+        none = queries.where("snapshot_size = 0").drop("snapshot_size").select("*", F.lit("NONE").alias("executed_mode"), F.lit(False).alias("degraded"), F.lit(None).cast("string").alias("error"))
+        return execute_mode(some).unionByName(none)
     error = F.when((m != "SEMANTIC") & ~k, "KEYWORD_FAILED").when((m == "SEMANTIC") & ~s, "SEMANTIC_FAILED")
     degraded = (m == "HYBRID") & k & ~s
     return queries.select("*", F.when(error.isNotNull(), F.lit(None)).when(degraded, "KEYWORD").otherwise(m).alias("executed_mode"), degraded.alias("degraded"), error.alias("error"))
@@ -269,6 +284,19 @@ def select_blocks(blocks: DataFrame, hits: DataFrame, most: int = 3) -> DataFram
     return own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
 
 
+def select_without_keywords(blocks: DataFrame, ranges: DataFrame, most: int = 3) -> DataFrame:
+    """Blocks for results that no keyword hit: of the card's range (``query_id, section, start, end``) those that are text first, then in order."""
+    own = blocks.join(ranges, "section").where((F.col("ordinal") >= F.col("start")) & (F.col("ordinal") < F.col("end")))
+    order = Window.partitionBy("query_id", "section").orderBy("structural", "ordinal")
+    return own.select("query_id", "section", "block_id", F.row_number().over(order).alias("n")).where(F.col("n") <= most)
+
+
+def top_results(used: DataFrame, top: int) -> DataFrame:
+    """Of budgeted blocks those of each query's first ``top`` results that still have some, numbered anew."""
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return used.withColumn("position", F.dense_rank().over(order)).where(F.col("position") <= top)
+
+
 def apply_budgets(rows: DataFrame, per_result: int, total: int, most: int = 3) -> DataFrame:
     """``query_id, rank, n, chars`` → ``used`` characters of each block under a budget a result and one a query; blocks that get none go."""
     within = Window.partitionBy("query_id", "rank").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)

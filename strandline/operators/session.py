@@ -93,6 +93,20 @@ def merged_position(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("group").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.when(F.countDistinct("page") == 1, F.min("page")).alias("page"))
 
 
+def cursor_errors(requests: DataFrame, cursors: DataFrame) -> DataFrame:
+    """``session, cursor, query, scope`` → why a search cannot go on with its cursor, or null.
+
+    ``cursors``: ``session, cursor, query, scope`` as registered.  Queries are compared without
+    regard to case and white space; the scope, which may be null, must be the same.
+    """
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    known = cursors.select("session", "cursor", F.lit(True).alias("known"), F.col("query").alias("c_query"), F.col("scope").alias("c_scope"))
+    rows = requests.join(known, ["session", "cursor"], "left")
+    same = (plain(F.col("query")) == plain(F.col("c_query"))) & F.col("scope").eqNullSafe(F.col("c_scope"))
+    error = F.when(F.col("known").isNull(), "UNKNOWN_CURSOR").when(~F.coalesce(same, F.lit(False)), "CURSOR_QUERY_OR_SCOPE_MISMATCH")
+    return rows.select(*requests.columns, error.alias("error"))
+
+
 def cursor_page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of a frozen ranking, with the offset of the next page or null."""
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))

@@ -89,6 +89,26 @@ def stream_idempotency(s, d):
     return run_to_end(P.idempotency(rows, 86_400, 432_000, expire=False), "claims")
 
 
+@query("""SELECT DISTINCT user_id AS document_id FROM events WHERE event_type = 'error' AND user_id % 3 = 0""")
+def stream_deletions(s, d):
+    """Deletion messages, delivered more than once, of documents that are still being deleted."""
+    messages = _stream(s, d).where("event_type = 'error'").select(F.col("user_id").alias("document_id"), "ts")
+    facts = table(s, d, "events").select(F.col("user_id").alias("document_id"), F.when(F.col("user_id") % 3 == 0, "DELETING").otherwise("DELETED").alias("state")).distinct()
+    return run_to_end(P.consume(messages, facts, "document_id", "ts", "DELETING", "60 days").select("document_id"), "deletions")
+
+
+@query("""WITH a AS (SELECT doc_id AS request_id, text, CASE WHEN doc_id % 10 = 0 THEN 'ANSWER_MODEL_UNAVAILABLE' END AS error, CAST(ceil(length(text) / 500) AS INTEGER) AS n FROM documents)
+SELECT request_id, 0 AS seq, 'start' AS event, '' AS data FROM a UNION ALL SELECT request_id, 1, 'progress', 'GENERATING' FROM a UNION ALL SELECT request_id, i + 1, 'delta', substr(text, (i - 1) * 500 + 1, 500) FROM a, unnest(range(1, n + 1)) t(i)
+UNION ALL SELECT request_id, n + 2, CASE WHEN error IS NULL THEN 'done' ELSE 'error' END, coalesce(error, CAST(length(text) AS VARCHAR)) FROM a""")
+def stream_answer_events(s, d):
+    """Texts as streamed answers in pieces of 500 characters."""
+    schema = table(s, d, "documents").schema
+    path = f"{d}/documents.parquet"
+    rows = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_dir(s, path) else f"{d}/document[s].parquet")
+    answers = rows.select(F.col("doc_id").alias("request_id"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id") % 10 == 0, "ANSWER_MODEL_UNAVAILABLE").alias("error"))
+    return run_to_end(P.answer_events(answers, 500), "answer-events")
+
+
 _MARKED = "regexp_replace(x, '([A-Za-z0-9]+)', chr(1) || '\\1' || chr(2), 'g')"
 
 

@@ -19,6 +19,28 @@ def deduplicate(events: DataFrame, keys: list[str], ts: str, delay: str = "10 mi
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def consume(messages: DataFrame, facts: DataFrame, key: str, ts: str, wanted: str, delay: str = "10 minutes") -> DataFrame:
+    """Messages that are to be worked on: each key once, and only if the fact it speaks of still has the ``wanted`` state.
+
+    ``facts``: ``key, state``, read anew for every batch.  Jobs and deletions are consumed alike.
+    """
+    return deduplicate(messages, [key], ts, delay).join(facts.where(F.col("state") == wanted).select(key), key, "left_semi")
+
+
+def answer_events(answers: DataFrame, most: int = 2048) -> DataFrame:
+    """``request_id, text, error`` → the events of each answer's stream in order: ``seq, event, data``.
+
+    Start, progress, the text in pieces of at most ``most`` characters, and exactly one of
+    done and error; an answer with an error shows what came before it.
+    """
+    n = F.ceil(F.length("text") / most).cast("int")
+    pieces = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.col("text"), (i - 1) * most + 1, F.lit(most)))).otherwise(F.array().cast("array<string>"))
+    event = lambda name, data: F.struct(F.lit(name).alias("event"), data.cast("string").alias("data"))
+    last = F.when(F.col("error").isNull(), event("done", F.length("text"))).otherwise(event("error", F.col("error")))
+    line = F.concat(F.array(event("start", F.lit("")), event("progress", F.lit("GENERATING"))), F.transform(pieces, lambda p: event("delta", p)), F.array(last))
+    return answers.select("request_id", F.posexplode(line).alias("seq", "e")).select("request_id", "seq", "e.event", "e.data")
+
+
 def windowed_counts(events: DataFrame, ts: str, by: str, size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Counts by tumbling or sliding event-time window."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
