@@ -37,6 +37,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stream_fold(df: DataFrame, keys: list[str], order: list[str], start, step, schema: str) -> DataFrame:
+    """A fold over each group's rows in order, one output row for each: ``keys``, then what ``schema`` names.
+
+    ``step(state, row)`` gives the next state and the output; ``start()`` the first state of
+    a group.  Partitions are sorted and read as a stream, so a group of any size needs
+    one state and never a row of its own.
+    """
+    names = df.columns
+    kinds = [(f.name, f.dataType.simpleString()) for k in keys for f in df.schema.fields if f.name == k]
+    fields = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        key, state = None, None
+        for b in batches:
+            out = []
+            for values in zip(*(b[c].tolist() for c in names), strict=True):
+                row = {c: None if isinstance(v, float) and v != v else v for c, v in zip(names, values, strict=True)}
+                here = tuple(row[k] for k in keys)
+                if here != key:
+                    key, state = here, start()
+                state, got = step(state, row)
+                out.append((*here, *got))
+            yield pd.DataFrame(out, columns=[*keys, *fields])
+
+    kept = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
+    return kept.mapInPandas(run, ", ".join([f"{n} {t}" for n, t in kinds] + [schema]))
+
+
 def ladder(*steps, otherwise):
     """First matching (condition, value) wins."""
     out = None

@@ -5,23 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.adapters import stream_fold
 
-def greedy_batches(rows: DataFrame, by: str, order: str, size: str, most_items: int, most_size: int) -> DataFrame:
-    """``by, order, batch``: items in order, a new batch where the next one would exceed a limit (a larger item has its own).
 
-    A fold over each group's ordered array; groups are units of work such as one
-    document's cards.
-    """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+def greedy_batches(rows: DataFrame, by: str, order: str, size: str, most_items: int, most_size: int) -> DataFrame:
+    """``by, order, batch``: items in order, a new batch where the next one would exceed a limit (a larger item has its own)."""
 
-    def step(a, x):
-        full = (a["n"] > 0) & ((a["n"] >= most_items) | (a["sum"] + x["s"] > most_size))
-        b = a["b"] + full.cast("long")
-        return F.struct(b.alias("b"), F.when(full, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(full, x["s"]).otherwise(a["sum"] + x["s"]).alias("sum"), F.concat(a["out"], F.array(b)).alias("out"))
+    def step(state, r):
+        batch, n, total = state
+        if n and (n >= most_items or total + r[size] > most_size):
+            batch, n, total = batch + 1, 0, 0
+        return (batch, n + 1, total + int(r[size])), (r[order], batch)
 
-    folded = rows.groupBy(by).agg(items.alias("items")).select(by, "items", F.aggregate("items", start, step)["out"].alias("b"))
-    return folded.select(by, F.explode(F.arrays_zip(F.col("items.o").alias("o"), F.col("b").alias("b"))).alias("z")).select(by, F.col("z.o").alias(order), F.col("z.b").alias("batch"))
+    kind = rows.schema[order].dataType.simpleString()
+    return stream_fold(rows.select(by, order, F.col(size).cast("long").alias(size)), [by], [order, size], lambda: (0, 0, 0), step, f"{order} {kind}, batch long")
 
 
 def partition_bounds(tokens: Column, threshold: int, most: int) -> list[Column]:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.adapters import ladder
+from strandline.adapters import ladder, stream_fold
 
 
 def active_snapshot(docs: DataFrame, versions: DataFrame) -> DataFrame:
@@ -264,33 +264,39 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep: tuple = ())
     return both.select(*cols)
 
 
+def claim_one(state: tuple | None, at: int, done: int | None, fingerprint: str, context: str, running_ttl: int, result_ttl: int) -> tuple[str, tuple]:
+    """Outcome of one claim and the state after it."""
+    if state is not None:
+        s_at, s_done, s_fp, s_ctx = state
+        completed = s_done is not None and s_done <= at
+        if at < (s_done + result_ttl if completed else s_at + running_ttl):
+            if s_fp != fingerprint:
+                return "CONFLICT", state
+            if not completed:
+                return "IN_PROGRESS", state
+            return ("CONTEXT_CHANGED" if s_ctx != context else "REPLAY"), state
+    return "OWNER", (at, done, fingerprint, context)
+
+
 def idempotency(events: DataFrame, running_ttl: int = 600, result_ttl: int = 300) -> DataFrame:
-    """``key, seq, at, fingerprint, context`` → the outcome of each claim.
+    """``key, seq, at, done_at, fingerprint, context`` → the outcome of each claim.
 
     A claim owns its key if nothing lives under it; an owner's run counts as running
     for ``running_ttl`` seconds (from ``at`` to ``done_at``) and its result lives for
-    ``result_ttl`` after.  ``done_at`` null: never completed.  Because only owners
-    change the state, the owner in force is the last owner before a claim; claims
-    are folded in order within one key.
+    ``result_ttl`` after.  ``done_at`` null: never completed.
     """
-    order = F.array_sort(F.collect_list(F.struct("seq", "at", "done_at", "fingerprint", "context")))
-    state = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("done"), F.lit(None).cast("string").alias("fp"), F.lit(None).cast("string").alias("ctx"), F.array().cast("array<struct<seq:bigint,outcome:string>>").alias("out"))
-
-    def step(s, e):
-        completed = s["done"].isNotNull() & (s["done"] <= e["at"])
-        alive = s["at"].isNotNull() & F.when(completed, e["at"] < s["done"] + result_ttl).otherwise(e["at"] < s["at"] + running_ttl)
-        outcome = ladder(
-            (~F.coalesce(alive, F.lit(False)), "OWNER"), (s["fp"] != e["fingerprint"], "CONFLICT"), (~completed, "IN_PROGRESS"), (s["ctx"] != e["context"], "CONTEXT_CHANGED"), otherwise="REPLAY"
-        )
-        own = outcome == "OWNER"
-        pick = lambda new, old: F.when(own, new).otherwise(old)
-        return F.struct(
-            pick(e["at"], s["at"]).alias("at"), pick(e["done_at"], s["done"]).alias("done"), pick(e["fingerprint"], s["fp"]).alias("fp"), pick(e["context"], s["ctx"]).alias("ctx"),
-            F.concat(s["out"], F.array(F.struct(e["seq"].alias("seq"), outcome.alias("outcome")))).alias("out"),
-        )
-
-    folded = events.groupBy("key").agg(order.alias("all")).select("key", F.aggregate("all", state, step)["out"].alias("out"))
-    return folded.select("key", F.explode("out").alias("o")).select("key", "o.seq", "o.outcome")
+
+    def step(state, r):
+        done = None if r["done_at"] is None else int(r["done_at"])
+        outcome, state = claim_one(state, int(r["at"]), done, r["fingerprint"], r["context"], running_ttl, result_ttl)
+        return state, (int(r["seq"]), outcome)
+
+    return stream_fold(events.select("key", "seq", "at", "done_at", "fingerprint", "context"), ["key"], ["seq"], lambda: None, step, "seq long, outcome string")
+
+
+def tenant_counts(documents: DataFrame) -> DataFrame:
+    """Documents of each tenant: all, active ones, knowledge bases that have any, and those with an active version."""
+    return documents.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("doc_status") == "ACTIVE").alias("active"), F.countDistinct("kb_id").alias("kbs"), F.count("active_version_id").alias("with_active"))
 
 
 #: Fixed values: (kind of error, reason) → (outcome, http status, category, code).

@@ -246,3 +246,39 @@ def select_cases(candidates: DataFrame, quotas: dict[str, dict[str, int]], seed:
             taken = step if taken is None else taken.unionByName(step)
             used = taken.select("document").distinct()
     return taken
+
+
+class RepeatedCases(ValueError):
+    """Two populations that are to be summed up together share a case."""
+
+
+def counters(cases: DataFrame, *keys: str, distinct: str | None = None) -> DataFrame:
+    """How many cases a data set has by its keys, and of how many different ``distinct``."""
+    extra = [F.countDistinct(distinct).alias(f"{distinct}s")] if distinct else []
+    return cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *extra)
+
+
+def combined_population(parts: list[DataFrame], key: str, strict: bool = True) -> DataFrame:
+    """The cases of several runs as one population; a case that is there twice is an error, or with ``strict`` off one row."""
+    both = parts[0].select(key)
+    for p in parts[1:]:
+        both = both.unionAll(p.select(key))
+    counted = both.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if strict and (twice := counted.where("n > 1").orderBy(key).first()):
+        raise RepeatedCases(f"{key} {twice[key]}")
+    return counted
+
+
+def answer_rates(checks: DataFrame, responses: DataFrame, by: str = "run") -> DataFrame:
+    """``case_id`` with ``answer_checks`` and ``run, case_id, answerable, degraded, attempts`` → a run's rates.
+
+    Accuracy of the status over all requests, over the answerable ones, and over the
+    others (controlled refusals); citations that refusals made up; degraded responses; retries.
+    """
+    rows = responses.join(checks, "case_id")
+    right = F.col("status_correct").cast("double")
+    share = lambda c, name: F.round(F.avg(c), 6).alias(name)
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("requests"), share(right, "status_accuracy"), share(F.when(F.col("answerable"), right), "answerable_accuracy"), share(F.when(~F.col("answerable"), right), "refusal_rate"),
+        F.count_if("fabricated").alias("fabricated"), F.count_if("degraded").alias("degraded"), F.sum(F.greatest(F.lit(0), F.col("attempts") - 1)).alias("retries"),
+    )

@@ -33,3 +33,13 @@ def keep_root_placeholders(ranked: DataFrame, headings: DataFrame) -> DataFrame:
 def first_calls(calls: DataFrame) -> DataFrame:
     """A session's calls with how often an equal signature came before: 0 runs, others are answered from its cache."""
     return calls.withColumn("repeat", F.row_number().over(Window.partitionBy("session", "signature").orderBy("seq")) - 1)
+
+
+def telemetry(calls: DataFrame) -> DataFrame:
+    """``request_id, kind, round, characters, evidence, citations`` of a request's calls → one row for each request.
+
+    Model calls, tool calls and rounds, characters read, evidence registered, citations given.
+    """
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c)
+    return calls.groupBy("request_id").agg(n("MODEL").alias("model_calls"), n("TOOL").alias("tool_calls"), F.countDistinct(F.when(F.col("kind") == "TOOL", F.col("round"))).alias("tool_rounds"), total("characters"), total("evidence"), total("citations"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.adapters import stream_fold
+
 
 def evidence_numbers(registrations: DataFrame) -> DataFrame:
     """``session, key, at`` → E1, E2, ... by first registration of each key."""
@@ -27,15 +29,12 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 def accept_budget(items: DataFrame, budget: int) -> DataFrame:
     """``session, n, cost`` in order: an item that does not fit is skipped and later ones may still fit."""
-    ordered = F.array_sort(F.collect_list(F.struct("n", F.col("cost").cast("long").alias("cost"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("out"))
 
-    def step(a, x):
-        fits = a["used"] + x["cost"] <= budget
-        return F.struct((a["used"] + F.when(fits, x["cost"]).otherwise(0)).alias("used"), F.concat(a["out"], F.array(fits)).alias("out"))
+    def step(used, r):
+        fits = used + int(r["cost"]) <= budget
+        return used + (int(r["cost"]) if fits else 0), (int(r["n"]), fits)
 
-    rows = items.groupBy("session").agg(ordered.alias("x")).select("session", "x", F.aggregate("x", start, step)["out"].alias("ok"))
-    return rows.select("session", F.explode(F.arrays_zip(F.col("x.n").alias("n"), F.col("ok").alias("ok"))).alias("z")).select("session", "z.n", F.col("z.ok").alias("accepted"))
+    return stream_fold(items.select("session", F.col("n").cast("long").alias("n"), F.col("cost").cast("long").alias("cost")), ["session"], ["n", "cost"], lambda: 0, step, "n long, accepted boolean")
 
 
 def fair_share(lengths: Column, budget: int) -> Column:

@@ -137,7 +137,7 @@ def lineage_drift(s, d):
 
 @query(oracle("""SELECT tenant_id, count(*) AS documents, count(*) FILTER (WHERE doc_status = 'ACTIVE') AS active, count(DISTINCT kb_id) AS kbs, count(active_version_id) AS with_active FROM docs GROUP BY tenant_id"""))
 def tenant_counts(s, d):
-    return A.documents(s, d).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("doc_status") == "ACTIVE").alias("active"), F.countDistinct("kb_id").alias("kbs"), F.count("active_version_id").alias("with_active"))
+    return C.tenant_counts(A.documents(s, d))
 
 
 @query("""SELECT s_suppkey AS application_id, s_name AS application_name FROM supplier WHERE s_nationkey < 12 ORDER BY s_suppkey LIMIT 10 OFFSET 5""")

@@ -78,10 +78,13 @@ def throughput(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.round(F.count(F.lit(1)) / ((t(F.max) - t(F.min)) / 1e6), 9).alias("per_second"))
 
 
-@query("""SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(CASE WHEN event_type <> 'click' THEN CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END END), 6) AS accuracy, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS refusals, round(sum(value), 3) AS total FROM events GROUP BY user_id""")
+@query("""WITH x AS (SELECT o_orderkey AS k, o_custkey % 6 AS run, o_orderkey % 3 = 0 AS yes, CASE WHEN (o_orderkey % 3 = 0) = (o_orderkey % 2 = 0) THEN 1.0 ELSE 0.0 END AS ok FROM orders)
+SELECT run, count(*) AS requests, round(avg(ok), 6) AS status_accuracy, round(avg(ok) FILTER (WHERE yes), 6) AS answerable_accuracy, round(avg(ok) FILTER (WHERE NOT yes), 6) AS refusal_rate, count(*) FILTER (WHERE k % 2 = 1 AND NOT yes) AS fabricated,
+  count(*) FILTER (WHERE k % 11 = 0) AS degraded, CAST(sum(greatest(0, k % 4 - 1)) AS BIGINT) AS retries FROM x GROUP BY run""")
 def answer_rates(s, d):
-    t = F.col("event_type")
-    return table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(t == "error").alias("errors"), F.round(F.avg(F.when(t != "click", (F.col("value") > 50).cast("double"))), 6).alias("accuracy"), F.sum(F.when(t == "signup", 1).otherwise(0)).alias("refusals"), F.round(F.sum("value"), 3).alias("total"))
+    k = F.col("o_orderkey")
+    responses = table(s, d, "orders").select((F.col("o_custkey") % 6).alias("run"), k.alias("case_id"), (k % 3 == 0).alias("answerable"), (k % 11 == 0).alias("degraded"), (k % 4).alias("attempts"))
+    return E.answer_rates(answer_checks(s, d), responses)
 
 
 @query("""WITH p AS (SELECT o_custkey, list_distinct(list(o_orderkey % 9)) AS hits, list_distinct(list(o_orderkey % 9) FILTER (WHERE o_orderstatus = 'F')) AS gold FROM orders WHERE o_orderkey % 3 > 0 GROUP BY o_custkey)
@@ -122,7 +125,8 @@ def same_content_gold(s, d):
 
 @query("""SELECT p_brand, p_size % 4 AS split, count(*) AS n, count(DISTINCT p_type) AS types FROM part GROUP BY ALL""")
 def dataset_counters(s, d):
-    return table(s, d, "part").groupBy("p_brand", (F.col("p_size") % 4).alias("split")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_type").alias("types"))
+    cases = table(s, d, "part").select("p_brand", (F.col("p_size") % 4).alias("split"), F.col("p_type").alias("type"))
+    return E.counters(cases, "p_brand", "split", distinct="type")
 
 
 @query("""WITH p AS (SELECT l_orderkey AS document, l_linenumber AS physical, CAST(CASE WHEN l_quantity > 40 THEN l_linenumber - 1 ELSE l_linenumber + 2 END AS VARCHAR) AS label FROM lineitem),
@@ -135,12 +139,11 @@ def page_mapping(s, d):
     return E.page_mapping(rows, rows.select("document", F.col("physical").cast("string").alias("printed")))
 
 
-@query("""SELECT count(*) AS n, count(DISTINCT k) AS distinct_cases, count(*) > count(DISTINCT k) AS duplicated FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+@query("""SELECT o_orderkey, count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY o_orderkey""")
 def combined_population(s, d):
+    """Two runs that share cases, without the guard."""
     o = table(s, d, "orders")
-    both = o.where("o_orderstatus = 'F'").select("o_orderkey").unionAll(o.where("o_orderpriority = '1-URGENT'").select("o_orderkey"))
-    c = F.countDistinct("o_orderkey")
-    return both.agg(F.count(F.lit(1)).alias("n"), c.alias("distinct_cases"), (F.count(F.lit(1)) > c).alias("duplicated"))
+    return E.combined_population([o.where("o_orderstatus = 'F'"), o.where("o_orderpriority = '1-URGENT'")], "o_orderkey", strict=False)
 
 
 _RESPONSES = """rs AS (SELECT event_id AS case_id, user_id % 7 AS run, event_type <> 'error' AS ok, event_id % 11 = 0 AS degraded, CASE WHEN event_id % 4 = 0 THEN 'KEYWORD' ELSE 'HYBRID' END AS executed_mode, event_id % 13 <> 0 AS measured, CASE WHEN event_id % 3 = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'ANSWERED' END AS status, event_id % 3 AS attempts FROM events)"""

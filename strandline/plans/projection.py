@@ -55,9 +55,12 @@ def tool_call_cache(s, d):
     return P.first_calls(calls).select("session", "seq", "repeat")
 
 
-@query("""SELECT user_id AS request_id, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS model_calls, count(DISTINCT event_type) AS tools, CAST(sum(length(props)) AS BIGINT) AS characters, max(event_id) AS last_call FROM events GROUP BY user_id""")
+@query("""SELECT user_id AS request_id, count(*) FILTER (WHERE event_type = 'view') AS model_calls, count(*) FILTER (WHERE event_type <> 'view') AS tool_calls, count(DISTINCT event_id % 5) FILTER (WHERE event_type <> 'view') AS tool_rounds, CAST(sum(length(props)) AS BIGINT) AS characters,
+CAST(sum(event_id % 3) AS BIGINT) AS evidence, CAST(coalesce(sum(event_id % 2) FILTER (WHERE event_type = 'view'), 0) AS BIGINT) AS citations FROM events GROUP BY user_id""")
 def telemetry_rollup(s, d):
-    return table(s, d, "events").groupBy(F.col("user_id").alias("request_id")).agg(F.sum(F.when(F.col("event_type") == "view", 1).otherwise(0)).alias("model_calls"), F.countDistinct("event_type").alias("tools"), F.sum(F.length("props")).alias("characters"), F.max("event_id").alias("last_call"))
+    k, model = F.col("event_id"), F.col("event_type") == "view"
+    calls = table(s, d, "events").select(F.col("user_id").alias("request_id"), F.when(model, "MODEL").otherwise("TOOL").alias("kind"), (k % 5).alias("round"), F.length("props").alias("characters"), (k % 3).alias("evidence"), F.when(model, k % 2).alias("citations"))
+    return P.telemetry(calls)
 
 
 QUERIES, SQL = Q, S

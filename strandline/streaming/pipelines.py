@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.control import BACKOFF
+from strandline.operators.control import BACKOFF, claim_one
 
 
 def deduplicate(events: DataFrame, keys: list[str], ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -77,20 +77,6 @@ STATE = "at long, done long, fingerprint string, context string"
 CLAIMS = "key string, seq long, outcome string"
 
 
-def claim_one(state: tuple | None, at: int, done: int | None, fingerprint: str, context: str, running_ttl: int, result_ttl: int) -> tuple[str, tuple]:
-    """Outcome of one claim and the state after it."""
-    if state is not None:
-        s_at, s_done, s_fp, s_ctx = state
-        completed = s_done is not None and s_done <= at
-        if at < (s_done + result_ttl if completed else s_at + running_ttl):
-            if s_fp != fingerprint:
-                return "CONFLICT", state
-            if not completed:
-                return "IN_PROGRESS", state
-            return ("CONTEXT_CHANGED" if s_ctx != context else "REPLAY"), state
-    return "OWNER", (at, done, fingerprint, context)
-
-
 def idempotency(events: DataFrame, running_ttl: int = 600, result_ttl: int = 300, expire: bool = True) -> DataFrame:
     """Streaming claims (``key, seq, at, done_at, fingerprint, context``); a key's state expires by processing time.
 
