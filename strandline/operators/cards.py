@@ -86,6 +86,7 @@ def candidate_errors(candidates: DataFrame) -> DataFrame:
     rules = F.array(
         F.when(F.col("start") <= F.col("last"), "NOT_INCREASING"), F.when(F.col("first") & (F.col("start") != 0), "NOT_FROM_START"),
         F.when((F.length("title") > 120) | (F.length("title") == 0), "BAD_TITLE"), F.when(~F.col("strength").between(1, 5), "BAD_STRENGTH"),
+        *([F.when(~F.coalesce(F.size("topics").between(1, 8) & F.forall("topics", lambda t: F.length(F.trim(t)).between(1, 80)), F.lit(False)), "BAD_TOPICS")] if "topics" in candidates.columns else []),
     )
     return rows.select("section", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("error")).groupBy("section", "error").agg(F.count(F.lit(1)).alias("n"))
 
@@ -131,6 +132,19 @@ def object_facts(lines: DataFrame, most_bytes: int) -> DataFrame:
     return rows.select("doc_id", "size_bytes", F.when(~large, F.col("sha256")).alias("sha256"), F.when(large, "OBJECT_TOO_LARGE").alias("error"))
 
 
+def evidence_rows(blocks: DataFrame, tree: DataFrame, documents: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Rows of the evidence index: a block with its title path, range, position and lineage.
+
+    ``documents``: ``doc_id, tenant_id, kb_id, title``; ``manifests``: ``doc_id, artifact_sha256, fingerprint``.  Positions
+    (``page, start_line, end_line, row, col``) pass through where blocks have them.
+    """
+    paths = tree.select("doc_id", F.col("pos").alias("heading"), "path")
+    position = [c if c in blocks.columns else F.lit(None).cast("long").alias(c) for c in ("page", "start_line", "end_line", "row", "col")]
+    rows = blocks.join(documents, "doc_id").join(manifests, "doc_id").join(paths, ["doc_id", "heading"], "left")
+    continuation = "continuation" if "continuation" in blocks.columns else F.lit(None).cast("string").alias("continuation")
+    return rows.select("tenant_id", "kb_id", "doc_id", "title", "block_id", "ordinal", "kind", "heading", F.coalesce("path", F.lit("")).alias("heading_path"), "text", "start", "end", continuation, *position, "artifact_sha256", "fingerprint")
+
+
 def read_json_lines(lines: DataFrame) -> DataFrame:
     """Back to blocks with a check for each document: one header, one footer, as many blocks, headings and warnings as it says, no other record."""
     kind = "recordType string, doc_id long, ordinal long, text string, blockCount long, headingCount long, warningCount long"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.text import chapter_title, heading_level, narrow, title_key
+
 PAGE_NUMBER = r"^\s*(?:page\s+)?[-–—]?\s*\d{1,4}\s*(?:/\s*\d{1,4})?\s*[-–—]?\s*$"
 
 
@@ -141,6 +143,50 @@ def covered_boxes(boxes: DataFrame, tables: DataFrame) -> DataFrame:
     return boxes.alias("b").join(tables.alias("t"), (F.col("b.page") == F.col("t.page")) & inside, "left_semi")
 
 
+def govern_titles(boxes: DataFrame, outline: DataFrame, band: float = 0.12, least_body: int = 40, most_chars: int = 120, rich: int = 4) -> DataFrame:
+    """What becomes of the boxes that a layout model calls titles: ``doc, n, decision, level``; no text is dropped, a downgraded title is text.
+
+    ``boxes``: ``doc, n`` (reading order), ``kind, text, page, top, bottom``; ``outline``: ``doc, page, text, depth`` from 0.
+    The first title of the first page is the document's.  The others by the first
+    rule that applies: named by the outline on that page; numbered; in the same margin
+    band twice or more; a label that occurs twice or more; too long; a chapter's name
+    (also by its capitals, unless ``rich`` titles are named or numbered); too little text until the next title; else weak.
+    """
+    clean = F.trim("text")
+    titles = boxes.where((F.lower("kind") == "title") & (F.length(clean) > 0))
+    first = titles.where("page = 1").groupBy("doc").agg(F.min("n").alias("first"))
+    ends = boxes.groupBy("doc", "page").agg(F.least(F.min("top"), F.min("bottom")).alias("lo"), F.greatest(F.max("top"), F.max("bottom")).alias("hi"))
+    plain = lambda c: F.regexp_replace(F.lower(narrow(c)), r"[^\p{L}\p{N}#]", "")
+    named = outline.select("doc", "page", plain(F.col("text")).alias("key"), F.greatest(F.lit(1), F.least(F.lit(6), F.col("depth") + 1)).alias("outlined")).where(F.length("key") > 0).groupBy("doc", "page", "key").agg(F.min("outlined").alias("outlined"))
+    rows = titles.join(first, "doc", "left").where(F.col("first").isNull() | (F.col("n") != F.col("first"))).drop("first")
+    rows = rows.withColumn("key", plain(clean)).join(named, ["doc", "page", "key"], "left").join(ends, ["doc", "page"], "left")
+    span = F.col("hi") - F.col("lo")
+    margin = F.when(span > 0, F.when(F.col("top") <= F.col("lo") + band * span, "top").when(F.col("bottom") >= F.col("hi") - band * span, "bottom"))
+    rows = rows.withColumn("label", title_key(clean)).withColumn("margin", margin).withColumn("numbered", heading_level(clean))
+    here = F.col("label") != ""
+    n = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy("doc", *keys))
+    rows = rows.withColumn("running", here & F.col("margin").isNotNull() & (n("label", "margin") >= 2)).withColumn("repeated", here & (n("label") >= 2))
+    rows = rows.withColumn("structured", F.count_if(F.col("outlined").isNotNull() | F.col("numbered").isNotNull()).over(Window.partitionBy("doc")) >= rich)
+    rows = rows.withColumn("next", F.lead("n").over(Window.partitionBy("doc").orderBy("n")))
+    body = boxes.where((F.lower("kind") != "title") & (F.length(clean) > 0)).select("doc", "n", F.length(clean).alias("chars"))
+    # a running sum over the document's boxes; what lies between two titles is the difference
+    order = Window.partitionBy("doc").orderBy("n")
+    sums = boxes.select("doc", "n").join(body, ["doc", "n"], "left").select("doc", "n", F.coalesce(F.sum("chars").over(order), F.lit(0)).alias("upto"))
+    last = sums.groupBy("doc").agg(F.max("upto").alias("all"))
+    rows = rows.join(sums, ["doc", "n"]).join(sums.select("doc", F.col("n").alias("next"), F.col("upto").alias("end")), ["doc", "next"], "left").join(last, "doc")
+    chars = F.coalesce("end", "all") - F.col("upto")
+    chapter = F.when(F.col("structured"), chapter_title(clean, upper=False)).otherwise(chapter_title(clean))
+    decision = (
+        F.when(F.col("outlined").isNotNull(), "ACCEPT_OUTLINE").when(F.col("numbered").isNotNull(), "ACCEPT_NUMBER").when(F.col("running"), "RUNNING_HEADER").when(F.col("repeated"), "REPEATED_LABEL")
+        .when(F.length(clean) > most_chars, "TOO_LONG").when(chapter, "ACCEPT_CHAPTER").when(chars < least_body, "NO_BODY").otherwise("WEAK")
+    )
+    level = F.coalesce("outlined", "numbered", F.lit(1))
+    judged = rows.select("doc", "n", decision.alias("decision")).join(rows.select("doc", "n", level.cast("int").alias("l")), ["doc", "n"])
+    judged = judged.select("doc", "n", "decision", F.when(F.startswith("decision", F.lit("ACCEPT")), F.col("l")).alias("level"))
+    top = first.select("doc", F.col("first").alias("n"), F.lit("DOCUMENT_TITLE").alias("decision"), F.lit(None).cast("int").alias("level"))
+    return judged.unionByName(top)
+
+
 def title_decision(outlined: Column, numbered: Column, in_band: Column, repeats: Column, chars: Column, chapter: Column, body_chars: Column) -> Column:
     """Why a candidate title is accepted, or to what it is downgraded; the first rule that applies."""
     return (

@@ -43,3 +43,25 @@ def telemetry(calls: DataFrame) -> DataFrame:
     n = lambda kind: F.count_if(F.col("kind") == kind)
     total = lambda c: F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c)
     return calls.groupBy("request_id").agg(n("MODEL").alias("model_calls"), n("TOOL").alias("tool_calls"), F.countDistinct(F.when(F.col("kind") == "TOOL", F.col("round"))).alias("tool_rounds"), total("characters"), total("evidence"), total("citations"))
+
+
+def build(versions: DataFrame, canonical: DataFrame, retrieval: DataFrame, built: DataFrame, index: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of projecting versions into an index: ``(index, manifest, errors)``.
+
+    Versions whose manifests do not belong together are errors and touch nothing; of
+    the others those are built anew whose fingerprint no finished projection has.  Their old rows go, the new
+    ones come in, and a version is complete only if the index holds exactly as many
+    rows as were to be written.  ``rows`` and ``index``: ``version_id`` and more; ``built``: ``version_id, fingerprint, complete``.
+    """
+    from strandline.operators.control import count_errors, lineage_errors, replace_scope, upsert
+
+    checked = lineage_errors(versions, canonical, retrieval)
+    good = checked.where("error IS NULL").join(retrieval.select("version_id", "fingerprint"), "version_id").select("version_id", "fingerprint")
+    todo = to_rebuild(good, built, "version_id")
+    new = rows.join(todo.select("version_id"), "version_id", "left_semi").select(*index.columns)
+    stale = index.join(todo.select("version_id"), "version_id", "left_anti")
+    written = replace_scope(stale, new, "version_id")
+    expected = todo.join(rows.groupBy("version_id").agg(F.count(F.lit(1)).alias("n")), "version_id", "left").select("version_id", F.coalesce("n", F.lit(0)).alias("n"))
+    wrong = count_errors(written, expected, "version_id").select("version_id", F.lit("COUNT_MISMATCH").alias("error"))
+    done = todo.join(wrong.select("version_id", F.lit(True).alias("bad")), "version_id", "left").select("version_id", "fingerprint", F.col("bad").isNull().alias("complete"))
+    return written, upsert(built.select("version_id", "fingerprint", "complete"), done, "version_id"), checked.where("error IS NOT NULL").unionByName(wrong)

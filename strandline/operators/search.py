@@ -363,6 +363,21 @@ def load_errors(wanted: DataFrame, manifests: DataFrame, loaded: DataFrame) -> D
     return rows.select("version", F.when(F.size(bad) > 0, "EVIDENCE_UNAVAILABLE").alias("error"), F.array_join(bad, ",").alias("mismatches"))
 
 
+def coverage(results: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """What a result page covers: ``query_id, results, documents, families, pages, concentrated``.
+
+    ``results``: ``query_id, version, family``; ``evidence``: ``query_id, version, page``.  Families and pages
+    are counted within their versions.  Three results or more are concentrated in one family or on one or two pages.
+    """
+    per = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.countDistinct("version").alias("documents"), F.countDistinct("version", F.coalesce(F.col("family").cast("string"), F.lit(""))).alias("families"))
+    if evidence is None:
+        per = per.withColumn("pages", F.lit(0).cast("long"))
+    else:
+        n = evidence.where("page IS NOT NULL").groupBy("query_id").agg(F.countDistinct("version", "page").alias("pages"))
+        per = per.join(n, "query_id", "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
+    return per.withColumn("concentrated", (F.col("results") >= 3) & ((F.col("families") <= 1) | F.col("pages").between(1, 2)))
+
+
 def search_page(ranked: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of a search tool's frozen ranking (``query_id, version, heading, rank``) with its coverage and where it goes on.
 

@@ -55,13 +55,13 @@ def partition_plan(s, d):
     return K.plan_partitions(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("section")).agg(blocks.alias("blocks")), 80, 10)
 
 
-@query("""WITH c AS (SELECT l_orderkey AS section, l_linenumber AS n, l_linenumber - 1 + CASE WHEN l_suppkey % 9 = 0 THEN -1 ELSE 0 END AS start, repeat('t', CAST(l_quantity * 3 AS INTEGER)) AS title, l_partkey % 7 AS strength, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
+@query("""WITH c AS (SELECT l_orderkey AS section, l_linenumber AS n, l_linenumber - 1 + CASE WHEN l_suppkey % 9 = 0 THEN -1 ELSE 0 END AS start, repeat('t', CAST(l_quantity * 3 AS INTEGER)) AS title, l_partkey % 7 AS strength, l_partkey % 10 AS topics, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
 x AS (SELECT *, lag(start) OVER (PARTITION BY section ORDER BY k) AS last FROM c)
-SELECT section, error, count(*) AS n FROM (SELECT section, 'NOT_INCREASING' AS error FROM x WHERE start <= last UNION ALL SELECT section, 'NOT_FROM_START' FROM x WHERE k = 1 AND start <> 0 UNION ALL SELECT section, 'BAD_TITLE' FROM x WHERE length(title) > 120 OR length(title) = 0 UNION ALL SELECT section, 'BAD_STRENGTH' FROM x WHERE strength NOT BETWEEN 1 AND 5) GROUP BY ALL""")
+SELECT section, error, count(*) AS n FROM (SELECT section, 'NOT_INCREASING' AS error FROM x WHERE start <= last UNION ALL SELECT section, 'NOT_FROM_START' FROM x WHERE k = 1 AND start <> 0 UNION ALL SELECT section, 'BAD_TITLE' FROM x WHERE length(title) > 120 OR length(title) = 0 UNION ALL SELECT section, 'BAD_STRENGTH' FROM x WHERE strength NOT BETWEEN 1 AND 5 UNION ALL SELECT section, 'BAD_TOPICS' FROM x WHERE topics NOT BETWEEN 1 AND 8) GROUP BY ALL""")
 def candidate_errors(s, d):
     k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     start = F.col("l_linenumber") - 1 + F.when(F.col("l_suppkey") % 9 == 0, -1).otherwise(0)
-    return K.candidate_errors(table(s, d, "lineitem").select(F.col("l_orderkey").alias("section"), k.alias("n"), start.alias("start"), F.expr("repeat('t', cast(l_quantity * 3 as int))").alias("title"), (F.col("l_partkey") % 7).alias("strength")))
+    return K.candidate_errors(table(s, d, "lineitem").select(F.col("l_orderkey").alias("section"), k.alias("n"), start.alias("start"), F.expr("repeat('t', cast(l_quantity * 3 as int))").alias("title"), (F.col("l_partkey") % 7).alias("strength"), F.expr("array_repeat('topic', cast(l_partkey % 10 as int))").alias("topics")))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN CAST(l_orderkey AS VARCHAR) || ':rp:document' WHEN l_linenumber < 5 THEN CAST(l_orderkey AS VARCHAR) || ':rn:' || lpad(CAST(l_linenumber AS VARCHAR), 6, '0') ELSE CAST(l_orderkey AS VARCHAR) || ':rsp:' || lpad(CAST(l_linenumber AS VARCHAR), 6, '0') || ':' || lpad(CAST(l_suppkey % 7 AS VARCHAR), 2, '0') END AS card_id FROM lineitem""")
@@ -84,12 +84,15 @@ def json_lines_round_trip(s, d):
 
 
 @query(f"""WITH RECURSIVE {BLOCKS}, {TREE}, b AS (SELECT *, coalesce((SELECT max(h.ordinal) FROM blocks h WHERE h.doc_id = x.doc_id AND h.ordinal <= x.ordinal AND h.level IS NOT NULL), -1) AS heading FROM blocks x)
-SELECT b.doc_id, b.ordinal, d.source AS kb, coalesce(w.path, '') AS heading_path, sha256(b.text) AS text_sha256 FROM b JOIN documents d ON d.doc_id = b.doc_id LEFT JOIN walk w ON w.doc_id = b.doc_id AND w.pos = b.heading""")
+SELECT b.doc_id, b.ordinal, d.lang AS tenant_id, d.source AS kb_id, 'D' || b.doc_id AS title, CASE WHEN level IS NULL THEN 'PARAGRAPH' ELSE 'HEADING' END AS kind, b.heading, coalesce(w.path, '') AS heading_path, sha256(b.text) AS text_sha256, start, start + length(b.text) AS "end", src + 1 AS start_line, sha256(d.text) AS artifact_sha256, md5(d.source) AS fingerprint
+FROM b JOIN documents d ON d.doc_id = b.doc_id LEFT JOIN walk w ON w.doc_id = b.doc_id AND w.pos = b.heading""")
 def evidence_index_rows(s, d):
-    blocks = C.assemble(_parsed(s, d))
-    paths = C.heading_tree(blocks).select("doc_id", F.col("pos").alias("heading"), "path")
-    docs = table(s, d, "documents").select("doc_id", F.col("source").alias("kb"))
-    return blocks.join(docs, "doc_id").join(paths, ["doc_id", "heading"], "left").select("doc_id", "ordinal", "kb", F.coalesce("path", F.lit("")).alias("heading_path"), F.sha2("text", 256).alias("text_sha256"))
+    blocks = C.assemble(_parsed(s, d)).withColumn("start_line", F.col("src") + 1)
+    docs = table(s, d, "documents")
+    documents = docs.select("doc_id", F.col("lang").alias("tenant_id"), F.col("source").alias("kb_id"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("title"))
+    manifests = docs.select("doc_id", F.sha2("text", 256).alias("artifact_sha256"), F.md5("source").alias("fingerprint"))
+    rows = K.evidence_rows(blocks, C.heading_tree(blocks), documents, manifests)
+    return rows.select("doc_id", "ordinal", "tenant_id", "kb_id", "title", "kind", "heading", "heading_path", F.sha2("text", 256).alias("text_sha256"), "start", "end", "start_line", "artifact_sha256", "fingerprint")
 
 
 @query("""SELECT session, key, 'E' || CAST(row_number() OVER (PARTITION BY session ORDER BY first, key) AS VARCHAR) AS evidence_id FROM (SELECT user_id AS session, event_id % 17 AS key, min(event_id) AS first FROM events GROUP BY ALL)""")

@@ -166,11 +166,13 @@ def coverage_round_robin(s, d):
     return R.round_robin(R.fuse(_keyword(s, d), _semantic(s, d)), "heading", 10).select("query_id", "version", "heading", "rank", "position")
 
 
-@query(f"""WITH {HITS}, {FUSED} SELECT query_id, count(DISTINCT version) AS documents, count(DISTINCT heading) AS families, count(*) AS results, count(*) >= 3 AND (count(DISTINCT heading) <= 1 OR count(DISTINCT version) BETWEEN 1 AND 2) AS concentrated, max(n) AS largest FROM (SELECT *, count(*) OVER (PARTITION BY query_id, heading) AS n FROM ranked WHERE rank <= 10) GROUP BY query_id""")
+@query(f"""WITH {HITS}, {FUSED}, t AS (SELECT *, CASE WHEN version % 5 > 0 THEN version % 2 END AS page FROM ranked WHERE rank <= 10)
+SELECT query_id, count(*) AS results, count(DISTINCT version) AS documents, count(DISTINCT version || ':' || heading % 3) AS families, count(DISTINCT version || ':' || page) AS pages,
+  count(*) >= 3 AND (count(DISTINCT version || ':' || heading % 3) <= 1 OR count(DISTINCT version || ':' || page) BETWEEN 1 AND 2) AS concentrated FROM t GROUP BY query_id""")
 def search_coverage(s, d):
-    top = R.fuse(_keyword(s, d), _semantic(s, d)).where("rank <= 10").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("query_id", "heading")))
-    c = lambda x: F.countDistinct(x)
-    return top.groupBy("query_id").agg(c("version").alias("documents"), c("heading").alias("families"), F.count(F.lit(1)).alias("results"), ((F.count(F.lit(1)) >= 3) & ((c("heading") <= 1) | c("version").between(1, 2))).alias("concentrated"), F.max("n").alias("largest"))
+    top = R.fuse(_keyword(s, d), _semantic(s, d)).where("rank <= 10")
+    v = F.col("version")
+    return R.coverage(top.select("query_id", "version", (F.col("heading") % 3).alias("family")), top.select("query_id", "version", F.when(v % 5 > 0, v % 2).alias("page")))
 
 
 @query("""SELECT event_id AS request_id, executed_mode, degraded, error FROM (SELECT event_id, CASE WHEN error IS NOT NULL THEN NULL WHEN mode = 'HYBRID' AND NOT s THEN 'KEYWORD' ELSE mode END AS executed_mode, mode = 'HYBRID' AND k AND NOT s AS degraded, error FROM

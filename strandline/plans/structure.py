@@ -298,4 +298,34 @@ def column_separators(s, d):
     return L.column_separator(table(s, d, "lineitem").select(F.col("l_orderkey").alias("block"), (F.col("l_linenumber") % 4).alias("line"), q.alias("x0"), (q + 8).alias("x1")), 200.0)
 
 
+_TITLES = """bx AS (SELECT l_suppkey AS doc, row_number() OVER w AS n, CASE WHEN l_partkey % 3 = 0 THEN 'Title' ELSE 'text' END AS kind, l_orderkey % 6 + 1 AS page, CAST(l_partkey % 90 AS DOUBLE) AS top, CAST(l_partkey % 90 + 8 AS DOUBLE) AS bottom, l_partkey, l_linenumber,
+  CASE l_linenumber WHEN 1 THEN '2.3. Part ' || l_partkey WHEN 2 THEN 'Results:' WHEN 3 THEN 'LOUD TITLE ' || chr(65 + CAST(l_partkey % 26 AS INTEGER)) WHEN 4 THEN 'about ' || repeat('x', CAST(l_partkey % 150 AS INTEGER)) ELSE 'label ' || l_partkey END AS text
+  FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity))"""
+
+
+def _title_boxes(s, d):
+    k, n = F.col("l_partkey"), F.col("l_linenumber")
+    text = (
+        F.when(n == 1, F.concat(F.lit("2.3. Part "), k.cast("string"))).when(n == 2, "Results:").when(n == 3, F.concat(F.lit("LOUD TITLE "), F.chr(F.lit(65) + k % 26)))
+        .when(n == 4, F.concat(F.lit("about "), F.expr("repeat('x', cast(l_partkey % 150 as int))"))).otherwise(F.concat(F.lit("label "), k.cast("string")))
+    )
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.row_number().over(order).alias("n"), F.when(k % 3 == 0, "Title").otherwise("text").alias("kind"), (F.col("l_orderkey") % 6 + 1).alias("page"), (k % 90).cast("double").alias("top"), (k % 90 + 8).cast("double").alias("bottom"), text.alias("text"))
+
+
+@query(f"""WITH {_TITLES}, t AS (SELECT * FROM bx WHERE kind = 'Title'), f AS (SELECT doc, min(n) AS first FROM t WHERE page = 1 GROUP BY doc), e AS (SELECT doc, page, min(top) AS lo, max(bottom) AS hi FROM bx GROUP BY ALL),
+o AS (SELECT doc, page, lower(text) AS key, least(6, n % 4 + 1) AS lv FROM bx WHERE n % 50 = 7), ob AS (SELECT doc, page, key, min(lv) AS lv FROM o GROUP BY ALL),
+c AS (SELECT t.*, ob.lv AS outlined, CASE WHEN t.text LIKE '2.3. %' THEN 2 END AS numbered, CASE WHEN top <= lo + 0.12 * (hi - lo) THEN 'top' WHEN bottom >= hi - 0.12 * (hi - lo) THEN 'bottom' END AS margin,
+  regexp_replace(regexp_replace(lower(t.text), '[0-9]+([.][0-9]+)*', '#', 'g'), '[^a-z#]', '', 'g') AS label FROM t LEFT JOIN f ON f.doc = t.doc JOIN e ON e.doc = t.doc AND e.page = t.page LEFT JOIN ob ON ob.doc = t.doc AND ob.page = t.page AND ob.key = lower(t.text) WHERE t.n IS DISTINCT FROM first),
+x AS (SELECT *, margin IS NOT NULL AND count(*) OVER (PARTITION BY doc, label, margin) >= 2 AS running, count(*) OVER (PARTITION BY doc, label) >= 2 AS repeated, count(*) FILTER (WHERE outlined IS NOT NULL OR numbered IS NOT NULL) OVER (PARTITION BY doc) >= 4 AS rich, coalesce(lead(n) OVER (PARTITION BY doc ORDER BY n), 1000000000) AS nx FROM c),
+y AS (SELECT x.*, coalesce((SELECT sum(length(b.text)) FROM bx b WHERE b.doc = x.doc AND b.kind <> 'Title' AND b.n > x.n AND b.n < x.nx), 0) AS body FROM x),
+z AS (SELECT doc, n, CASE WHEN outlined IS NOT NULL THEN 'ACCEPT_OUTLINE' WHEN numbered IS NOT NULL THEN 'ACCEPT_NUMBER' WHEN running THEN 'RUNNING_HEADER' WHEN repeated THEN 'REPEATED_LABEL' WHEN length(text) > 120 THEN 'TOO_LONG' WHEN text = 'Results:' OR (NOT rich AND text LIKE 'LOUD TITLE %') THEN 'ACCEPT_CHAPTER' WHEN body < 40 THEN 'NO_BODY' ELSE 'WEAK' END AS decision, coalesce(outlined, numbered, 1) AS l FROM y)
+SELECT doc, n, decision, CAST(CASE WHEN decision LIKE 'ACCEPT%' THEN l END AS INTEGER) AS level FROM z UNION ALL SELECT doc, first, 'DOCUMENT_TITLE', NULL FROM f""")
+def governed_titles(s, d):
+    """Titles of every kind with an outline of every fiftieth box."""
+    boxes = _title_boxes(s, d)
+    outline = boxes.where("n % 50 = 7").select("doc", "page", "text", (F.col("n") % 4).alias("depth"))
+    return L.govern_titles(boxes, outline)
+
+
 QUERIES, SQL = Q, S

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline import catalog
 from strandline.functions import hashing, text, vectors
-from strandline.operators import artifacts, canonical, cards, control, evaluation, geometry, search, session
+from strandline.operators import artifacts, canonical, cards, control, evaluation, geometry, projection, search, session
 from strandline.sources import docx, html_table, markdown, readers
 from strandline.streaming.deltas import AnswerDeltas, DeltaError, chunks, visible_text
 
@@ -359,6 +359,39 @@ def test_gold_cases(spark, tmp_path):
             readers.gold_cases(spark, f"file://{path}", "case string, n int", "case")
 
 
+def test_titles_stay_on_the_current_heading(spark):
+    rows = [(1, 0, "HEADING", 1, "A"), (1, 1, "TITLE", 1, "The Document"), (1, 2, "PARAGRAPH", None, "x")]
+    blocks = canonical.assemble(spark.createDataFrame(rows, "doc_id long, src int, kind string, level int, text string"))
+    assert [(r["kind"], r["heading"]) for r in blocks.orderBy("ordinal").collect()] == [("HEADING", 0), ("TITLE", 0), ("PARAGRAPH", 0)] and canonical.heading_tree(blocks).count() == 1
+
+
+def test_projection_round(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    versions = frame([(i, f"s{i}") for i in range(5)], "version_id long, source_sha string")
+    canonical_ = frame([(i, "s1" if i == 0 else f"s{i}", f"c{i}") for i in range(5)], "version_id long, source_sha string, canonical_sha string")
+    retrieval = frame([(i, "c9" if i == 1 else f"c{i}", f"f{i}") for i in range(5) if i != 2], "version_id long, canonical_sha string, fingerprint string")
+    built = frame([(3, "f3", True), (4, "old", True)], "version_id long, fingerprint string, complete boolean")
+    index = frame([(3, "a"), (4, "b"), (4, "c")], "version_id long, block string")
+    rows = frame([(i, f"n{i}") for i in range(5)], "version_id long, block string")
+    table_, manifest, errors = projection.build(versions, canonical_, retrieval, built, index, rows)
+    assert sorted(map(tuple, table_.collect())) == [(3, "a"), (4, "n4")]
+    assert sorted(map(tuple, manifest.collect())) == [(3, "f3", True), (4, "f4", True)]
+    assert sorted(map(tuple, errors.collect())) == [(0, "SOURCE_DRIFT"), (1, "CANONICAL_DRIFT"), (2, "NO_RETRIEVAL")]
+
+
+def test_guards(spark):
+    hits = spark.createDataFrame([(1,), (2,)], "version long")
+    assert search.within_snapshot(hits, hits).count() == 2
+    with pytest.raises(search.OutsideSnapshot, match="version 2"):
+        search.within_snapshot(hits, hits.where("version = 1"))
+    with pytest.raises(ValueError):
+        control.in_scope(hits, 1, 2, [])
+    cases = spark.createDataFrame([(1,), (2,)], "case long")
+    with pytest.raises(evaluation.RepeatedCases, match="case 2"):
+        evaluation.combined_population([cases, cases.where("case = 2")], "case")
+    assert evaluation.combined_population([cases.where("case = 1"), cases.where("case = 2")], "case").count() == 2
+
+
 def test_authorize_and_lease(spark):
     assert one(spark, control.allows(F.lit("READ_WRITE"), F.lit("READ"))) and not one(spark, control.allows(F.lit("X"), F.lit("READ"))) and not one(spark, control.allows(F.lit(None).cast("string"), F.lit("READ")))
     assert [one(spark, control.backoff_seconds(F.lit(n))) for n in (0, 1, 5, 9)] == [1, 1, 600, 600]
