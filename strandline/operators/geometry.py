@@ -192,3 +192,98 @@ def cell_heading(heading: Column, column_header: Column) -> Column:
     drop = lambda own, _: F.when((n > 0) & (F.size(own) >= n) & (F.slice(own, 1, F.greatest(n, F.lit(1))) == head), F.slice(own, n + 1, F.greatest(F.size(own), F.lit(1)))).otherwise(own)
     left = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(lines(heading)), F.lit(1))), lines(heading), drop)
     return F.when(F.size(left) > 0, F.array_join(left, "\n"))
+
+
+def _narrowed(text: str) -> str:
+    import unicodedata
+
+    return unicodedata.normalize("NFKC", text).strip()
+
+
+def is_number_only(text: str) -> bool:
+    import re
+
+    return re.fullmatch(r"(?i)(?:\d+(?:\.\d+){0,5}|[IVXLCDM]+)[.、)）:]?", _narrowed(text)) is not None
+
+
+def is_numbered(text: str) -> bool:
+    """Whether a title's number makes it a heading, as ``functions.text.heading_level`` tells of a column."""
+    import re
+
+    from strandline.functions.text import NUMBERED_TITLE, TOP_TITLES
+
+    line = _narrowed(text)
+    return any(re.match(p, line) for p in (NUMBERED_TITLE, *TOP_TITLES))
+
+
+def beside(number: dict, title: dict) -> bool:
+    """Whether a title stands on the line of a number, right after it: boxes ``x0, x1, y0, y1``."""
+    low = min(max(1.0, b["y1"] - b["y0"]) for b in (number, title))
+    high = max(max(1.0, b["y1"] - b["y0"]) for b in (number, title))
+    shared = max(0.0, min(number["y1"], title["y1"]) - max(number["y0"], title["y0"]))
+    starts = title["x0"] > number["x0"] or abs(title["x0"] - number["x0"]) <= 12
+    return shared / low >= 0.6 and starts and -0.6 * low <= title["x0"] - number["x1"] <= max(24.0, 4.0 * high)
+
+
+def below(first: dict, second: dict) -> bool:
+    """Whether a box goes on where another ends: a small gap, and under it or flush with it."""
+    heights = [max(1.0, b["y1"] - b["y0"]) for b in (first, second)]
+    widths = [max(1.0, b["x1"] - b["x0"]) for b in (first, second)]
+    gap = second["y0"] - first["y1"]
+    shared = max(0.0, min(first["x1"], second["x1"]) - max(first["x0"], second["x0"]))
+    return -0.25 * max(heights) <= gap <= max(3.0, 0.6 * min(heights)) and (shared / min(widths) >= 0.2 or abs(first["x0"] - second["x0"]) <= 12)
+
+
+def one_title(first: dict, second: dict) -> bool:
+    """Whether two title boxes, one after the other on a page, are fragments of one title.
+
+    A bare number joins the title beside it; numbered titles and those that the
+    outline names (``named``) stay as they are; others join what goes on below.
+    """
+    a, b = (first["text"] or "").strip(), (second["text"] or "").strip()
+    if not a or not b:
+        return False
+    if is_number_only(a):
+        return len(b) <= 120 and not is_number_only(b) and beside(first, second)
+    return not (is_numbered(a) or is_numbered(b) or first["named"] or second["named"]) and below(first, second)
+
+
+def merge_titles(boxes: DataFrame) -> DataFrame:
+    """``doc, page, n, kind, text, x0, x1, y0, y1, named`` → the boxes with the fragments of titles joined: ``doc, page, n, kind, text, x0, x1, y0, y1, parts``.
+
+    A fold over the boxes of each page in reading order; ``parts`` counts what a box was made of.
+    """
+
+    def fold(rows):
+        out: list[dict] = []
+        for r in rows:
+            last = out[-1] if out else None
+            if last and last["kind"].lower() == r["kind"].lower() == "title" and one_title(last, r):
+                out[-1] = last | {"text": f"{last['text'].strip()} {r['text'].strip()}", "x0": min(last["x0"], r["x0"]), "x1": max(last["x1"], r["x1"]), "y0": min(last["y0"], r["y0"]), "y1": max(last["y1"], r["y1"]), "named": False, "parts": last["parts"] + 1}
+            else:
+                out.append(dict(r) | {"parts": 1})
+        for r in out:
+            yield r["n"], r["kind"], r["text"], r["x0"], r["x1"], r["y0"], r["y1"], r["parts"]
+
+    return _folded(boxes.select("doc", "page", F.col("n").cast("long").alias("n"), F.coalesce("kind", F.lit("")).alias("kind"), "text", "x0", "x1", "y0", "y1", "named"), ["doc", "page"], ["n"], fold, "n long, kind string, text string, x0 double, x1 double, y0 double, y1 double, parts int")
+
+
+def styled_blocks(sections: DataFrame, cells: DataFrame) -> DataFrame:
+    """Sections (``doc, n, style, text, body``) and table cells (``doc, n, text, body``) of a document by their styles → blocks in body order.
+
+    The first title is the document's, later ones are headings of level 1 (a warning);
+    heading styles give their level, list styles list items; cells keep their text without a grid (a warning).
+    Result: ``doc, position, kind, level, text, warning``.
+    """
+    style = F.lower(F.trim(F.coalesce("style", F.lit(""))))
+    text = F.trim("text")
+    rows = sections.select("doc", "n", "body", style.alias("style"), text.alias("text")).where(F.length("text") > 0)
+    title = F.col("style").isin("title", "文档标题")
+    nth = F.count_if(title).over(Window.partitionBy("doc").orderBy("n"))
+    level = F.regexp_extract("style", r"(?:heading|标题)\s*([1-6])", 1)
+    kind = F.when(title & (nth == 1), "TITLE").when(title | (F.length(level) > 0), "HEADING").when(F.contains("style", F.lit("list")) | F.contains("style", F.lit("列表")), "LIST_ITEM").otherwise("PARAGRAPH")
+    flat = title & (nth > 1)
+    done = rows.select("doc", "body", "n", F.lit(0).alias("part"), kind.alias("kind"), F.when(flat, 1).when(~title & (F.length(level) > 0), level.cast("int")).alias("level"), "text", F.when(flat, "DOCUMENT_TITLE_FLATTENED").alias("warning"))
+    flattened = cells.select("doc", "body", "n", F.lit(1).alias("part"), F.lit("TABLE_CELL").alias("kind"), F.lit(None).cast("int").alias("level"), text.alias("text"), F.lit("TABLE_STRUCTURE_FLATTENED").alias("warning")).where(F.length("text") > 0)
+    order = Window.partitionBy("doc").orderBy("body", "part", "n")
+    return done.unionByName(flattened).select("doc", (F.row_number().over(order) - 1).alias("position"), "kind", "level", "text", "warning")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.adapters import table
@@ -36,8 +37,6 @@ b AS (SELECT *, NOT bold OR mixed AS body FROM l), s AS (SELECT *, CASE WHEN bol
 h AS (SELECT *, bold AND NOT coalesce(bool_or(body) OVER (PARTITION BY cell, segment ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS heading FROM g)
 SELECT cell, CAST(segment AS INTEGER) AS segment, string_agg(text, chr(10) ORDER BY line) AS text, string_agg(text, chr(10) ORDER BY line) FILTER (WHERE heading) AS heading FROM h GROUP BY ALL""")
 def cell_segments(s, d):
-    from pyspark.sql import Window
-
     one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity")
     k = F.col("l_partkey")
     rows = table(s, d, "lineitem").withColumn("r", F.row_number().over(one)).where("r = 1")
@@ -50,8 +49,6 @@ tb AS (SELECT s_suppkey % 20 AS doc, CAST(s_suppkey % 10 AS INTEGER) AS page, -s
 
 
 def _boxes(s, d):
-    from pyspark.sql import Window
-
     one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_suppkey")
     n, q, y = F.col("l_linenumber"), F.col("l_quantity") * 4, (F.col("l_partkey") % 300).cast("double")
     rows = table(s, d, "lineitem").withColumn("r", F.row_number().over(one)).where("r = 1")
@@ -94,4 +91,27 @@ def cell_headings(s, d):
     return table(s, d, "part").select("p_partkey", G.cell_heading(own, two).alias("heading"))
 
 
+@query()
+def merged_titles(s, d):
+    """Fragments of titles on made-up pages (tested by golden values)."""
+    boxes, _ = _boxes(s, d)
+    n = F.row_number().over(Window.partitionBy("doc", "page").orderBy("y0", "x0", "box_id"))
+    return G.merge_titles(boxes.select("doc", "page", n.alias("n"), "kind", "text", "x0", "x1", "y0", "y1", F.lit(False).alias("named")))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS doc, l_linenumber AS n, l_partkey % 6 AS k, 't' || l_partkey AS text FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity) = 1),
+s AS (SELECT doc, n, n * 10 AS body, 0 AS part, k, text, count(*) FILTER (WHERE k < 2) OVER (PARTITION BY doc ORDER BY n) AS nth FROM x),
+b AS (SELECT doc, n, body, part, CASE WHEN k < 2 AND nth = 1 THEN 'TITLE' WHEN k < 3 THEN 'HEADING' WHEN k = 3 THEN 'LIST_ITEM' ELSE 'PARAGRAPH' END AS kind, CASE WHEN k < 2 AND nth > 1 THEN 1 WHEN k = 2 THEN 4 END AS level, text, CASE WHEN k < 2 AND nth > 1 THEN 'DOCUMENT_TITLE_FLATTENED' END AS warning FROM s
+  UNION ALL SELECT doc, n, 25, 1, 'TABLE_CELL', NULL, 'cell ' || n, 'TABLE_STRUCTURE_FLATTENED' FROM x WHERE n % 2 = 0)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY body, part, n) - 1 AS position, kind, CAST(level AS INTEGER) AS level, text, warning FROM b""")
+def styled_blocks(s, d):
+    one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity")
+    k, n = F.col("l_partkey") % 6, F.col("l_linenumber")
+    rows = table(s, d, "lineitem").withColumn("r", F.row_number().over(one)).where("r = 1")
+    style = F.when(k == 0, " Title ").when(k == 1, "文档标题").when(k == 2, "Heading 4 Char").when(k == 3, "List Bullet").when(k == 4, "Normal")
+    sections = rows.select(F.col("l_orderkey").alias("doc"), n.alias("n"), style.alias("style"), F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("text"), (n * 10).alias("body"))
+    cells = rows.where(n % 2 == 0).select(F.col("l_orderkey").alias("doc"), n.alias("n"), F.concat(F.lit("cell "), n.cast("string")).alias("text"), F.lit(25).alias("body"))
+    return G.styled_blocks(sections, cells)
+
+
 QUERIES, SQL = Q, S

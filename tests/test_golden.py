@@ -392,6 +392,17 @@ def test_guards(spark):
     assert evaluation.combined_population([cases.where("case = 1"), cases.where("case = 2")], "case").count() == 2
 
 
+def test_merged_titles_golden(spark):
+    box = lambda n, t, x0, x1, y0, kind="title", named=False, page=1: ("d", page, n, kind, t, float(x0), float(x1), float(y0), float(y0 + 10), named)
+    rows = [
+        box(1, "A long title", 0, 100, 0), box(2, "that goes on", 5, 90, 12), box(3, "far below", 0, 80, 60), box(4, "2.1.", 0, 20, 100), box(5, "Beside It", 25, 90, 101), box(6, "body", 0, 100, 113, "text"),
+        box(7, "1. Numbered", 0, 100, 130), box(8, "apart", 0, 100, 141), box(9, "outlined", 0, 100, 160, named=True), box(10, "also apart", 0, 100, 171), box(11, "elsewhere", 300, 400, 182), box(12, "next page", 0, 100, 0, page=2),
+    ]
+    out = geometry.merge_titles(spark.createDataFrame(rows, "doc string, page int, n int, kind string, text string, x0 double, x1 double, y0 double, y1 double, named boolean")).orderBy("page", "n").collect()
+    assert [(r["text"], r["parts"]) for r in out] == [("A long title that goes on", 2), ("far below", 1), ("2.1. Beside It", 2), ("body", 1), ("1. Numbered", 1), ("apart", 1), ("outlined", 1), ("also apart", 1), ("elsewhere", 1), ("next page", 1)]
+    assert (out[0]["x0"], out[0]["x1"], out[0]["y0"], out[0]["y1"]) == (0.0, 100.0, 0.0, 22.0)
+
+
 def test_authorize_and_lease(spark):
     assert one(spark, control.allows(F.lit("READ_WRITE"), F.lit("READ"))) and not one(spark, control.allows(F.lit("X"), F.lit("READ"))) and not one(spark, control.allows(F.lit(None).cast("string"), F.lit("READ")))
     assert [one(spark, control.backoff_seconds(F.lit(n))) for n in (0, 1, 5, 9)] == [1, 1, 600, 600]
