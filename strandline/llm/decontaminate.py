@@ -78,7 +78,7 @@ class _Hashes(dict):
     def __missing__(self, token):
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 1)
         return h
