@@ -48,7 +48,7 @@ def model_outputs(s, d):
     requests = table(s, d, "orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("request_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"))
     first = requests.where((b % 5 != 1) | (F.col("n") > 1)).select("batch", F.lit(1).alias("attempt"), k, (b % 5 != 2).alias("valid"))
     twice = requests.where((b % 5 == 3) & (F.col("n") == 1)).select("batch", F.lit(1).alias("attempt"), k, F.lit(True).alias("valid"))
-    second = requests.select("batch", F.lit(2).alias("attempt"), F.when((b % 5 == 4) & (F.col("n") == 1), -k).otherwise(k).alias("request_id"), F.lit(True).alias("valid"))
+    second = requests.select("batch", F.lit(2).alias("attempt"), F.when((b % 5 == 4) & (F.col("n") == 1), -k - 1).otherwise(k).alias("request_id"), F.lit(True).alias("valid"))
     lost = requests.where((b % 5 == 4) & (F.col("n") == 1)).select("batch", F.lit(1).alias("attempt"), F.lit(None).cast("long").alias("request_id"), F.lit(True).alias("valid"))
     return A.accepted_outputs(requests, first.unionByName(twice).unionByName(second).unionByName(lost))
 
