@@ -22,8 +22,8 @@ FIELDS = (
 SLACK = 1e-4
 
 
-def postings(docs: DataFrame, terms: DataFrame, analyzer=tokens, text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """``term, doc_id, w``: the weight of each of the queries' terms in each document.
+def postings(docs: DataFrame, terms: DataFrame, analyzer=tokens, text_col: str = "text", k1: float = K1, b: float = B) -> tuple[DataFrame, int]:
+    """``term, doc_id, w``: the weight of each of the queries' terms in each document; and the number of documents.
 
     Texts are analyzed once and never leave the scan: only the terms of queries do,
     and one row for each document (its term is empty) that holds its length.
@@ -37,7 +37,7 @@ def postings(docs: DataFrame, terms: DataFrame, analyzer=tokens, text_col: str =
     df = post.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    return post.join(df, "term").select("term", "doc_id", weight.alias("w"))
+    return post.join(df, "term").select("term", "doc_id", weight.alias("w")), n
 
 
 def query_terms(queries: DataFrame, analyzer=tokens) -> DataFrame:
@@ -47,33 +47,39 @@ def query_terms(queries: DataFrame, analyzer=tokens) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", analyzer=tokens) -> DataFrame:
     """``doc_id, text`` and ``query_id, text`` → ``query_id, doc_id, score`` of every match, scores rounded to 6 decimals."""
     terms = query_terms(queries, analyzer)
-    scored = postings(docs, terms, analyzer, text_col).join(terms, "term")
+    scored = postings(docs, terms, analyzer, text_col)[0].join(terms, "term")
     return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, text_col: str = "text", analyzer=tokens) -> DataFrame:
-    """The ``k`` best matches of each query (``query_id, doc_id, score, rank``), without scoring every match.
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, text_col: str = "text", analyzer=tokens, common: float = 0.2) -> DataFrame:
+    """The ``k`` best matches of each query (``query_id, doc_id, score, rank``), without joining each common term's documents to each query.
 
-    A query's terms in order of their rarity: the rare ones alone give each document a
-    score that its full score cannot fall below, so the k-th of these is a bound.
-    Terms whose greatest weights together stay under the bound cannot bring a document
-    in by themselves; only documents with another term are scored in full.
+    A term that more than the share ``common`` of the documents hold is common.  The other
+    terms' scores are a lower bound of the full ones, so the k-th of them bounds the
+    result from below, and with the common terms' greatest weights each document's score is bounded from above.
+    Only documents that may still reach the bound get the common terms' weights.  Queries whose
+    common terms alone could reach it are scored in full.
     """
     terms = stored(query_terms(queries, analyzer), "query-terms")
-    post = stored(postings(docs, terms, analyzer, text_col), "weights")
+    weights, n = postings(docs, terms, analyzer, text_col)
+    post = stored(weights, "weights")
     facts = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"))
-    rare = Window.partitionBy("query_id").orderBy("df", "term")
-    known = stored(terms.join(facts, "term").select("query_id", "term", "df", "most", F.sum("df").over(rare).alias("rows"), F.row_number().over(rare).alias("at")), "term-facts")
-    first = post.join(known.where((F.col("at") == 1) | (F.col("rows") <= 50 * k)).select("query_id", "term"), "term")
-    partial = top_k(first.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score")), k)
-    bound = partial.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    weak = Window.partitionBy("query_id").orderBy("most", "term")
-    strong = known.join(bound, "query_id", "left").select("query_id", "term", F.sum("most").over(weak).alias("together"), "bound").where(F.col("bound").isNull() | (F.col("together") >= F.col("bound") - SLACK)).select("query_id", "term")
-    candidates = stored(post.join(strong, "term").select("query_id", "doc_id").distinct(), "candidates")
-    # a candidate's other terms: by document, so a term that is in every document costs no more than the candidates have
-    needed = post.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
-    full = candidates.join(terms, "query_id").join(needed, ["doc_id", "term"])
-    return top_k(full.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")), k)
+    known = stored(terms.join(facts, "term").select("query_id", "term", (F.col("df") > common * n).alias("common"), "most"), "term-facts")
+    if not known.where("common").take(1):
+        return top_k(post.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")), k)
+    sums = lambda t: post.join(t.select("query_id", "term"), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("s"))
+    partial = stored(sums(known.where("NOT common")), "partial")
+    bound = top_k(partial.withColumnRenamed("s", "score"), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    extra = known.where("common").groupBy("query_id").agg(F.sum("most").alias("extra"))
+    plan = terms.select("query_id").distinct().join(extra, "query_id", "left").join(bound, "query_id", "left").withColumn("extra", F.coalesce("extra", F.lit(0.0)))
+    plan = stored(plan.withColumn("whole", (F.col("extra") > 0) & (F.col("bound").isNull() | (F.col("extra") >= F.col("bound") - SLACK))), "query-plan")
+    near = partial.join(plan.where("NOT whole"), "query_id").where(F.col("bound").isNull() | (F.col("s") + F.col("extra") >= F.col("bound") - SLACK)).select("query_id", "doc_id", "s")
+    near = stored(near, "candidates")
+    lookups = near.select("query_id", "doc_id").join(known.where("common").select("query_id", "term"), "query_id").join(post, ["term", "doc_id"])
+    rest = lookups.groupBy("query_id", "doc_id").agg(F.sum("w").alias("c"))
+    few = near.join(rest, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("s") + F.coalesce("c", F.lit(0.0)), 6).alias("score"))
+    full = sums(known.join(plan.where("whole").select("query_id"), "query_id", "left_semi")).select("query_id", "doc_id", F.round("s", 6).alias("score"))
+    return top_k(few.unionByName(full), k)
 
 
 def top_k(scored: DataFrame, k: int, item: str = "doc_id") -> DataFrame:
