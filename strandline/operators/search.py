@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.adapters import stored
+from strandline.adapters import shared_dir, stored
 from strandline.functions.text import bigram_tokens, standard_tokens, tokens
+from strandline.operators import keyword_index
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Fields of the keyword search, each with its analyzer and boost.
@@ -51,35 +54,9 @@ def bm25(docs: DataFrame, queries: DataFrame, text_col: str = "text", analyzer=t
     return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, text_col: str = "text", analyzer=tokens, common: float = 0.2) -> DataFrame:
-    """The ``k`` best matches of each query (``query_id, doc_id, score, rank``), without joining each common term's documents to each query.
-
-    A term that more than the share ``common`` of the documents hold is common.  The other
-    terms' scores are a lower bound of the full ones, so the k-th of them bounds the
-    result from below, and with the common terms' greatest weights each document's score is bounded from above.
-    Only documents that may still reach the bound get the common terms' weights.  Queries whose
-    common terms alone could reach it are scored in full.
-    """
-    terms = stored(query_terms(queries, analyzer), "query-terms")
-    weights, n = postings(docs, terms, analyzer, text_col)
-    post = stored(weights, "weights")
-    facts = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"))
-    known = stored(terms.join(facts, "term").select("query_id", "term", (F.col("df") > common * n).alias("common"), "most"), "term-facts")
-    if not known.where("common").take(1):
-        return top_k(post.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score")), k)
-    sums = lambda t: post.join(t.select("query_id", "term"), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("s"))
-    partial = stored(sums(known.where("NOT common")), "partial")
-    bound = top_k(partial.withColumnRenamed("s", "score"), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    extra = known.where("common").groupBy("query_id").agg(F.sum("most").alias("extra"))
-    plan = terms.select("query_id").distinct().join(extra, "query_id", "left").join(bound, "query_id", "left").withColumn("extra", F.coalesce("extra", F.lit(0.0)))
-    plan = stored(plan.withColumn("whole", (F.col("extra") > 0) & (F.col("bound").isNull() | (F.col("extra") >= F.col("bound") - SLACK))), "query-plan")
-    near = partial.join(plan.where("NOT whole"), "query_id").where(F.col("bound").isNull() | (F.col("s") + F.col("extra") >= F.col("bound") - SLACK)).select("query_id", "doc_id", "s")
-    near = stored(near, "candidates")
-    lookups = near.select("query_id", "doc_id").join(known.where("common").select("query_id", "term"), "query_id").join(post, ["term", "doc_id"])
-    rest = lookups.groupBy("query_id", "doc_id").agg(F.sum("w").alias("c"))
-    few = near.join(rest, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("s") + F.coalesce("c", F.lit(0.0)), 6).alias("score"))
-    full = sums(known.join(plan.where("whole").select("query_id"), "query_id", "left_semi")).select("query_id", "doc_id", F.round("s", 6).alias("score"))
-    return top_k(few.unionByName(full), k)
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, text_col: str = "text", analyzer=tokens) -> DataFrame:
+    """The ``k`` best matches of each query (``query_id, doc_id, score, rank``), through an index of one field."""
+    return best_fields(docs, queries, k, ((text_col, analyzer, 1.0),))
 
 
 def top_k(scored: DataFrame, k: int, item: str = "doc_id") -> DataFrame:
@@ -89,16 +66,10 @@ def top_k(scored: DataFrame, k: int, item: str = "doc_id") -> DataFrame:
 
 
 def best_fields(docs: DataFrame, queries: DataFrame, k: int, fields=FIELDS) -> DataFrame:
-    """The ``k`` best by the greatest of the fields' boosted scores.
-
-    Whoever is among them is among the ``k`` best of the field that gives its score.
-    """
-    out = None
-    for field, analyzer, boost in fields:
-        s = bm25_top(docs.select("doc_id", F.col(field).alias("text")), queries, k, analyzer=analyzer)
-        s = s.select("query_id", "doc_id", F.round(F.col("score") * boost, 6).alias("score"))
-        out = s if out is None else out.unionByName(s)
-    return top_k(out.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+    """The ``k`` best by the greatest of the fields' boosted scores, through an index made for this call (see ``keyword_index`` to keep one)."""
+    path = f"{shared_dir(docs.sparkSession)}/strandline/keyword-index-{uuid.uuid4().hex}"
+    keyword_index.build(docs, fields, path)
+    return keyword_index.search(docs.sparkSession, path, queries, fields, k)
 
 
 def highlight(hits: DataFrame, queries: DataFrame, size: int = 160, most: int = 3, mark: str = "\ue000", unmark: str = "\ue001") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.adapters import table
+from strandline.adapters import shared_dir, table
 from strandline.functions import text as T
 from strandline.operators import search as R
+from strandline.operators import vector_index as I
 
 Q, S = {}, {}
 
@@ -121,6 +124,15 @@ def knn_cosine_topk(s, d):
     return R.knn(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 20)
 
 
+@query()
+def knn_approximate(s, d):
+    """The same queries through the stored index of cells and codes (a test measures the recall against ``knn_cosine_topk``)."""
+    e = table(s, d, "embeddings").select("vec_id", F.col("label").alias("scope"), "embedding")
+    path = f"{shared_dir(s)}/strandline/vector-index-{uuid.uuid4().hex}"
+    I.build(e, path)
+    return I.search(s, path, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 20)
+
+
 HITS = """kw AS (SELECT l_suppkey AS query_id, l_orderkey % 50 AS version, CAST(l_partkey % 7 AS INTEGER) AS heading, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem WHERE l_returnflag = 'A' QUALIFY rank <= 50),
 sem AS (SELECT l_suppkey AS query_id, l_orderkey % 50 AS version, CAST(l_partkey % 7 AS INTEGER) AS heading, l_linenumber = 7 AS is_profile, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem WHERE l_returnflag = 'R' QUALIFY rank <= 20)"""
 

@@ -211,18 +211,6 @@ def test_search_inside_a_sentence(spark):
     assert search.highlight(d.where("doc_id = 1").selectExpr("1L AS query_id", "*"), q).first()["fragments"] == ["系统提供文档\ue000检索\ue001服务"]
 
 
-def test_pruned_top_equals_all(spark):
-    import random
-
-    rng = random.Random(5)
-    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
-    d = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 60)))) for i in range(800)], "doc_id long, text string")
-    q = spark.createDataFrame([(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 12)))) for i in range(40)], "query_id long, text string")
-    every = sorted(map(tuple, search.top_k(search.bm25(d, q), 7).collect()))
-    for common in (0.02, 0.2, 1.0):
-        assert sorted(map(tuple, search.bm25_top(d, q, 7, common=common).collect())) == every
-
-
 def test_fragments_plain():
     body = "alpha beta " * 40 + "gamma delta " + "alpha beta " * 40
     got = search.fragments(body, {"gamma", "delta", "alpha"}, 160, 3, "<", ">")
