@@ -15,8 +15,19 @@ from pyspark.sql import functions as F
 READY, PROCESSING, FAILED = "READY", "PROCESSING", "FAILED"
 
 
+#: Tables whose rows are long texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it is read in fewer splits than there are; so only what is small in any case is dealt anew."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

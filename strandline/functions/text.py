@@ -273,19 +273,21 @@ STOP_WORDS = "a and are as at be but by for if in into is it no not of on or s s
 
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 #: Words of other scripts; between letters ``.``, ``'`` and ``’`` join, between digits ``.`` and ``,`` do.
-_PLAIN = r"(?:(?:[^\P{L}" + _CJK + r"]|[\p{M}_])+|\p{N}+|(?<=[\p{L}])[.'’](?=[^\P{L}" + _CJK + r"])|(?<=\p{N})[.,](?=\p{N}))+"
+#: Runs of ASCII, which most are, come first: they need no look at scripts.
+_PLAIN = r"(?:[a-z0-9_]++|(?:[^\P{L}" + _CJK + r"]|[\p{M}_])+|\p{N}+|(?<=[\p{L}])[.'’](?=[^\P{L}" + _CJK + r"])|(?<=\p{N})[.,](?=\p{N}))+"
 
 
 def standard_tokens(x: Column) -> Column:
     """Lower-case words; Han and Hiragana letters are words of their own."""
-    joined = r"[\p{IsHan}\p{IsHiragana}]|\p{IsKatakana}+|\p{IsHangul}+|" + _PLAIN
+    joined = _PLAIN + r"|[\p{IsHan}\p{IsHiragana}]|\p{IsKatakana}+|\p{IsHangul}+"
     return F.regexp_extract_all(F.lower(x), F.lit(joined), 0)
 
 
 def bigram_tokens(x: Column) -> Column:
     """Words without stop words; of each run of Han, kana or Hangul its overlapping pairs, or its one letter."""
-    runs = F.regexp_extract_all(F.lower(narrow(x)), F.lit(f"[{_CJK}]+|{_PLAIN}"), 0)
-    wide = lambda t: F.rlike(t, F.lit(f"^[{_CJK}]"))
+    runs = F.regexp_extract_all(F.lower(narrow(x)), F.lit(f"{_PLAIN}|[{_CJK}]+"), 0)
+    # none of these scripts starts below U+1100
+    wide = lambda t: (F.ascii(t) >= 0x1100) & F.rlike(t, F.lit(f"^[{_CJK}]"))
     pairs = lambda t: F.when(F.length(t) == 1, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2))))
     return F.filter(F.flatten(F.transform(runs, lambda t: F.when(wide(t), pairs(t)).otherwise(F.array(t)))), lambda t: ~t.isin(*STOP_WORDS))
 
