@@ -56,7 +56,7 @@ class Layout:
     """``paths``: what a record must have; ``optional``: what it may have besides.
 
     ``messages``: the path of a list, each message of which selects a mapping of its
-    own; ``fields``: else pairs (role, paths), each of which gives one turn.
+    own (a ``system`` field beside it is the first turn); ``fields``: else pairs (role, paths), each of which gives one turn.
     """
 
     name: str
@@ -69,12 +69,15 @@ class Layout:
 #: Names of common layouts' fields.
 LISTS = ("messages", "conversations", "conversation", "dialogue", "turns", "data.messages", "data.conversations")
 LAYOUTS = (
-    *(Layout(p, (p,), messages=p) for p in LISTS),
-    Layout("prompt", ("prompt", "response"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), optional=("system",)),
+    *(Layout(p, (p,), messages=p, optional=("system", "tools")) for p in LISTS),
+    Layout("prompt", ("prompt", "response"), fields=(("system", ("system",)), ("user", ("prompt", "context")), ("assistant", ("response",))), optional=("context", "system")),
     Layout("completion", ("prompt", "completion"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), optional=("system",)),
     Layout("instruction", ("instruction", "output"), fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("input", "system")),
-    Layout("instruction response", ("instruction", "response"), fields=(("system", ("system",)), ("user", ("instruction", "context")), ("assistant", ("response",))), optional=("context", "system")),
-    Layout("question", ("question", "answer"), fields=(("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",))), optional=("system",)),
+    Layout("instruction response", ("instruction", "response"), fields=(("system", ("system",)), ("user", ("instruction", "input", "context")), ("assistant", ("response",))), optional=("context", "input", "system")),
+    Layout("question", ("question", "answer"), fields=(("system", ("system",)), ("user", ("question", "context")), ("assistant", ("answer",))), optional=("context", "system")),
+    Layout("system question", ("question", "response"), fields=(("system", ("system_prompt",)), ("user", ("question",)), ("assistant", ("response",))), optional=("system_prompt",)),
+    Layout("query", ("query", "response"), fields=(("system", ("system",)), ("user", ("query",)), ("assistant", ("response",))), optional=("system",)),
+    Layout("problem", ("problem", "solution"), fields=(("user", ("problem",)), ("assistant", ("solution",)))),
 )
 
 #: Fixed values: (key of the role, key of the text) of a message; one of the two may be missing and is empty then.
@@ -206,7 +209,14 @@ def judged_records(records: DataFrame, id_col: str, record_col: str, layouts=LAY
         .when(F.col("__found").isNull(), F.lit("no list of messages"))
         .when(bad > 0, F.concat(F.lit("no mapping for message "), bad.cast("string")))
     )
-    return turned.select("__conv", "__layout", F.when(reason.isNull(), F.col("__found")).alias("__turns"), reason.alias("__reason"))
+    lists = F.col("__layout").isin(*[x.name for x in layouts if x.messages])
+    whole = F.concat(_system_turn(F.when(lists, F.get_json_object(record, "$.system"))), "__found")
+    return turned.select("__conv", "__layout", F.when(reason.isNull(), whole).alias("__turns"), reason.alias("__reason"))
+
+
+def _system_turn(text: Column) -> Column:
+    """One turn, or none for a null."""
+    return F.when(text.isNull(), F.array().cast(TURNS_TYPE)).otherwise(F.array(F.struct(F.lit("system").alias("role"), text.alias("text"))).cast(TURNS_TYPE))
 
 
 def _exploded(turns: DataFrame) -> DataFrame:
@@ -242,12 +252,15 @@ def schema_paths(schema: T.StructType, known) -> list[str]:
 
 def canonical_rows(turns: DataFrame) -> DataFrame:
     """A table with one row for each turn, whose schema's fingerprint selects the columns; roles stay as they are."""
-    table = {_digest(c): columns for columns, others in ROW_LAYOUTS for c in _combinations(columns, others)}
+    table: dict[str, tuple] = {}
+    for columns, others in ROW_LAYOUTS:
+        for c in _combinations(columns, others):
+            # what both layouts fit goes to the one that is listed first
+            table.setdefault(_digest(c), columns)
     paths = schema_paths(turns.schema, {p for columns, others in ROW_LAYOUTS for p in (*columns, *others)})
     if _digest(paths) not in table:
         raise ValueError(f"no row layout has the columns {paths} of {sorted(turns.columns)}")
-    # where both layouts are whole, the first one that was listed
-    conv, turn, role, text = next((columns for columns, _ in ROW_LAYOUTS if set(columns) <= set(paths)), table[_digest(paths)])
+    conv, turn, role, text = table[_digest(paths)]
     return turns.select(F.col(conv).alias("__conv"), F.col(turn).cast("long").alias("__turn"), F.coalesce(F.col(role), F.lit("")).alias("__role"), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.lit("rows").alias("__layout"))
 
 
@@ -270,6 +283,8 @@ def canonical_nested(table: DataFrame, id_col: str, layouts=LAYOUTS) -> DataFram
         role, text = mapping
         part = lambda m, key: m[key].cast("string") if key else F.lit(None).cast("string")
         turns = F.transform(F.filter(F.col(layout.messages), lambda m: m.isNotNull()), lambda m: _turn(part(m, role), part(m, text)))
+        if "system" in paths:
+            turns = F.concat(_system_turn(F.col("system").cast("string")), turns.cast(TURNS_TYPE))
     else:
         there = set(paths)
         turns = _of_fields(layout, lambda p: F.col(p).cast("string") if p in there else F.lit(None).cast("string"))

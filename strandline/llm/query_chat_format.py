@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import chat_format as C
 from strandline.llm.common import let, table
 
-PROBE = json.dumps({"messages": [{"role": r, "content": "</s>[INST] ok [/INST]"} for r in ("user", "assistant")]})
+PROBE = (-1, [(r, "</s>[INST] ok [/INST]") for r in ("user", "assistant")])
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probe = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(PROBE).alias("record"))
-    turns = C.canonical_rows(table(spark, sf_dir, "conversations")).unionByName(C.canonical_turns(probe, "id", "record"))
+    # a table of another layout
+    probe = spark.createDataFrame([PROBE], "id long, messages array<struct<role:string,content:string>>")
+    turns = C.canonical_rows(table(spark, sf_dir, "conversations")).unionByName(C.canonical_nested(probe, "id"))
     done = C.format_turns(turns)
     # what follows looks at the formatted text and its mask alone
     back = let(C.read_back(F.col("formatted")), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.array_join(F.transform(t, lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "").alias("all")))

@@ -69,6 +69,21 @@ def test_every_message_selects_its_mapping(spark):
     assert why == {4: "no mapping for message 2", 5: "no mapping for message 1", 6: "no layout has the fields: messages, prompt", 7: "no list of messages", 8: "no mapping for message 1", 10: "no JSON object"}
 
 
+def test_further_layouts(spark):
+    records = [
+        (1, '{"conversations":[{"from":"human","value":"a"}],"system":"s"}'), (2, '{"messages":[{"role":"user","content":"a"}],"system":null,"tools":"[]"}'), (3, '{"system_prompt":"s","question":"q","response":"r"}'), (4, '{"question":"q","context":"c","answer":"a"}'),
+        (5, '{"query":"q","response":"r"}'), (6, '{"instruction":"i","input":"n","response":"r"}'), (7, '{"problem":"p","solution":"s"}'), (8, '{"prompt":"p","response":"r","context":"c"}'),
+    ]
+    out = C.canonical_turns(spark.createDataFrame(records, "id long, rec string"), "id", "rec").orderBy("__conv", "__turn").collect()
+    got = {k: [(r["__role"], r["__text"]) for r in g] for k, g in itertools.groupby(out, lambda r: r["__conv"])}
+    assert got == {
+        1: [("system", "s"), ("user", "a")], 2: [("user", "a")], 3: [("system", "s"), ("user", "q"), ("assistant", "r")], 4: [("user", "q\n\nc"), ("assistant", "a")],
+        5: [("user", "q"), ("assistant", "r")], 6: [("user", "i\n\nn"), ("assistant", "r")], 7: [("user", "p"), ("assistant", "s")], 8: [("user", "p\n\nc"), ("assistant", "r")],
+    }
+    nested = spark.createDataFrame([(1, [("user", "a")], "s"), (2, [("user", "b")], None)], "id long, messages array<struct<role:string,content:string>>, system string")
+    assert [(r["__conv"], r["__role"], r["__text"]) for r in C.canonical_nested(nested, "id").orderBy("__conv", "__turn").collect()] == [(1, "system", "s"), (1, "user", "a"), (2, "user", "b")]
+
+
 def test_record_fingerprints_match_plain(spark):
     rng = random.Random(21)
     known = C._vocabulary(C.LAYOUTS)
