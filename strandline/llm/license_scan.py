@@ -2,21 +2,22 @@
 
 A text is read as words, so line breaks and punctuation do not matter.  No key word
 (name or version) of a template may be missing, so a notice can only be where the
-rarest of them is: each such place is a candidate, and the words around it, as many
-as the template has and may differ by, are aligned with the template's.  At least
-``wording`` of these must be there in order and only few may come in between, so a
+rarest of them is.  Around each such place blocks are cut in a few sizes (powers of two of words, up to the longest
+template's), whatever template the word comes from.  Every block is compressed once alone and once with each
+template as a raw zstandard dictionary.  Templates are ranked by the bytes that they save, and tried in that order (none is left
+out, so what stands around a notice cannot hide it) for their exact wording: the words around the place are aligned with the template's, at
+least ``wording`` of these must be there in order and only few may come in between, so a
 text that only resembles a license, or names another version, is not taken for it.
-The stretch that the alignment covers is compressed once alone and once with the
-template as a raw zstandard dictionary, and must get smaller by ``least_gain``; what
-stands around it has no say.  The differences that remain are reported.
+The stretch that the alignment covers must also shrink by ``least_gain`` by itself.  The differences
+that remain are reported, with the template's rank and the bytes it saved.
 
 Texts are scanned in Arrow batches without a shuffle; only those that hold all key words
-of a template are cut into words, and only for such templates.
+of a template are cut into words, and only places of such templates are looked at.
 
 Defined results: null or empty texts give no rows; of confirmed notices that overlap, the
-one with the most words in common less differences stays, then the one with more words, then the one that saves most,
+one whose template saves most bytes of its block stays, then the one with the most words in common less differences, then the one with more words,
 then the one whose template comes first; all others give a row each, in text order;
-repeated rows give repeated results; extra columns are ignored.
+repeated rows give repeated results; extra columns are ignored; ids must be integers.
 """
 
 from __future__ import annotations
@@ -122,9 +123,17 @@ class Scanner:
         self.words = [_WORD.findall(t.lower()) for _, _, t in templates]
         self.keys = [k.split() for _, k, _ in templates]
         self.by_length = [sorted(keys, key=len, reverse=True) for keys in self.keys]
+        #: Words on either side of a block of the template's size.
+        self.reach = [1 << (2 * len(w) - 1).bit_length() for w in self.words]
         self.alone = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, t in templates]
 
+    def ranking(self, block: str) -> list[tuple[int, int]]:
+        """(bytes saved, template) of all templates, case aside, the most first."""
+        raw = block.lower().encode("utf-8", "surrogatepass")
+        alone = len(self.alone.compress(raw))
+        return sorted(((alone - len(c.compress(raw)), k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
+
     def gain(self, block: str, k: int) -> float:
         """Share of the block's compressed bytes that template ``k`` saves, case aside."""
         raw = block.lower().encode("utf-8", "surrogatepass")
@@ -155,8 +164,29 @@ class Scanner:
         diff = ["-" + w for i, w in enumerate(wanted) if i not in same] + ["+" + there[i] for i in range(first, last) if i not in inside]
         return first, last, len(same), diff
 
+    def confirmed(self, words: list[str], spans, text: str, i: int, k: int):
+        """The notice of template ``k`` whose key word stands at ``i``: words, differences and place, or null."""
+        wanted, size = self.words[k], len(self.words[k])
+        least, most = round(self.wording * size, 9), max(1, round((1 - self.wording) * 2 * size, 9))
+        slack = math.ceil(most)
+        begin = i - wanted.index(words[i])
+        a, b = max(0, begin - slack), begin + size + slack
+        if len(set(wanted).intersection(words[a:b])) < least - (size - len(set(wanted))) or not (fit := self.align(words[a:b], k)):
+            return None
+        first, last, n, diff = fit
+        if n < least or len(diff) > most or {d[1:] for d in diff if d[0] == "-"}.intersection(self.keys[k]):
+            return None
+        start, end = spans[a + first][1], _CLOSING.match(text, spans[a + last - 1][2]).end()
+        gain = self.gain(text[start:end], k)
+        return (n, tuple(diff), a + first, a + last, start, end, gain) if gain >= self.least_gain else None
+
     def scan(self, text: str | None):
         """(license, start, end, gain, share of words, differences) of each confirmed notice."""
+        for x in self.ranked(text):
+            yield x[:6]
+
+    def ranked(self, text: str | None):
+        """What ``scan`` gives, with the rank of the notice's template in its block and the bytes that it saved."""
         low = (text or "").lower()
         usable = [k for k, keys in enumerate(self.by_length) if all(w in low for w in keys)]
         if not usable:
@@ -167,43 +197,36 @@ class Scanner:
         for i, w in enumerate(words):
             if w in at:
                 at[w].append(i)
-        found = set()
-        for k in usable:
-            keys, wanted, size = self.keys[k], set(self.words[k]), len(self.words[k])
-            least, most = round(self.wording * size, 9), max(1, round((1 - self.wording) * 2 * size, 9))
-            slack = math.ceil(most)
-            rarest = min(keys, key=lambda w: len(at[w]))
-            for i in at[rarest]:
-                begin = i - self.words[k].index(rarest)
-                a, b = max(0, begin - slack), begin + size + slack
-                if len(wanted.intersection(words[a:b])) < least - (size - len(wanted)) or not (fit := self.align(words[a:b], k)):
-                    continue
-                first, last, n, diff = fit
-                if n < least or len(diff) > most or {d[1:] for d in diff if d[0] == "-"}.intersection(keys):
-                    continue
-                start, end = spans[a + first][1], _CLOSING.match(text, spans[a + last - 1][2]).end()
-                if (gain := self.gain(text[start:end], k)) >= self.least_gain:
-                    found.add((len(diff) - n, -n, -gain, k, a + first, a + last, start, end, tuple(diff)))
+        rarest = {k: min(self.keys[k], key=lambda w: len(at[w])) for k in usable}
+        blocks = {(i, self.reach[k]) for k, w in rarest.items() for i in at[w]}
+        found: dict = {}
+        for i, reach in blocks:
+            first, last = spans[max(0, i - reach)], spans[min(len(spans), i + reach) - 1]
+            for rank, (saved, k) in enumerate(self.ranking(text[first[1] : last[2]]), 1):
+                if self.reach[k] == reach and rarest.get(k) == words[i] and (hit := self.confirmed(words, spans, text, i, k)):
+                    n, diff, a, b, start, end, gain = hit
+                    key = (k, a, b, start, end, diff, n, gain)
+                    found[key] = max(found.get(key, (saved, -rank)), (saved, -rank))
         stay = []
-        for x in sorted(found):
-            if all(x[5] <= y[4] or y[5] <= x[4] for y in stay):
-                stay.append(x)
-        for _, n, gain, k, _, _, start, end, diff in sorted(stay, key=lambda x: x[4]):
-            yield self.templates[k][0], start, end, -gain, -n / len(self.words[k]), list(diff)
+        for key, (saved, rank) in sorted(found.items(), key=lambda x: (-x[1][0], len(x[0][5]) - x[0][6], -x[0][6], x[0][0], x[0][1:5])):
+            if all(key[2] <= y[1] or y[2] <= key[1] for y, _, _ in stay):
+                stay.append((key, saved, -rank))
+        for (k, _, _, start, end, diff, n, gain), saved, rank in sorted(stay, key=lambda x: x[0][1]):
+            yield self.templates[k][0], start, end, gain, n / len(self.words[k]), list(diff), rank, saved
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, license, start, end, gain, wording, differences``: a row for each confirmed notice."""
+    """``doc_id, license, start, end, gain, wording, differences, rank, saved_bytes``: a row for each confirmed notice."""
 
     def run(batches):
         import pyarrow as pa
 
         scanner = Scanner(templates)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.int32(), pa.int64()]
         for b in batches:
-            rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in scanner.scan(t)]
+            rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in scanner.ranked(t)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "license", "start", "end", "gain", "wording", "differences"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "license", "start", "end", "gain", "wording", "differences", "rank", "saved_bytes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return rows.mapInArrow(run, "doc_id long, license string, start long, end long, gain double, wording double, differences array<string>")
+    return rows.mapInArrow(run, "doc_id long, license string, start long, end long, gain double, wording double, differences array<string>, rank int, saved_bytes long")

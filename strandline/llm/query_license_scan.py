@@ -1,4 +1,4 @@
-"""Query op10: license notices of every document (no SQL: tested against planted notices)."""
+"""Query op10: license notices of every document (no SQL: tested against all templates at all places)."""
 
 from __future__ import annotations
 

@@ -709,6 +709,18 @@ def test_texts_that_share_wording_are_told_apart():
     assert [x[0] for x in scanner.scan(later)] == ["GPL-3.0-or-later"] and [x[0] for x in scanner.scan(later.replace("3", "4"))] == []
 
 
+def test_bytes_saved_choose_between_overlapping_notices():
+    """By words alone the second template would win: all of its words are there, of the first one's one is another."""
+    long = "permission internationalization redistribution acknowledgement notwithstanding licensing ok"
+    templates = [("Long", "permission", long), ("Short", "f", "ok a b c d e f")]
+    text = long.replace("licensing", "changed") + " a b c d e f"
+    (one,) = L.Scanner(templates).ranked(text)
+    assert one[0] == "Long" and one[5] == ["-licensing", "+changed"] and one[6] == 1
+    assert [x[0] for x in L.Scanner(templates[1:]).scan(text)] == ["Short"]
+    ranks = L.Scanner().ranking("x y z " + L.TEMPLATES[5][2] + " x y z")
+    assert ranks[0][1] == 5 and [x[0] for x in ranks] == sorted((x[0] for x in ranks), reverse=True) and len(ranks) == len(L.TEMPLATES)
+
+
 def test_licenses_of_one_line():
     scanner = L.Scanner()
     text = "Licensed under the Apache License, Version 2.0. Released under the MIT License. Licensed under CC BY-SA 4.0. All rights reserved."
