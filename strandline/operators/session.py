@@ -166,14 +166,16 @@ def final_packages(evidence: DataFrame, blocks: DataFrame, budget: int = FINAL_T
     ``radius`` of it, is a package; evidence that an earlier package of its document
     holds joins that one.  Packages are taken in order while the budget lasts; one that does not fit shrinks to the
     neighbourhoods of its anchors, and if that does not fit either it is left out.
-    A fold over each session's packages, of which there are as many as it has evidence.
+    A fold over each session's evidence; a page that several pieces stand on is there once.
     """
     own = evidence.join(blocks.select("doc_id", "ordinal", "heading", "page"), ["doc_id", "ordinal"])
     paged = blocks.where(F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens"))).alias("whole"))
     wanted = own.select("session", "n", "doc_id", "heading", F.explode(F.sequence(F.col("ordinal") - radius, F.col("ordinal") + radius)).alias("ordinal"))
     near = blocks.select("doc_id", "heading", "ordinal", "tokens").join(wanted, ["doc_id", "heading", "ordinal"]).groupBy("session", "n").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens"))).alias("near"))
-    rows = own.join(paged, ["doc_id", "page"], "left").join(near, ["session", "n"])
-    grouped = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", "evidence", "doc_id", "ordinal", "page", "whole", "near"))).alias("rows"))
+    rows = own.join(near, ["session", "n"])
+    grouped = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", "evidence", "doc_id", "ordinal", "page", "near"))).alias("rows"))
+    pages = own.select("session", "doc_id", "page").distinct().join(paged, ["doc_id", "page"]).groupBy("session").agg(F.collect_list(F.struct("doc_id", "page", "whole")).alias("pages"))
+    grouped = grouped.join(pages, "session", "left")
     kind, doc = evidence.schema["session"].dataType.simpleString(), evidence.schema["doc_id"].dataType.simpleString()
     name = evidence.schema["evidence"].dataType.simpleString()
 
@@ -182,8 +184,10 @@ def final_packages(evidence: DataFrame, blocks: DataFrame, budget: int = FINAL_T
 
         for b in batches:
             out = []
-            for session, rows in zip(b["session"], b["rows"], strict=True):
-                out += [(session, *p) for p in pack([r if isinstance(r, dict) else r.asDict(recursive=True) for r in rows], budget)]
+            plain = lambda xs: [x if isinstance(x, dict) else x.asDict(recursive=True) for x in xs if xs is not None]
+            for session, rows, pages in zip(b["session"], b["rows"], b["pages"], strict=True):
+                whole = {(x["doc_id"], x["page"]): x["whole"] for x in plain(pages if pages is not None else [])}
+                out += [(session, *p) for p in pack([r | {"whole": whole.get((r["doc_id"], r["page"]))} for r in plain(rows)], budget)]
             yield pd.DataFrame(out, columns=["session", "package", "scope", "doc_id", "anchors", "blocks", "tokens"])
 
     return grouped.mapInPandas(run, f"session {kind}, package int, scope string, doc_id {doc}, anchors array<{name}>, blocks array<int>, tokens long")

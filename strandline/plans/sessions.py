@@ -55,7 +55,10 @@ def _blocks(s, d):
 
 @query(f"""WITH {_BLOCKS}, a AS (SELECT 's' || doc_id AS session, 'E' || ordinal AS evidence, ['PAGE', 'TABLE', 'COLUMN'][ordinal % 3 + 1] AS view, * FROM bl WHERE ordinal % 17 = 0),
 x AS (SELECT *, CASE WHEN view = 'COLUMN' AND table_id IS NOT NULL AND header IS NOT NULL THEN 'EVIDENCE_COLUMN' WHEN view <> 'PAGE' AND table_id IS NOT NULL THEN 'EVIDENCE_TABLE' WHEN page IS NOT NULL THEN 'EVIDENCE_PAGE' ELSE 'EVIDENCE_NEIGHBORHOOD' END AS scope FROM a)
-SELECT session, evidence, scope, b.ordinal AS shown FROM x JOIN bl b ON b.doc_id = x.doc_id AND CASE scope WHEN 'EVIDENCE_COLUMN' THEN b.table_id = x.table_id AND b.header = x.header WHEN 'EVIDENCE_TABLE' THEN b.table_id = x.table_id WHEN 'EVIDENCE_PAGE' THEN b.page = x.page ELSE b.heading = x.heading AND abs(b.ordinal - x.ordinal) <= 3 END""")
+SELECT session, evidence, scope, b.ordinal AS shown FROM x JOIN bl b ON b.doc_id = x.doc_id AND b.table_id = x.table_id AND b.header = x.header WHERE scope = 'EVIDENCE_COLUMN'
+UNION ALL SELECT session, evidence, scope, b.ordinal FROM x JOIN bl b ON b.doc_id = x.doc_id AND b.table_id = x.table_id WHERE scope = 'EVIDENCE_TABLE'
+UNION ALL SELECT session, evidence, scope, b.ordinal FROM x JOIN bl b ON b.doc_id = x.doc_id AND b.page = x.page WHERE scope = 'EVIDENCE_PAGE'
+UNION ALL SELECT session, evidence, scope, b.ordinal FROM (SELECT *, unnest(range(ordinal - 3, ordinal + 4)) AS near FROM x WHERE scope = 'EVIDENCE_NEIGHBORHOOD') y JOIN bl b ON b.doc_id = y.doc_id AND b.ordinal = y.near AND b.heading = y.heading""")
 def opened_evidence(s, d):
     """Every seventeenth block opened as a page, a table or a column."""
     blocks = _blocks(s, d)
@@ -67,10 +70,10 @@ def opened_evidence(s, d):
 
 @query()
 def final_packages(s, d):
-    """The packages of every sixth block as evidence under a small budget (tested against a plain version)."""
+    """Each document's session: the packages of every sixth block as evidence under a small budget (tested against a plain version)."""
     blocks = _blocks(s, d)
     o = F.col("ordinal")
-    evidence = blocks.where(o % 6 == 0).select((F.col("doc_id") % 10).alias("session"), (o * 100 + F.col("doc_id") % 100).alias("n"), F.concat_ws(":", F.col("doc_id").cast("string"), o.cast("string")).alias("evidence"), "doc_id", "ordinal")
+    evidence = blocks.where(o % 6 == 0).select(F.col("doc_id").alias("session"), o.alias("n"), F.concat_ws(":", F.col("doc_id").cast("string"), o.cast("string")).alias("evidence"), "doc_id", "ordinal")
     return E.final_packages(evidence, blocks, 4_000)
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.adapters import shared_dir, table
+from strandline.sources import bulk as U
+from strandline.streaming import outbox as O
 from strandline.streaming import pipelines as P
+from strandline.streaming import stateful as W
 
 Q, S = {}, {}
 
@@ -132,4 +135,63 @@ def answer_deltas(s, d):
     return shown.select("doc_id", F.length("v").cast("long").alias("n"), F.md5("v").alias("digest"))
 
 
+#: Timers fire when the watermark has passed them: an hour behind the latest event.
+_PASSED = "(SELECT max(epoch_ms(ts)) - 3600000 FROM events)"
+
+
+@query(f"""WITH f AS (SELECT user_id % 500 AS job_id, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS "at", event_id % 11 <> 0 AS ok FROM events WHERE event_type IN ('error', 'click')),
+n AS (SELECT *, count(*) FILTER (WHERE ok) OVER w AS k, count(*) FILTER (WHERE NOT ok) OVER w AS bad FROM f WINDOW w AS (PARTITION BY job_id ORDER BY "at", seq ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT job_id, CASE WHEN bad > 0 OR k > 3 THEN 'DEAD_LETTER' ELSE 'RETRY' END AS route, k, "at" FROM n)
+SELECT job_id, CAST(k AS INTEGER) AS attempt, route, "at" + CASE k WHEN 1 THEN 5 WHEN 2 THEN 30 ELSE 300 END AS "at" FROM r WHERE route = 'RETRY' AND ("at" + CASE k WHEN 1 THEN 5 WHEN 2 THEN 30 ELSE 300 END) * 1000 <= {_PASSED}
+UNION ALL SELECT job_id, CAST(CASE WHEN row_number() OVER (PARTITION BY job_id ORDER BY "at", seq) = 1 THEN (SELECT count(*) FROM r x WHERE x.job_id = n.job_id AND x.route = 'RETRY') ELSE 3 END + 1 AS INTEGER), 'DEAD_LETTER', "at" FROM n WHERE bad > 0 OR k > 3""")
+def stream_due_retries(s, d):
+    """Failures of jobs; the stream itself emits each retry when it is due."""
+    k = F.col("event_id")
+    failures = _stream(s, d).where("event_type IN ('error', 'click')").select((F.col("user_id") % 500).alias("job_id"), k.alias("seq"), F.col("ts").alias("failed_at"), (k % 11 != 0).alias("retryable"))
+    return run_to_end(W.retries(failures, "1 hour"), "due-retries")
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT user_id % 200 AS resource, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS "at", 'w' || (event_id % 3) AS owner, event_type IN ('click', 'purchase') AS claim FROM events),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY "at", seq) AS n FROM m),
+t AS (
+  SELECT resource, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS holder, CAST(0 AS BIGINT) AS fence, CAST(0 AS BIGINT) AS ends, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS "at", CAST(NULL AS VARCHAR) AS gone, CAST(0 AS BIGINT) AS gone_fence, CAST(0 AS BIGINT) AS gone_at FROM (SELECT DISTINCT resource FROM o)
+  UNION ALL
+  SELECT t.resource, o.n, CASE WHEN o.claim AND (t.holder IS NULL OR o."at" >= t.ends) THEN o.owner WHEN o."at" < t.ends THEN t.holder END,
+    t.fence + CASE WHEN o.claim AND (t.holder IS NULL OR o."at" >= t.ends) THEN 1 ELSE 0 END,
+    CASE WHEN o.claim AND (t.holder IS NULL OR o."at" >= t.ends) OR NOT o.claim AND t.holder = o.owner AND o."at" < t.ends THEN o."at" + 21600 WHEN t.holder IS NOT NULL AND o."at" < t.ends THEN t.ends ELSE 0 END,
+    o.seq, o.owner, CASE WHEN o.claim AND (t.holder IS NULL OR o."at" >= t.ends) THEN 'GRANTED' WHEN NOT o.claim AND coalesce(t.holder = o.owner, false) AND o."at" < t.ends THEN 'EXTENDED' ELSE 'REFUSED' END, o."at",
+    CASE WHEN o."at" >= t.ends THEN t.holder END, t.fence, t.ends
+  FROM t JOIN o ON o.resource = t.resource AND o.n = t.n + 1),
+z AS (SELECT resource, arg_max(holder, n) AS holder, arg_max(fence, n) AS fence, arg_max(ends, n) AS ends FROM (SELECT resource, n, coalesce(holder, '') AS holder, fence, ends FROM t) GROUP BY resource)
+SELECT resource, seq, owner, outcome, fence, "at" FROM t WHERE n > 0
+UNION ALL SELECT resource, -1, gone, 'EXPIRED', gone_fence, gone_at FROM t WHERE gone IS NOT NULL
+UNION ALL SELECT resource, -1, holder, 'EXPIRED', fence, ends FROM z WHERE holder <> '' AND ends * 1000 <= {_PASSED}""")
+def stream_leases(s, d):
+    """Claims and heartbeats of workers on resources, with fencing numbers and leases of six hours."""
+    k = F.col("event_id")
+    messages = _stream(s, d).select((F.col("user_id") % 200).alias("resource"), k.alias("seq"), F.col("ts").alias("sent_at"), F.concat(F.lit("w"), (k % 3).cast("string")).alias("owner"), F.col("event_type").isin("click", "purchase").alias("claim"))
+    return run_to_end(W.leases(messages, "1 hour", 21_600), "leases").fillna(-1, ["seq"])
+
+
+@query("""SELECT event_id AS id, coalesce(props, '') AS payload FROM events""")
+def outbox_published(s, d):
+    """Every event through the outbox source and the sink that writes each batch once."""
+    path = f"{shared_dir(s)}/strandline/outbox-{uuid.uuid4().hex}"
+    table(s, d, "events").select(F.col("event_id").alias("id"), F.coalesce("props", F.lit("")).alias("payload")).write.parquet(f"{path}/queue")
+    O.register(s)
+    q = O.publisher(O.pending(s, f"{path}/queue", 100_000), f"{path}/sent", f"{path}/state").start()
+    q.processAllAvailable()
+    q.stop()
+    return O.published(s, f"{path}/sent", "id long, payload string")
+
+
+@query("""SELECT o_orderkey AS id, md5(o_orderpriority || o_orderstatus) AS source FROM orders""")
+def bulk_written(s, d):
+    """Orders as index actions through the bulk writer, and read back."""
+    path = f"{shared_dir(s)}/strandline/bulk-{uuid.uuid4().hex}"
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.md5(F.concat("o_orderpriority", "o_orderstatus")).alias("source"))
+    U.write(rows, path)
+    return U.read(s, path, "id long, source string").select("id", "source")
+
+
 QUERIES, SQL = Q, S
