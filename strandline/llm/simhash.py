@@ -4,16 +4,18 @@ Fingerprints: the majority of each bit of the 64-bit hashes of word shingles, in
 Arrow batches with NumPy.  Only distinct fingerprints are compared, so exact copies
 cost one aggregation.
 
+Each distinct fingerprint's Hamming distances to ``PIVOTS`` reference fingerprints are computed once and stored
+beside it; this table of coordinates is what candidates are judged by.
+
 Two fingerprints that differ in at most three bits agree in all but three of any
 blocks of their bits.  ``block_masks`` takes as many blocks as make the agreeing
 bits more numerous than log2 of the fingerprints, so a bucket of fingerprints that
-agree in them holds by chance less than a handful, at any size of corpus.  In a bucket
-of at most ``small`` members, all pairs meet the pivot table: the Hamming distances
-of each member to ``PIVOTS`` reference fingerprints.  By the triangle inequality a
-pair whose distances to any one pivot differ by more than three is discarded; the
-others are verified.  Only links leave the task.
+agree in them holds by chance less than a handful, at any size of corpus.  Within a bucket
+the pairs whose coordinates differ by more than three anywhere are discarded, as the triangle
+inequality allows; the others are verified, and what leaves the task is one link of each member to the least one that it reaches.
 
-A bucket with more members is a cluster of near copies.  It is never paired: two of
+A bucket with more than ``small`` members is a cluster of near copies, whose coordinates
+agree all, so no pivot tells them apart.  It is never paired: two of
 its members that differ in at most three bits differ in bits that vary within the
 bucket, and there is a value that is one such bit away from one and two from the
 other.  Members send their neighbours at one and at two varying bits, and who meets
@@ -48,7 +50,7 @@ BITS = 64
 DISTANCE = 3
 SEED = 42
 PIVOTS = 32
-SMALL = 48
+SMALL = 1024
 WIDE = 128
 CHUNK = 1024
 
@@ -108,23 +110,51 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def pivoted(distinct: DataFrame) -> DataFrame:
+    """``fp, coords``: the distances to all pivots."""
+    away = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(p))))).cast("tinyint") for p in _pivots()]
+    return distinct.select("fp", F.array(*away).alias("coords"))
+
+
+def _linked(fp, table):
+    """Sorted fingerprints and their coordinates → (member, least member that it reaches) of all that reach another."""
+    import numpy as np
+
+    i, j = np.triu_indices(len(fp), 1)
+    for c in table.T:
+        near = np.abs(c[i] - c[j]) <= DISTANCE
+        i, j = i[near], j[near]
+    near = np.bitwise_count(fp[i] ^ fp[j]) <= DISTANCE
+    i, j = i[near], j[near]
+    least = np.arange(len(fp))
+    while True:
+        now = least.copy()
+        np.minimum.at(now, j, least[i])
+        np.minimum.at(now, i, least[j])
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    moved = least != np.arange(len(fp))
+    return fp[moved], fp[least[moved]]
+
+
 def _pairs_of_buckets(batches):
-    """Buckets (arrays of distinct fingerprints) → verified links."""
+    """Buckets (arrays of distinct fingerprints with their coordinates) → links."""
     import numpy as np
     import pyarrow as pa
 
-    pivots = _pivots()
     for b in batches:
         us, vs = [], []
-        for members in b.column(0).to_pylist():
-            fp = np.sort(np.array(members, dtype=np.int64)).view(np.uint64)
-            table = np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
-            i, j = np.triu_indices(len(fp), 1)
-            near = (np.abs(table[i] - table[j]) <= DISTANCE).all(1)
-            i, j = i[near], j[near]
-            near = np.bitwise_count(fp[i] ^ fp[j]) <= DISTANCE
-            us.append(fp[i[near]])
-            vs.append(fp[j[near]])
+        column = b.column(0)
+        for k in range(b.num_rows):
+            members = column.slice(k, 1).flatten()
+            fp = members.field("fp").to_numpy().view(np.uint64)
+            table = members.field("coords").flatten().to_numpy().reshape(len(fp), -1)
+            order = np.argsort(fp)
+            u, v = _linked(fp[order], table[order])
+            us.append(u)
+            vs.append(v)
         u, v = (np.concatenate(x).view(np.int64) if x else np.array([], np.int64) for x in (us, vs))
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -148,11 +178,12 @@ def _neighbours(batches):
 def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
     """Distinct ``fp`` → ``u, v``: links that connect exactly what links at three bits or fewer connect."""
     masks = block_masks(distinct.count())
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("block", "key"))
+    known = stored(pivoted(distinct), "simhash-pivots")
+    keyed = known.select("fp", "coords", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("block", "key"))
     size = keyed.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_or("fp").bitwiseXOR(F.bit_and("fp")).alias("varying")).where(F.col("n") > 1)
     members = stored(keyed.join(stored(size, "simhash-buckets"), ["block", "key"]), "simhash-members")
 
-    few = members.where(F.col("n") <= small).groupBy("block", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
+    few = members.where(F.col("n") <= small).groupBy("block", "key").agg(F.collect_list(F.struct("fp", "coords")).alias("fps")).select("fps")
     pairs = few.mapInArrow(_pairs_of_buckets, "u long, v long")
 
     many = members.where(F.col("n") > small).groupBy("fp").agg(F.bit_or("varying").alias("mask"))
