@@ -737,6 +737,32 @@ def test_digests_are_hex(spark):
     assert out["turns_sha256"] == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest() and out["loss_chars"] == len(t)
 
 
+def test_quality_matches_its_sql_where_lines_are_removed(spark, tmp_path):
+    """Boilerplate, in tables that the query and its SQL both read."""
+    import duckdb
+
+    from strandline.llm.catalog import oracle_sql, queries
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(600):
+        lines = [prose(rng, rng.randrange(3, 14), 4000) for _ in range(rng.randrange(1, 6))]
+        if i % 4 == 0:
+            lines.insert(rng.randrange(len(lines) + 1), "Share  this PAGE with friends" if i % 8 else "share this page with\tfriends")
+        if i % 5 == 0:
+            lines = ["all rights to the whole of this page are held by its host and by nobody else at all today"] + [prose(rng, 4, 4000)]
+        rows.append((i, "\n".join(lines) if i % 97 else None, "en", ["a", "b", None][i % 3], 0))
+    rows += [(1000 + i, rows[0][1], "en", "b", 0) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries()["op6_quality"](spark, f"file://{tmp_path}").toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(oracle_sql()["op6_quality"]).fetchdf()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols and sorted(got[cols].astype(str).itertuples(index=False, name=None)) == sorted(want[cols].astype(str).itertuples(index=False, name=None))
+    assert (got.removed_words > 0).sum() > 150 and ((got.removed_words > 0) & got.kept).any() and (~got.kept & ~got.base_failed).any()
+
+
 def test_queries_match_their_sql(spark):
     import glob
     import os
