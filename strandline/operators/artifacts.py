@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.adapters import stored
-from strandline.functions.text import bounded, embedding_text, utf16_len
+from strandline.functions.text import bounded, embedding_text, estimate_tokens, utf16_len
 from strandline.operators.cards import card_ids
 
 #: Limits of one document.
@@ -45,7 +45,7 @@ def section_cards(blocks: DataFrame, tree: DataFrame, model: Callable[[Column, C
     """``doc_id, pos, depth, title, path, source, card``: a card for each heading, the deepest first.
 
     A section's source is its own text, without headings, and then its children's
-    cards in order; an empty one has its title.  One step for each depth, of which
+    cards in order; an empty one has its title.  One step for each depth that occurs, of which
     there are ``DEEPEST`` at most; each reads the stored cards of the one below.
     """
     body = blocks.where(F.col("level").isNull() & (F.col("heading") >= 0))
@@ -53,7 +53,8 @@ def section_cards(blocks: DataFrame, tree: DataFrame, model: Callable[[Column, C
     own = stored(body.groupBy("doc_id", F.col("heading").alias("pos")).agg(ordered("text", "ordinal").alias("own")), "card-texts")
     heads = stored(tree.select("doc_id", "pos", "depth", "title", "path", "parent").join(own, ["doc_id", "pos"], "left"), "card-sections")
     below, done = None, []
-    for depth in range(DEEPEST, 0, -1):
+    deepest = heads.agg(F.max("depth").alias("d")).first()["d"] or 1
+    for depth in range(min(DEEPEST, deepest), 0, -1):
         level = heads.where(F.col("depth") == depth)
         if below is None:
             level = level.withColumn("children", F.lit(None).cast("string"))
@@ -92,6 +93,52 @@ def reduced(text: str, limit: int, split: Callable, summarise: Callable, estimat
     raise ValueError("RETRIEVAL_GENERATION_LIMIT_EXCEEDED")
 
 
+def _pieces(limit: int):
+    def run(batches):
+        import pyarrow as pa
+
+        from strandline.functions.text import split_tokens
+
+        for b in batches:
+            for key, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                parts = split_tokens(text, limit)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(parts), b.schema.field(0).type), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["id", "n", "piece"])
+
+    return run
+
+
+def reduce_texts(texts: DataFrame, limit: int, summarise: Callable[[Column], Column], most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """``id, text`` → ``id, text, rounds, error``: every text as one that a model can read at once.
+
+    A round takes the texts whose estimated tokens are over ``limit``, and no others: it cuts them into pieces
+    within the limit, deals the pieces to all tasks (a long text's too), summarises each, and joins
+    the summaries that are not blank in order.  A text that a round does not shorten, or that ``most_rounds`` do not bring within the
+    limit, is an error and keeps its last state.  Each round is stored.  A null text is empty; ids are unique and not null.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    now = stored(texts.select("id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("rounds"), F.lit(None).cast("string").alias("error")), "reduce-0")
+    for k in range(1, most_rounds + 2):
+        over = F.col("error").isNull() & (estimate_tokens(F.col("text")) > limit)
+        long = now.where(over)
+        if not long.take(1):
+            return now
+        failed = F.lit("RETRIEVAL_GENERATION_LIMIT_EXCEEDED")
+        if k > most_rounds:
+            return now.select("id", "text", "rounds", F.when(over, failed).otherwise(F.col("error")).alias("error"))
+        pieces = long.select("id", "text").mapInArrow(_pieces(limit), f"id {kind}, n int, piece string").repartition("id", "n")
+        said = pieces.select("id", "n", summarise(F.col("piece")).alias("s")).where(F.rlike("s", F.lit(r"(?U)\S")))
+        joined = said.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), "\n\n").alias("shorter"))
+        met = now.join(joined, "id", "left").withColumn("shorter", F.when(over, F.coalesce("shorter", F.lit(""))))
+        shrunk = F.length("shorter") < F.length("text")
+        now = stored(
+            met.select(
+                "id", F.when(over & shrunk, F.col("shorter")).otherwise(F.col("text")).alias("text"), (F.col("rounds") + F.when(over & shrunk, 1).otherwise(0)).alias("rounds"),
+                F.when(over & ~shrunk, failed).otherwise(F.col("error")).alias("error"),
+            ), f"reduce-{k}",
+        )
+    return now
+
+
 def accepted_outputs(requests: DataFrame, outputs: DataFrame) -> DataFrame:
     """``batch, request_id, n`` and ``batch, attempt, request_id, valid`` → ``batch, request_id, n, attempt, error``.
 

@@ -121,4 +121,12 @@ def rendered_cards(s, d):
     return table(s, d, "part").select("p_partkey", A.temporary_card(F.col("p_name"), card).alias("card"), A.rerank_document(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.col("p_name")).alias("document"))
 
 
+@query()
+def reduced_texts(s, d):
+    """Every document as a source of at most 200 estimated tokens, by rounds of summaries (tested against a plain loop)."""
+    texts = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = A.reduce_texts(texts, 200, lambda piece: A.temporary_card(F.lit("part"), A.extract(piece, F.lit("part"))))
+    return found.select(F.col("id").alias("doc_id"), "rounds", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"), "error")
+
+
 QUERIES, SQL = Q, S

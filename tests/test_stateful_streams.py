@@ -115,3 +115,24 @@ def test_bulks_follow_the_packing_rule(spark):
         bulk.manifest(spark, f"{path}-bad").collect()
     bulk.write(rows.limit(0), f"{path}-none")
     assert bulk.manifest(spark, f"{path}-none").count() == 0
+
+
+def test_reduced_texts_equal_a_plain_loop(spark):
+    import random
+
+    from strandline.functions.text import split_tokens
+    from strandline.operators import artifacts
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["word", "größer", "检索服务", "x"]) for _ in range(rng.randrange(0, 400)))) for i in range(40)] + [(90, None), (91, ""), (92, "keep " * 300), (93, "ab" * 20000)]
+    estimate = lambda t: max(1, (sum(ord(c) < 128 for c in t) + 3) // 4 + sum(ord(c) >= 128 for c in t))
+    models = {"halve": (lambda c: F.substr(c, F.lit(1), F.floor(F.length(c) / 2).cast("int")), lambda t: t[: len(t) // 2]), "same": (lambda c: c, lambda t: t), "blank": (lambda c: F.lit(" "), lambda t: " ")}
+    for column, plain in models.values():
+        got = {r["id"]: (r["text"], r["error"]) for r in artifacts.reduce_texts(spark.createDataFrame(rows, "id long, text string"), 60, column).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            try:
+                assert got[i] == (artifacts.reduced(t or "", 60, split_tokens, plain, estimate), None)
+            except ValueError:
+                assert got[i][1] == "RETRIEVAL_GENERATION_LIMIT_EXCEEDED"
+    assert artifacts.reduce_texts(spark.createDataFrame(rows, "id long, text string").limit(0), 60, models["halve"][0]).count() == 0
