@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from strandline.adapters import table
+from strandline.adapters import shared_dir, table
 from strandline.operators import projection as P
+from strandline.operators import projection_store as T
 
 Q, S = {}, {}
 
@@ -63,4 +66,20 @@ def telemetry_rollup(s, d):
     return P.telemetry(calls)
 
 
+@query("""SELECT CAST(o_custkey % 40 AS VARCHAR) AS scope, o_orderkey, CASE WHEN o_custkey % 40 % 3 = 0 THEN o_orderpriority ELSE o_orderstatus END AS value FROM orders""")
+def stored_projection(s, d):
+    """Two runs over forty scopes: the second replaces every third of them, after one that was stopped before its manifest."""
+    path = f"{shared_dir(s)}/strandline/projection-{uuid.uuid4().hex}"
+    scope = F.col("o_custkey") % 40
+    rows = lambda value: table(s, d, "orders").select(scope.alias("scope"), "o_orderkey", value.alias("value"))
+    named = lambda r, fingerprint: r.select("scope").distinct().select("scope", fingerprint.alias("fingerprint"))
+    first, changed = rows(F.col("o_orderstatus")), F.col("scope") % 3 == 0
+    T.project(named(first, F.lit("a")), first, path, 1)
+    stopped = rows(F.lit("lost"))
+    T.write_rows(named(stopped, F.lit("b")), stopped, path)
+    second = rows(F.when(scope % 3 == 0, F.col("o_orderpriority")).otherwise(F.col("o_orderstatus")))
+    T.project(named(second, F.when(changed, "b").otherwise("a")), second, path, 2)
+    return T.current(s, path, "o_orderkey long, value string").select("scope", "o_orderkey", "value")
+
+
 QUERIES, SQL = Q, S
