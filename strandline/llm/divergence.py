@@ -67,21 +67,27 @@ def _count(batches):
     size = 0
 
     def flushed():
-        rows = [(g[0], g[1], None, 0, 0) for g in occurrences]
-        rows += [(g[0], g[1], t.decode("utf-8", "surrogatepass"), n, documents[g][t]) for g, c in occurrences.items() for t, n in c.items()]
+        lang, source, term, n, docs = [], [], [], [], []
+        for group, own in occurrences.items():
+            held = documents[group]
+            lang += [group[0]] * (len(own) + 1)
+            source += [group[1]] * (len(own) + 1)
+            term += [None, *own]
+            n += [0, *own.values()]
+            docs += [0, *map(held.__getitem__, own)]
         occurrences.clear()
         documents.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["lang", "source", "term", "n", "docs"])
+        terms = pa.array(term, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), terms, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
     for b in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            own: Counter = Counter()
-            for piece in _terms(text):
-                own.update(piece)
-            group = occurrences[lang, source]
+            group, seen = occurrences[lang, source], set()
             size -= len(group)
-            group.update(own)
-            documents[lang, source].update(own.keys())
+            for piece in _terms(text):
+                group.update(piece)
+                seen.update(piece)
+            documents[lang, source].update(seen)
             size += len(group) + 1
             if size > ENTRIES:
                 yield flushed()
