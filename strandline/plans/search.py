@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.adapters import shared_dir, table
 from strandline.functions import text as T
+from strandline.operators import retrieve as E
 from strandline.operators import search as R
 from strandline.operators import vector_index as I
 
@@ -310,4 +311,26 @@ def search_tool_page(s, d):
     return R.search_page(R.fuse(_keyword(s, d), _semantic(s, d)).select("query_id", "version", "heading", "rank"), 5, 5)
 
 
+@query(f"""WITH rq AS (SELECT item_id AS query_id, CASE WHEN item_id % 11 = 4 THEN ' ' ELSE text END AS text, ['HYBRID', 'KEYWORD', 'SEMANTIC'][item_id % 3 + 1] AS mode, item_id % 7 <> 0 AS k, item_id % 5 <> 0 AS s FROM benchmark),
+e0 AS (SELECT *, CASE WHEN text = ' ' THEN 'EMPTY_QUERY' WHEN mode <> 'SEMANTIC' AND NOT k THEN 'KEYWORD_FAILED' WHEN mode = 'SEMANTIC' AND NOT s THEN 'SEMANTIC_FAILED' END AS error, text <> ' ' AND mode = 'HYBRID' AND k AND NOT s AS degraded FROM rq),
+ex AS (SELECT *, CASE WHEN error IS NOT NULL THEN NULL WHEN degraded THEN 'KEYWORD' ELSE mode END AS executed FROM e0),
+{_bm25_sql("m", "SELECT doc_id, text FROM documents", queries="SELECT query_id, text FROM ex WHERE executed IN ('KEYWORD', 'HYBRID')")},
+kw AS (SELECT query_id, doc_id AS version, 0 AS heading, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m QUALIFY rank <= 50),
+cs AS (SELECT ex.query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM ex JOIN embeddings q ON q.vec_id = ex.query_id, embeddings e WHERE executed IN ('SEMANTIC', 'HYBRID') AND e.vec_id IN (SELECT doc_id FROM documents)),
+sem AS (SELECT query_id, vec_id AS version, 0 AS heading, false AS is_profile, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs QUALIFY rank <= 20), {FUSED},
+tx AS (SELECT r.*, length(d.text) AS chars, ex.degraded, least(length(d.text), 600) AS a FROM ranked r JOIN documents d ON d.doc_id = r.version JOIN ex ON ex.query_id = r.query_id WHERE r.rank <= 5),
+ux AS (SELECT *, CAST(least(a, greatest(0, 2000 - coalesce(sum(a) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS used FROM tx)
+SELECT query_id AS request_id, CAST(rank AS INTEGER) AS position, version AS doc_id, score, channels, used, used < chars AS truncated, degraded, NULL AS error FROM ux WHERE used > 0
+UNION ALL SELECT query_id, -1, -1, -1, NULL, -1, false, false, error FROM ex WHERE error IS NOT NULL""")
+def retrieve(s, d):
+    """Every benchmark question as a request, from its check to its evidence; some searches fail."""
+    k = F.col("item_id")
+    asked = table(s, d, "benchmark").join(table(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id", "left")
+    mode = F.get(F.array(F.lit("HYBRID"), F.lit("KEYWORD"), F.lit("SEMANTIC")), (k % 3).cast("int"))
+    requests = asked.select(k.alias("request_id"), F.when(k % 11 == 4, " ").otherwise(F.col("text")).alias("query"), mode.alias("mode"), F.lit(5).alias("top_k"), "embedding", (k % 7 != 0).alias("keyword_ok"), (k % 5 != 0).alias("semantic_ok"))
+    vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    found = E.retrieve(requests, table(s, d, "documents").select("doc_id", "text"), vectors, (("text", T.tokens, 1.0),), 600, 2_000)
+    return found.fillna(-1, ["position", "doc_id", "score", "used"]).fillna(False, ["truncated"])
+
+
 QUERIES, SQL = Q, S

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.adapters import table
+from strandline.adapters import shared_dir, table
+from strandline.sources.objects import put_parts
 from strandline.sources.readers import parse_column
 
 
@@ -21,6 +24,14 @@ def html_tables(s, d):
     return parse_column(table(s, d, "pages"), "page_id", "html", "HTML_TABLE").select("id", "table_no", "row", "col", "text")
 
 
+def uploaded_objects(s, d):
+    """Every document's text as an object, put in two parts by the tasks; size and digest as the bytes passed."""
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    half = F.floor(F.octet_length(raw) / 2).cast("int")
+    parts = table(s, d, "documents").select(F.format_string("d%02d/%d", F.col("doc_id") % 50, F.col("doc_id")).alias("key"), F.posexplode(F.array(F.substr(raw, F.lit(1), half), F.substr(raw, half + 1))).alias("n", "part"))
+    return put_parts(parts, f"{shared_dir(s)}/strandline/objects-{uuid.uuid4().hex}")
+
+
 #: Tags that begin or end a block of text.
 BLOCK_TAGS = "address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|legend|li|main|nav|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul"
 
@@ -49,5 +60,6 @@ def html_table_fixture(s, d):
 SQL = {
     "html_table_fixture": """SELECT c_custkey AS id, 0 AS table_no, r AS row, c AS col, rs AS row_span, cs AS col_span, h AS header, CASE k WHEN 0 THEN c_name WHEN 1 THEN 'B & ' || c_custkey WHEN 2 THEN 'x' ELSE CAST(c_nationkey AS VARCHAR) END AS text
 FROM customer, (VALUES (0, 0, 0, 2, 1, true), (1, 0, 1, 1, 2, true), (2, 1, 1, 1, 1, false), (3, 1, 2, 1, 1, false)) t(k, r, c, rs, cs, h)""",
+    "uploaded_objects": "SELECT printf('d%02d/%d', doc_id % 50, doc_id) AS key, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size, sha256(coalesce(text, '')) AS sha256, CAST(NULL AS VARCHAR) AS error FROM documents",
 }
-QUERIES = {"markdown_blocks": markdown_blocks, "html_tables": html_tables, "html_blocks": html_blocks, "html_table_fixture": html_table_fixture}
+QUERIES = {"markdown_blocks": markdown_blocks, "html_tables": html_tables, "html_blocks": html_blocks, "html_table_fixture": html_table_fixture, "uploaded_objects": uploaded_objects}
