@@ -108,7 +108,7 @@ def documents(spark, d) -> DataFrame:
         F.max_by(F.when(F.col("status") == READY, F.col("version_id")), F.when(F.col("status") == READY, F.col("version_no"))).alias("active_version_id"),
         F.max_by("version_id", "version_no").alias("latest_version_id"),
     )
-    base = c.join(F.broadcast(kbs(spark, d)), F.col("c_nationkey") == F.col("kb_id"))  # 25 nations at any scale
+    base = c.join(kbs(spark, d), F.col("c_nationkey") == F.col("kb_id"))
     status = ladder((F.col("c_acctbal") < -900, "DELETED"), (F.col("c_acctbal") < -500, "DELETING"), otherwise="ACTIVE")
     return base.join(v, F.col("c_custkey") == F.col("document_id")).select(F.col("c_custkey").alias("document_id"), "tenant_id", "kb_id", F.col("c_name").alias("name"), status.alias("doc_status"), "active_version_id", "latest_version_id")
 

@@ -82,12 +82,12 @@ def authorize_reason(s, d):
     nation = A.table(s, d, "nation").select("n_nationkey", "n_regionkey")
     seg = F.col("c_mktsegment")
     permission = F.when(seg == "BUILDING", "READ").when(seg == "MACHINERY", "WRITE").when(seg == "AUTOMOBILE", "READ_WRITE").when(seg == "FURNITURE", "OTHER")
-    app = A.table(s, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    app = A.table(s, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("application_id"), F.when(F.col("c_acctbal") < 0, "INACTIVE").otherwise("ACTIVE").alias("application_status"),
         F.when(F.col("n_regionkey") == 4, "INACTIVE").otherwise("ACTIVE").alias("tenant_status"), F.col("n_regionkey").alias("tenant_id"), permission.alias("permission"),
     )
     kb = nation.select(F.col("n_nationkey").alias("kb_id"), F.col("n_regionkey").alias("kb_tenant_id"), F.when(F.col("n_nationkey") % 5 == 3, "INACTIVE").otherwise("ACTIVE").alias("kb_status"))
-    joined = req.join(app, F.col("application") == F.col("application_id"), "left").join(F.broadcast(kb), F.col("kb") == F.col("kb_id"), "left")
+    joined = req.join(app, F.col("application") == F.col("application_id"), "left").join(kb, F.col("kb") == F.col("kb_id"), "left")
     return C.authorize(joined).select("event_id", "reason")
 
 

@@ -70,7 +70,7 @@ def bounded_lists(s, d):
 
 @query(r"""SELECT n_nationkey, r_name || ' > ' || n_name || ' > ' || CAST(n_nationkey AS VARCHAR) AS path, n_name AS family FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def title_paths(s, d):
-    rows = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     path = T.title_path(F.array("r_name", "n_name", F.col("n_nationkey").cast("string")))
     return rows.select("n_nationkey", path.alias("path"), F.get(T.split_path(path), F.lit(1)).alias("family"))
 
