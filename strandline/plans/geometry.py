@@ -114,4 +114,36 @@ def styled_blocks(s, d):
     return G.styled_blocks(sections, cells)
 
 
+@query("""WITH w AS (
+  SELECT l_orderkey AS table_id, l_linenumber AS line, CAST(l_quantity AS DOUBLE) / 2 AS x0, CAST(l_quantity AS DOUBLE) / 2 + 15 AS x1, 'l' || l_partkey AS text FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 2 + 55, CAST(l_quantity AS DOUBLE) / 2 + 65, 'r' || l_suppkey FROM lineitem WHERE l_partkey % 8 > 0
+  UNION ALL SELECT l_orderkey, l_linenumber, 45, 56, 'over' FROM lineitem WHERE l_partkey % 97 = 0),
+n AS (SELECT l_orderkey AS table_id, count(DISTINCT l_linenumber) AS lines FROM lineitem GROUP BY l_orderkey),
+us AS (SELECT o_orderkey AS table_id, lines FROM orders JOIN n ON n.table_id = o_orderkey WHERE o_orderkey % 5 > 0 AND o_orderkey % 4 > 0 AND lines >= 4),
+sd AS (SELECT w.*, lines, x0 < 50 AND 50 < x1 AS crosses, CASE WHEN (x0 + x1) / 2 < 50 THEN 0 ELSE 1 END AS col FROM w JOIN us ON us.table_id = w.table_id),
+rw AS (SELECT table_id, line, col, string_agg(text, ' ' ORDER BY x0, text) AS text, bool_or(crosses) AS crosses, max(lines) AS lines FROM sd GROUP BY table_id, line, col),
+pl AS (SELECT table_id, line, count(*) = 2 AS paired, bool_or(crosses) AS crosses, max(lines) AS lines FROM rw GROUP BY table_id, line),
+gd AS (SELECT table_id FROM pl GROUP BY table_id HAVING NOT bool_or(crosses) AND count(*) FILTER (WHERE paired) >= greatest(3, (max(lines) + 2) // 3))
+SELECT rw.table_id, line AS "row", col AS "column", text FROM rw JOIN gd ON gd.table_id = rw.table_id""")
+def two_column_tables(s, d):
+    """Orders as tables of two columns; some have too few rows or sides, or a word across the separator."""
+    l, x = table(s, d, "lineitem"), F.col("l_quantity").cast("double") / 2
+    at = [F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("line")]
+    word = lambda x0, x1, text: [*at, x0.alias("x0"), x1.alias("x1"), text.alias("text")]
+    left = l.select(*word(x, x + 15, F.concat(F.lit("l"), F.col("l_partkey").cast("string"))))
+    right = l.where("l_partkey % 8 > 0").select(*word(x + 55, x + 65, F.concat(F.lit("r"), F.col("l_suppkey").cast("string"))))
+    over = l.where("l_partkey % 97 = 0").select(*word(F.lit(45.0), F.lit(56.0), F.lit("over")))
+    k = F.col("o_orderkey")
+    separators = table(s, d, "orders").select(k.alias("table_id"), F.lit(50.0).alias("x"), F.when(k % 5 > 0, 2).otherwise(3).alias("columns"), (k % 4 + 2).alias("rows"))
+    return G.two_columns(l.select(*at), left.unionAll(right).unionAll(over), separators)
+
+
+@query()
+def glyph_lines(s, d):
+    """Words of the geometry queries as glyphs of a page (tested by golden values)."""
+    w = _words(s, d)
+    glyphs = w.select("cell", F.col("top").alias("y"), F.col("x0").alias("x"), (F.col("x1") - F.col("x0")).alias("width"), F.lit(8.0).alias("height"), F.lit(10.0).alias("font_size"), F.when(F.col("bold"), "Serif-Bold").otherwise("Serif").alias("font"), "text", F.lit(100.0).alias("page_width"))
+    return G.glyph_lines(glyphs, "cell")
+
+
 QUERIES, SQL = Q, S
