@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.adapters import stream_fold
+from strandline.functions.text import strip, utf16_len
 
 
 def greedy_batches(rows: DataFrame, by: str, order: str, size: str, most_items: int, most_size: int) -> DataFrame:
@@ -107,6 +108,28 @@ def semantic_errors(cards: DataFrame) -> DataFrame:
     return cards.select("card_id", F.array_join(F.filter(bad, lambda x: x.isNotNull()), ",").alias("errors"))
 
 
+def semantic_violations(cards: DataFrame) -> DataFrame:
+    """``card_id, errors``: what a model's answer for a card has out of range, joined by commas.
+
+    ``profile``: whether it is a document's; that has a ``text`` (its purpose) of at most 400 UTF-16 units and one question or more, another
+    card one (its summary) of at most 600 and may have none.  1 to 12 topics and up to 12 aliases of 80, up to 8 questions of 200.
+    Null lists and items, blank texts, and items that are equal but for white space around them are errors.
+    """
+    text = lambda c, n: F.coalesce((F.length(strip(c)) > 0) & (utf16_len(c) <= n), F.lit(False))
+
+    def items(c, least, most, n):
+        x = F.col(c)
+        unique = F.size(F.array_distinct(F.transform(x, strip))) == F.size(x)
+        return F.coalesce(F.size(x).between(least, most) & F.forall(x, lambda v: text(v, n)) & unique, F.lit(False))
+
+    whole = F.col("profile")
+    bad = F.array(
+        F.when(~text(F.col("text"), F.when(whole, 400).otherwise(600)), F.when(whole, "purpose").otherwise("summary")), F.when(~items("topics", 1, 12, 80), "topics"),
+        F.when(~items("aliases", 0, 12, 80), "aliases"), F.when(~items("questions", F.when(whole, 1).otherwise(0), 8, 200), "questions"),
+    )
+    return cards.select("card_id", F.array_join(F.filter(bad, lambda x: x.isNotNull()), ",").alias("errors"))
+
+
 def json_lines(docs: DataFrame, blocks: DataFrame, headings: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
     """Header, a line for each block, heading and warning, footer with their counts: ``doc_id, section, ordinal, line``. A writer orders by these."""
     none = docs.select("doc_id", F.lit(0).alias("pos"), F.lit("").alias("title")).limit(0)

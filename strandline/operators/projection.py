@@ -17,6 +17,18 @@ def ordered_digest(cards: DataFrame, by: str, order: str, text: str) -> DataFram
     return cards.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(parts, ""), 256).alias("digest"))
 
 
+def artifact_digests(cards: DataFrame, by: str, order: str, semantic: list[str], payload: str) -> DataFrame:
+    """``by, n, semantic_digest, vector_digest`` over an artifact's cards in order.
+
+    The first is taken over each card's ``semantic`` fields as a JSON object and a newline, the second over the
+    bytes that the base64 column ``payload`` stands for.  A null payload has none.  An artifact has a bounded number of cards.
+    """
+    row = F.struct(F.col(order).alias("o"), F.to_json(F.struct(*semantic), {"ignoreNullFields": "false"}).alias("s"), F.coalesce(F.hex(F.unbase64(payload)), F.lit("")).alias("v"))
+    rows = cards.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(row)).alias("rows"))
+    said = F.array_join(F.transform("rows", lambda x: F.concat(x["s"], F.lit("\n"))), "")
+    return rows.select(by, "n", F.sha2(said, 256).alias("semantic_digest"), F.sha2(F.unhex(F.array_join("rows.v", "")), 256).alias("vector_digest"))
+
+
 def expand_same_column(cells: DataFrame, anchors: DataFrame, most: int = 5) -> DataFrame:
     """Cells that share a table and a normalised column header with an anchor, the nearest rows first."""
     a = anchors.select("anchor", "table_id", "header", F.col("row").alias("at"))

@@ -77,6 +77,22 @@ def semantic_errors(s, d):
     return K.semantic_errors(table(s, d, "part").select(F.col("p_partkey").alias("card_id"), many(14).alias("topics"), many(16).alias("aliases"), many(10).alias("questions"), F.expr("repeat('s', p_size * 15)").alias("summary")))
 
 
+@query("""WITH c AS (SELECT p_partkey AS card_id, p_partkey % 3 = 0 AS profile, repeat('s', p_size * 15) || CASE WHEN p_partkey % 50 = 0 THEN '' ELSE 'x' END AS text, list_transform(range(0, p_size % 15), lambda i: 't' || CASE WHEN p_partkey % 11 = 0 AND i = 1 THEN '0 ' ELSE CAST(i AS VARCHAR) END) AS topics,
+  CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE list_transform(range(0, p_size % 14), lambda i: repeat('a', i * 7 + 1)) END AS aliases, list_transform(range(0, p_size % 10), lambda i: CASE WHEN i = 3 AND p_partkey % 7 = 0 THEN '  ' ELSE repeat('q', i + 1) END) AS questions FROM part),
+u AS (SELECT *, length(text) BETWEEN 1 AND CASE WHEN profile THEN 400 ELSE 600 END AS a, len(topics) BETWEEN 1 AND 12 AND len(list_distinct(list_transform(topics, lambda x: trim(x)))) = len(topics) AS b, coalesce(len(aliases) <= 12 AND len(list_filter(aliases, lambda x: length(x) > 80)) = 0, false) AS c,
+  len(questions) BETWEEN CASE WHEN profile THEN 1 ELSE 0 END AND 8 AND len(list_filter(questions, lambda x: trim(x) = '')) = 0 AS q FROM c)
+SELECT card_id, concat_ws(',', CASE WHEN NOT a THEN CASE WHEN profile THEN 'purpose' ELSE 'summary' END END, CASE WHEN NOT b THEN 'topics' END, CASE WHEN NOT c THEN 'aliases' END, CASE WHEN NOT q THEN 'questions' END) AS errors FROM u""")
+def semantic_violations(s, d):
+    """Parts as cards and profiles with lists of many lengths; some have items twice, blank, too long or none."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    listed = lambda m, f: F.when(n % m > 0, F.transform(F.sequence(F.lit(0), F.greatest(n % m, F.lit(1)).cast("int") - 1), f)).otherwise(F.array().cast("array<string>"))
+    topics = listed(15, lambda i: F.concat(F.lit("t"), F.when((k % 11 == 0) & (i == 1), "0 ").otherwise(i.cast("string"))))
+    aliases = F.when(k % 13 > 0, listed(14, lambda i: F.repeat(F.lit("a"), i * 7 + 1)))
+    questions = listed(10, lambda i: F.when((i == 3) & (k % 7 == 0), "  ").otherwise(F.repeat(F.lit("q"), i + 1)))
+    text = F.concat(F.expr("repeat('s', p_size * 15)"), F.when(k % 50 == 0, "").otherwise("x"))
+    return K.semantic_violations(table(s, d, "part").select(k.alias("card_id"), (k % 3 == 0).alias("profile"), text.alias("text"), topics.alias("topics"), aliases.alias("aliases"), questions.alias("questions")))
+
+
 @query(f"""WITH {BLOCKS} SELECT d.doc_id, true AS valid, count(b.text) AS n_blocks, sha256(coalesce(string_agg(b.text, chr(10) || chr(10) ORDER BY b.ordinal), '')) AS text_sha256 FROM documents d LEFT JOIN blocks b USING (doc_id) GROUP BY d.doc_id""")
 def json_lines_round_trip(s, d):
     blocks = C.assemble(_parsed(s, d))

@@ -36,6 +36,13 @@ def card_digests(s, d):
     return P.ordered_digest(table(s, d, "orders"), "o_custkey", "o_orderkey", "o_orderpriority")
 
 
+@query("""SELECT p_brand, count(*) AS n, sha256(string_agg('{"p_partkey":' || p_partkey || ',"p_type":"' || p_type || '","p_size":' || p_size || '}' || chr(10), '' ORDER BY p_partkey)) AS semantic_digest, sha256(string_agg(p_name, '' ORDER BY p_partkey)) AS vector_digest FROM part GROUP BY p_brand""")
+def artifact_digests(s, d):
+    """Parts as the cards of their brands; a name's bytes stand for a vector."""
+    cards = table(s, d, "part").withColumn("payload", F.base64(F.col("p_name").cast("binary")))
+    return P.artifact_digests(cards, "p_brand", "p_partkey", ["p_partkey", "p_type", "p_size"], "payload")
+
+
 CELLS = """c AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS cell_id, l_suppkey AS table_id, CAST(l_orderkey % 200 AS INTEGER) AS row, l_returnflag || CAST(l_linenumber AS VARCHAR) AS header FROM lineitem)"""
 
 
