@@ -82,6 +82,26 @@ def section_read(blocks: DataFrame, tree: DataFrame, budget: int) -> DataFrame:
     return read.select("doc_id", "pos", F.coalesce("children", F.lit(0)).alias("children"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("chars", F.lit(0)).alias("chars"), (F.coalesce("chars", F.lit(0)) > budget).alias("narrow"))
 
 
+def opened_sections(blocks: DataFrame, tree: DataFrame, opened: DataFrame) -> DataFrame:
+    """``doc_id, pos, remaining`` (sections and the tokens that a session has left) → what opening them gives: ``doc_id, pos, kind, ref, title, has_children, tokens, narrow``.
+
+    A SECTION row each; a CHILD row for every direct child, by which reading can go on below; and, unless the estimated
+    tokens are more than what remains (``narrow``), a BLOCK row for each block that stands right under the heading (of a
+    section without children that is all of it).  Blank blocks are left out.
+    """
+    from strandline.functions.text import estimate_tokens, strip
+
+    body = blocks.where(F.length(strip(F.col("text"))) > 0).select("doc_id", F.col("heading").alias("pos"), "ordinal", estimate_tokens(F.col("text")).alias("t"))
+    parents = tree.select("doc_id", F.col("parent").alias("pos")).where("pos >= 0").distinct().withColumn("has_children", F.lit(True))
+    heads = tree.select("doc_id", "pos", "title", "parent").join(parents, ["doc_id", "pos"], "left").select("doc_id", "pos", "title", "parent", F.coalesce("has_children", F.lit(False)).alias("has_children"))
+    asked = opened.join(heads.drop("parent"), ["doc_id", "pos"]).join(body.groupBy("doc_id", "pos").agg(F.sum("t").alias("tokens")), ["doc_id", "pos"], "left")
+    asked = asked.withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("narrow", F.col("tokens") > F.col("remaining"))
+    row = lambda df, kind, ref, title, more: df.select("doc_id", "pos", F.lit(kind).alias("kind"), ref.cast("long").alias("ref"), title.alias("title"), more.alias("has_children"), "tokens", "narrow")
+    below = asked.select("doc_id", "pos", "tokens", "narrow").join(heads.select("doc_id", F.col("parent").alias("pos"), F.col("pos").alias("child"), "title", "has_children"), ["doc_id", "pos"])
+    read = asked.where("NOT narrow").select("doc_id", "pos", "tokens", "narrow").join(body.select("doc_id", "pos", "ordinal"), ["doc_id", "pos"])
+    return row(asked, "SECTION", F.col("pos"), F.col("title"), F.col("has_children")).unionByName(row(below, "CHILD", F.col("child"), F.col("title"), F.col("has_children"))).unionByName(row(read, "BLOCK", F.col("ordinal"), F.lit(""), F.lit(False)))
+
+
 def safe_highlights(fragments: Column, text: Column, truncated: Column) -> Column:
     """Fragments that stand in the text word for word; none if the text was cut."""
     return F.when(truncated, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(fragments, lambda f: F.contains(text, f))))

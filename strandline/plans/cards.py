@@ -165,6 +165,23 @@ def section_read(s, d):
     return A.section_read(blocks, C.heading_tree(blocks), 500)
 
 
+_PLAIN = r"length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))"
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, {TREE}, b AS (SELECT *, coalesce((SELECT max(h.ordinal) FROM blocks h WHERE h.doc_id = x.doc_id AND h.ordinal <= x.ordinal AND h.level IS NOT NULL), -1) AS heading FROM blocks x),
+tk AS (SELECT doc_id, heading AS pos, CAST(sum(greatest(1, ({_PLAIN} + 3) // 4 + length(text) - {_PLAIN})) AS BIGINT) AS tokens FROM b WHERE trim(text) <> '' GROUP BY ALL),
+pr AS (SELECT DISTINCT doc_id, parent AS pos FROM par WHERE parent >= 0),
+hd AS (SELECT p.doc_id, p.pos, p.parent, p.title, pr.pos IS NOT NULL AS has_children, coalesce(tokens, 0) AS tokens, coalesce(tokens, 0) > 60 AS narrow FROM par p LEFT JOIN tk ON tk.doc_id = p.doc_id AND tk.pos = p.pos LEFT JOIN pr ON pr.doc_id = p.doc_id AND pr.pos = p.pos)
+SELECT doc_id, pos, 'SECTION' AS kind, CAST(pos AS BIGINT) AS ref, title, has_children, tokens, narrow FROM hd
+UNION ALL SELECT h.doc_id, h.pos, 'CHILD', c.pos, c.title, c.has_children, h.tokens, h.narrow FROM hd h JOIN hd c ON c.doc_id = h.doc_id AND c.parent = h.pos
+UNION ALL SELECT h.doc_id, h.pos, 'BLOCK', b.ordinal, '', false, h.tokens, h.narrow FROM hd h JOIN b ON b.doc_id = h.doc_id AND b.heading = h.pos WHERE NOT h.narrow AND trim(b.text) <> ''""")
+def opened_sections(s, d):
+    """Every section opened with 60 tokens left: its blocks if they fit, and its children."""
+    blocks = C.assemble(_parsed(s, d))
+    tree = C.heading_tree(blocks)
+    return A.opened_sections(blocks, tree, tree.select("doc_id", "pos", F.lit(60).alias("remaining")))
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 + CASE WHEN contains(text, 'the ') THEN 1 ELSE 0 END END AS kept FROM documents WHERE length(text) > 0""")
 def highlight_safety(s, d):
     f = F.array(F.left("text", F.lit(12)), F.lit("the "), F.left("text", F.lit(12)), F.lit("absent"))
