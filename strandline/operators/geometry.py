@@ -1,7 +1,7 @@
 """Words and glyphs of a page to lines, cells and captions; replacing a detected table by a digital one.
 
 The unit of work is a page, a cell or a table, so those steps that depend on all
-that came before them on it are folds over one such group, in Arrow batches.
+that came before them on it are folds over one such group, whose rows pass sorted, as a stream.
 """
 
 from __future__ import annotations
@@ -10,22 +10,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a fold gives on at once.
+FOLD_ROWS = 10_000
+
+
 def _folded(df: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
-    """``fold(rows)`` → output tuples, for each group's rows in order; the keys come first."""
-    names = [c for c in df.columns if c not in keys]
-    grouped = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in names if c not in order]))).alias("__rows"))
+    """``fold(rows)`` → output tuples, for each group's rows in order; the keys come first.
+
+    Partitions are sorted and read as a stream: ``fold`` gets an iterator, and no group is ever a row of its own.
+    """
+    names = [*keys, *order, *[c for c in df.columns if c not in keys and c not in order]]
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    fields = [f.split() for f in schema.split(", ")]
 
     def run(batches):
-        import pandas as pd
+        from itertools import groupby
+
+        import pyarrow as pa
+
+        plain = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+        types: list = []
+
+        def stream():
+            for b in batches:
+                types[:] = [b.schema.field(k).type for k in keys] + [plain[t] for _, t in fields]
+                yield from (dict(zip(names, values, strict=True)) for values in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+        def packed(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*keys, *[n for n, _ in fields]])
 
-        for b in batches:
-            out = []
-            for values in b.itertuples(index=False):
-                out += [(*values[:-1], *x) for x in fold([dict(r) for r in values[-1]])]
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in (kinds + ", " + schema).split(", ")])
+        out = []
+        for key, rows in groupby(stream(), lambda r: tuple(r[k] for k in keys)):
+            for x in fold(rows):
+                out.append((*key, *x))
+                if len(out) == FOLD_ROWS:
+                    yield packed(out)
+                    out = []
+        if out:
+            yield packed(out)
 
-    return grouped.select(*keys, "__rows").mapInPandas(run, kinds + ", " + schema)
+    kept = df.select(*names).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*names)
+    return kept.mapInArrow(run, kinds + ", " + schema)
 
 
 def line_numbers(tops: list[float], tolerances: list[float]) -> list[int]:
@@ -255,15 +280,17 @@ def merge_titles(boxes: DataFrame) -> DataFrame:
     """
 
     def fold(rows):
-        out: list[dict] = []
+        shown = lambda r: (r["n"], r["kind"], r["text"], r["x0"], r["x1"], r["y0"], r["y1"], r["parts"])
+        last = None
         for r in rows:
-            last = out[-1] if out else None
             if last and last["kind"].lower() == r["kind"].lower() == "title" and one_title(last, r):
-                out[-1] = last | {"text": f"{last['text'].strip()} {r['text'].strip()}", "x0": min(last["x0"], r["x0"]), "x1": max(last["x1"], r["x1"]), "y0": min(last["y0"], r["y0"]), "y1": max(last["y1"], r["y1"]), "named": False, "parts": last["parts"] + 1}
+                last |= {"text": f"{last['text'].strip()} {r['text'].strip()}", "x0": min(last["x0"], r["x0"]), "x1": max(last["x1"], r["x1"]), "y0": min(last["y0"], r["y0"]), "y1": max(last["y1"], r["y1"]), "named": False, "parts": last["parts"] + 1}
             else:
-                out.append(dict(r) | {"parts": 1})
-        for r in out:
-            yield r["n"], r["kind"], r["text"], r["x0"], r["x1"], r["y0"], r["y1"], r["parts"]
+                if last:
+                    yield shown(last)
+                last = r | {"parts": 1}
+        if last:
+            yield shown(last)
 
     return _folded(boxes.select("doc", "page", F.col("n").cast("long").alias("n"), F.coalesce("kind", F.lit("")).alias("kind"), "text", "x0", "x1", "y0", "y1", "named"), ["doc", "page"], ["n"], fold, "n long, kind string, text string, x0 double, x1 double, y0 double, y1 double, parts int")
 
