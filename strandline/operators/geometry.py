@@ -168,12 +168,23 @@ def captions(tables: DataFrame, boxes: DataFrame, reach: float = 48.0, overlap:
     A box counts if it ends at most ``reach`` above the table and overlaps ``overlap`` of the
     narrower of both; the second is one that ends at most ``gap`` above the first.
     """
-    t, b = tables.alias("t"), boxes.alias("b")
+    place, band = ["doc", "page", "x0", "x1", "y0"], lambda y: F.floor(y / (reach + 2))
+    # of boxes of one place the first three matter: a table takes two, and one may bear its own id
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    usable = boxes.select(*place, "y1", "box_id", text.alias("text"), F.lower("kind").alias("kind")).where(F.length("text").between(1, 240) & F.col("kind").isin("text", "title"))
+    nth = Window.partitionBy("doc", "page", "x0", "x1", "y1").orderBy("box_id")
+    few = usable.withColumn("nth", F.row_number().over(nth)).where("nth <= 3").withColumn("band", band(F.col("y1")))
+    # tables of one place have the same boxes above them; bands of y as wide as the reach keep far boxes from being met
+    places = tables.select(*place).distinct().withColumn("band", F.explode(F.sequence(band(F.col("y0") - reach), band(F.col("y0") + 2))))
+    t, b = places.alias("t"), few.alias("b")
     wide = F.greatest(F.lit(0.0), F.least("t.x1", "b.x1") - F.greatest("t.x0", "b.x0"))
     narrower = F.least(F.greatest(F.lit(1.0), F.col("t.x1") - F.col("t.x0")), F.greatest(F.lit(1.0), F.col("b.x1") - F.col("b.x0")))
-    text = F.trim(F.regexp_replace("b.text", r"\s+", " "))
-    near = (F.col("b.y1") <= F.col("t.y0") + 2) & (F.col("t.y0") - F.col("b.y1") <= reach) & (wide / narrower >= overlap) & F.length(text).between(1, 240) & F.lower("b.kind").isin("text", "title")
-    found = t.join(b, (F.col("t.doc") == F.col("b.doc")) & (F.col("t.page") == F.col("b.page")) & (F.col("t.table_id") != F.col("b.box_id")) & near).select("t.table_id", F.col("b.y0").alias("y0"), F.col("b.y1").alias("y1"), text.alias("text"), "b.box_id")
+    near = (F.col("b.y1") <= F.col("t.y0") + 2) & (F.col("t.y0") - F.col("b.y1") <= reach) & (wide / narrower >= overlap)
+    same = (F.col("t.doc") == F.col("b.doc")) & (F.col("t.page") == F.col("b.page")) & (F.col("t.band") == F.col("b.band"))
+    above = t.join(b, same & near).select(*[F.col(f"t.{c}").alias(c) for c in place], F.col("b.y0").alias("top"), "b.y1", "b.text", "b.box_id")
+    first = Window.partitionBy(*place).orderBy(F.desc("y1"), "box_id")
+    above = above.withColumn("nth", F.row_number().over(first)).where("nth <= 3")
+    found = tables.select("table_id", *place).join(above, place).where(F.col("table_id") != F.col("box_id")).select("table_id", F.col("top").alias("y0"), "y1", "text", "box_id")
     order = Window.partitionBy("table_id").orderBy(F.desc("y1"), "box_id")
     ranked = found.select("*", F.row_number().over(order).alias("n"), F.lag("y0").over(order).alias("below")).where((F.col("n") == 1) | ((F.col("n") == 2) & (F.col("below") - F.col("y1") <= gap)))
     return ranked.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "text"))), lambda x: x["text"]), "\n").alias("caption"))

@@ -19,3 +19,17 @@ def test_folds_get_their_rows_as_a_stream(spark):
     got = got.collect()
     assert len(got) == 30_000 and all(r["lazy"] and r["none"] == (r["n"] % 3 == 0) for r in got)
     assert [r["n"] for r in got if r["k"] == 1] == list(range(1, 30_000, 2))
+
+
+def test_captions_meet_few_boxes(spark):
+    tables = spark.createDataFrame([("d", 1, i, 0.0, 100.0, 100.0) for i in range(1, 301)], "doc string, page int, table_id long, x0 double, x1 double, y0 double")
+    # two are as near as can be and bear the ids of tables; of the many in one place the least ids count
+    box = lambda i, y1, text: ("d", 1, i, 0.0, 90.0, y1 - 10, y1, "Text", text)
+    boxes = [box(1, 101.0, "one"), box(2, 101.0, "two"), *[box(1000 + i, 90.0, f"near {i}") for i in range(500)], box(1, 300.0, "far")]
+    boxes = spark.createDataFrame(boxes, "doc string, page int, box_id long, x0 double, x1 double, y0 double, y1 double, kind string, text string")
+    got = geometry.captions(tables, boxes)
+    joins = [x for x in plan(got).splitlines() if "Join" in x and "doc" in x]
+    # tables meet boxes by band, and only once a place
+    assert any("band" in x for x in joins) and all("band" in x or "y0" in x for x in joins)
+    found = {r["table_id"]: r["caption"] for r in got.collect()}
+    assert len(found) == 300 and found[1] == "near 0\ntwo" and found[2] == "near 0\none" and found[3] == "two\none"
