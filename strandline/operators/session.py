@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.adapters import stream_fold
+from strandline.adapters import stored, stream_fold
 
 
 def evidence_numbers(registrations: DataFrame) -> DataFrame:
@@ -186,35 +186,73 @@ def final_packages(evidence: DataFrame, blocks: DataFrame, budget: int = FINAL_T
     ``radius`` of it, is a package; evidence that an earlier package of its document
     holds joins that one.  Packages are taken in order while the budget lasts; one that does not fit shrinks to the
     neighbourhoods of its anchors, and if that does not fit either it is left out.
-    A fold over each session's evidence; a page that several pieces stand on is there once.
+    Two folds over each session's rows as a stream: which package evidence belongs to, for which a session's packages are
+    kept as numbers, and what the budget takes.  Blocks are joined and counted by package; none is in a session's row.
+    Stored columns of small numbers pack so well that their files say little of their size: joins are told to merge.
     """
-    own = evidence.join(blocks.select("doc_id", "ordinal", "heading", "page"), ["doc_id", "ordinal"])
-    paged = blocks.where(F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens"))).alias("whole"))
-    wanted = own.select("session", "n", "doc_id", "heading", F.explode(F.sequence(F.col("ordinal") - radius, F.col("ordinal") + radius)).alias("ordinal"))
-    near = blocks.select("doc_id", "heading", "ordinal", "tokens").join(wanted, ["doc_id", "heading", "ordinal"]).groupBy("session", "n").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens"))).alias("near"))
-    rows = own.join(near, ["session", "n"])
-    grouped = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", "evidence", "doc_id", "ordinal", "page", "near"))).alias("rows"))
-    pages = own.select("session", "doc_id", "page").distinct().join(paged, ["doc_id", "page"]).groupBy("session").agg(F.collect_list(F.struct("doc_id", "page", "whole")).alias("pages"))
-    grouped = grouped.join(pages, "session", "left")
-    kind, doc = evidence.schema["session"].dataType.simpleString(), evidence.schema["doc_id"].dataType.simpleString()
-    name = evidence.schema["evidence"].dataType.simpleString()
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            plain = lambda xs: [x if isinstance(x, dict) else x.asDict(recursive=True) for x in xs if xs is not None]
-            for session, rows, pages in zip(b["session"], b["rows"], b["pages"], strict=True):
-                whole = {(x["doc_id"], x["page"]): x["whole"] for x in plain(pages if pages is not None else [])}
-                out += [(session, *p) for p in pack([r | {"whole": whole.get((r["doc_id"], r["page"]))} for r in plain(rows)], budget)]
-            yield pd.DataFrame(out, columns=["session", "package", "scope", "doc_id", "anchors", "blocks", "tokens"])
-
-    return grouped.mapInPandas(run, f"session {kind}, package int, scope string, doc_id {doc}, anchors array<{name}>, blocks array<int>, tokens long")
+    own = evidence.join(blocks.select("doc_id", "ordinal", "heading", "page").hint("merge"), ["doc_id", "ordinal"]).withColumnRenamed("ordinal", "at")
+    whole = blocks.where(F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens"))).alias("whole"))
+    wanted = own.select("*", F.explode(F.sequence(F.col("at") - radius, F.col("at") + radius)).alias("ordinal"))
+    near = blocks.select("doc_id", "heading", "ordinal", "tokens").hint("merge").join(wanted, ["doc_id", "heading", "ordinal"]).groupBy("session", "n", "evidence", "doc_id", "page", "at").agg(F.array_sort(F.collect_list(F.struct("ordinal", "tokens"))).alias("near"))
+    near = stored(near, "packages-near")
+    ends = blocks.where(F.col("page").isNotNull()).groupBy("doc_id", "page").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+    spans = near.select("session", "n", "doc_id", "page", "at", F.array_min("near.ordinal").alias("low"), F.array_max("near.ordinal").alias("high")).join(ends.hint("merge"), ["doc_id", "page"], "left")
+    spans = spans.select("session", "n", "doc_id", "page", "at", F.coalesce("first", "low").alias("low"), F.coalesce("last", "high").alias("high"))
+    kind = evidence.schema["n"].dataType.simpleString()
+    numbers = stream_fold(spans, ["session"], ["n"], lambda: (0, {}, {}, {}), _numbered, f"n {kind}, package int")
+
+    opener = F.min_by(F.struct("doc_id", "page", "near"), "n").alias("opener")
+    anchors = F.transform(F.array_sort(F.collect_list(F.struct("n", "evidence"))), lambda x: x["evidence"]).alias("anchors")
+    around = F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("around")
+    made = near.hint("merge").join(numbers, ["session", "n"]).groupBy("session", "package").agg(opener, anchors, around).select("session", "package", "opener.*", "anchors", "around")
+    made = made.join(whole.hint("merge"), ["doc_id", "page"], "left").withColumn("all", F.coalesce("whole", "near"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["tokens"])
+    made = stored(made.select("session", "package", "doc_id", "page", "anchors", "all", "around", total("all").alias("tokens"), total("around").alias("fewer"), (F.col("all") != F.col("around")).alias("shrinks")), "packages-made")
+    taken = stream_fold(made.select("session", "package", "tokens", "fewer", "shrinks"), ["session"], ["package"], lambda: (0, 0), _taken(budget), "package int, place int, shrunk boolean")
+    shown = made.hint("merge").join(taken.where("place > 0"), ["session", "package"])
+    least = F.col("shrunk")
+    scope = F.when(least, "ANCHOR_NEIGHBORHOOD").when(F.col("page").isNull(), "CANONICAL_WINDOW").otherwise("PAGE")
+    held = F.transform(F.when(least, F.col("around")).otherwise(F.col("all")), lambda x: x["ordinal"].cast("int"))
+    return shown.select("session", F.col("place").alias("package"), scope.alias("scope"), "doc_id", "anchors", held.alias("blocks"), F.when(least, F.col("fewer")).otherwise(F.col("tokens")).alias("tokens"))
+
+
+def _numbered(state, r):
+    """The package of a piece of evidence: the first that holds it, else a new one.
+
+    State: how many packages there are, those of pages, those that hold an ordinal by being around it, and by document the pages' ordinals.
+    """
+    count, pages, windows, spans = state
+    doc, page, at = r["doc_id"], r["page"], r["at"]
+    held = [windows.get((doc, at))]
+    held += [pages.get((doc, page))] if page is not None else [next((n for low, high, n in spans.get(doc, ()) if low <= at <= high), None)]
+    found = min((n for n in held if n is not None), default=None)
+    if found is None:
+        found = count = count + 1
+        if page is not None:
+            pages[doc, page] = found
+            spans.setdefault(doc, []).append((r["low"], r["high"], found))
+        else:
+            for o in range(int(r["low"]), int(r["high"]) + 1):
+                windows.setdefault((doc, o), found)
+    return (count, pages, windows, spans), (r["n"], found)
+
+
+def _taken(budget: int):
+    """A package's place among those that the budget takes (0: none), and whether it shrinks to what is around its anchors."""
+
+    def step(state, r):
+        used, count = state
+        shrunk = r["tokens"] > budget - used and r["shrinks"]
+        tokens = r["fewer"] if shrunk else r["tokens"]
+        if tokens > budget - used:
+            return state, (r["package"], 0, False)
+        return (used + tokens, count + 1), (r["package"], count + 1, shrunk)
+
+    return step
 
 
 def pack(rows: list[dict], budget: int):
-    """Packages of one session: (number, scope, document, evidence, blocks, tokens)."""
+    """Packages of one session, all its rows at hand: (number, scope, document, evidence, blocks, tokens); the plain version of ``final_packages``."""
     packages: list[dict] = []
     for r in rows:
         whole = r["whole"] if r["whole"] is not None and len(r["whole"]) else None

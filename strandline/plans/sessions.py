@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.adapters import table
+from strandline.adapters import stored, table
 from strandline.operators import session as E
 
 Q, S = {}, {}
@@ -71,7 +71,7 @@ def opened_evidence(s, d):
 @query()
 def final_packages(s, d):
     """Each document's session: the packages of every sixth block as evidence under a small budget (tested against a plain version)."""
-    blocks = _blocks(s, d)
+    blocks = stored(_blocks(s, d), "session-blocks")
     o = F.col("ordinal")
     evidence = blocks.where(o % 6 == 0).select(F.col("doc_id").alias("session"), o.alias("n"), F.concat_ws(":", F.col("doc_id").cast("string"), o.cast("string")).alias("evidence"), "doc_id", "ordinal")
     return E.final_packages(evidence, blocks, 4_000)

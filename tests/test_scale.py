@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from strandline.operators import geometry
+from strandline.operators import geometry, session
 
 
 def plan(df) -> str:
@@ -33,3 +35,31 @@ def test_captions_meet_few_boxes(spark):
     assert any("band" in x for x in joins) and all("band" in x or "y0" in x for x in joins)
     found = {r["table_id"]: r["caption"] for r in got.collect()}
     assert len(found) == 300 and found[1] == "near 0\ntwo" and found[2] == "near 0\none" and found[3] == "two\none"
+
+
+def test_final_packages_equal_the_plain_version(spark):
+    """Pages, windows and documents with both, packages that shrink or do not fit; no session in one row."""
+    rng = random.Random(7)
+    kinds = {1: lambda o: o // 5, 2: lambda o: None, 3: lambda o: o // 4 if o % 11 < 6 else None}
+    blocks = [(doc, o, o // 7, kinds[doc](o), rng.randrange(0, 9)) for doc in kinds for o in range(60)]
+    table = {(doc, o): (heading, page, tokens) for doc, o, heading, page, tokens in blocks}
+    cases = []
+    for s in range(12):
+        picked = [(rng.choice([1, 2, 3]), rng.randrange(60)) for _ in range(rng.randrange(1, 40))]
+        cases += [(s, n, f"E{n}", doc, o) for n, (doc, o) in enumerate(dict.fromkeys(picked))]
+    evidence = spark.createDataFrame(cases, "session long, n int, evidence string, doc_id long, ordinal int")
+    frame = spark.createDataFrame(blocks, "doc_id long, ordinal int, heading int, page int, tokens long")
+    held = lambda keep: [{"ordinal": o, "tokens": t} for _, o, t in sorted(keep)]
+    for budget in (40, 150, 10_000):
+        want = set()
+        for s in range(12):
+            rows = []
+            for _, n, name, doc, o in (c for c in cases if c[0] == s):
+                heading, page, _ = table[doc, o]
+                near = held((d, x, t) for (d, x), (h, _, t) in table.items() if d == doc and h == heading and abs(x - o) <= 3)
+                whole = held((d, x, t) for (d, x), (_, p, t) in table.items() if d == doc and p == page) if page is not None else None
+                rows.append({"n": n, "evidence": name, "doc_id": doc, "ordinal": o, "page": page, "whole": whole, "near": near})
+            want |= {(s, n, scope, doc, tuple(names), tuple(x), t) for n, scope, doc, names, x, t in session.pack(rows, budget)}
+        got = session.final_packages(evidence, frame, budget)
+        assert {(r["session"], r["package"], r["scope"], r["doc_id"], tuple(r["anchors"]), tuple(r["blocks"]), r["tokens"]) for r in got.collect()} == want
+        assert "MapInPandas" in plan(got) and all("rows#" not in x for x in plan(got).splitlines())
