@@ -1,11 +1,13 @@
 """A stored inverted index for keyword search, with postings in blocks and the greatest weight of each.
 
-Documents are dealt to blocks of about ``BLOCK_DOCS`` by a hash of their id.  For each field (a column under an
-analyzer), term and block there is one row: the documents, their BM25 weights and the greatest of these.  Rows lie
+Documents are dealt to blocks of about ``BLOCK_DOCS`` by a hash of their id; only their texts are shuffled to them, and a block's
+postings are made and written where it is.  For each field (a column under an
+analyzer), term and block there is one row: the documents, how often they have the term, their lengths, and for each frequency
+the least length, one of which gives the block's greatest BM25 weight.  Rows lie
 in folders by a hash of their term, sorted by field and term, so a search reads the folders
 and row groups of its own terms only.
 
-A search first reads the greatest weights alone.  Their sums bound what a document of a block can
+A search counts the documents of its own terms and reads the greatest weights alone.  Their sums bound what a document of a block can
 reach for a query.  The most promising blocks of each query are scored first; the k-th score there is a floor, and of the
 other blocks only those whose bound reaches it are read at all.  A block is scored for all its queries in one task
 by NumPy, which returns k rows a query, so nothing grows with documents times queries.
@@ -25,33 +27,60 @@ QUERY_PART = 256
 FIRST_BLOCKS = 2
 #: Scores are rounded to six decimals; bounds leave room for that.
 SLACK = 1e-4
+#: Documents of a block that are Python lists of words at a time.
+DOCS_AT_ONCE = 64
+#: Blocks that one task makes, where there are enough for all cores.
+BLOCKS_A_TASK = 16
 
 
-def _counted(names: list[str]):
-    """Token arrays of each document → its terms by field: ``field, term, doc_id, tf, len``; the empty term has the length of the field."""
+def _postings(fields: int):
+    """A block's documents as token arrays by field → its rows; the empty term has the lengths of all its documents."""
 
-    def run(batches):
+    def run(table):
+        from array import array
         from collections import Counter
 
+        import numpy as np
         import pyarrow as pa
 
-        for b in batches:
-            docs = b.column(0).to_pylist()
-            for field in range(len(names)):
-                term, doc, tf, size = [], [], [], []
-                for d, tokens in zip(docs, b.column(field + 1).to_pylist(), strict=True):
+        found: dict[tuple[int, str], array] = {}
+        for at in range(0, table.num_rows, DOCS_AT_ONCE):
+            some = table.slice(at, DOCS_AT_ONCE)
+            docs = some.column("doc_id").to_pylist()
+            for field in range(fields):
+                for d, tokens in zip(docs, some.column(f"f{field}").to_pylist(), strict=True):
                     own = Counter(tokens or ())
                     n = sum(own.values())
                     own[""] = 1
-                    term += own
-                    tf += own.values()
-                    doc += [d] * len(own)
-                    size += [n] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([field] * len(term), pa.int32()), pa.array(term, pa.string()), pa.array(doc, pa.int64()), pa.array(tf, pa.int32()), pa.array(size, pa.int32())], names=["field", "term", "doc_id", "tf", "len"])
+                    for term, tf in own.items():
+                        there = found.get((field, term))
+                        if there is None:
+                            there = found[field, term] = array("q")
+                        there.extend((d, tf, n))
+        entries = np.frombuffer(b"".join(found.values()), np.int64).reshape(-1, 3)
+        sizes = np.array([len(x) // 3 for x in found.values()], np.int64)
+        listed = lambda sizes, values, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
+        # the weight grows with tf and falls with len, so the shortest document of each tf is enough for the greatest
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((entries[:, 2], entries[:, 1], row))
+        row, tf, size = row[order], entries[order, 1], entries[order, 2]
+        first = np.ones(len(row), bool)
+        first[1:] = (row[1:] != row[:-1]) | (tf[1:] != tf[:-1])
+        peaks = np.bincount(row[first], minlength=len(sizes))
+        columns = {
+            "field": pa.array([f for f, _ in found], pa.int32()), "term": pa.array([t for _, t in found], pa.string()), "block": pa.array(np.full(len(sizes), table.column("block")[0].as_py()), pa.int32()), "n": pa.array(sizes, pa.int32()),
+            "peak_tfs": listed(peaks, tf[first], pa.int32()), "peak_lens": listed(peaks, size[first], pa.int32()), "docs": listed(sizes, entries[:, 0], pa.int64()), "tfs": listed(sizes, entries[:, 1], pa.int32()), "lens": listed(sizes, entries[:, 2], pa.int32()),
+        }
+        return pa.table(columns)
 
     return run
 
 
+ROWS = "field int, term string, block int, n int, peak_tfs array<int>, peak_lens array<int>, docs array<long>, tfs array<int>, lens array<int>"
+INDEX = ROWS + ", folder int"
+FACTS = "field int, boost double, k1 double, b double, docs long, mean double"
+
+
 def build(docs: DataFrame, fields, path: str, block_docs: int = BLOCK_DOCS, k1: float = K1, b: float = B) -> None:
     """Write the index of ``docs`` (``doc_id`` and the fields' columns) to ``path``.
 
@@ -59,30 +88,23 @@ def build(docs: DataFrame, fields, path: str, block_docs: int = BLOCK_DOCS, k1:
     analyzers.  A null text has no terms; ids that occur twice share their postings.
     """
     spark = docs.sparkSession
-    names = [f"f{i}" for i in range(len(fields))]
-    tokens = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), *[analyzer(F.col(c)).alias(n) for n, (c, analyzer, _) in zip(names, fields, strict=True)])
+    columns = list(dict.fromkeys(c for c, _, _ in fields))
     blocks = max(1, -(-docs.count() // block_docs))
-    rows = tokens.mapInArrow(_counted(names), "field int, term string, doc_id long, tf int, len int")
-    entry = F.struct("doc_id", "tf", "len")
-    raw = rows.groupBy("field", "term", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(entry).alias("e"))
-    raw = stored(raw, "index-raw")
+    tasks = max(min(blocks, spark.sparkContext.defaultParallelism), -(-blocks // BLOCKS_A_TASK))
+    block = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    # dealt and sorted as texts, which are smaller than their words
+    dealt = texts.repartition(tasks, "block").sortWithinPartitions("block")
+    tokens = dealt.select("block", "doc_id", *[analyzer(F.col(f"c{columns.index(c)}")).alias(f"f{i}") for i, (c, analyzer, _) in enumerate(fields)])
+    rows = tokens.groupBy("block").applyInArrow(_postings(len(fields)), ROWS).withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int"))
+    rows.sortWithinPartitions("folder", "field", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
     # a field's length of each document stands under the empty term
-    lengths = raw.where("term = ''").select("field", F.explode("e.len").alias("len")).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    found = raw.where("term <> ''")
-    df = found.groupBy("field", "term").agg(F.sum(F.size("e")).alias("df")).join(lengths, "field")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    facts = df.select("field", "term", idf.alias("idf"), F.coalesce("mean", F.lit(1.0)).alias("mean"))
+    written = spark.read.schema(INDEX).parquet(f"{path}/postings").where((F.col("term") == "") & (F.col("folder") == F.pmod(F.xxhash64(F.lit("")), F.lit(FOLDERS)).cast("int")))
+    length = F.aggregate("lens", F.lit(0).cast("long"), lambda n, x: n + x)
+    found = written.groupBy("field").agg(F.sum("n").alias("docs"), (F.sum(length) / F.sum("n")).alias("mean"))
+    boosts = spark.createDataFrame([(i, float(boost), float(k1), float(b)) for i, (_, _, boost) in enumerate(fields)], "field int, boost double, k1 double, b double")
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
-    weight = lambda x: F.col("idf") * x["tf"] * (k1 + 1) / (x["tf"] + k1 * (1 - b + b * x["len"] / mean))
-    weights = F.transform("e", weight)
-    valued = found.join(facts, ["field", "term"]).select("field", "term", "block", F.col("e.doc_id").alias("docs"), weights.alias("weights"), F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int").alias("folder"))
-    valued = valued.select("field", "term", "block", F.array_max("weights").alias("most"), "docs", "weights", "folder")
-    valued.repartition("folder").sortWithinPartitions("folder", "field", "term", "block").write.partitionBy("folder").parquet(f"{path}/postings")
-    boosts = [(i, float(boost)) for i, (_, _, boost) in enumerate(fields)]
-    spark.createDataFrame(boosts, "field int, boost double").write.parquet(f"{path}/fields")
-
-
-INDEX = "field int, term string, block int, most double, docs array<long>, weights array<double>, folder int"
+    boosts.join(found, "field", "left").select("field", "boost", "k1", "b", F.coalesce("docs", F.lit(0)).alias("docs"), mean.alias("mean")).coalesce(1).write.parquet(f"{path}/fields")
 
 
 def query_terms(queries: DataFrame, fields) -> DataFrame:
@@ -92,20 +114,27 @@ def query_terms(queries: DataFrame, fields) -> DataFrame:
     return each.select("query_id", "x.field", F.explode("x.terms").alias("term"))
 
 
-def _scored(k: int, boosts: dict[int, float]):
-    """Posting rows of one block with the queries that want them → the ``k`` best documents of each query."""
+def _scored(k: int, boosts: dict[int, float], k1: float, b: float):
+    """Posting rows of one block, and the queries that want the block → the ``k`` best documents of each query."""
 
-    def run(table):
+    def run(table, wanting):
         import numpy as np
         import pyarrow as pa
 
-        lists, weights = table.column("docs").combine_chunks(), table.column("weights").combine_chunks()
+        if not table.num_rows or not wanting.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        lists = table.column("docs").combine_chunks()
+        counts = lists.value_lengths().to_numpy()
         ids, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        w = weights.flatten().to_numpy()
-        ends = np.cumsum(lists.value_lengths().to_numpy())
+        numbers = lambda c: table.column(c).combine_chunks().flatten().to_numpy().astype(np.float64)
+        tf, idf, mean = numbers("tfs"), np.repeat(table.column("idf").to_numpy(), counts), np.repeat(table.column("mean").to_numpy(), counts)
+        w = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * numbers("lens") / mean))
+        ends = np.cumsum(counts)
         wanted = table.column("queries").combine_chunks()
-        asked, row_of = np.unique(wanted.flatten().to_numpy(), return_inverse=True)
-        query_ends = np.cumsum(wanted.value_lengths().to_numpy())
+        asked = np.unique(wanting.column("query_id").to_numpy())
+        of, posting = wanted.flatten().to_numpy(), np.repeat(np.arange(table.num_rows), wanted.value_lengths().to_numpy())
+        there = np.isin(of, asked)
+        row_of, query_ends = np.searchsorted(asked, of[there]), np.cumsum(np.bincount(posting[there], minlength=table.num_rows))
         best = np.full((len(asked), len(ids)), -1.0)
         field_of = table.column("field").to_numpy()
         for field in np.unique(field_of).tolist():
@@ -135,23 +164,30 @@ def search(spark: SparkSession, path: str, queries: DataFrame, fields, k: int, f
     boosts = {i: float(boost) for i, (_, _, boost) in enumerate(fields)}
     terms = query_terms(queries, fields).select("*", F.pmod(F.xxhash64("term"), F.lit(FOLDERS)).cast("int").alias("folder"), F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)).alias("h"))
     parts = max(1, -(-queries.count() // QUERY_PART))
-    terms = stored(terms.select("query_id", "field", "term", "folder", F.pmod("h", F.lit(parts)).cast("int").alias("part")), "index-terms")
+    terms = stored(terms.where("term <> ''").select("query_id", "field", "term", "folder", F.pmod("h", F.lit(parts)).cast("int").alias("part")), "index-terms")
     index = spark.read.schema(INDEX).parquet(f"{path}/postings")
+    fields_of = spark.read.schema(FACTS).parquet(f"{path}/fields")
+    k1, b = fields_of.select("k1", "b").first()
     keys = ["folder", "field", "term"]
+    # what is known of the queries' terms; so the postings stay where they are until they are scored
+    df = index.select(*keys, "n").join(terms.select(*keys).distinct(), keys).groupBy(*keys).agg(F.sum("n").alias("df")).join(fields_of.select("field", "docs", "mean"), "field")
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    facts = stored(df.select(*keys, idf.alias("idf"), "mean"), "index-facts")
+    asked = stored(terms.join(facts, keys).groupBy(*keys, "idf", "mean", "part").agg(F.collect_list("query_id").alias("queries")), "index-asked")
+    weight = lambda tf, size: F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / F.col("mean")))
     boost = F.element_at(F.create_map(*[x for i, v in boosts.items() for x in (F.lit(i), F.lit(v))]), F.col("field"))
-    own = terms.select(*keys).distinct()
-    most = index.select(*keys, "block", "most").join(own, keys)
-    reach = most.join(terms.select("query_id", "part", *keys), keys).groupBy("query_id", "part", "block", "field").agg((F.sum("most") * F.first(boost)).alias("reach"))
+    most = index.select(*keys, "block", "peak_tfs", "peak_lens").join(asked, keys).select("block", "field", "part", F.array_max(F.zip_with("peak_tfs", "peak_lens", weight)).alias("most"), F.explode("queries").alias("query_id"))
+    reach = most.groupBy("query_id", "part", "block", "field").agg((F.sum("most") * F.first(boost)).alias("reach"))
     bounds = stored(reach.groupBy("query_id", "part", "block").agg(F.max("reach").alias("reach")), "index-bounds")
 
     def scored(of: DataFrame) -> DataFrame:
         """The ``k`` best of each query in the blocks of ``of``."""
-        pairs = of.select("query_id", "part", "block").join(terms.select("query_id", *keys), "query_id")
-        wanted = pairs.groupBy(*keys, "block", "part").agg(F.collect_list("query_id").alias("queries"))
-        found = index.select(*keys, "block", "docs", "weights").join(wanted, [*keys, "block"]).select("block", "part", "field", "docs", "weights", "queries")
-        return found.groupBy("block", "part").applyInArrow(_scored(k, boosts), "query_id long, doc_id long, score double")
+        places = stored(of.select("block", "part").distinct(), "index-places")
+        found = index.select(*keys, "block", "docs", "tfs", "lens").join(asked, keys).join(places, ["block", "part"], "left_semi")
+        found = found.select("block", "part", "field", "docs", "tfs", "lens", "idf", "mean", "queries").groupBy("block", "part")
+        return found.cogroup(of.select("block", "part", F.col("query_id").cast("long").alias("query_id")).groupBy("block", "part")).applyInArrow(_scored(k, boosts, k1, b), "query_id long, doc_id long, score double")
 
-    first = top_k(bounds.select("query_id", "part", "block", F.col("reach").alias("score")), first_blocks, "block")
+    first = stored(top_k(bounds.select("query_id", "part", "block", F.col("reach").alias("score")), first_blocks, "block"), "index-first")
     head = stored(scored(first), "index-head")
     rest = stored(surviving(bounds, first, head, k), "index-rest")
     return top_k(head.unionByName(scored(rest)), k)

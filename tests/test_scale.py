@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
-from strandline.operators import geometry, session
+from strandline.adapters import shared_dir
+from strandline.functions.text import tokens
+from strandline.operators import geometry, keyword_index, session
 
 
 def plan(df) -> str:
@@ -63,3 +66,14 @@ def test_final_packages_equal_the_plain_version(spark):
         got = session.final_packages(evidence, frame, budget)
         assert {(r["session"], r["package"], r["scope"], r["doc_id"], tuple(r["anchors"]), tuple(r["blocks"]), r["tokens"]) for r in got.collect()} == want
         assert "MapInPandas" in plan(got) and all("rows#" not in x for x in plan(got).splitlines())
+
+
+def test_postings_are_written_where_their_block_is(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("common"), F.col("id") % 7, F.col("id")).alias("text"))
+    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    keyword_index.build(docs, (("text", tokens, 1.0),), path, block_docs=50)
+    rows = spark.read.parquet(f"{path}/postings").withColumn("file", F.input_file_name())
+    spread = rows.groupBy("folder", "block").agg(F.countDistinct("file").alias("files")).groupBy().agg(F.max("files").alias("most")).first()
+    assert spread["most"] == 1 and rows.groupBy("folder").agg(F.countDistinct("file").alias("n")).agg(F.max("n")).first()[0] > 1
+    common = rows.where("term = 'common'").select(F.sum("n"), F.sum(F.size("docs")), F.countDistinct("block"), F.max(F.size("peak_tfs"))).first()
+    assert tuple(common) == (400, 400, 8, 1)
