@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from strandline import catalog
 from strandline.adapters import shared_dir
 from strandline.functions.text import tokens
 from strandline.operators import geometry, keyword_index, session
@@ -77,3 +78,8 @@ def test_postings_are_written_where_their_block_is(spark):
     assert spread["most"] == 1 and rows.groupBy("folder").agg(F.countDistinct("file").alias("n")).agg(F.max("n")).first()[0] > 1
     common = rows.where("term = 'common'").select(F.sum("n"), F.sum(F.size("docs")), F.countDistinct("block"), F.max(F.size("peak_tfs"))).first()
     assert tuple(common) == (400, 400, 8, 1)
+
+
+def test_tables_of_customers_are_parsed_by_all_cores(spark):
+    rows = catalog.queries()["html_table_fixture"](spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
