@@ -159,31 +159,37 @@ def artifact_violations(cards: DataFrame) -> DataFrame:
     ``cards``: ``version, n, card_id, card_type, node, parent, depth, sibling, part, title, path,
     start, end, canonical_start, canonical_end, embedding_text, wanted_text``.
     """
-    v, order = Window.partitionBy("version"), Window.partitionBy("version").orderBy("n")
-    node = Window.partitionBy("version", "node")
     full, part = F.col("card_type") == "HEADING_NODE", F.col("card_type") == "HEADING_SUBPARTITION"
     prefix = lambda kind: F.startswith(F.col("card_id"), F.concat(F.col("version").cast("string"), F.lit(f":{kind}:")))
-    first = F.min("n").over(node)
-    heads = cards.groupBy("version", F.col("node").alias("parent")).agg(F.min("n").alias("parent_at"))
-    roots = cards.where("depth = 1").groupBy("version").agg(F.min_by("parent", "n").alias("root"))
-    seen = cards.join(heads, ["version", "parent"], "left").join(roots, "version", "left").select(
-        "*", F.count(F.lit(1)).over(Window.partitionBy("version", "card_id")).alias("same"), F.count_if(full).over(node).alias("fulls"), F.count_if(part).over(node).alias("parts"), first.alias("first"),
-        F.when(part, F.row_number().over(Window.partitionBy("version", "node", "card_type").orderBy("n")) - 1).alias("want"), F.when(part, F.lag("end").over(Window.partitionBy("version", "node", "card_type").orderBy("n"))).alias("last"),
-        F.count(F.lit(1)).over(v).alias("cards"),
-    )
     shape = (
         ~(full | part) | (full & (~prefix("rn") | F.col("part").isNotNull())) | (part & (~prefix("rsp") | F.col("part").isNull() | (F.col("part") < 0))) | F.col("node").isNull() | F.col("parent").isNull()
         | (F.col("depth") < 1) | (F.col("sibling") < 0) | (F.length(F.trim(F.coalesce("title", F.lit("")))) == 0) | (F.length(F.trim(F.coalesce("path", F.lit("")))) == 0)
         | (F.col("start") >= F.col("end")) | (F.col("canonical_start") > F.col("canonical_end"))
     )
-    rules = F.array(
-        F.when(F.col("same") > 1, "CARD_ID_REPEATED"), F.when(F.coalesce(shape, F.lit(True)), "BAD_SHAPE"), F.when((F.col("fulls") > 1) | ((F.col("fulls") > 0) & (F.col("parts") > 0)), "MIXED_CARDS"),
-        F.when(part & ((F.col("part") != F.col("want")) | (F.col("last") != F.col("start"))), "PARTS_NOT_CONTIGUOUS"),
-        F.when((F.col("n") == F.col("first")) & (F.col("depth") == 1) & (F.col("parent") != F.col("root")), "SEVERAL_ROOTS"),
-        F.when((F.col("n") == F.col("first")) & (F.col("depth") > 1) & ~F.coalesce(F.col("parent_at") < F.col("n"), F.lit(False)), "PARENT_AFTER_CHILD"),
-        F.when(~F.col("embedding_text").eqNullSafe(F.col("wanted_text")), "TEXT_NOT_OF_TEMPLATE"), F.when(F.col("cards") + 1 > MOST_CARDS, "TOO_MANY_CARDS"),
+    # what a card tells by itself is told before it is dealt and sorted: texts do not go on
+    told = cards.select(
+        "version", "n", "card_id", "card_type", "node", "parent", "depth", "part", "start", "end",
+        F.coalesce(shape, F.lit(True)).alias("odd"), (~F.col("embedding_text").eqNullSafe(F.col("wanted_text"))).alias("other_text"),
+    )
+    sums = {"full": F.count_if(full), "part": F.count_if(part), "odd": F.count_if("odd"), "other": F.count_if("other_text"), "cards": F.count(F.lit(1)), "first": F.min("n")}
+    nodes = told.groupBy("version", "node").agg(*[c.alias(k) for k, c in sums.items()], F.min_by(F.struct("parent", "depth"), "n").alias("own"), F.min(F.when(F.col("depth") == 1, F.struct("n", "parent"))).alias("root"))
+    nodes = nodes.select("*", "own.parent", "own.depth", F.min("root").over(Window.partitionBy("version"))["parent"].alias("rooted")).drop("own", "root")
+    heads = told.groupBy("version", F.col("node").alias("parent")).agg(F.min("n").alias("parent_at"))
+    mixed = (F.col("full") > 1) | ((F.col("full") > 0) & (F.col("part") > 0))
+    late = (F.col("depth") > 1) & ~F.coalesce(F.col("parent_at") < F.col("first"), F.lit(False))
+    of_nodes = nodes.join(heads, ["version", "parent"], "left").groupBy("version").agg(
+        F.sum("odd").alias("BAD_SHAPE"), F.sum(F.when(mixed, F.col("cards")).otherwise(0)).alias("MIXED_CARDS"), F.count_if((F.col("depth") == 1) & (F.col("parent") != F.col("rooted"))).alias("SEVERAL_ROOTS"),
+        F.count_if(late).alias("PARENT_AFTER_CHILD"), F.sum("other").alias("TEXT_NOT_OF_TEMPLATE"), F.when(F.sum("cards") + 1 > MOST_CARDS, F.sum("cards")).otherwise(0).alias("TOO_MANY_CARDS"),
     )
-    return seen.select("version", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule")).groupBy("version", "rule").agg(F.count(F.lit(1)).alias("n"))
+    each = [F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("n")) for c in of_nodes.columns[1:]]
+    found = of_nodes.select("version", F.explode(F.array(*each)).alias("x")).select("version", "x.rule", "x.n")
+    # of cards themselves only the parts of a heading are sorted
+    pieces = Window.partitionBy("version", "node").orderBy("n")
+    apart = (F.col("part") != F.row_number().over(pieces) - 1) | (F.lag("end").over(pieces) != F.col("start"))
+    gaps = told.where(part).select("version", "node", "n", "part", "start", "end").select("version", apart.alias("apart")).groupBy("version").agg(F.count_if("apart").alias("n"))
+    ids = told.groupBy("version", "card_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").groupBy("version").agg(F.sum("n").alias("n"))
+    named = lambda df, rule: df.select("version", F.lit(rule).alias("rule"), "n")
+    return found.unionByName(named(gaps, "PARTS_NOT_CONTIGUOUS")).unionByName(named(ids, "CARD_ID_REPEATED")).where("n > 0")
 
 
 def navigation_rows(cards: DataFrame, profiles: DataFrame) -> DataFrame:

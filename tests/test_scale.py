@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline import catalog
 from strandline.adapters import shared_dir
 from strandline.functions.text import tokens
-from strandline.operators import geometry, keyword_index, session
+from strandline.operators import artifacts, geometry, keyword_index, session
 
 
 def plan(df) -> str:
@@ -83,3 +83,13 @@ def test_postings_are_written_where_their_block_is(spark):
 def test_tables_of_customers_are_parsed_by_all_cores(spark):
     rows = catalog.queries()["html_table_fixture"](spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_artifact_rules_need_no_windows_over_all_cards(spark):
+    got = catalog.queries()["artifact_violations"](spark, "/root/testdata/sf0.001")
+    assert "windowspecdefinition(version" not in "".join(x for x in plan(got).splitlines() if "count(1)" in x)
+    card = lambda n, i, node, parent, depth, part=None, end=0: (1, n, f"1:{'rn' if part is None else 'rsp'}:{i}", "HEADING_NODE" if part is None else "HEADING_SUBPARTITION", node, parent, depth, 0, part, "t", "p", n, end or n + 1, 0, 1, "x", "x")
+    rows = [card(1, 1, 1, 0, 1), card(2, 1, 2, 1, 2), card(3, 3, 3, 9, 2), card(4, 4, 4, 5, 1), card(5, 5, 5, 1, 2, 0, 9), card(6, 6, 5, 1, 2, 1), card(7, 7, 5, 1, 2, None)]
+    kinds = "version long, n int, card_id string, card_type string, node int, parent int, depth int, sibling int, part int, title string, path string, start int, end int, canonical_start int, canonical_end int, embedding_text string, wanted_text string"
+    out = {r["rule"]: r["n"] for r in artifacts.artifact_violations(spark.createDataFrame(rows, kinds)).collect()}
+    assert out == {"CARD_ID_REPEATED": 2, "MIXED_CARDS": 3, "PARTS_NOT_CONTIGUOUS": 1, "SEVERAL_ROOTS": 1, "PARENT_AFTER_CHILD": 1}
