@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 #: White space that is stripped: ASCII separators and the Unicode space separators, but no no-break space.
 STRIP = r"[\x09-\x0D\x1C-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
+#: The same as a list of characters.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{STRIP}+|{STRIP}+$", "")
+    # a pattern would try every run of white space inside the text
+    return F.trim(x, F.lit(_SPACES))
 
 
 def strip_end(x: Column) -> Column:
@@ -30,13 +33,15 @@ def source_error(raw: Column) -> Column:
 
 def normalize_block(x: Column, kind: Column) -> Column:
     """CR LF to LF, no byte-order marks; code loses only newlines at its ends, anything else all white space."""
-    plain = F.regexp_replace(F.regexp_replace(x, "\r\n?", "\n"), "\\x{FEFF}", "")
+    plain = F.replace(F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit("\ufeff"), F.lit(""))
     return F.when(kind == "CODE_BLOCK", F.regexp_replace(plain, "^\n+|\n+$", "")).otherwise(strip(plain))
 
 
 def utf16_len(x: Column) -> Column:
     """Length in UTF-16 code units, the unit of all offsets: non-BMP code points count twice."""
-    return (F.length(x) + F.length(F.regexp_replace(x, "[^\\x{10000}-\\x{10FFFF}]", ""))).cast("long")
+    # the others go in runs, not one by one; texts without any, told by their bytes, are not searched
+    wide = F.length(F.regexp_replace(x, "[^\\x{10000}-\\x{10FFFF}]++", ""))
+    return (F.length(x) + F.when(F.octet_length(x) == F.length(x), 0).otherwise(wide)).cast("long")
 
 
 #: Code points outside the basic plane, and a noncharacter that stands for the second unit of one.
