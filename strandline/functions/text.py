@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -297,16 +297,33 @@ def bigram_tokens(x: Column) -> Column:
     return F.filter(F.flatten(F.transform(runs, lambda t: F.when(wide(t), pairs(t)).otherwise(F.array(t)))), lambda t: ~t.isin(*STOP_WORDS))
 
 
-def safe_split(limit: int):
-    """Arrow function: text → pieces of at most ``limit`` UTF-16 units, at a sentence end in the last quarter if there is one."""
-    @F.pandas_udf("array<string>")
-    def run(xs: pd.Series) -> pd.Series:
-        return xs.map(lambda x: split_text(x, limit))
+def _sliced(f, kind: pa.DataType, returns: str, rows: int = 64):
+    """Arrow function of one column that holds only a few rows of a batch as Python objects."""
+    @F.arrow_udf(returns)
+    def run(xs: pa.Array) -> pa.Array:
+        done = [pa.array([f(x.as_py()) for x in xs.slice(k, rows)], kind) for k in range(0, len(xs), rows)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
 
     return run
 
 
-_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
+def safe_split(limit: int):
+    """Text → pieces of at most ``limit`` UTF-16 units, at a sentence end in the last quarter if there is one: ``split_text`` as an expression.
+
+    Only texts with code points outside the basic plane, whose units must be counted, go through Python.
+    """
+    least = max(1, limit - max(1, limit // 4))
+    ended = rf"|.{{{least},{limit - 1}}}[\n。！？.!?]" if least < limit else ""
+    pattern = rf"(?s)(.{{1,{limit}}}\z{ended}|.{{{limit}}}){STRIP}*+"
+    counted = _sliced(lambda x: None if x is None else split_text(x, limit), pa.list_(pa.string()), "array<string>")
+
+    def run(x) -> Column:
+        x = F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
+        wide = (F.octet_length(x) != F.length(x)) & F.rlike(x, F.lit(WIDE))
+        pieces = F.filter(F.transform(F.regexp_extract_all(x, F.lit(pattern), 1), strip), lambda p: F.length(p) > 0)
+        return F.when(wide, counted(F.when(wide, x))).otherwise(pieces)
+
+    return run
 
 
 def split_text(text: str | None, limit: int) -> list[str]:
@@ -347,10 +364,15 @@ def split_tokens(text: str | None, limit: int) -> list[str]:
 
 
 def nfkc_fold():
-    """Arrow function: HTML entities decoded, NFKC, no white space, case folded."""
-    @F.pandas_udf("string")
-    def run(xs: pd.Series) -> pd.Series:
-        return xs.map(fold_text)
+    """HTML entities decoded, NFKC, no white space, case folded: ``fold_text`` as an expression; ASCII without entities stays out of Python."""
+    folded = _sliced(fold_text, pa.string(), "string")
+
+    def run(x: Column) -> Column:
+        plain = (F.octet_length(x) == F.length(x)) & ~F.contains(x, F.lit("&"))
+        bare = x
+        for c in _SPACES:
+            bare = F.replace(bare, F.lit(c), F.lit("")) if c.isascii() else bare
+        return F.when(plain, F.lower(bare)).otherwise(folded(F.when(~plain, x)))
 
     return run
 

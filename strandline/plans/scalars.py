@@ -224,7 +224,7 @@ UNION ALL SELECT doc_id, ltrim(substr(rest, k + 1), ' '), n + 1, trim(left(rest,
 SELECT doc_id, count(*) AS pieces, sum(length(piece)) AS chars, max(length(piece)) AS longest FROM t WHERE piece <> '' GROUP BY doc_id""")
 def safe_split(s, d):
     one_line = F.regexp_replace("text", r"\s+", " ")
-    pieces = docs(s, d).select("doc_id", F.explode(T.safe_split(512)(one_line)).alias("p"))
+    pieces = docs(s, d).select("doc_id", one_line.alias("t")).select("doc_id", F.explode(T.safe_split(512)("t")).alias("p"))
     return pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.length("p")).alias("chars"), F.max(F.length("p")).cast("long").alias("longest"))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandline.functions import text
+from strandline.streaming import deltas
 
 LETTERS = ["a", "B", "é", "ß", "中", "\U0001f600", " ", "\n", "\r", "\t", "\x1c", "\x85", " ", " ", "﻿", ".", "。", "!", "&amp;", "ﬁ", "x" * 7]
 
@@ -31,3 +33,39 @@ def test_blocks_are_stripped_and_measured_without_patterns_over_their_text(spark
             continue
         assert r["s"] == t.strip(text._SPACES) and r["u"] == len(t.encode("utf-16-le")) // 2
         assert r["n"] == t.replace("\r\n", "\n").replace("\r", "\n").replace("﻿", "").strip(text._SPACES)
+
+
+def test_texts_are_split_outside_python(spark):
+    rows = spark.createDataFrame([(t,) for t in texts(300, most=90)], "t string")
+    for limit in (1, 2, 3, 4, 9, 20):
+        for r in rows.select("t", text.safe_split(limit)("t").alias("p")).collect():
+            assert r["p"] == text.split_text(r["t"], limit), (limit, r)
+    # Python is given only the texts whose units must be counted
+    x = plan(rows.select(text.safe_split(9)("t").alias("p")))
+    assert "regexp_extract_all" in x and "safe_split" not in x and "CASE WHEN" in next(y for y in x.splitlines() if "ArrowEvalPython" in y or "CASE WHEN" in y)
+
+
+def test_folding_leaves_plain_texts_out_of_python(spark):
+    rows = spark.createDataFrame([(t,) for t in texts(400)], "t string")
+    got = rows.select("t", text.nfkc_fold()(F.col("t")).alias("f"))
+    assert all(r["f"] == text.fold_text(r["t"]) for r in got.collect())
+    # a batch is held as objects a few rows at a time, and plain texts are null there
+    held = []
+    text._sliced(lambda x: held.append(x), pa.null(), "void").func(pa.array(["a"] * 200))
+    assert len(held) == 200 and "CASE WHEN" in next(y for y in plan(got).splitlines() if "ArrowEvalPython" in y or "CASE WHEN" in y)
+
+
+def test_answers_are_read_in_runs():
+    """A character is looked at alone only where it may change the state."""
+    seen = []
+
+    class Counted(deltas.AnswerDeltas):
+        def _one(self, c):
+            seen.append(c)
+            super()._one(c)
+
+    answer = "plain words E1, [E2, e3] and \\u00e9 " * 200
+    reader = Counted()
+    line = '{"answer":"' + answer + '"}'
+    shown = "".join(reader.feed(line[k : k + 64]) for k in range(0, len(line), 64)) + reader.close()
+    assert shown == "plain words ,  and \xe9 " * 200 and len(seen) < len(line) / 4
