@@ -129,7 +129,9 @@ def answer_deltas(s, d):
         from strandline.streaming.deltas import visible_text
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([visible_text(x) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "v"])
+            for k in range(0, b.num_rows, 64):
+                few = b.slice(k, 64)
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([visible_text(x) for x in few.column(1).to_pylist()], pa.string())], names=["doc_id", "v"])
 
     shown = rows.mapInArrow(run, "doc_id long, v string")
     return shown.select("doc_id", F.length("v").cast("long").alias("n"), F.md5("v").alias("digest"))
