@@ -52,10 +52,9 @@ def assemble(parsed: DataFrame, most_chars: int | None = None) -> DataFrame:
         by_source = Window.partitionBy("doc_id").orderBy("src")
         kept = kept.withColumn("element", F.row_number().over(by_source) - 1)
         long = utf16_len(F.col("text")) > most_chars
-        # only long texts go through Python
-        pieces = kept.where(long).withColumn("pieces", safe_split(most_chars)("text")).select("doc_id", "src", "kind", "level", "element", F.posexplode("pieces").alias("piece", "text"), (F.size("pieces") > 1).alias("several"))
-        whole = kept.where(~long).select("doc_id", "src", "kind", "level", "element", F.lit(0).alias("piece"), "text", F.lit(False).alias("several"))
-        kept = whole.unionByName(pieces).withColumn("level", F.when(F.col("piece") == 0, F.col("level")))
+        kept = kept.withColumn("pieces", F.when(long, safe_split(most_chars)("text")).otherwise(F.array("text")))
+        kept = kept.select("doc_id", "src", "kind", "level", "element", (F.size("pieces") > 1).alias("several"), F.posexplode("pieces").alias("piece", "text"))
+        kept = kept.withColumn("level", F.when(F.col("piece") == 0, F.col("level")))
         kept = kept.withColumn("continuation", F.when(F.col("several"), F.format_string("%d:c:%06d", F.col("doc_id"), F.col("element"))))
         keys = ["src", "piece"]
     order = Window.partitionBy("doc_id").orderBy(*keys)
