@@ -382,3 +382,23 @@ def fold_text(x: str | None) -> str | None:
     import unicodedata
 
     return None if x is None else "".join(unicodedata.normalize("NFKC", html.unescape(x)).split()).casefold()
+
+
+def same_letters():
+    """Arrow function: whether two texts hold each character equally often; null if one is null."""
+    @F.arrow_udf("boolean")
+    def run(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return pa.array([letters_equal(x.as_py(), y.as_py()) for x, y in zip(xs, ys, strict=True)], pa.bool_())
+
+    return run
+
+
+def letters_equal(x: str | None, y: str | None) -> bool | None:
+    import numpy as np
+
+    if x is None or y is None:
+        return None
+    if len(x) != len(y):
+        return False
+    count = lambda t: np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32))
+    return np.array_equal(count(x), count(y))

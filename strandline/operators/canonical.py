@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import normalize_block, safe_split, utf16_len
+from strandline.functions.text import normalize_block, safe_split, same_letters, utf16_len
 
 LEVELS = 6
 SEPARATOR = 2
@@ -82,15 +82,19 @@ def text_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
 
     The first compares the texts in order without white space, the second how often each character occurs.
     """
-    bare = F.regexp_replace("text", r"\s+", "")
-
-    def facts(df, name):
-        line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", bare.alias("t")))), lambda x: x["t"]), "")
-        per = df.groupBy("doc_id").agg(line.alias("line"))
-        return per.select("doc_id", F.sha2("line", 256).alias(f"{name}_sha"), F.sha2(F.array_join(F.array_sort(F.split("line", "")), ""), 256).alias(f"{name}_letters"))
-
-    both = facts(before, "a").join(facts(after, "b"), "doc_id", "full_outer")
-    return both.select("doc_id", F.col("a_sha").eqNullSafe(F.col("b_sha")).alias("same_text"), F.col("a_letters").eqNullSafe(F.col("b_letters")).alias("same_letters"))
+    bare = F.col("text")
+    for c in " \t\n\x0b\f\r":
+        bare = F.replace(bare, F.lit(c), F.lit(""))
+
+    def line(df, name):
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", bare.alias("t")))), lambda x: x["t"]), "")
+        return df.groupBy("doc_id").agg(text.alias(name))
+
+    both = line(before, "a").join(line(after, "b"), "doc_id", "full_outer")
+    same = F.col("a").eqNullSafe(F.col("b"))
+    # equal texts have equal letters; the others are counted if both are there
+    counted = same_letters()(F.when(~same, F.col("a")), F.when(~same, F.col("b")))
+    return both.select("doc_id", same.alias("same_text"), (same | F.coalesce(counted, F.lit(False))).alias("same_letters"))
 
 
 def heading_tree(blocks: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def document_errors(s, d):
 @query("""SELECT doc_id, doc_id % 4 <> 1 AND doc_id % 4 <> 2 AS same_text, doc_id % 4 <> 2 AS same_letters FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0""")
 def text_preservation(s, d):
     """Texts whose lines are re-wrapped, or also moved, or also changed."""
-    docs = table(s, d, "documents").where(F.length(F.regexp_replace("text", r"\s", "")) > 0)
+    docs = table(s, d, "documents").where(F.rlike("text", F.lit(r"\S")))
     k, t = F.col("doc_id"), F.col("text")
     before = docs.select("doc_id", F.lit(0).alias("position"), F.concat(F.lit("~"), t).alias("text"))
     after = F.when(k % 4 == 0, F.array(F.concat(F.lit("~ "), t))).when(k % 4 == 1, F.array(t, F.lit("~"))).when(k % 4 == 2, F.array(F.lit("~"), F.concat(t, F.lit("x")))).otherwise(F.array(F.lit("~"), F.replace(t, F.lit(" "), F.lit("\n"))))

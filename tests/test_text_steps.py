@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandline.functions import text
+from strandline.operators import canonical
 from strandline.streaming import deltas
 
 LETTERS = ["a", "B", "é", "ß", "中", "\U0001f600", " ", "\n", "\r", "\t", "\x1c", "\x85", " ", " ", "﻿", ".", "。", "!", "&amp;", "ﬁ", "x" * 7]
@@ -69,3 +70,14 @@ def test_answers_are_read_in_runs():
     line = '{"answer":"' + answer + '"}'
     shown = "".join(reader.feed(line[k : k + 64]) for k in range(0, len(line), 64)) + reader.close()
     assert shown == "plain words ,  and \xe9 " * 200 and len(seen) < len(line) / 4
+
+
+def test_letters_are_counted_not_sorted(spark):
+    rng = random.Random(5)
+    pairs = [("ab", "ba", True), ("ab", "abb", False), ("ab", "ac", False), ("", "", True), (None, "a", None), ("a\U0001f600é", "é\U0001f600a", True)]
+    pairs += [(t, "".join(rng.sample(t, len(t))), True) for t in texts(50)[2:]]
+    assert all(text.letters_equal(x, y) is want for x, y, want in pairs)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id int, position int, text string")
+    got = canonical.text_preserved(frame([(1, 0, "a b"), (2, 0, "ab"), (3, 1, "d"), (3, 0, "c"), (4, 0, "x"), (6, 0, "aab")]), frame([(1, 0, "ab"), (2, 0, "b"), (2, 1, "a"), (3, 0, "cd"), (5, 0, "x"), (6, 0, "abb")]))
+    assert {tuple(r) for r in got.collect()} == {(1, True, True), (2, False, True), (3, True, True), (4, False, False), (5, False, False), (6, False, False)}
+    assert "split(" not in plan(got)
