@@ -153,27 +153,28 @@ def govern_titles(boxes: DataFrame, outline: DataFrame, band: float = 0.12, leas
     (also by its capitals, unless ``rich`` titles are named or numbered); too little text until the next title; else weak.
     """
     clean = F.trim("text")
-    titles = boxes.where((F.lower("kind") == "title") & (F.length(clean) > 0))
-    first = titles.where("page = 1").groupBy("doc").agg(F.min("n").alias("first"))
-    ends = boxes.groupBy("doc", "page").agg(F.least(F.min("top"), F.min("bottom")).alias("lo"), F.greatest(F.max("top"), F.max("bottom")).alias("hi"))
+    filled = F.length(clean) > 0
+    title = F.coalesce((F.lower("kind") == "title") & filled, F.lit(False))
+    body = F.when((F.lower("kind") != "title") & filled, F.length(clean))
+    # all that a title needs of its document is told by windows over the document's boxes, which one shuffle serves
+    whole, page, order = Window.partitionBy("doc"), Window.partitionBy("doc", "page"), Window.partitionBy("doc").orderBy("n")
+    rows = boxes.select(
+        "doc", "n", "text", "page", "top", "bottom", title.alias("title"), F.coalesce(F.sum(body).over(order), F.lit(0)).alias("upto"), F.coalesce(F.sum(body).over(whole), F.lit(0)).alias("all"),
+        F.min(F.when(title & (F.col("page") == 1), F.col("n"))).over(whole).alias("first"), F.least(F.min("top").over(page), F.min("bottom").over(page)).alias("lo"), F.greatest(F.max("top").over(page), F.max("bottom").over(page)).alias("hi"),
+    ).where("title").drop("title")
     plain = lambda c: F.regexp_replace(F.lower(narrow(c)), r"[^\p{L}\p{N}#]", "")
     named = outline.select("doc", "page", plain(F.col("text")).alias("key"), F.greatest(F.lit(1), F.least(F.lit(6), F.col("depth") + 1)).alias("outlined")).where(F.length("key") > 0).groupBy("doc", "page", "key").agg(F.min("outlined").alias("outlined"))
-    rows = titles.join(first, "doc", "left").where(F.col("first").isNull() | (F.col("n") != F.col("first"))).drop("first")
-    rows = rows.withColumn("key", plain(clean)).join(named, ["doc", "page", "key"], "left").join(ends, ["doc", "page"], "left")
+    rows = rows.withColumn("key", plain(clean)).join(named, ["doc", "page", "key"], "left").drop("key")
     span = F.col("hi") - F.col("lo")
     margin = F.when(span > 0, F.when(F.col("top") <= F.col("lo") + band * span, "top").when(F.col("bottom") >= F.col("hi") - band * span, "bottom"))
-    rows = rows.withColumn("label", title_key(clean)).withColumn("margin", margin).withColumn("numbered", heading_level(clean))
+    rows = rows.select("doc", "n", "text", "upto", "all", "outlined", F.coalesce(F.col("n") == F.col("first"), F.lit(False)).alias("own"), title_key(clean).alias("label"), margin.alias("margin"), heading_level(clean).alias("numbered"))
+    # the document's title stays apart from the others
+    apart = Window.partitionBy("doc", "own")
+    rows = rows.withColumn("structured", F.count_if(F.col("outlined").isNotNull() | F.col("numbered").isNotNull()).over(apart) >= rich)
+    rows = rows.withColumn("end", F.lead("upto").over(apart.orderBy("n")))
     here = F.col("label") != ""
-    n = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy("doc", *keys))
+    n = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy("doc", "own", *keys))
     rows = rows.withColumn("running", here & F.col("margin").isNotNull() & (n("label", "margin") >= 2)).withColumn("repeated", here & (n("label") >= 2))
-    rows = rows.withColumn("structured", F.count_if(F.col("outlined").isNotNull() | F.col("numbered").isNotNull()).over(Window.partitionBy("doc")) >= rich)
-    rows = rows.withColumn("next", F.lead("n").over(Window.partitionBy("doc").orderBy("n")))
-    body = boxes.where((F.lower("kind") != "title") & (F.length(clean) > 0)).select("doc", "n", F.length(clean).alias("chars"))
-    # a running sum over the document's boxes; what lies between two titles is the difference
-    order = Window.partitionBy("doc").orderBy("n")
-    sums = boxes.select("doc", "n").join(body, ["doc", "n"], "left").select("doc", "n", F.coalesce(F.sum("chars").over(order), F.lit(0)).alias("upto"))
-    last = sums.groupBy("doc").agg(F.max("upto").alias("all"))
-    rows = rows.join(sums, ["doc", "n"]).join(sums.select("doc", F.col("n").alias("next"), F.col("upto").alias("end")), ["doc", "next"], "left").join(last, "doc")
     chars = F.coalesce("end", "all") - F.col("upto")
     chapter = F.when(F.col("structured"), chapter_title(clean, upper=False)).otherwise(chapter_title(clean))
     decision = (
@@ -181,10 +182,8 @@ def govern_titles(boxes: DataFrame, outline: DataFrame, band: float = 0.12, leas
         .when(F.length(clean) > most_chars, "TOO_LONG").when(chapter, "ACCEPT_CHAPTER").when(chars < least_body, "NO_BODY").otherwise("WEAK")
     )
     level = F.coalesce("outlined", "numbered", F.lit(1))
-    judged = rows.select("doc", "n", decision.alias("decision")).join(rows.select("doc", "n", level.cast("int").alias("l")), ["doc", "n"])
-    judged = judged.select("doc", "n", "decision", F.when(F.startswith("decision", F.lit("ACCEPT")), F.col("l")).alias("level"))
-    top = first.select("doc", F.col("first").alias("n"), F.lit("DOCUMENT_TITLE").alias("decision"), F.lit(None).cast("int").alias("level"))
-    return judged.unionByName(top)
+    judged = rows.select("doc", "n", F.when(F.col("own"), "DOCUMENT_TITLE").otherwise(decision).alias("decision"), F.coalesce("outlined", "numbered", F.lit(1)).cast("int").alias("l"))
+    return judged.select("doc", "n", "decision", F.when(F.startswith("decision", F.lit("ACCEPT")), F.col("l")).alias("level"))
 
 
 def title_decision(outlined: Column, numbered: Column, in_band: Column, repeats: Column, chars: Column, chapter: Column, body_chars: Column) -> Column:

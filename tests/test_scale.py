@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline import catalog
 from strandline.adapters import shared_dir
 from strandline.functions.text import tokens
-from strandline.operators import artifacts, geometry, keyword_index, session
+from strandline.operators import artifacts, geometry, keyword_index, layout, session
 
 
 def plan(df) -> str:
@@ -93,3 +93,13 @@ def test_artifact_rules_need_no_windows_over_all_cards(spark):
     kinds = "version long, n int, card_id string, card_type string, node int, parent int, depth int, sibling int, part int, title string, path string, start int, end int, canonical_start int, canonical_end int, embedding_text string, wanted_text string"
     out = {r["rule"]: r["n"] for r in artifacts.artifact_violations(spark.createDataFrame(rows, kinds)).collect()}
     assert out == {"CARD_ID_REPEATED": 2, "MIXED_CARDS": 3, "PARTS_NOT_CONTIGUOUS": 1, "SEVERAL_ROOTS": 1, "PARENT_AFTER_CHILD": 1}
+
+
+def test_titles_know_their_document_after_one_shuffle(spark):
+    box = lambda n, kind, text, page=1, top=50.0: ("d", n, kind, text, page, top, top + 5)
+    boxes = [box(1, "text", "before"), box(2, "Title", "Own"), box(3, "Title", "Weak one"), box(4, "text", "x" * 40), box(5, "Title", "Bare"), box(6, "Title", "Again", 2), box(7, "Title", "again", 3), box(8, "text", "y" * 50, 3, 10.0), box(9, None, "z", 3), box(10, "Title", "Last one", 3), box(11, "text", "w" * 40, 3)]
+    boxes = spark.createDataFrame(boxes, "doc string, n int, kind string, text string, page int, top double, bottom double")
+    outline = spark.createDataFrame([("d", 1, "bare", 1)], "doc string, page int, text string, depth int")
+    got = layout.govern_titles(boxes, outline)
+    assert sum("Join" in x for x in plan(got).splitlines()) == 1 and not any(x.lstrip(" :+-").startswith("Union") for x in plan(got).splitlines())
+    assert {tuple(r)[1:] for r in got.collect()} == {(2, "DOCUMENT_TITLE", None), (3, "WEAK", None), (5, "ACCEPT_OUTLINE", 2), (6, "REPEATED_LABEL", None), (7, "REPEATED_LABEL", None), (10, "WEAK", None)}
