@@ -6,12 +6,12 @@ Each takes a streaming DataFrame and gives one, except where a sink is needed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from strandline.operators.control import BACKOFF, claim_one
+from strandline.streaming.stateful import state_store
 
 
 def deduplicate(events: DataFrame, keys: list[str], ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -77,32 +77,36 @@ STATE = "at long, done long, fingerprint string, context string"
 CLAIMS = "key string, seq long, outcome string"
 
 
+class Claims(StatefulProcessor):
+    """Claims of a key → their outcomes; the state is the last claim that holds."""
+
+    def __init__(self, running_ttl: int, result_ttl: int, expire: bool):
+        self.ttls, self.expire = (running_ttl, result_ttl), expire
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", STATE, 1000 * sum(self.ttls) if self.expire else None)
+
+    def handleInputRows(self, key, rows, timerValues):
+        found = self.held.get()
+        now = None if found is None else tuple(found)
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            outcome, now = claim_one(now, r["at"], r["done_at"], r["fingerprint"], r["context"], *self.ttls)
+            yield Row(key=key[0], seq=r["seq"], outcome=outcome)
+        self.held.update(tuple(now))
+
+    def close(self) -> None:
+        pass
+
+
 def idempotency(events: DataFrame, running_ttl: int = 600, result_ttl: int = 300, expire: bool = True) -> DataFrame:
     """Streaming claims (``key, seq, at, done_at, fingerprint, context``); a key's state expires by processing time.
 
     ``expire`` False keeps state, for runs over what is there (an expiring state
-    never lets such a run end).
+    never lets such a run end).  Keys with few rows are most, so rows come
+    one by one and not as a frame for each key.  Needs the RocksDB state store, which is set for the session.
     """
-    import pandas as pd
-
-    def run(key, batches: Iterator, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("seq")
-        now = state.get if state.exists else None
-        now = None if now is None else (now[0], None if now[1] < 0 else now[1], now[2], now[3])
-        out = []
-        for r in rows.itertuples():
-            done = None if pd.isna(r.done_at) else int(r.done_at)
-            outcome, now = claim_one(now, int(r.at), done, r.fingerprint, r.context, running_ttl, result_ttl)
-            out.append((key[0], int(r.seq), outcome))
-        state.update((now[0], -1 if now[1] is None else now[1], now[2], now[3]))
-        if expire:
-            state.setTimeoutDuration(1000 * (running_ttl + result_ttl))
-        yield pd.DataFrame(out, columns=["key", "seq", "outcome"])
-
-    return events.groupBy("key").applyInPandasWithState(run, CLAIMS, STATE, "append", "ProcessingTimeTimeout" if expire else "NoTimeout")
+    state_store(events.sparkSession)
+    return events.groupBy("key").transformWithState(Claims(running_ttl, result_ttl, expire), CLAIMS, "append", "processingtime" if expire else "none")
 
 
 def outbox_publisher(queue: DataFrame, publish, batch: int = 50):

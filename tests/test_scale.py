@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from strandline import catalog
 from strandline.adapters import shared_dir
 from strandline.functions.text import tokens
-from strandline.operators import artifacts, geometry, keyword_index, layout, session
+from strandline.operators import artifacts, control, geometry, keyword_index, layout, session
+from strandline.streaming import pipelines
 
 
 def plan(df) -> str:
@@ -103,3 +105,25 @@ def test_titles_know_their_document_after_one_shuffle(spark):
     got = layout.govern_titles(boxes, outline)
     assert sum("Join" in x for x in plan(got).splitlines()) == 1 and not any(x.lstrip(" :+-").startswith("Union") for x in plan(got).splitlines())
     assert {tuple(r)[1:] for r in got.collect()} == {(2, "DOCUMENT_TITLE", None), (3, "WEAK", None), (5, "ACCEPT_OUTLINE", 2), (6, "REPEATED_LABEL", None), (7, "REPEATED_LABEL", None), (10, "WEAK", None)}
+
+
+def test_claims_come_row_by_row_and_their_state_lasts(spark, tmp_path):
+    kind = "key string, seq long, at long, done_at long, fingerprint string, context string"
+    rows = [(f"k{i % 5}", i, i * 7, i * 7 + 9 if i % 3 else None, str(i % 2), str(i // 10)) for i in range(60)]
+    for n in (0, 1):
+        spark.createDataFrame(rows[n * 30 : n * 30 + 30], kind).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    for expire in (False, True):
+        stream = pipelines.idempotency(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in"), 40, 20, expire)
+        assert "TransformWithState" in stream._jdf.queryExecution().logical().toString()
+        out = f"file://{tmp_path}/out{expire}"
+        sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state")
+        q = sink.start() if expire else sink.trigger(availableNow=True).start()
+        # state that expires keeps its stream going
+        end = time.time() + 40
+        while q.isActive and time.time() < end and not (expire and sum(p["numInputRows"] for p in q.recentProgress) >= 60):
+            time.sleep(0.5)
+        assert q.isActive == expire
+        q.stop()
+        want = {tuple(r) for r in control.idempotency(spark.createDataFrame(rows, kind), 40, 20).select("key", "seq", "outcome").collect()}
+        got = {tuple(r) for r in spark.read.parquet(out).select("key", "seq", "outcome").collect()}
+        assert got == want and len(got) == 60
