@@ -11,8 +11,11 @@ a rare scope is not lost behind cells of others.  Its codes give approximate sco
 scored exactly.  How many cells to probe is calibrated at the build: the smallest number that reaches the wanted recall
 for a bounded sample of queries, told from the exact neighbours' cells.
 
+A query's vector goes once to each slice of about ``SLICE_ROWS`` vectors of its scope, not to each cell it probes, and of
+a slice only its best candidates come back; a part of ``QUERY_PART`` queries meets a slice in one group.
+
 Bounds: the centres (at most ``MOST_CELLS`` times the dimensions) are the only data that go
-to every task.  Null vectors are not indexed; vectors without a length score 0.
+to every task; joins with vectors are never broadcast, whatever their files' size says.  Null vectors are not indexed; vectors without a length score 0.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ MOST_CELLS = 4096
 LIST_ROWS = 4096
 CANDIDATES = 100
 QUERY_PART = 512
+SLICE_ROWS = 16_384
 RECALL_QUERIES = 64
 
 
@@ -51,7 +55,9 @@ def _centres(vectors: DataFrame, n: int, cells: int, sample: int, seed: int):
     drawn = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20))))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     unit = drawn.select(F.transform("embedding", lambda x: (x / F.greatest(norm, F.lit(1e-300))).cast("double")).alias("e"))
-    model = KMeans(k=cells, seed=seed, maxIter=12, featuresCol="v").fit(unit.select(array_to_vector("e").alias("v")))
+    # every pass reads the sample, in as many tasks as there are cores; solved row by row, each would also send the distances between all centres to the driver
+    few = unit.select(array_to_vector("e").alias("v")).coalesce(vectors.sparkSession.sparkContext.defaultParallelism)
+    model = KMeans(k=cells, seed=seed, maxIter=12, featuresCol="v", solver="block").fit(few)
     return _unit(np.array(model.clusterCenters()))
 
 
@@ -131,29 +137,32 @@ def _nearest_cells(centres, probes: int):
 
         for b in batches:
             q = _unit(b.column(2).to_pylist())
-            at, cell, rank, base = [], [], [], []
+            near = []
             for i, there in enumerate(b.column(3).to_pylist()):
                 there = np.array(sorted(there))
                 s = centres[there] @ q[i]
                 best = np.argsort(-s, kind="stable")[:probes]
-                at += [i] * len(best)
-                cell += there[best].tolist()
-                rank += range(1, len(best) + 1)
-                base += s[best].tolist()
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(q[at.to_numpy()].tolist(), pa.list_(pa.float64())), pa.array(cell, pa.int32()), pa.array(rank, pa.int32()), pa.array(base, pa.float64())], names=["query_id", "scope", "unit", "cell", "rank", "base"])
+                near.append([{"cell": c, "base": x} for c, x in zip(there[best].tolist(), s[best].tolist(), strict=True)])
+            kind = pa.list_(pa.struct([("cell", pa.int32()), ("base", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(q.tolist(), pa.list_(pa.float64())), pa.array(near, kind)], names=["query_id", "scope", "unit", "near"])
 
     return run
 
 
-def probed(spark: SparkSession, path: str, queries: DataFrame, probes: int) -> DataFrame:
-    """``query_id, scope, unit, cell, rank, base``: the nearest ``probes`` cells that hold something of a query's scope."""
+def led(spark: SparkSession, path: str, queries: DataFrame, probes: int) -> DataFrame:
+    """``query_id, scope, unit, near``: each query once, with the nearest ``probes`` cells that hold something of its scope, nearest first."""
     centres = _loaded_centres(spark, path)
     # a scope is in as many cells as there are at most
     there = spark.read.parquet(f"{path}/facts").groupBy("scope").agg(F.collect_list("cell").alias("cells"))
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "scope", F.col("embedding").cast("array<double>").alias("embedding")).join(there, "scope").select("query_id", "scope", "embedding", "cells")
     kinds = {c: asked.schema[c].dataType.simpleString() for c in ("query_id", "scope")}
-    return asked.mapInArrow(_nearest_cells(centres, probes), f"query_id {kinds['query_id']}, scope {kinds['scope']}, unit array<double>, cell int, rank int, base double")
+    return asked.mapInArrow(_nearest_cells(centres, probes), f"query_id {kinds['query_id']}, scope {kinds['scope']}, unit array<double>, near array<struct<cell:int,base:double>>")
+
+
+def probed(spark: SparkSession, path: str, queries: DataFrame, probes: int) -> DataFrame:
+    """``query_id, scope, unit, cell, rank, base``: the same, a row for each cell."""
+    rows = led(spark, path, queries, probes).select("query_id", "scope", "unit", F.posexplode("near").alias("at", "cell"))
+    return rows.select("query_id", "scope", "unit", "cell.cell", (F.col("at") + 1).alias("rank"), "cell.base")
 
 
 def _loaded_centres(spark: SparkSession, path: str):
@@ -163,26 +172,51 @@ def _loaded_centres(spark: SparkSession, path: str):
     return np.array([r["centre"] for r in rows])
 
 
-def _approximate(candidates: int):
-    """Blocks of codes with the queries that probe them → each query's best candidates there."""
+def _approximate(most: int):
+    """The blocks of a slice and a part of the queries of its scope → each query's ``most`` best candidates there."""
 
-    def run(batches):
+    def run(lists, asked):
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
-            cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            for i in range(b.num_rows):
-                ids = cols["ids"].slice(i, 1).flatten().to_numpy()
-                codes = np.frombuffer(cols["codes"][i].as_py(), np.int8).reshape(len(ids), -1)
-                asked = cols["asked"].slice(i, 1).flatten()
-                q = np.array(asked.field("unit").to_pylist())
-                s = asked.field("base").to_numpy()[:, None] + (q @ codes.T.astype(np.float64)) * cols["scale"][i].as_py()
-                best = np.argsort(-s, axis=1, kind="stable")[:, :candidates]
-                n = best.shape[1]
-                scope = pa.array([cols["scope"][i].as_py()] * best.size, cols["scope"].type)
-                same = lambda c: pa.array(np.full(best.size, cols[c][i].as_py()), pa.int32())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(np.repeat(np.arange(len(q)), n))), scope, same("cell"), same("block"), pa.array(best.ravel(), pa.int32()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "scope", "cell", "block", "at", "score"])
+        q = np.array(asked.column("unit").to_pylist())
+        near = asked.column("near").combine_chunks()
+        who = np.repeat(np.arange(len(q)), near.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        flat = near.flatten()
+        cell, base = flat.field("cell").to_numpy(), flat.field("base").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        who, cell, base = who[order], cell[order], base[order]
+        lists = lists.sort_by([("cell", "ascending"), ("block", "ascending")])
+        cells, codes, scales = lists.column("cell").to_numpy(), lists.column("codes"), lists.column("scale").to_numpy()
+        # a query's score that ``most`` candidates so far reach; what lies below need not be kept
+        floor = np.full(len(q), -np.inf)
+        kept, held = [[np.array([], np.int64)] * 3 + [np.array([])]], 0
+
+        def best():
+            w, row, at, s = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.lexsort((at, row, -s, w))
+            w, row, at, s = w[order], row[order], at[order], s[order]
+            place = np.arange(len(w)) - np.searchsorted(w, w)
+            last = place == most - 1
+            floor[w[last]] = s[last]
+            top = place < most
+            return [w[top], row[top], at[top], s[top]]
+
+        for i in range(lists.num_rows):
+            some = slice(*np.searchsorted(cell, [cells[i], cells[i] + 1]))
+            if some.start == some.stop:
+                continue
+            c = np.frombuffer(codes[i].as_py(), np.int8).reshape(-1, q.shape[1])
+            s = base[some, None] + (q[who[some]] @ c.T.astype(np.float64)) * scales[i]
+            w, at = np.nonzero(s >= floor[who[some], None])
+            kept.append([who[some][w], np.full(len(w), i), at, s[w, at]])
+            held += len(w)
+            if held > 4 * most * len(q):
+                kept = [best()]
+                held = len(kept[0][0])
+        w, row, at, s = best()
+        names = ["query_id", "scope", "cell", "block", "at", "score"]
+        return pa.table([asked.column("query_id").take(pa.array(w)), asked.column("scope").take(pa.array(w)), lists.column("cell").take(pa.array(row)), lists.column("block").take(pa.array(row)), pa.array(at, pa.int32()), pa.array(s)], names=names)
 
     return run
 
@@ -209,20 +243,24 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     Without ``probes`` the calibrated number is used.  A query whose scope has no vector gives no rows.
     """
     probes = probes or spark.read.parquet(f"{path}/meta").first()["probes"]
-    parts = max(1, -(-queries.count() // QUERY_PART))
-    led = stored(probed(spark, path, queries, probes), "vectors-probes")
-    kind = led.schema["query_id"].dataType.simpleString()
+    most = max(candidates, k)
+    asked = stored(led(spark, path, queries, probes), "vectors-probes")
+    kinds = {c: asked.schema[c].dataType.simpleString() for c in ("query_id", "scope")}
     lists = spark.read.parquet(f"{path}/lists")
     # at most as many as cells: so only their folders are opened
-    cells = [r["cell"] for r in led.select("cell").distinct().collect()]
+    cells = [r["cell"] for r in asked.select(F.explode("near.cell").alias("cell")).distinct().collect()]
     lists = lists.where(F.col("cell").isin(cells))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")
-    asked = led.groupBy("scope", "cell", part).agg(F.collect_list(F.struct("query_id", "unit", "base")).alias("asked"))
-    met = lists.select("scope", "cell", "block", "ids", "codes", "scale").join(asked, ["scope", "cell"]).select("scope", "cell", "block", "ids", "codes", "scale", "asked")
-    near = met.mapInArrow(_approximate(candidates), f"query_id {kind}, scope {lists.schema['scope'].dataType.simpleString()}, cell int, block int, at int, score double")
+    count = lambda n, most: F.ceil(n / most).cast("int")
+    sized = spark.read.parquet(f"{path}/facts").groupBy("scope").agg(count(F.sum("n"), SLICE_ROWS).alias("slices"))
+    sizes = stored(sized.join(asked.groupBy("scope").agg(count(F.count(F.lit(1)), QUERY_PART).alias("parts")), "scope"), "vectors-sizes")
+    of = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = lists.join(sizes, "scope").select("scope", "cell", "block", "codes", "scale", of("slices", "cell", "block").alias("slice"), each("parts").alias("part"))
+    right = asked.join(sizes, "scope").select("query_id", "scope", "unit", "near", of("parts", "query_id").alias("part"), each("slices").alias("slice"))
+    near = left.groupBy("scope", "slice", "part").cogroup(right.groupBy("scope", "slice", "part")).applyInArrow(_approximate(most), f"query_id {kinds['query_id']}, scope {kinds['scope']}, cell int, block int, at int, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cell", "block", "at")
-    few = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(candidates, k)).select("query_id", "scope", "cell", "block", "at")
-    units = led.where("rank = 1").select("query_id", "unit")
-    wanted = few.join(units, "query_id").groupBy("scope", "cell", "block", part).agg(F.collect_list(F.struct("query_id", "unit", "at")).alias("asked"))
-    final = lists.select("scope", "cell", "block", "ids", "vectors").join(stored(wanted, "vectors-candidates"), ["scope", "cell", "block"]).select("ids", "vectors", "asked")
-    return top_k(final.mapInArrow(_exact, f"query_id {kind}, vec_id long, score double"), k, "vec_id")
+    few = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("query_id", "scope", "cell", "block", "at")
+    wanted = few.join(asked.select("query_id", "unit").hint("merge"), "query_id").join(sizes.select("scope", "parts"), "scope")
+    wanted = wanted.groupBy("scope", "cell", "block", of("parts", "query_id").alias("part")).agg(F.collect_list(F.struct("query_id", "unit", "at")).alias("asked"))
+    final = lists.select("scope", "cell", "block", "ids", "vectors").join(stored(wanted, "vectors-candidates").hint("merge"), ["scope", "cell", "block"]).select("ids", "vectors", "asked")
+    return top_k(final.mapInArrow(_exact, f"query_id {kinds['query_id']}, vec_id long, score double"), k, "vec_id")

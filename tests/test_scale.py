@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline import catalog
 from strandline.adapters import shared_dir
 from strandline.functions.text import tokens
-from strandline.operators import artifacts, control, geometry, keyword_index, layout, session
+from strandline.operators import artifacts, control, geometry, keyword_index, layout, session, vector_index
 from strandline.streaming import pipelines
 
 
@@ -127,3 +127,38 @@ def test_claims_come_row_by_row_and_their_state_lasts(spark, tmp_path):
         want = {tuple(r) for r in control.idempotency(spark.createDataFrame(rows, kind), 40, 20).select("key", "seq", "outcome").collect()}
         got = {tuple(r) for r in spark.read.parquet(out).select("key", "seq", "outcome").collect()}
         assert got == want and len(got) == 60
+
+
+def test_vectors_of_queries_are_not_sent_for_each_cell(spark, monkeypatch):
+    rng = random.Random(3)
+    e = spark.createDataFrame([(i, i % 2, [rng.gauss(0, 1) for _ in range(48)]) for i in range(1200)], "vec_id long, scope int, embedding array<double>").cache()
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup("vector-build", "")
+    vector_index.build(e, path, cells=160, k=5)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(x) for j in status.getJobIdsForGroup("vector-build") for x in status.getJobInfo(j).stageIds]
+    # k-means sends no distances between all centres to the driver
+    assert not any(x is not None and "DistanceMeasure" in x.name for x in stages)
+    q = e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    made, keep = {}, vector_index.stored
+    monkeypatch.setattr(vector_index, "stored", lambda df, name: made.setdefault(name, keep(df, name)))
+    got = vector_index.search(spark, path, q, 5, probes=160)
+    # a query's vector is there once, not for each cell, and the join with vectors is no broadcast, small as they are here
+    assert made["vectors-probes"].count() == 120 and "rightHint=(strategy=merge)" in plan(got)
+    want = {(r["query_id"], r["vec_id"]): r["score"] for r in vector_index.knn(e, q, 5).collect()}
+    assert {(r["query_id"], r["vec_id"]): r["score"] for r in got.collect()} == want
+
+
+def test_slices_and_parts_of_a_scope_give_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "ab"[i % 7 > 4], [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(900)]
+    e = spark.createDataFrame(rows, "vec_id long, scope string, embedding array<double>").cache()
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(e, path, cells=6, list_rows=40)
+    q = e.where("vec_id % 9 = 0").withColumnRenamed("vec_id", "query_id")
+    rows = lambda: sorted(map(tuple, vector_index.search(spark, path, q, 7, probes=3, candidates=20).collect()))
+    whole = rows()
+    monkeypatch.setattr(vector_index, "SLICE_ROWS", 50)
+    monkeypatch.setattr(vector_index, "QUERY_PART", 8)
+    assert rows() == whole and len(whole) == 700
