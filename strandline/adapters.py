@@ -30,6 +30,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of one task where a step sorts its rows in memory.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, dealt by ``keys`` so that a task gets about ``TASK_ROWS`` rows, if the cores are too few for that; what sorts them then needs no more memory as they grow."""
+    parts = -(-df.count() // TASK_ROWS)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share; where it is unset and all run in one process, a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -40,23 +40,29 @@ def dominant_font(lines: DataFrame) -> DataFrame:
     return weight.groupBy("doc").agg(F.max_by("size", F.struct("w", -F.col("size"))).alias("body"))
 
 
-def headings(lines: DataFrame) -> DataFrame:
-    """Visible headings with their level: larger or bold lines that end no sentence, levels by size."""
-    body = dominant_font(lines)
+def headings(lines: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Visible headings with their level: larger or bold lines that end no sentence, levels by size.
+
+    ``counted``: the same lines by a way that need not bring a document's lines together.
+    """
+    body = dominant_font(lines if counted is None else counted)
     order = Window.partitionBy("doc", "page").orderBy("y", "line")
     text = F.trim("text")
-    rows = lines.join(body, "doc").withColumn("gap", F.col("y") - F.lag("y").over(order))
     shape = F.length(text).between(2, 160) & ~F.rlike(F.lower(text), F.lit(PAGE_NUMBER)) & ~F.rlike(text, F.lit(r"[.。;；,，!?！？]$"))
     big = (F.col("font") >= 1.25 * F.col("body")) | (F.col("bold") & (F.col("font") >= 1.05 * F.col("body")))
-    found = rows.where(shape & big & (F.col("gap").isNull() | (F.col("gap") >= 0.8 * F.col("height"))))
-    level = F.least(F.lit(6), F.dense_rank().over(Window.partitionBy("doc").orderBy(F.desc(F.round(F.col("font") * 2) / 2))))
+    # every line is sorted by place, but only with the text and size of those that may be headings
+    rows = lines.join(body, "doc").withColumn("size", F.when(big & shape, F.round(F.col("font") * 2) / 2))
+    rows = rows.select("doc", "page", "line", "y", "height", "size", F.when(F.col("size").isNotNull(), F.col("text")).alias("text")).withColumn("gap", F.col("y") - F.lag("y").over(order))
+    found = rows.where(F.col("size").isNotNull() & (F.col("gap").isNull() | (F.col("gap") >= 0.8 * F.col("height"))))
+    level = F.least(F.lit(6), F.dense_rank().over(Window.partitionBy("doc").orderBy(F.desc("size"))))
     return found.select("doc", "page", "line", "text", level.alias("level"))
 
 
-def titles(lines: DataFrame) -> DataFrame:
-    """The largest line in the upper part of the first page, if much larger than the body."""
-    first = lines.groupBy("doc").agg(F.min("page").alias("page"))
-    rows = lines.join(first, ["doc", "page"]).join(dominant_font(lines), "doc").where((F.col("y") < 0.55) & (F.col("font") >= 1.55 * F.col("body")) & (F.length("text") <= 200))
+def titles(lines: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """The largest line in the upper part of the first page, if much larger than the body; ``counted`` as for headings."""
+    counted = lines if counted is None else counted
+    first = counted.groupBy("doc").agg(F.min("page").alias("page"))
+    rows = lines.join(first, ["doc", "page"]).join(dominant_font(counted), "doc").where((F.col("y") < 0.55) & (F.col("font") >= 1.55 * F.col("body")) & (F.length("text") <= 200))
     return rows.groupBy("doc").agg(F.min_by("text", F.struct(-F.col("font"), "y", "line")).alias("title"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.adapters import table
+from strandline.adapters import dealt, table
 from strandline.operators import canonical as C
 from strandline.operators import layout as L
 
@@ -157,41 +157,46 @@ LINES = """ln AS (SELECT l_suppkey AS doc, CAST(l_orderkey % 12 AS INTEGER) AS p
 body AS (SELECT doc, arg_max(size, (w, -size)) AS body FROM (SELECT doc, round(font * 2) / 2 AS size, sum(greatest(1, length(text))) AS w FROM ln GROUP BY ALL) GROUP BY doc)"""
 
 
-def _lines(s, d):
+def _lines(s, d, numbered=True):
+    """Without numbers no line need go to its document's others: for what is counted by document."""
     k = F.col("l_partkey")
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
-    return table(s, d, "lineitem").select(
-        F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") % 12).cast("int").alias("page"), F.row_number().over(order).alias("line"), ((k * 7 + F.col("l_orderkey")) % 1000 / 1000.0).alias("y"), F.lit(0.012).alias("height"),
-        (8 + k % 13 / 2.0).alias("font"), (F.col("l_returnflag") == "A").alias("bold"), (F.col("l_linenumber") >= 6).alias("large_gap"), F.concat(F.lit("T"), (k % 30).cast("string"), F.when(F.col("l_linenumber") == 1, ".").otherwise(" x")).alias("text"),
+    rows = table(s, d, "lineitem").select(F.col("l_suppkey").alias("doc"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_returnflag") == "A").alias("bold"))
+    if numbered:
+        # by the column that later steps take, so that one shuffle serves them too
+        order = Window.partitionBy("doc").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+        rows = dealt(rows, "doc").withColumn("line", F.row_number().over(order))
+    return rows.select(
+        "doc", (F.col("l_orderkey") % 12).cast("int").alias("page"), *["line"] * numbered, ((k * 7 + F.col("l_orderkey")) % 1000 / 1000.0).alias("y"), F.lit(0.012).alias("height"),
+        (8 + k % 13 / 2.0).alias("font"), "bold", (F.col("l_linenumber") >= 6).alias("large_gap"), F.concat(F.lit("T"), (k % 30).cast("string"), F.when(F.col("l_linenumber") == 1, ".").otherwise(" x")).alias("text"),
     )
 
 
 @query(f"WITH {LINES} SELECT doc, page, count(*) FILTER (WHERE large_gap) AS n FROM ln GROUP BY ALL HAVING n >= 3")
 def complex_pages(s, d):
-    return L.complex_pages(_lines(s, d))
+    return L.complex_pages(_lines(s, d, False))
 
 
 @query(f"""WITH {LINES}, p AS (SELECT doc, count(DISTINCT page) AS pages FROM ln GROUP BY doc), e AS (SELECT doc, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key, count(DISTINCT page) AS n FROM ln WHERE y <= 0.12 OR y >= 0.88 GROUP BY ALL)
 SELECT doc, key, n FROM e JOIN p USING (doc) WHERE n >= greatest(2, ceil(pages / 2.0))""".replace("\\\\", "\\"))
 def repeated_margins(s, d):
-    return L.repeated_margins(_lines(s, d))
+    return L.repeated_margins(_lines(s, d, False))
 
 
 @query(f"WITH {LINES} SELECT * FROM body")
 def dominant_font(s, d):
-    return L.dominant_font(_lines(s, d))
+    return L.dominant_font(_lines(s, d, False))
 
 
 @query(f"""WITH {LINES}, g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc, page ORDER BY y, line) AS gap FROM ln JOIN body USING (doc)),
 f AS (SELECT * FROM g WHERE length(trim(text)) BETWEEN 2 AND 160 AND NOT regexp_matches(trim(text), '[.。;；,，!?！？]$') AND (font >= 1.25 * body OR (bold AND font >= 1.05 * body)) AND (gap IS NULL OR gap >= 0.8 * height))
 SELECT doc, page, line, text, least(6, dense_rank() OVER (PARTITION BY doc ORDER BY round(font * 2) / 2 DESC)) AS level FROM f""")
 def visible_headings(s, d):
-    return L.headings(_lines(s, d))
+    return L.headings(_lines(s, d), _lines(s, d, False))
 
 
 @query(f"""WITH {LINES} SELECT doc, arg_min(text, (-font, y, line)) AS title FROM ln JOIN body USING (doc) JOIN (SELECT doc, min(page) AS page FROM ln GROUP BY doc) USING (doc, page) WHERE y < 0.55 AND font >= 1.55 * body AND length(text) <= 200 GROUP BY doc""")
 def document_titles(s, d):
-    return L.titles(_lines(s, d))
+    return L.titles(_lines(s, d), _lines(s, d, False))
 
 
 @query(f"""WITH {LINES}, m AS (SELECT *, CASE WHEN y - lag(y) OVER w <= greatest(1.45 * font / 1000, 1.6 * height) THEN 0 ELSE 1 END AS new FROM ln WINDOW w AS (PARTITION BY doc, page ORDER BY y, line)), p AS (SELECT *, sum(new) OVER (PARTITION BY doc, page ORDER BY y, line) AS p FROM m)
@@ -218,7 +223,7 @@ SELECT doc, count(*) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM ln WHERE ln.doc
 def unresolved_hints(s, d):
     ln, n = _lines(s, d), F.col("line")
     outline = ln.where(n % 7 == 0).select("doc", F.when(n % 2 == 0, F.col("page") + (n % 3).cast("int")).alias("page"), F.concat("text", F.when(n % 5 == 0, "?").otherwise("")).alias("text"))
-    return L.unresolved_hints(ln, outline)
+    return L.unresolved_hints(_lines(s, d, False), outline)
 
 
 @query(f"""WITH {LINES}, x AS (SELECT doc, page, line, y, CASE WHEN line % 9 = 0 THEN 'Page ' || page ELSE text END AS text FROM ln), n AS (SELECT doc, count(DISTINCT page) AS pages FROM x GROUP BY doc),
@@ -231,7 +236,7 @@ def lines_without_margins(s, d):
 
 @query(f"""WITH {LINES}, p AS (SELECT doc, page, sum(length(text)) AS chars FROM ln GROUP BY ALL) SELECT doc, page, row_number() OVER w - 1 AS ordinal, coalesce(sum(chars + 2) OVER (PARTITION BY doc ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p WINDOW w AS (PARTITION BY doc ORDER BY page)""")
 def page_offsets(s, d):
-    return L.page_offsets(_lines(s, d).groupBy("doc", "page").agg(F.sum(F.length("text")).alias("chars")))
+    return L.page_offsets(_lines(s, d, False).groupBy("doc", "page").agg(F.sum(F.length("text")).alias("chars")))
 
 
 _CELLS = """c AS (SELECT l_orderkey AS table_id, CAST(l_linenumber AS BIGINT) AS row, l_suppkey % 3 AS col, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS col_span, l_linenumber = 1 AS header, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE '  c' || l_partkey || '  x' END AS text, l_partkey * 100 + l_quantity AS n FROM lineitem),

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 import uuid
 
 from pyspark.sql import functions as F
 
-from strandline import catalog
+from strandline import adapters, catalog
 from strandline.adapters import shared_dir
 from strandline.functions.text import tokens
 from strandline.operators import artifacts, control, geometry, keyword_index, layout, session, vector_index
+from strandline.plans import structure
 from strandline.streaming import pipelines
 
 
@@ -162,3 +164,28 @@ def test_slices_and_parts_of_a_scope_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(vector_index, "SLICE_ROWS", 50)
     monkeypatch.setattr(vector_index, "QUERY_PART", 8)
     assert rows() == whole and len(whole) == 700
+
+
+def test_lines_of_a_task_stay_few(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    names = ["visible_headings", "document_titles", "layout_paragraphs", "outline_hints", "unresolved_hints", "lines_without_margins"]
+    rows = lambda: {n: sorted(str(r) for r in catalog.queries()[n](spark, d).collect()) for n in names}
+    whole = rows()
+    physical = lambda: catalog.queries()["visible_headings"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    # lines are shuffled by the document once, not by its key and then again
+    assert "hashpartitioning(l_suppkey" not in physical() and "REPARTITION_BY_NUM" not in physical()
+    monkeypatch.setattr(adapters, "TASK_ROWS", 400)
+    n = structure.table(spark, d, "lineitem").count()
+    assert structure._lines(spark, d).rdd.getNumPartitions() == -(-n // 400) > 4
+    assert physical().count("REPARTITION_BY_NUM") == 1 and rows() == whole and all(whole.values())
+    # what is counted by document is counted where it is read
+    assert "REPARTITION_BY_NUM" not in catalog.queries()["dominant_font"](spark, d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headings_are_sorted_without_other_texts(spark):
+    line = lambda n, font, text, bold=False, y=None: ("d", 1, n, n / 10 if y is None else y, 0.1, font, bold, text)
+    rows = [line(0, 20.0, "Large"), line(1, 10.0, "body " * 20), line(2, 15.0, "Ends."), line(3, 11.0, "Bold", True), line(4, 11.0, "Plain"), line(5, 15.0, "Near", y=0.41), line(6, 15.0, "Far", y=0.6), line(7, 15.0, None), line(8, None, "None")]
+    lines = spark.createDataFrame(rows, "doc string, page int, line int, y double, height double, font double, bold boolean, text string")
+    got = layout.headings(lines)
+    assert re.search(r"THEN text#\d+ END", plan(got).split("lag(")[1])
+    assert sorted((r["line"], r["text"], r["level"]) for r in got.collect()) == [(0, "Large", 1), (3, "Bold", 3), (6, "Far", 2)]
