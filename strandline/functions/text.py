@@ -367,7 +367,9 @@ def nfkc_fold():
     """HTML entities decoded, NFKC, no white space, case folded: ``fold_text`` as an expression; ASCII without entities stays out of Python."""
     folded = _sliced(fold_text, pa.string(), "string")
 
-    def run(x: Column) -> Column:
+    def run(x) -> Column:
+        # a name would be a literal as a value of when()
+        x = F.col(x) if isinstance(x, str) else x
         plain = (F.octet_length(x) == F.length(x)) & ~F.contains(x, F.lit("&"))
         bare = x
         for c in _SPACES:

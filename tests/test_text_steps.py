@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandline.functions import text
-from strandline.operators import canonical
+from strandline.operators import canonical, evaluation
 from strandline.streaming import deltas
 
 LETTERS = ["a", "B", "é", "ß", "中", "\U0001f600", " ", "\n", "\r", "\t", "\x1c", "\x85", " ", " ", "﻿", ".", "。", "!", "&amp;", "ﬁ", "x" * 7]
@@ -56,6 +56,21 @@ def test_folding_leaves_plain_texts_out_of_python(spark):
     assert len(held) == 200 and "CASE WHEN" in next(y for y in plan(got).splitlines() if "ArrowEvalPython" in y or "CASE WHEN" in y)
 
 
+def test_a_named_column_is_folded_like_its_column(spark):
+    rows = spark.createDataFrame([(t,) for t in texts(100)], "t string")
+    assert all(r["f"] == text.fold_text(r["t"]) for r in rows.select("t", text.nfkc_fold()("t").alias("f")).collect())
+    # citations and anchors whose texts go through Python: entities, wide letters, both, none
+    said = ["ORDER 1 &amp; \u00e9t\u00e9", "order1&\u00c9t\u00c9!", "\uff2frder 1 now", "nothing \u00e9", None]
+    cases = spark.createDataFrame([(1, True, "ANSWERED"), (2, False, "INSUFFICIENT_EVIDENCE")], "case_id long, answerable boolean, status string")
+    citations = spark.createDataFrame([(c, n, "a", t) for c in (1, 2) for n, t in enumerate(said)], "case_id long, n long, document string, text string")
+    anchors = spark.createDataFrame([(1, "a", "Order\u00a01 &amp; \u00e9T\u00e9"), (2, "a", "ORDER 1")], "case_id long, document string, anchor string")
+    got = evaluation.answer_checks(cases, citations, anchors).collect()
+    assert {(r["case_id"], r["citations"], r["valid_citations"], r["relevant_document"], r["fabricated"]) for r in got} == {(1, 5, 2, True, False), (2, 5, 3, True, True)}
+    ranked = spark.createDataFrame([(1, i, i, t) for i, t in enumerate(said)], "query_id long, item long, rank long, text string")
+    wanted = spark.createDataFrame([(1, i, "order 1 &amp; \u00e9t\u00e9") for i in range(4)], "query_id long, item long, anchor string")
+    assert evaluation.anchor_recall(wanted, ranked, 10).first()["anchor_recall_10"] == 0.5
+
+
 def test_answers_are_read_in_runs():
     """A character is looked at alone only where it may change the state."""
     seen = []
