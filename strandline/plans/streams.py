@@ -179,7 +179,7 @@ def stream_leases(s, d):
 def outbox_published(s, d):
     """Every event through the outbox source and the sink that writes each batch once."""
     path = f"{shared_dir(s)}/strandline/outbox-{uuid.uuid4().hex}"
-    table(s, d, "events").select(F.col("event_id").alias("id"), F.coalesce("props", F.lit("")).alias("payload")).write.parquet(f"{path}/queue")
+    O.append(table(s, d, "events").select(F.col("event_id").alias("id"), F.coalesce("props", F.lit("")).alias("payload")), f"{path}/queue")
     O.register(s)
     q = O.publisher(O.pending(s, f"{path}/queue", 100_000), f"{path}/sent", f"{path}/state").start()
     q.processAllAvailable()

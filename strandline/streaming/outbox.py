@@ -22,43 +22,119 @@ def opened(path: str):
 
 
 class _Range(InputPartition):
-    def __init__(self, after: int, last: int):
-        self.after, self.last = after, last
+    """The ids after one and up to another in some row groups of files."""
+
+    def __init__(self, after: int, last: int, groups: list[tuple[str, int]]):
+        self.after, self.last, self.groups = after, last, groups
+
+
+#: Ids that a look at the queue keeps for the polls to come, rows of one task, and rows of one row group of a queue that is written here.
+AHEAD, TASK_ROWS, GROUP_ROWS = 2_000_000, 200_000, 50_000
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 class OutboxReader(DataSourceStreamReader):
+    """Footers are read once for each file, and ids for many polls at once; a poll lists the folder, and a task reads only row groups that may hold its ids."""
+
     def __init__(self, path: str, batch: int):
         self.path, self.batch, self.at = path, batch, None
-
-    def _rows(self, columns: list[str], rule):
-        import pyarrow.dataset as ds
-
-        system, path = opened(self.path)
-        files = [f.path for f in system.get_file_info(_selector(path)) if f.path.endswith(".parquet")]
-        if files:
-            yield from ds.dataset(files, filesystem=system, format="parquet").to_batches(columns=columns, filter=rule)
+        self.groups, self.files = [], set()
+        # the sorted ids that come next, and the id up to which none is missing there
+        self.ahead, self.bound = None, LEAST
 
     def initialOffset(self) -> dict:
         return {"id": -1}
 
     def latestOffset(self) -> dict:
-        import heapq
-
-        import pyarrow.compute as pc
-
         after = -1 if self.at is None else self.at
-        ids = heapq.nsmallest(self.batch, (i for b in self._rows(["id"], pc.field("id") > after) for i in b.column(0).to_pylist()))
-        return {"id": ids[-1] if ids else after}
+        self._look()
+        ids = self._following(after)
+        if len(ids) < self.batch and self.bound < MOST:
+            self._fill(after)
+            ids = self._following(after)
+        return {"id": int(ids[: self.batch][-1]) if len(ids) else after}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         # a restarted query asks for its last batch first
         self.at = max(end["id"], -1 if self.at is None else self.at)
-        return [_Range(start["id"], end["id"])]
+        if not self.files:
+            self._look()
+        tasks, rows = [], TASK_ROWS
+        for least, most, path, k, n in self.groups:
+            if most > start["id"] and least <= end["id"]:
+                if rows + n > TASK_ROWS:
+                    tasks.append(_Range(start["id"], end["id"], []))
+                    rows = 0
+                tasks[-1].groups.append((path, k))
+                rows += n
+        return tasks
 
     def read(self, partition: _Range):
+        from itertools import groupby
+
+        for path, own in groupby(partition.groups, lambda g: g[0]):
+            yield from self._rows(path, [k for _, k in own], ["id", "payload"], partition.after, partition.last)
+
+    def _look(self) -> None:
+        """Take in the row groups of files that were not there before."""
+        import pyarrow.parquet as pq
+
+        system, folder = opened(self.path)
+        for f in system.get_file_info(_selector(folder)):
+            # a file that is still being written lies in a folder that is none of the queue's
+            if f.path in self.files or not f.path.endswith(".parquet") or any(x[:1] in ("_", ".") for x in f.path.removeprefix(folder).split("/")):
+                continue
+            with system.open_input_file(f.path) as opened_file:
+                meta = pq.read_metadata(opened_file)
+            self.files.add(f.path)
+            column = meta.schema.names.index("id")
+            for k in range(meta.num_row_groups):
+                group = meta.row_group(k)
+                stats = group.column(column).statistics
+                least, most = (stats.min, stats.max) if stats is not None and stats.has_min_max else (LEAST, MOST)
+                self.groups.append((least, most, f.path, k, group.num_rows))
+                if least <= self.bound:
+                    self.ahead, self.bound = None, LEAST
+        self.groups.sort()
+
+    def _following(self, after: int):
+        import numpy as np
+
+        return () if self.ahead is None else self.ahead[np.searchsorted(self.ahead, after, "right") :]
+
+    def _fill(self, after: int) -> None:
+        """The next ids, ``AHEAD`` or a batch if that is more, by row groups in the order of their least ids; memory holds twice as many."""
+        import numpy as np
+
+        most, size, held, bound = max(AHEAD, self.batch), 0, [], MOST
+        for least, greatest, path, k, _ in self.groups:
+            if least > bound:
+                break
+            if greatest <= after:
+                continue
+            for b in self._rows(path, [k], ["id"], after, bound):
+                held.append(b.column(0).to_numpy())
+                size += b.num_rows
+                if size >= (most if bound == MOST else 2 * most):
+                    ids = np.concatenate(held)
+                    bound = int(np.partition(ids, most - 1)[most - 1])
+                    held = [ids[ids <= bound]]
+                    size = len(held[0])
+        ids = np.sort(np.concatenate(held)) if held else np.array([], np.int64)
+        self.ahead, self.bound = ids[ids <= bound], bound
+
+    def _rows(self, path: str, groups: list[int], columns: list[str], after: int, last: int):
+        import pyarrow as pa
         import pyarrow.compute as pc
+        import pyarrow.parquet as pq
 
-        yield from self._rows(["id", "payload"], (pc.field("id") > partition.after) & (pc.field("id") <= partition.last))
+        # files may differ in what they let be null
+        kinds = pa.schema([(c, {"id": pa.int64(), "payload": pa.string()}[c]) for c in columns])
+        with opened(self.path)[0].open_input_file(path) as f:
+            for b in pq.ParquetFile(f).iter_batches(row_groups=groups, columns=columns):
+                kept = b.select(columns).filter((pc.field("id") > after) & (pc.field("id") <= last))
+                if kept.num_rows:
+                    yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip(kept.columns, kinds.types, strict=True)], schema=kinds)
 
 
 def _selector(path: str):
@@ -81,6 +157,11 @@ class Outbox(DataSource):
         return OutboxReader(self.options["path"], int(self.options.get("batch", BATCH)))
 
 
+def append(rows: DataFrame, path: str) -> None:
+    """``id, payload`` as files of the queue whose ids ascend, also from file to file, in row groups of few rows."""
+    rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("append").option("parquet.block.row.count.limit", GROUP_ROWS).parquet(path)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Outbox)
 

@@ -14,7 +14,7 @@ from strandline.adapters import shared_dir
 from strandline.functions.text import tokens
 from strandline.operators import artifacts, control, geometry, keyword_index, layout, session, vector_index
 from strandline.plans import structure
-from strandline.streaming import pipelines
+from strandline.streaming import outbox, pipelines
 
 
 def plan(df) -> str:
@@ -189,3 +189,62 @@ def test_headings_are_sorted_without_other_texts(spark):
     got = layout.headings(lines)
     assert re.search(r"THEN text#\d+ END", plan(got).split("lag(")[1])
     assert sorted((r["line"], r["text"], r["level"]) for r in got.collect()) == [(0, "Large", 1), (3, "Bold", 3), (6, "Far", 2)]
+
+
+def test_polls_do_not_go_through_the_queue_again(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(9)
+    put = lambda name, ids: pq.write_table(pa.table({"payload": [f"p{i}" for i in ids], "id": pa.array(ids, pa.int64())}), f"{tmp_path}/{name}.parquet", row_group_size=70)
+    first = [*range(3000), *(rng.randrange(3000) for _ in range(600)), -1, -5, None]
+    rng.shuffle(first)
+    late = [*range(2000, 2900, 3), *range(5000, 5200)]
+    seen, keep = [0], outbox.OutboxReader._rows
+
+    def counted(self, *args):
+        for b in keep(self, *args):
+            seen[0] += b.num_rows
+            yield b
+
+    monkeypatch.setattr(outbox.OutboxReader, "_rows", counted)
+    for ahead in (outbox.__dict__.get("AHEAD", 0), 250):
+        monkeypatch.setattr(outbox, "AHEAD", ahead, raising=False)
+        folder = tmp_path / str(ahead)
+        (folder / "_temporary").mkdir(parents=True)
+        (folder / "_temporary" / "part.parquet").write_bytes(b"not yet whole")
+        for k in range(3):
+            put(f"{ahead}/f{k}", first[k::3])
+        reader, at, polls, n = outbox.OutboxReader(str(folder), 100), {"id": -1}, 0, 0
+        left = sorted(i for i in first if i is not None and i >= 0)
+        while True:
+            seen[0] = 0
+            end = reader.latestOffset()
+            polls += seen[0]
+            if end == at:
+                break
+            got = sorted(zip(*[[x for p in reader.partitions(at, end) for b in reader.read(p) for x in b.column(c).to_pylist()] for c in (0, 1)], strict=True))
+            want = [i for i in left if i <= left[99]] if len(left) > 99 else left
+            assert got == [(i, f"p{i}") for i in want] and end == {"id": want[-1]}
+            left, at, n = left[len(want) :], end, n + 1
+            if n == 15:
+                put(f"{ahead}/late", late)
+                left = sorted(left + late)
+        assert not left and n > 35
+        # one look for the first files and one for the late one, not one for each of the polls
+        assert ahead == 250 or polls < 2 * (len(first) + len(late))
+
+
+def test_a_task_of_the_outbox_reads_few_rows_beside_its_own(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(outbox, "GROUP_ROWS", 50)
+    monkeypatch.setattr(outbox, "TASK_ROWS", 120)
+    path = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    outbox.append(spark.range(4000).select(((F.col("id") * 1237) % 4000).alias("id"), F.lit("p").alias("payload")).repartition(3), path)
+    reader = outbox.OutboxReader(path, 300)
+    parts = reader.partitions({"id": -1}, reader.latestOffset())
+    system, _ = outbox.opened(path)
+    rows = [sum(pq.read_metadata(system.open_input_file(f)).row_group(k).num_rows for f, k in p.groups) for p in parts]
+    assert sum(rows) <= 350 and max(rows) <= 120 and len(rows) >= 3
+    assert sorted(x for p in parts for b in reader.read(p) for x in b.column(0).to_pylist()) == list(range(300))
